@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from barlab.llm import embed_lsh, lm, simhash, topk
+from barlab.llm import chat, embed_lsh, gam, lm, packing, pieces, simhash, suffix, topk, wordpiece
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_topk": topk.op3_topk,
+    "op4_chat_format": chat.op4_chat_format,
     "op5_embedding_dedup": embed_lsh.op5_embedding_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_quality": gam.op7_quality,
+    "op8_packing": packing.op8_packing,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_token_counts": wordpiece.op10_token_counts,
 }
-SQL = {k: v for m in (lm, topk, embed_lsh, simhash) for k, v in m.SQL.items()}
+SQL = {k: v for m in (chat, embed_lsh, gam, lm, packing, pieces, simhash, suffix, topk, wordpiece) for k, v in m.SQL.items()}
