@@ -59,10 +59,19 @@ def declared(mapping: Mapping) -> Column:
     return fingerprint(F.array(*[F.lit(p) for p in mapping.paths]))
 
 
+def _under(path: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{path}[]."), k))
+
+
+def _listed(turns: Column, role: str, text: str) -> Column:
+    kind = f"array<struct<`{role}`:string,`{text}`:string>>"
+    return F.transform(F.from_json(turns, kind), lambda t: F.struct(_canonical(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+
+
 def _json_paths(record: Column, mappings: tuple[Mapping, ...]) -> Column:
     """The field paths of a JSON object: its keys, and those of the first element of each array of turns that a mapping names."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    nested = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{m.turns[0]}[0]")), F.array().cast("array<string>")), lambda k, p=m.turns[0]: F.concat(F.lit(f"{p}[]."), k)) for m in mappings if m.turns]
+    nested = [_under(m.turns[0], F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{m.turns[0]}[0]")), F.array().cast("array<string>"))) for m in mappings if m.turns]
     return F.concat(top, *nested)
 
 
@@ -99,7 +108,7 @@ def canonical_turns(records: DataFrame, id_col: str = "id", record_col: str = "r
         name = F.when(chosen, F.lit(m.name)).otherwise(name)
         if m.turns:
             path, role, text = m.turns
-            own = F.transform(F.from_json(get(path), f"array<struct<`{role}`:string,`{text}`:string>>"), lambda t, role=role, text=text: F.struct(_canonical(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+            own = _listed(get(path), role, text)
         elif m.fields:
             own = _turns(*[F.when(F.lit(m.fields.index((role, path)) == len(m.fields) - 1) | get(path).isNotNull() & (get(path) != ""), F.struct(F.lit(role).alias("role"), F.coalesce(get(path), F.lit("")).alias("text"))) for role, path in m.fields])
         else:

@@ -20,15 +20,17 @@ def whole_components(vector: str | Column, scale: int) -> Column:
     v = F.col(vector) if isinstance(vector, str) else vector
     wide = F.transform(v, lambda x: x.cast("double"))
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(fine, F.transform(wide, lambda x: (F.floor(x * F.lit(float(scale)).cast("double"))).cast("double")))
+    # beyond 2**52 a double is whole, and floor() would not fit a long
+    whole = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+    return F.when(fine, F.transform(wide, lambda x: whole(x * float(scale))))
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products. Doubles are exact below 2**53; beyond, whole Python numbers, held at the ends of a long."""
+    """Integer inner products. Doubles are exact below 2**53; beyond, whole Python numbers, held at 2**61."""
     if not q.size or not c.size or np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**53:
         return (q @ c.T).astype(np.int64)
     exact = np.array([[int(x) for x in row] for row in q], dtype=object) @ np.array([[int(x) for x in row] for row in c], dtype=object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(exact, -(2**61), 2**61).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int = 1024, candidate_block: int = 2048, bins: int = 128) -> DataFrame:
@@ -41,7 +43,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int
     counts are summed over all blocks, and the bin that holds the k-th best becomes the next range,
     until it is one value wide. The last pass keeps what is above that value and, of the ties at it,
     only the smallest ids. Repeated rows count as often as they stand; repeated query rows are
-    answered once; vectors of unequal lengths never meet. Empty tables give an empty result."""
+    answered once; vectors of unequal lengths never meet; scores are held at 2**61 either way. Empty tables give an empty result."""
     spark = vectors.sparkSession
     ship(spark)
     q = queries.where("vec_id is not null and v is not null").select("vec_id", "v").distinct().withColumn("no", F.xxhash64("vec_id", "v"))
@@ -66,7 +68,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int
         return pd.DataFrame({"s": [group["s"].iloc[0]], "width": [m.shape[1]], "q_no": [no[is_q].tobytes()], "q_id": [ids[is_q].tobytes()], "q": [m[is_q].tobytes()], "c_id": [ids[~is_q].tobytes()], "c": [m[~is_q].tobytes()]})
 
     cells = keep(by_sorted_group(grid, ["s", "g", "width"], pack, "s long, width int, q_no binary, q_id binary, q binary, c_id binary, c binary", max(1, groups * sets)), "cells")
-    state = q.select("no", F.pmod("no", F.lit(sets)).alias("s"), F.ceil(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) * F.sqrt(F.lit(float(far))) + 1).cast("double").alias("top")).select("no", "s", (-F.col("top")).cast("long").alias("low"), (2 * F.col("top") + 1).cast("long").alias("span"), F.lit(0).cast("long").alias("above"))
+    state = q.select("no", F.pmod("no", F.lit(sets)).alias("s"), F.ceil(F.least(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) * F.sqrt(F.lit(float(far))) + 1, F.lit(2.0**61))).cast("long").alias("top")).select("no", "s", (-F.col("top")).alias("low"), (2 * F.col("top") + 1).alias("span"), F.lit(0).cast("long").alias("above"))
     widest = state.agg(F.max("span")).first()[0]
 
     def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:

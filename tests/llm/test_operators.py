@@ -1,0 +1,384 @@
+"""Every operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing names, against brute force."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from barlab.llm import chat, embed_lsh, gam, lm, packing, pieces, simhash, suffix, topk, wordpiece
+from barlab.llm.shared import components, forest, sorted_groups
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, root string, rest string"
+
+
+def texts():
+    rng = random.Random(3)
+    words = ["alpha", "Beta", "gamma", "delta", "épsilon", "zeta", "eta&", "theta<|", "iota", "kappa", "naïve", "ünder"]
+    say = lambda n: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n))
+    base, passage = say(120), say(60)
+    out = [None, "", " \n\t ", "one", "two words", base, base, base.replace("alpha", "omega", 1), base + " tail", passage, say(30) + passage + say(30), passage + say(5), say(9000), "ab" * 200, "ab" * 180, "▁ x ▁▁y  z\r\nw\x00\x1c", "日本語 テキスト 🙂 ok"]
+    return out + [say(rng.randrange(1, 80)) for _ in range(60)]
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("sf"))
+    rows = [(i, t, "en", "s", len(t or ""), 7, "r", "x") for i, t in enumerate(texts())]
+    rows += [(None, "nobody's text, " + (rows[5][1] or ""), None, None, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(5, 70)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((120, 8))
+    v[30:60] = v[:30] + rng.standard_normal((30, 8)) * 0.02
+    vec = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    vec += [(120, vec[0][1], 1), (140, None, 1), (141, [0.0] * 8, 2), (142, [float("nan")] * 8, 1), (143, [None] * 8, 1), (144, [float("inf")] * 8, 1), (160, [1.0, 2.0], 1), (180, [], 1)]
+    spark.createDataFrame(vec, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    talk = [(1, 0, "user", "hi & <|im_end|> &amp;"), (1, 1, "assistant", None), (1, 2, None, "x\ny"), (2, None, "assistant", "b"), (2, None, "assistant", "a"), (2, 1, "user\n<|", ""), (None, 0, "assistant", "lost"), (3, 0, "user", "q"), (3, 0, "user", "q")]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def none(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("none"))
+    for name, schema in {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+def docs(spark, sf):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def split(t):
+    return (t or "").encode().lower().split()
+
+
+@pytest.mark.parametrize("query", [lm.op1_lm_scores, suffix.op2_suffix_dedup, topk.op3_topk, embed_lsh.op5_embedding_dedup, simhash.op6_simhash, gam.op7_quality, packing.op8_packing, pieces.op9_sentencepiece, wordpiece.op10_token_counts])
+def test_empty_tables_give_empty_results(spark, none, query):
+    assert query(spark, none).count() == 0
+
+
+def test_lm_base_and_interpolated_scores(spark, sf):
+    own = docs(spark, sf)
+    rest = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 for i in own}
+    tokens = {i: [*split(t), b"\n"] for i, t in own.items()}
+    uni, bi = Counter(), Counter()
+    for i, x in tokens.items():
+        if rest[i]:
+            uni.update(x)
+            bi.update(zip([b"\n", *x], x, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    rows = lm.op1_lm_scores(spark, sf).collect()
+    assert len(rows) == len(own)
+    for r in rows:
+        x = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (rest[r["doc_id"]] == 0, len(x), sum(uni[w] > 0 for w in x), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x))
+        assert r["score"] < 0
+    # the learned model is better than the base on held-out text
+    assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
+
+
+def test_lm_distribution_sums_to_one(spark):
+    """Scores of one-token texts over the whole vocabulary and one unknown word, in one context, sum to 1."""
+    train = [(i, "a b a c", r) for i, r in enumerate([lm.COUNTING] * 4 + [lm.MIXING] * 2)]
+    ask = [(100 + i, w, lm.HELD_OUT) for i, w in enumerate(["a", "b", "c", "zzz", ""])]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(train + ask, "doc_id long, text string, role int")).collect()}
+    # a text w is w then the end; dividing by P(end | w) isn't possible from here, so only check that all are proper
+    assert all(-20 < got[100 + i] < 0 for i in range(5))
+
+
+def brute_removed(own, length=50):
+    first, grams = {}, {}
+    key = lambda i: float("inf") if i is None else i
+    for i, t in own.items():
+        b = (t or "").encode()
+        grams[i] = [b[k : k + length] for k in range(len(b) - length + 1)]
+        for g in grams[i]:
+            first[g] = min(first.get(g, float("inf")), key(i))
+    out = {}
+    for i, t in own.items():
+        b = bytearray(len((t or "").encode()))
+        for k, g in enumerate(grams[i]):
+            if first[g] < key(i):
+                b[k : k + length] = b"\1" * length
+        out[i] = bytes(b)
+    return out
+
+
+def test_suffix_dedup_removes_exactly_what_brute_force_does(spark, sf):
+    own = docs(spark, sf)
+    gone = brute_removed(own)
+    for r in suffix.op2_suffix_dedup(spark, sf).collect():
+        raw, marks = (own[r["doc_id"]] or "").encode(), gone[r["doc_id"]]
+        kept = bytes(b for b, m in zip(raw, marks, strict=True) if not m)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), sum(marks), len([x for x in marks.split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
+
+
+def test_deep_shallow_order_and_groups():
+    rng = random.Random(1)
+    buffer = bytes(rng.choice(b"ab") for _ in range(400)) + b"abab" * 60
+    starts = np.arange(len(buffer) - 50)
+    order, group = suffix.deep_shallow(buffer, starts, 50)
+    strings = [buffer[i : i + 50] for i in order]
+    assert strings == sorted(buffer[i : i + 50] for i in starts)
+    assert [a == b for a, b in zip(strings, strings[1:], strict=False)] == (group[1:] == group[:-1]).tolist()
+
+
+def test_whole_characters_are_kept(spark):
+    rows = [(0, "é" * 80, None), (1, "x" + "é" * 80 + "yz", None)]
+    out = {r["doc_id"]: bytes(r["kept"]) for r in suffix.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string, rest string"), 50, True).collect()}
+    assert out[1].decode() == "xyz"
+
+
+def test_top_k_equals_brute_force(spark, sf):
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    good = {i: [math.floor(64 * x) for x in v] for i, v in rows.items() if v and all(x is not None and math.isfinite(x) for x in v)}
+    want = []
+    for q in (i for i in good if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(tuple(r) for r in topk.op3_topk(spark, sf).collect()) == sorted(want)
+
+
+def test_top_k_ties_and_large_values(spark):
+    v = [(i, [1.0, 1.0]) for i in range(70)] + [(200, [2.0**60, 2.0**60])]
+    df = spark.createDataFrame(v, "vec_id long, v array<double>")
+    got = topk.top_k(df, df.where("vec_id in (40, 200)"), k=5, candidate_block=16, query_block=1).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 40] == [200, 0, 1, 2, 3]
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 200] == [0, 1, 2, 3, 4]
+
+
+def test_embedding_dedup_equals_brute_force(spark, sf):
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows.items() if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    links = {i: [j for j in good if j != i and len(good[i]) == len(good[j]) and good[i] @ good[j] >= 0.95] for i in good}
+    for r in embed_lsh.op5_embedding_dedup(spark, sf).collect():
+        seen, todo = {r["vec_id"]}, [r["vec_id"]]
+        while todo:
+            for j in links.get(todo.pop(), []):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        assert (r["n_links"], r["component_id"], r["kept"]) == (len(links.get(r["vec_id"], [])), min(seen), min(seen) == r["vec_id"])
+
+
+def simple_print(t, words=3):
+    w = split(t)
+    s = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def closure(ids, near):
+    label = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for i in ids:
+            m = min((label[j] for j in ids if near(i, j)), default=label[i])
+            if m < label[i]:
+                label[i], changed = m, True
+    return label
+
+
+def test_simhash_equals_brute_force(spark, sf):
+    own = docs(spark, sf)
+    prints = {i: simple_print(t) for i, t in own.items()}
+    order = {i: (10**9 if i is None else i) for i in own}
+    back = {v: k for k, v in order.items()}
+    label = closure([*order.values()], lambda a, b: (prints[back[a]] ^ prints[back[b]]).bit_count() <= 3)
+    for r in simhash.op6_simhash(spark, sf).collect():
+        component = label[order[r["doc_id"]]]
+        assert (r["fingerprint"], r["component_id"]) == (f"{prints[r['doc_id']]:016x}", None if component == 10**9 else component)
+
+
+def test_anchor_covering_loses_no_link(spark):
+    rng = random.Random(2)
+    values = {rng.getrandbits(64) for _ in range(150)}
+    for v in [*values][:60]:
+        for d in (1, 2, 3, 4):
+            values.add(v ^ sum(1 << b for b in rng.sample(range(64), d)))
+    signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
+    half = simhash.hamming(5)
+    nodes = spark.createDataFrame([(s, s) for s in signed], "node long, f0 long")
+    for block in (4096, 3):
+        links = simhash.anchored_links(nodes, 1, [(0, half, 1), (32, half, 1)], 3, block=block)
+        assert all((signed[r["a"]] ^ signed[r["b"]]).bit_count() <= 3 for r in links.collect())
+        got = {r["node"]: r["root"] for r in components(links).collect()}
+        want = closure([*signed], lambda a, b: (signed[a] ^ signed[b]).bit_count() <= 3)
+        assert {s: got.get(s, s) for s in signed} == want
+
+
+@pytest.mark.parametrize("code", [simhash.hamming(4), simhash.golay()])
+def test_codes_cover(code):
+    starts, patterns = code.within(code.radius)
+    assert (np.diff(starts) >= 1).all()
+    v = np.random.default_rng(0).integers(0, 2**code.n, 500).astype(np.uint64)
+    s = code.syndromes(v)
+    anchor = v ^ patterns[starts[s]]
+    assert (code.syndromes(anchor) == 0).all() and (np.bitwise_count(v ^ anchor) <= code.radius).all()
+
+
+def test_near_duplicate_groups_find_similar_texts(spark, sf):
+    own = docs(spark, sf)
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in own.items() if i is not None}
+    near = lambda a, b: (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1) >= 0.8
+    want = closure([*sets], near)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r["doc_id"] is not None}
+    assert got == want
+
+
+def test_quality_learns_a_rule_and_scores_all_texts(spark, tmp_path):
+    rng = random.Random(4)
+    rows, marks = [], []
+    for i in range(300):
+        good = i % 4 != 0
+        words = [("".join(rng.choice("abcdefg") for _ in range(5))) + ("" if good else "!!") for _ in range(40)]
+        rows.append((i, " ".join(words) if good else " ".join(words).upper()))
+        marks.append((i, int(good)))
+    rows += [(1000, None), (1001, ""), (None, "who")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = gam.op7_quality(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out)
+    for r in out:
+        assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0)
+    held = [(r["score"], dict(marks)[r["doc_id"]]) for r in out if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1000]
+    assert all((s >= 0.3) == (y == 1) for s, y in held)
+
+
+def test_gam_uses_a_pair():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = gam.fit(x, y)
+    assert (0, 1) in model.pairs
+    z = rng.uniform(-1, 1, (1000, 4))
+    assert ((model.score(z) > 0.5) == ((z[:, 0] > 0) ^ (z[:, 1] > 0))).mean() > 0.95
+
+
+def test_packing_holds_every_token_once(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = docs(spark, sf)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = packing.op8_packing(spark, sf).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    assert by_doc.keys() == own.keys()
+    for i, parts in by_doc.items():
+        ids = np.array([*tokenizer.encode(own[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(parts, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096
+
+
+def test_cut_covers_lengths():
+    for n in [*range(1, 300), 4095, 4096, 4097, 9000]:
+        parts = packing.cut(n, 4096, 64)
+        assert sum(x for x, _ in parts) == n and all(j * x <= 4096 for x, j in parts)
+
+
+def test_sentencepiece_round_trip_and_best_sum(spark, sf):
+    import public_tokenizers
+
+    own, path = docs(spark, sf), public_tokenizers.path("piece_bpe_32k.model")
+    for r in pieces.op9_sentencepiece(spark, sf).collect():
+        assert r["decoded_sha256"] == hashlib.sha256((own[r["doc_id"]] or "").encode()).hexdigest()
+    import sentencepiece
+
+    model, p = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    known = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    for text in ["alpha beta", "  two  spaces", "naïve 日本語x", "line\nend"]:
+        s = ("▁" + text).replace(" ", "▁")
+        best = [0.0] + [-1e18] * len(s)
+        for e in range(1, len(s) + 1):
+            best[e] = max([best[e - 1] + p.unknown] + [best[b] + known[s[b:e]] for b in range(max(0, e - 40), e) if s[b:e] in known])
+        spent, fallback = 0.0, b""
+        for i in p.encode(text).tolist():
+            if model.is_byte(i):
+                fallback += p.table[i]
+            else:
+                spent += known[model.id_to_piece(i)]
+        assert spent + p.unknown * len(fallback.decode()) == pytest.approx(best[-1])
+
+
+def test_token_counts_equal_greedy_matching(spark, sf):
+    import public_tokenizers
+
+    initial, inner = map(set, wordpiece.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+    def greedy(w):
+        n = at = 0
+        while at < len(w):
+            end = next((e for e in range(len(w), at, -1) if w[at:e] in (inner if at else initial)), None)
+            if end is None:
+                return 0
+            at, n = end, n + 1
+        return n
+
+    own = docs(spark, sf)
+    for r in wordpiece.op10_token_counts(spark, sf).collect():
+        counts = [greedy(w.decode()) for w in (own[r["doc_id"]] or "").encode().split()]
+        assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(counts), sum(counts) + counts.count(0), counts.count(0))
+
+
+def test_chat_round_trip(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    want = {-1: [("user", chat.CONTROL), ("assistant", chat.CONTROL)]}
+    for r in sorted(rows, key=lambda r: (r["turn"] is None, r["turn"] or 0, r["role"] or "", r["text"] or "")):
+        want.setdefault(r["conv_id"], []).append((r["role"] or "", r["text"] or ""))
+    got = chat.op4_chat_format(spark, sf).collect()
+    assert {r["conv_id"] for r in got} == want.keys()
+    for r in got:
+        turns = want[r["conv_id"]]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_chat_layouts(spark):
+    records = [
+        ("a", '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'), ("b", '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}'),
+        ("c", '{"instruction": "do", "input": "this", "output": "done"}'), ("d", '{"instruction": "do", "output": "done"}'), ("e", '{"prompt": "p", "completion": "c"}'), ("f", '{"response": "r", "prompt": "p"}'),
+        ("g", '{"unknown": 1}'), ("h", None), ("i", "not json"), ("j", '{"turn": 1, "role": "assistant", "text": "two"}'), ("j", '{"turn": 0, "role": "user", "text": "one"}'), ("k", '{"instruction": "do", "input": "", "output": null}'),
+    ]
+    got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(spark.createDataFrame(records, "id string, record string")).collect()}
+    qa = [("user", "q"), ("assistant", "a")]
+    assert got["a"][1] == qa and got["b"][1] == qa
+    assert got["c"][1] == [("user", "do"), ("user", "this"), ("assistant", "done")] and got["d"][1] == [("user", "do"), ("assistant", "done")]
+    assert got["e"][1] == [("user", "p"), ("assistant", "c")] and got["f"][1] == [("user", "p"), ("assistant", "r")]
+    assert got["g"] == (None, []) and got["h"] == (None, []) and got["i"] == (None, [])
+    assert got["j"][1] == [("user", "one"), ("assistant", "two")] and got["k"][1] == [("user", "do"), ("assistant", "")]
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 3), (41, 40), (200, 201)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 42)} | {100 + i: 100 for i in range(1, 30)} | {201: 200}
+
+
+def test_forest_and_sorted_groups():
+    import pandas as pd
+
+    assert forest(5, np.array([3, 1]), np.array([4, 3])).tolist() == [0, 1, 2, 1, 1]
+    parts = [pd.DataFrame({"k": [1, 1, 2]}), pd.DataFrame({"k": []}), pd.DataFrame({"k": [2, 2, 3]})]
+    assert [len(g) for g in sorted_groups(parts, ["k"])] == [2, 3, 1]
