@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +23,22 @@ BUCKETS = 48
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The array byte plane by byte plane, so that the codecs of tables and shuffles squeeze the empty high bytes."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    """The array byte plane by byte plane, compressed: the planes of high bytes are nearly empty."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def unplanes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def unplanes(packed: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ordered pair of word hashes."""
+    """A 56-bit hash of each ordered pair of word hashes, in the high bytes of 64 bits."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 class Types:
@@ -53,33 +55,48 @@ class Types:
         self.words, self.pairs, self.token, self.pair = hashes, own[order], tokens, rank[at]
 
 
-def _chunk(texts: list[list[bytes]], ids: list, roles: list[int]) -> tuple[dict, Types, np.ndarray]:
-    number: defaultdict = defaultdict()
-    number.default_factory = number.__len__
-    number[END]
-    each = [np.array([number[w] for w in words] + [0], dtype=np.int64) for words in texts]
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)
-    order = np.argsort(hashes)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    tokens, lengths = rank[np.concatenate(each)], np.array([len(x) for x in each])
-    types = Types(tokens, lengths, hashes[order], int(rank[0]))
-    payload = {
-        "ids": planes(np.array([i if i is not None else 0 for i in ids], np.int64)), "nulls": np.array([i is None for i in ids], np.uint8).tobytes(), "roles": np.array(roles, np.uint8).tobytes(),
-        "lengths": planes(lengths.astype(np.uint32)), "tokens": planes(tokens.astype(np.uint32)), "words": planes(np.diff(types.words, prepend=np.uint64(0))), "end": int(rank[0]),
-    }
-    return payload, types, np.repeat(np.array(roles), lengths)
+class Builder:
+    """Gathers documents as word numbers until a chunk is full."""
 
+    def __init__(self, mixing: bool):
+        self.mixing, self.tokens = mixing, 0
+        self.ids, self.roles, self.own = [], [], []
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[END]
 
-PAYLOAD = "ids binary, nulls binary, roles binary, lengths binary, tokens binary, words binary, end long"
-ROWS = f"chunk long, level int, slice long, hashes binary, counting binary, mixing binary, {PAYLOAD}"
+    def add(self, doc_id, text, role: int) -> None:
+        words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+        number = self.number
+        self.own.append(np.array([number[w] for w in words] + [0], dtype=np.uint32))
+        self.ids.append(doc_id)
+        self.roles.append(role)
+        self.tokens += len(words) + 1
 
+    def row(self) -> pd.DataFrame:
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.number], dtype=np.uint64)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return pd.DataFrame([{
+            "chunk": uuid.uuid4().int >> 65, "is_mixing": self.mixing, "ids": planes(np.array([0 if i is None else i for i in self.ids], np.int64)), "nulls": np.array([i is None for i in self.ids], np.uint8).tobytes(),
+            "roles": np.array(self.roles, np.uint8).tobytes(), "lengths": planes(np.array([len(x) for x in self.own], np.uint32)), "tokens": planes(rank[np.concatenate(self.own)]), "words": planes(np.diff(hashes[order], prepend=np.uint64(0))), "end": int(rank[0]),
+        }])
 
-def _ints(x) -> np.ndarray:
-    return np.array([None if v is None or pd.isna(v) else int(v) for v in x], dtype=object)
 
+def _types(row) -> tuple[Types, np.ndarray, np.ndarray]:
+    """(types, lengths, roles) of a chunk's row."""
+    lengths = unplanes(row["lengths"], np.uint32).astype(np.int64)
+    words = np.cumsum(unplanes(row["words"], np.uint64), dtype=np.uint64)
+    return Types(unplanes(row["tokens"], np.uint32).astype(np.int64), lengths, words, int(row["end"])), lengths, np.frombuffer(row["roles"], np.uint8)
 
-def score_documents(docs: DataFrame, chunk_tokens: int = 2_000_000, slice_bytes: int = 8_000_000, rounds: int = 15) -> DataFrame:
+
+PAYLOAD = "chunk long, is_mixing boolean, ids binary, nulls binary, roles binary, lengths binary, tokens binary, words binary, end long"
+ASKED = "chunk long, is_mixing boolean, level int, slice long, hashes binary, counting binary, mixing binary"
+TOLD = "chunk long, is_mixing boolean, level int, slice long, counting binary, counts binary, n long, n_counting long, v long, v_counting long"
+
+
+def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes: int = 8_000_000, rounds: int = 15) -> DataFrame:
     """log10 probability of each text under P(w|v) = l2 c(v w)/c(v) + l1 c(w)/N + l0/(V+1).
 
     docs: (doc_id long, text string, role int): HELD_OUT texts are only scored, COUNTING texts give
@@ -89,10 +106,11 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 2_000_000, slice_bytes:
     `[^\\x20\\x09-\\x0D]`, A-Z lower-cased, and one end for each document, which is also the first
     token's context.
 
-    Each task writes chunks of documents as word numbers, with the chunk's distinct words and word
-    pairs (64-bit hashes, combined before the shuffle, so a frequent word counts once a chunk). The
-    types are dealt out by ranges of their hash, summed over all chunks, and the totals go back to
-    the chunks that asked. Nothing is broadcast; the driver sees N, V and the weights.
+    Each task writes chunks of documents as word numbers, those that teach the weights apart. The
+    chunk's distinct words (64-bit hashes) and word pairs (56 bits), combined before the shuffle, so
+    that a frequent word counts once a chunk, are dealt out by ranges of their hash, summed over all
+    chunks, and the totals go back to the chunks that asked. Nothing is broadcast; the driver sees N,
+    V and the weights.
 
     A null or empty text is the end alone. A null doc_id stays null. Repeated rows are scored each
     and, if they teach, counted each. Without training texts every token has probability 1/(V+1) = 1.
@@ -104,75 +122,69 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 2_000_000, slice_bytes:
     bits = min(20, max(2, math.ceil(math.log2(1 + size / slice_bytes))))
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = [[], [], []]
-        n = 0
-
-        def flush() -> pd.DataFrame:
-            payload, types, role = _chunk(*held)
-            chunk = uuid.uuid4().int >> 65
-            rows = [{"chunk": chunk, "level": 0, "slice": -1} | payload]
-            for level, hashes, at in ((1, types.words, types.token), (2, types.pairs, types.pair)):
-                sums = [np.bincount(at[role == r], minlength=len(hashes)).astype(np.int64) for r in (COUNTING, MIXING)]
-                part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    rows.append({"chunk": chunk, "level": level, "slice": int(part[a]), "hashes": planes(np.diff(hashes[a:b], prepend=np.uint64(0))), "counting": planes(sums[0][a:b]), "mixing": planes(sums[1][a:b])})
-            return pd.DataFrame(rows).reindex(columns=[c.split()[0] for c in ROWS.split(", ")])
-
+        building = {m: Builder(m) for m in (False, True)}
         for batch in batches:
-            for i, text, role in zip(_ints(batch["doc_id"]), batch["text"], batch["role"], strict=True):
-                words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-                for x, v in zip(held, (words, i, int(role)), strict=True):
-                    x.append(v)
-                n += len(words) + 1
-                if n >= chunk_tokens:
-                    yield flush()
-                    held, n = [[], [], []], 0
-        if held[0]:
-            yield flush()
-
-    table = keep(docs.mapInPandas(read, ROWS), "lm-chunks")
-    asked = table.where("level > 0").select("chunk", "level", "slice", "hashes", "counting", "mixing")
-    payloads = table.where("level = 0").select("chunk", *[c.split()[0] for c in PAYLOAD.split(", ")])
-    chunks = payloads.count()
+            for i, text, role in zip(batch["doc_id"], batch["text"], batch["role"], strict=True):
+                own = building[role == MIXING]
+                own.add(None if pd.isna(i) else int(i), text, int(role))
+                if own.tokens >= chunk_tokens:
+                    yield own.row()
+                    building[role == MIXING] = Builder(own.mixing)
+        for own in building.values():
+            if own.ids:
+                yield own.row()
+
+    table = keep(docs.mapInPandas(read, PAYLOAD), "lm-chunks")
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    chunks = {r["is_mixing"]: r["count"] for r in table.groupBy("is_mixing").count().collect()}
     if not chunks:
         return empty(spark, out_schema)
 
+    def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                types, lengths, roles = _types(row)
+                role, rows = np.repeat(roles, lengths), []
+                for level, hashes, at in ((1, types.words, types.token), (2, types.pairs, types.pair)):
+                    sums = [np.bincount(at[role == r], minlength=len(hashes)).astype(np.int64) for r in (COUNTING, MIXING)]
+                    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+                    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+                    low = np.uint64(8 * (level == 2))
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        rows.append((row["chunk"], row["is_mixing"], level, int(part[a]), planes(np.diff(hashes[a:b] >> low, prepend=np.uint64(0))), planes(sums[0][a:b]), planes(sums[1][a:b])))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ASKED.split(", ")])
+
     def totals(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in group["hashes"]]
-        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = {c: np.bincount(at, weights=np.concatenate([unplanes(x, np.int64) for x in group[c]])).astype(np.int64) for c in ("counting", "mixing")}
         cuts, rows = np.cumsum([0, *map(len, hashes)]), []
-        both = sums["counting"] + sums["mixing"]
-        for n, (chunk, level, part) in enumerate(zip(group["chunk"], group["level"], group["slice"], strict=True)):
+        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        counting, mixing = (np.bincount(at, weights=np.concatenate([unplanes(x, np.int64) for x in group[c]])).astype(np.int64) for c in ("counting", "mixing"))
+        both = counting + mixing
+        for n, (chunk, mixed, level, part) in enumerate(zip(group["chunk"], group["is_mixing"], group["level"], group["slice"], strict=True)):
             own = at[cuts[n] : cuts[n + 1]]
-            rows.append((chunk, level, part, planes(sums["counting"][own]), planes(sums["mixing"][own]), both.sum() if n == 0 else 0, sums["counting"].sum() if n == 0 else 0, (both > 0).sum() if n == 0 else 0, (sums["counting"] > 0).sum() if n == 0 else 0))
-        return pd.DataFrame(rows, columns=["chunk", "level", "slice", "counting", "mixing", "n", "n_counting", "v", "v_counting"])
+            sums = (both.sum(), counting.sum(), (both > 0).sum(), (counting > 0).sum()) if n == 0 else (0, 0, 0, 0)
+            rows.append((chunk, mixed, level, part, planes(counting[own]) if mixed else None, planes(both[own]), *sums))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in TOLD.split(", ")])
 
-    told = keep(by_sorted_group(asked, ["level", "slice"], totals, "chunk long, level int, slice long, counting binary, mixing binary, n long, n_counting long, v long, v_counting long", 2 ** (bits + 1)), "lm-totals")
+    told = keep(by_sorted_group(table.mapInPandas(ask, ASKED), ["level", "slice"], totals, TOLD, 2 ** (bits + 1)), "lm-totals")
     n_all, n_counting, v_all, v_counting = (int(x or 0) for x in told.where("level = 1").agg(*[F.sum(c) for c in ("n", "n_counting", "v", "v_counting")]).first())
-    answers = told.select("chunk", "level", "slice", "counting", "mixing")
-    together = payloads.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("slice", "long"), ("counting", "binary"), ("mixing", "binary"))]).unionByName(answers, allowMissingColumns=True)
+    together = table.unionByName(told.select("chunk", "is_mixing", "level", "slice", "counting", "counts"), allowMissingColumns=True)
 
-    def opened(group: pd.DataFrame):
+    def opened(group: pd.DataFrame, column: str):
         own = group[group["tokens"].notna()].iloc[0]
         rest = group[group["tokens"].isna()].sort_values(["level", "slice"])
-        counts = {(level, c): np.concatenate([unplanes(x, np.int64) for x in rest.loc[rest["level"] == level, c]]) for level in (1, 2) for c in ("counting", "mixing")}
-        tokens, lengths = unplanes(own["tokens"], np.uint32).astype(np.int64), unplanes(own["lengths"], np.uint32).astype(np.int64)
-        types = Types(tokens, lengths, np.cumsum(unplanes(own["words"], np.uint64), dtype=np.uint64), int(own["end"]))
-        return own, types, lengths, np.frombuffer(own["roles"], np.uint8), counts
+        one, two = (np.concatenate([unplanes(x, np.int64) for x in rest.loc[rest["level"] == level, column]]) for level in (1, 2))
+        return own, *_types(own), one, two
 
     def events(group: pd.DataFrame) -> pd.DataFrame:
-        _, types, lengths, roles, counts = opened(group)
-        use = np.repeat(roles == MIXING, lengths)
-        rows = np.stack([counts[2, "counting"][types.pair[use]], counts[1, "counting"][types.before[use]], counts[1, "counting"][types.token[use]]], axis=1)
+        _, types, _, _, one, two = opened(group, "counting")
+        rows = np.stack([two[types.pair], one[types.before], one[types.token]], axis=1)
         return pd.DataFrame(rows, columns=["both", "context", "word"]).value_counts().reset_index(name="n")
 
     weights = np.tile([0.4, 0.59, 0.01], (BUCKETS, 1))
     weights[0] = [0, 0.99, 0.01]
-    if n_counting:
-        seen = by_sorted_group(together, ["chunk"], events, "both long, context long, word long, n long", chunks).groupBy("both", "context", "word").agg(F.sum("n").alias("n"))
+    if n_counting and chunks.get(True):
+        seen = by_sorted_group(together.where("is_mixing"), ["chunk"], events, "both long, context long, word long, n long", chunks[True]).groupBy("both", "context", "word").agg(F.sum("n").alias("n"))
         bucket = F.when(F.col("context") > 0, F.least(F.lit(BUCKETS - 1), F.floor(F.log2("context")).cast("int") + 1)).otherwise(0)
         seen = keep(seen.select("n", bucket.alias("b"), F.coalesce(F.try_divide("both", "context"), F.lit(0.0)).alias("f2"), (F.col("word") / n_counting).alias("f1")), "lm-events")
         f0 = 1 / (v_counting + 1)
@@ -184,8 +196,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 2_000_000, slice_bytes:
                 weights[row["b"]] = new / new.sum()
 
     def scored(group: pd.DataFrame) -> pd.DataFrame:
-        own, types, lengths, roles, counts = opened(group)
-        one, two = counts[1, "counting"] + counts[1, "mixing"], counts[2, "counting"] + counts[2, "mixing"]
+        own, types, lengths, roles, one, two = opened(group, "counts")
         word, context, both = one[types.token], one[types.before], two[types.pair]
         if n_all:
             w = weights[np.where(context > 0, np.minimum(BUCKETS - 1, np.frexp(context.astype(np.float64))[1]), 0)]
@@ -198,7 +209,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 2_000_000, slice_bytes:
         ids[np.frombuffer(own["nulls"], np.uint8) == 1] = pd.NA
         return pd.DataFrame({"doc_id": ids, "held_out": roles == HELD_OUT, "n_tokens": lengths, "n_known": total((word > 0).astype(np.int64)), "train_tokens": n_all, "base_score": total(np.log10((word + 0.1) / (n_all + 0.1 * (v_all + 1)))), "score": total(np.log10(p))})
 
-    return by_sorted_group(together, ["chunk"], scored, out_schema, chunks)
+    return by_sorted_group(together.drop("counting"), ["chunk"], scored, out_schema, sum(chunks.values()))
 
 
 def op1_lm_scores(spark, sf_dir: str) -> DataFrame:
