@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,33 +15,62 @@ from pyspark.sql import Window
 from barlab.llm.shared import keep, ship
 
 
+#: A run of marks that ends a word after a plain letter or digit: the tokenizer's own words end there too.
+ENDING = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?![^\x20\x09-\x0D])")
+_LOADED: dict[str, WordTokens] = {}
+
+
+class Numbers(dict):
+    """Numbers in the order of first use; what is new is also listed."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordTokens:
-    """Ids of whole texts, by the ids of their words: the tokenizer drops white space and never joins words across it."""
+    """Ids of whole texts, by the ids of their words: the tokenizer lower-cases, drops white space, and never joins
+    words across it, nor a letter to the marks after it. A worker keeps what it knows from task to task."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        if path not in _LOADED:
+            _LOADED[path] = cls(path)
+        return _LOADED[path]
+
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass")
+        # special tokens are told by their exact letters, so texts that may hold one stay as they are
+        return raw.split() if b"<|" in raw else ENDING.sub(rb" \1", raw.lower()).split()
+
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """One array a text, with end_id after its last token."""
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.number) > self.most:
             self.clear()
-        fresh = [*dict.fromkeys(w for own in words for w in own if w not in self.number)]
+        number = self.number
+        all_at = [np.array([number[w] for w in self.words(t)], np.int64) for t in texts]
+        fresh, number.fresh = number.fresh, []
         if fresh:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
             self.flat = np.concatenate([self.flat, np.array([i for own in ids for i in own], np.uint32)])
             self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(own) for own in ids])]
-        out, number = [], self.number
-        for own in words:
-            at = np.array([number[w] for w in own], np.int64)
+        out = []
+        for at in all_at:
             count = self.starts[at + 1] - self.starts[at]
             place = np.repeat(self.starts[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             out.append(np.append(self.flat[place], np.uint32(end_id)))
@@ -64,7 +94,7 @@ def cut(length: int, capacity: int, smallest: int) -> list[tuple[int, int]]:
 PIECES = "doc_id long, start long, length long, doc_tokens long, class int, worker int, nth long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int = 64, end_id: int = 2, batch_bytes: int = 8_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int = 64, end_id: int = 2, batch_bytes: int = 1_000_000) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): the pieces of all documents, packed.
 
     docs: (doc_id long, text string). ids: the piece's token ids, 32 bits each, little-endian. A
@@ -79,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int =
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokens(tokenizer)
+        words = WordTokens.of(tokenizer)
         worker, counts = TaskContext.get().partitionId(), {}
 
         def pieces(ids: list, texts: list[str]) -> pd.DataFrame:
