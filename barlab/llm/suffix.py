@@ -119,7 +119,12 @@ def anchors(buffer: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     doc, at = doc[start], at[start]
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[first[1:], len(start)] - 1
-    return doc[first], start[first], start[last], h[at[first]] >> np.uint64(16)
+    own = h[at[first]]
+    with np.errstate(over="ignore"):
+        # anchors are the least hashes near them; mixed again they are spread evenly
+        own = (own ^ (own >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return doc[first], start[first], start[last], own >> np.uint64(16)
 
 
 class Chunk:
@@ -158,7 +163,7 @@ class Chunk:
         return np.cumsum(change)[: len(self.buffer)] > 0
 
 
-def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 6_000_000, slice_bytes: int = 8_000_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 2_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
     """Per row of docs (doc_id long, text string, rest string): n_bytes, the removed spans, the kept bytes, and rest.
 
     Removed is each byte covered by a string of length bytes (25 to 78) that also starts in a document
