@@ -118,3 +118,77 @@ def absorb_short_runs(runs: DataFrame, least: int = 30) -> DataFrame:
 def best_shifts(scan: DataFrame, k: int = 10) -> DataFrame:
     """The k shifts of most matches, the smaller shift first at a tie."""
     return scan.orderBy(F.desc("matches"), F.abs("shift"), "shift").limit(k)
+
+
+def verdict(readings: DataFrame, decisive: DataFrame, least: int = 200) -> DataFrame:
+    """The reading of a bar's label that the feed follows, where at least so many hours tell the readings apart and exactly one reading matches them all."""
+    whole = readings.where("matches = tested - empty and tested > empty").agg(F.count("*").alias("exact"), F.first("reading").alias("reading"))
+    n = decisive.agg(F.count("*").alias("decisive"))
+    both = whole.join(F.broadcast(n))  # one row each
+    return both.select("decisive", "exact", F.when((F.col("decisive") >= least) & (F.col("exact") == 1), F.col("reading")).otherwise("undecided").alias("verdict"))
+
+
+def decisive_hours(minutes: DataFrame) -> DataFrame:
+    """(symbol, time) of hours in which the left and the right reading give different prices."""
+    left = roll_up(minutes, 3600)
+    right = roll_up(minutes.withColumn("at", F.col("time")).withColumn("time", F.col("time") - 60), 3600, order=("at",)).withColumn("time", F.col("time") + 3600)
+    r = right.select("symbol", "time", *[F.col(c).alias(f"r_{c}") for c in FIELDS])
+    differs = F.lit(False)
+    for c in FIELDS:
+        differs = differs | (F.col(c) != F.col(f"r_{c}"))
+    return left.join(r, ["symbol", "time"]).where(differs).select("symbol", "time")
+
+
+def first_mismatches(hours: DataFrame, minutes: DataFrame, n: int = 10) -> DataFrame:
+    """The n earliest hours of each symbol whose prices are not those of their minutes."""
+    m = roll_up(minutes, 3600).select("symbol", "time", *[F.col(c).alias(f"m_{c}") for c in FIELDS])
+    same = F.lit(True)
+    for c in FIELDS:
+        same = same & (F.col(c) == F.col(f"m_{c}"))
+    bad = hours.join(m, ["symbol", "time"]).where(~same)
+    return bad.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy("time"))).where(F.col("r") <= n).select("symbol", "time", "r")
+
+
+def stride_sample(rows: DataFrame, most: int, order: str = "bar_seq") -> DataFrame:
+    """At most so many rows of each symbol, evenly spaced by their dense number."""
+    size = rows.groupBy("symbol").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / most).cast("long")).alias("stride"))
+    return rows.join(F.broadcast(size), "symbol").where(F.col(order) % F.col("stride") == 0).drop("stride")
+
+
+def dst_fingerprint(anchors: DataFrame, least: int = 8, purity: float = 0.8) -> DataFrame:
+    """anchors (symbol, bucket, hour on the server's clock) of an event that New York fixes: the rule that the clock follows by the modal hours
+    of the joint daylight-saving buckets. US: one hour throughout; EU: another only while the calendars disagree; FIXED: another in the whole US summer."""
+    modes = modal_with_purity(anchors.groupBy("symbol", "bucket", "hour").agg(F.count("*").alias("n")), ["symbol", "bucket"], "hour")
+    n = anchors.groupBy("symbol", "bucket").agg(F.count("*").alias("n"))
+    at = lambda b, c: F.max(F.when(F.col("bucket") == b, F.col(c)))
+    g = modes.join(n, ["symbol", "bucket"]).groupBy("symbol").agg(at("us-summer/eu-summer", "modal").alias("both"), at("us-winter/eu-winter", "modal").alias("none"), at("us-summer/eu-winter", "modal").alias("apart"), at("us-summer/eu-winter", "n").alias("rows"), F.min("purity").alias("purity"))
+    told = F.col("both").isNotNull() & F.col("none").isNotNull() & (F.col("rows") >= least) & (F.col("purity") >= purity)
+    level = F.col("both") == F.col("none")
+    rule = F.when(level & (F.col("apart") == F.col("none")), "US").when(level, "EU").when(F.col("apart") == F.col("both"), "FIXED").otherwise("UNDETERMINED")
+    return g.select("symbol", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.when(told, rule).otherwise("UNDETERMINED").alias("rule"))
+
+
+def hours_by_year(anchors: DataFrame) -> DataFrame:
+    """anchors (symbol, year, hour): the modal hour of each year with purity, and whether it stepped from the year before."""
+    modes = modal_with_purity(anchors.groupBy("symbol", "year", "hour").agg(F.count("*").alias("n")), ["symbol", "year"], "hour")
+    return modes.withColumn("stepped", F.coalesce(F.col("modal") != F.lag("modal").over(Window.partitionBy("symbol").orderBy("year")), F.lit(False)))
+
+
+def holiday_match(days: DataFrame, near: DataFrame, confirm: float = 0.9) -> DataFrame:
+    """days (symbol, day): how many are on or beside a holiday, and whether that confirms the calendar."""
+    j = days.join(F.broadcast(near), "day", "left")
+    g = j.groupBy("symbol").agg(F.count("*").alias("days"), F.count("holiday").alias("matched"))
+    return g.withColumn("share", F.col("matched") / F.col("days")).withColumn("confirmed", F.col("share") >= confirm)
+
+
+def history(bars: DataFrame, horizon: int = 24, folds: int = 5, least: int = 150) -> DataFrame:
+    """Per symbol: bars, decisions they allow, span in days, and whether each fold gets enough of them."""
+    n = F.floor(F.count("*") / horizon).cast("long")
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), n.alias("decisions"), F.floor((F.max("time") - F.min("time")) / 86400).cast("long").alias("span_days")).withColumn("enough", F.floor(F.col("decisions") / (2 * folds)) >= least)
+
+
+def boundaries_agree(declared: DataFrame, measured: DataFrame, days: int = 3) -> DataFrame:
+    """Whether two lists of days (symbol, day) have as many entries, pairwise in order at most so many days apart."""
+    rank = lambda df, c: df.select("symbol", F.row_number().over(Window.partitionBy("symbol").orderBy("day")).alias("r"), F.col("day").alias(c))
+    j = rank(declared, "a").join(rank(measured, "b"), ["symbol", "r"], "full")
+    return j.groupBy("symbol").agg(F.bool_and(F.coalesce(F.abs(F.col("a") - F.col("b")) <= days, F.lit(False))).alias("agree"), F.count("*").alias("pairs"))
