@@ -18,7 +18,8 @@ from barlab.llm.shared import by_sorted_group, empty, keep, ship
 
 #: Bytes of an anchor: every string that is looked for holds the anchor of least hash in it.
 ANCHOR = 16
-SHALLOW = 16
+#: Bytes that the shallow sort looks at: eight at once, then five at a time beside the group's number.
+SHALLOW = 13
 LAST = np.iinfo(np.int64).max
 OUT = "doc_id long, n_bytes long, removed array<struct<start:long,length:long>>, kept binary, rest string"
 
@@ -37,17 +38,22 @@ def equal_before(x: np.ndarray) -> np.ndarray:
     return sum((x < np.uint64(1 << (8 * j))).astype(np.int64) for j in range(1, 8))
 
 
-def refined(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first-of-group flags) of rows sorted by group, then key."""
-    order = np.lexsort((key, group))
-    g, k = group[order], key[order]
+def refined(group: np.ndarray, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first-of-group flags) of rows sorted by group, then by a key of so many bits; rows come in the order of their groups."""
+    dense = np.cumsum(np.r_[False, group[1:] != group[:-1]]).astype(np.uint64)
+    if int(dense[-1]) >> (64 - bits):
+        order = np.lexsort((key, dense))
+    else:
+        # one sort of group and key together
+        order = np.argsort((dense << np.uint64(bits) if bits < 64 else np.uint64(0)) | key.astype(np.uint64))
+    g, k = dense[order], key[order]
     return order, np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]
 
 
 def deep_shallow(buffer: bytes, suffixes: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in the order of their first length bytes, the number of each one's group of equals).
 
-    Shallow: multikey quicksort splits the groups eight bytes at a time down to the shallow depth.
+    Shallow: multikey quicksort splits the groups several bytes at a time down to the shallow depth.
     Deep: each remaining group of long common prefixes is put in a blind trie, all groups at once and
     level by level: a node skips to the first byte in which any member leaves the node's first member
     and branches on that byte only."""
@@ -57,20 +63,22 @@ def deep_shallow(buffer: bytes, suffixes: np.ndarray, length: int, shallow: int
     group = np.zeros(len(order), np.int64)
     if not len(order):
         return order, group
-    shallow = min(shallow, length) // 8 * 8
     open_ = np.arange(len(order))
 
-    def split(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
-        moved, first = refined(group[rows], key)
+    def split(rows: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+        moved, first = refined(group[rows], key, bits)
         order[rows] = order[rows[moved]]
         starts = np.flatnonzero(first)
         group[rows] = np.repeat(rows[starts], np.diff(np.r_[starts, len(rows)]))
         size = np.diff(np.r_[starts, len(rows)])
         return rows[np.repeat(size > 1, size)]
 
-    for depth in range(0, shallow, 8):
+    depth, shallow = 0, min(shallow, length)
+    while depth + (step := 8 if depth == 0 else 5) <= shallow:
         if len(open_):
-            open_ = split(open_, word[order[open_] + depth])
+            open_ = split(open_, word[order[open_] + depth] >> np.uint64(64 - 8 * step), 8 * step)
+        depth += step
+    shallow = depth
     while len(open_):
         starts = np.flatnonzero(np.r_[True, np.diff(group[open_]) != 0])
         node = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(open_)]))
@@ -86,7 +94,7 @@ def deep_shallow(buffer: bytes, suffixes: np.ndarray, length: int, shallow: int
         live = skip[node] < length
         open_ = open_[live]
         if len(open_):
-            open_ = split(open_, raw[order[open_] + skip[node][live]])
+            open_ = split(open_, raw[order[open_] + skip[node][live]], 8)
     return order, group
 
 
@@ -163,7 +171,7 @@ class Chunk:
         return np.cumsum(change)[: len(self.buffer)] > 0
 
 
-def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 2_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 3_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
     """Per row of docs (doc_id long, text string, rest string): n_bytes, the removed spans, the kept bytes, and rest.
 
     Removed is each byte covered by a string of length bytes (25 to 78) that also starts in a document
