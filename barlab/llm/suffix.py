@@ -197,7 +197,8 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, ids, rests, n = [], [], [], 0
-        squeeze = zstandard.ZstdCompressor(level=3)
+        # written once and shuffled twice, so worth the effort of a higher level
+        squeeze = zstandard.ZstdCompressor(level=5)
 
         def flush() -> pd.DataFrame:
             own = Chunk(texts, np.array([LAST if i is None else i for i in ids], np.int64), length)
