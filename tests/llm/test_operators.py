@@ -235,6 +235,48 @@ def test_near_duplicate_groups_find_similar_texts(spark, sf):
     assert got == want
 
 
+def test_near_duplicate_groups_check_what_failed_links_leave(spark):
+    """Pairs around the bound: each candidate that met at an anchor and reaches it connects, whatever became of closer candidates."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(90)]
+    own = {}
+    for i in range(400):
+        t = base.copy()
+        t[5 + 8 * rng.randrange(10) + rng.randrange(3)] = f"x{i}"
+        if i % 4 == 0:
+            t[rng.randrange(90)] = f"y{i}"
+        own[i] = " ".join(t)
+    hashes = {i: np.unique(simhash.shingle_hashes(t, 5)) for i, t in own.items()}
+    sets = {i: set(h.tolist()) for i, h in hashes.items()}
+    prints = np.array([simhash.fingerprint(h, 4) for h in hashes.values()])
+    code, met = simhash.golay(), np.zeros((len(own), len(own)), bool)
+    (homes, home), (starts, patterns) = code.within(code.radius), code.within(code.radius + 1)
+    whole = [sum(int(x) << 64 * k for k, x in enumerate(p)) for p in prints]
+    for r in range(11):
+        v = np.array([(x >> 23 * r) & (2**23 - 1) for x in whole], np.uint64)
+        s = code.syndromes(v)
+        at = v ^ home[homes[s]]
+        for i in range(len(v)):
+            met[i] |= np.isin(at, v[i] ^ patterns[starts[s[i]] : starts[s[i] + 1]])
+    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    met = (met | met.T) & (bits <= 54)
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = closure([*own], lambda a, b: bits[a, b] == 0 or (met[a, b] and likeness(a, b) >= 0.8))
+    table = spark.createDataFrame([*own.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(table).collect()}
+    assert len({*want.values()}) > 2 and got == want
+
+
+def test_near_duplicate_groups_look_behind_closer_pairs_that_fail(spark):
+    """0 and 1 have 77 of 95 shingles in common, 2 has 76 of 96 with either and is closer to both by fingerprint: 0 and 1 are a group all the same."""
+    rows = []
+    for n, (case, place) in enumerate({c: random.Random(c).randrange(45, 80) for c in (408, 1015, 1066, 1732, 1891, 2056)}.items()):
+        for i, p in enumerate((20, 24, place)):
+            rows.append((3 * n + i, " ".join(f"s{case}x{i}" if k == p else f"s{case}w{k}" for k in range(90))))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - (i % 3 == 1) for i in range(len(rows))}
+
+
 def test_quality_learns_a_rule_and_scores_all_texts(spark, tmp_path):
     rng = random.Random(4)
     rows, marks = [], []
