@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +78,42 @@ def modal_anomalies(days: DataFrame) -> DataFrame:
     return mid.join(F.broadcast(modal.select("symbol", "modal")), "symbol").where(F.abs(F.col("bars") - F.col("modal")) == 1).select("symbol", "day", "bars", "modal")
 
 
+def meet(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key is a key like any other."""
+    other = right.select(*[F.col(c).alias(f"{c}__") for c in by], *[c for c in right.columns if c not in by])
+    return left.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by]), how).drop(*[f"{c}__" for c in by])
+
+
+def at_ranks(counts: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], ranges: int = 256) -> DataFrame:
+    """counts (by, value, n), value not null: per group the element of each rank (from 0, worked out from the group's size) of its sorted rows.
+
+    Ranges of about as many distinct values each are totalled first; only the range that holds a rank is looked through, so no task holds a group."""
+    bounds = counts.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("bounds"))
+    dealt = meet(counts.select(*by, value, "n"), bounds, by).select(*by, value, "n", F.size(F.filter("bounds", lambda x: x < F.col(value))).alias("range"))
+    group = Window.partitionBy(*by)
+    totals = dealt.groupBy(*by, "range").agg(F.sum("n").alias("own")).withColumns({"upto": F.sum("own").over(group.orderBy("range")), "size": F.sum("own").over(group)})
+    asked = totals.select(*by, "range", (F.col("upto") - F.col("own")).alias("below"), "upto", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), f(F.col("size")).cast("long").alias("rank")) for k, f in ranks.items()])).alias("x")).select(*by, "range", "below", "upto", "x.*").where("rank >= below and rank < upto").drop("upto")
+    near = meet(dealt, asked, [*by, "range"])
+    found = near.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*by, "range", "what").orderBy(value))).where("rank < upto")
+    return found.groupBy(*by).agg(*[F.min(F.when(F.col("what") == k, F.col(value))).alias(k) for k in ranks])
+
+
 def spread_profile(quotes: DataFrame) -> DataFrame:
     """quotes (symbol, day, spread): per symbol and day the usable share (spread over 0), the upper median and the p95 at int(.95 n)."""
-    usable = F.sort_array(F.collect_list(F.when(F.col("spread") > 0, F.col("spread"))))
-    out = quotes.groupBy("symbol", "day").agg(F.count("*").alias("quotes"), F.count_if(F.col("spread") > 0).alias("usable"), usable.alias("s"))
-    at = lambda p: F.try_element_at("s", F.floor(F.size("s") * p).cast("int") + 1)
-    return out.select("symbol", "day", "quotes", (F.col("usable") / F.col("quotes")).alias("share"), upper_median(F.col("s")).alias("median"), at(0.95).alias("p95"))
+    by, usable = ["symbol", "day"], F.col("spread") > 0
+    counts = quotes.groupBy(*by, "spread").agg(F.count("*").alias("n"))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("quotes"), F.coalesce(F.sum(F.when(usable, F.col("n"))), F.lit(0)).alias("usable"))
+    found = at_ranks(counts.where(usable), by, "spread", {"median": lambda n: F.floor(n / 2), "p95": lambda n: F.floor(n * 0.95)})
+    return meet(whole, found, by, "left").select(*by, "quotes", (F.col("usable") / F.col("quotes")).alias("share"), "median", "p95")
 
 
 def coverage(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group: rows, those that record a value (not zero), their share, least, upper median and most."""
-    seen = F.when(F.col(value) != 0, F.col(value))
-    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count(seen).alias("recorded"), F.min(seen).alias("least"), upper_median(F.collect_list(seen)).alias("median"), F.max(seen).alias("most")).withColumn("share", F.col("recorded") / F.col("rows"))
+    seen = F.col(value) != 0
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("recorded"), F.min(F.when(seen, F.col(value))).alias("least"), F.max(F.when(seen, F.col(value))).alias("most"))
+    found = at_ranks(counts.where(seen), by, value, {"median": lambda n: F.floor(n / 2)})
+    return meet(whole, found, by, "left").select(*by, "rows", "recorded", "least", "median", "most", (F.col("recorded") / F.col("rows")).alias("share"))
 
 
 def session_runs(days: DataFrame) -> DataFrame:

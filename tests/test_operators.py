@@ -249,3 +249,20 @@ def test_openings_stream(spark, tmp_path):
     spark.createDataFrame([(1, 0, 100), (1, 60, 160), (2, 0, 5)], schema).write.parquet(str(tmp_path / "r"))
     jobs.openings_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "r"))).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["ticket"], r["read_at"], r["first_seen"], r["moved"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, 0, 100, False), (1, 60, 100, True), (2, 0, 5, False)]
+
+
+def test_coverage_and_spreads_hold_no_group_in_one_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", 1, float(x)) for x in np.round(rng.exponential(50, 3000), 1) * (rng.random(3000) > 0.2)] + [("b", 1, x) for x in (3.0, 1.0, 1.0, None, -2.0)] + [("c", 2, 0.0), (None, 2, 7.0)]
+    table = spark.createDataFrame(rows, "symbol string, day int, spread double")
+    cover, spread = pr.coverage(table, ["symbol", "day"], "spread"), pr.spread_profile(table)
+    for df in (cover, spread):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+    got, got_spread = ({r["symbol"]: r for r in df.collect()} for df in (cover, spread))
+    assert len(got) == len(got_spread) == 4
+    for s in ("a", "b", "c", None):
+        own = [x for k, _, x in rows if k == s]
+        seen, over = sorted(x for x in own if x), sorted(x for x in own if x and x > 0)
+        at = lambda v, i: v[i] if v else None
+        assert tuple(got[s][c] for c in ("rows", "recorded", "least", "median", "most", "share")) == (len(own), len(seen), at(seen, 0), at(seen, len(seen) // 2), at(seen, -1), len(seen) / len(own))
+        assert tuple(got_spread[s][c] for c in ("quotes", "share", "median", "p95")) == (len(own), len(over) / len(own), at(over, len(over) // 2), at(over, int(len(over) * 0.95)))
