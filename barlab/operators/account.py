@@ -35,8 +35,8 @@ def size_positions(rows: DataFrame, risk_pct: float = 1.0, stop_multiple: float
     capped = F.when((F.col("volume_max") > 0) & (wanted > F.col("volume_max")), F.col("volume_max")).otherwise(wanted)
     lots = F.round(F.floor(capped / F.col("volume_step") + 1e-9) * F.col("volume_step"), 8)
     code = (
-        F.when(F.coalesce(F.col("atr_points") <= 0, F.lit(True)), "NO_VOLATILITY").when(pv.isNull(), "NO_POINT_VALUE").when(F.col("volume_step") <= 0, "NO_VOLUME_STEP").when(F.col("spread_points") < 0, "NO_POINT_VALUE")
-        .when(lots < F.col("volume_min"), "BELOW_MINIMUM_VOLUME")
+        F.when(F.coalesce(F.col("atr_points") <= 0, F.lit(True)), "NO_VOLATILITY").when(F.col("point").isNull(), "SYMBOL_TERMS_MISSING").when(pv.isNull(), "NO_POINT_VALUE").when(F.col("volume_step") <= 0, "NO_VOLUME_STEP").when(F.col("spread_points") < 0, "NO_POINT_VALUE")
+        .when(F.col("equity").isNull(), "NO_EQUITY").when(lots < F.col("volume_min"), "BELOW_MINIMUM_VOLUME")
     )
     stop = stop_multiple * F.col("atr_points") * F.col("point")
     ok = lambda c: F.when(F.col("refusal").isNull(), c)

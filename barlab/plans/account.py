@@ -48,7 +48,17 @@ def _deals(spark, d):
 
 
 def position_sizes(spark, d):
-    rows = _positions(spark, d).join(_accounts(spark, d).select("account", "equity"), "account").join(F.broadcast(_terms(spark)), "symbol")
+    """Positions that have an account and terms, as the SQL has it; position_sizes_all keeps the others too."""
+    return _sizes(spark, d, "inner")
+
+
+def position_sizes_all(spark, d):
+    """Every open position: one without account or terms has a refusal."""
+    return _sizes(spark, d, "left")
+
+
+def _sizes(spark, d, how):
+    rows = _positions(spark, d).join(_accounts(spark, d).select("account", "equity"), "account", how).join(F.broadcast(_terms(spark)), "symbol", how)
     rows = rows.withColumn("atr_points", (F.col("ticket") % 50) * 10.0).withColumn("price", F.col("price_open"))
     return _rounded(ac.size_positions(rows).select("ticket", "lots", "adverse_points", "stop_long", "stop_short", "refusal"))
 
@@ -140,7 +150,7 @@ def charge_structure(spark, d):
     return _rounded(ac.charge_structure(ac.nightly_charges(_log(spark, d))), 7)
 
 
-QUERIES = {f.__name__: f for f in (position_sizes, position_carry, carry_projection, portfolio_carry, measured_points, swap_divergence, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, heartbeat, clock_offsets, nightly_charges, charge_structure)}
+QUERIES = {f.__name__: f for f in (position_sizes, position_sizes_all, position_carry, carry_projection, portfolio_carry, measured_points, swap_divergence, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, heartbeat, clock_offsets, nightly_charges, charge_structure)}
 _lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
 _PV = "CASE WHEN point > 0 AND tick_size > 0 AND tick_value > 0 THEN tick_value * point / tick_size END"
 _W = "CAST(floor(epoch({0})) AS BIGINT)"
@@ -200,3 +210,8 @@ SELECT ticket, CASE WHEN refusal IS NULL THEN {_d('lots', 6)} END AS lots, CASE
     "nightly_charges": f"WITH {LOG} SELECT ticket, tick AS \"at\", {_d('charge', 6)} AS charge, {_d('unit', 6)} AS unit, {_d('multiplier', 6)} AS multiplier, weekday, {_d('price', 6)} AS price FROM charges",
     "charge_structure": f"WITH {LOG}, s AS (SELECT *, charge / multiplier AS per, sign(price - lag(price) OVER w) AS step FROM charges WINDOW w AS (PARTITION BY ticket ORDER BY tick)), t AS (SELECT *, CASE WHEN step * lag(step) OVER (PARTITION BY ticket ORDER BY tick) < 0 THEN 1 WHEN step * lag(step) OVER (PARTITION BY ticket ORDER BY tick) IS NULL THEN NULL ELSE 0 END AS turn FROM s), g AS (SELECT ticket, count(*) AS nights, max(price) - min(price) AS range, avg(price) AS mean_price, CAST(sum(turn) AS BIGINT) AS reversals, avg(abs(per)) AS unit, stddev_samp(per) / abs(avg(per)) AS cv_charge, stddev_samp(per / price) / abs(avg(per / price)) AS cv_rate FROM t GROUP BY ticket) SELECT ticket, nights, {', '.join(f'{_d(c, 7)} AS {c}' for c in ('range', 'mean_price', 'unit', 'cv_charge', 'cv_rate'))}, reversals, CASE WHEN NOT (nights >= 5 AND range >= 0.03 / unit * mean_price AND reversals >= 2) THEN 'UNDETERMINED' WHEN cv_charge > 3 * cv_rate THEN 'PRICE_DEPENDENT' WHEN cv_rate > 3 * cv_charge THEN 'FIXED_RATE' ELSE 'UNDETERMINED' END AS verdict FROM g",
 }
+# its own SQL, with left joins and their two codes
+SQL["position_sizes_all"] = (
+    SQL["position_sizes"].replace("JOIN accounts a USING (account) JOIN terms t USING (symbol)", "LEFT JOIN accounts a USING (account) LEFT JOIN terms t USING (symbol)")
+    .replace("WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step", "WHEN point IS NULL THEN 'SYMBOL_TERMS_MISSING' WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step").replace("WHEN lots < volume_min", "WHEN equity IS NULL THEN 'NO_EQUITY' WHEN lots < volume_min")
+)

@@ -266,3 +266,13 @@ def test_coverage_and_spreads_hold_no_group_in_one_row(spark):
         at = lambda v, i: v[i] if v else None
         assert tuple(got[s][c] for c in ("rows", "recorded", "least", "median", "most", "share")) == (len(own), len(seen), at(seen, 0), at(seen, len(seen) // 2), at(seen, -1), len(seen) / len(own))
         assert tuple(got_spread[s][c] for c in ("quotes", "share", "median", "p95")) == (len(own), len(over) / len(own), at(over, len(over) // 2), at(over, int(len(over) * 0.95)))
+
+
+def test_position_sizes_all_drops_no_position(spark):
+    from barlab.plans import account
+
+    d = "/root/testdata/sf0.001"
+    tickets = [r["o_orderkey"] for r in spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O'").collect()]
+    sizes = account.position_sizes_all(spark, d).collect()
+    assert sorted(r["ticket"] for r in sizes) == sorted(tickets) and any(r["refusal"] == "SYMBOL_TERMS_MISSING" for r in sizes)
+    assert all((r["lots"] is None) == (r["refusal"] is not None) for r in sizes)
