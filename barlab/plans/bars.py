@@ -147,7 +147,15 @@ def offset_scan(spark, d):
     return scan_offsets(tick_bars(t, 3600), tick_bars(t, 60), 600, 7200)
 
 
-QUERIES = {f.__name__: f for f in (bars_h1, gaps, gap_census, bar_validity, window_validity, returns, range_features, atr, rolling_median, rolling_median_short, direction_labels, volatility_labels, label_summary, outcomes_ahead, polynomial, causality, bar_clock, ambiguous_hours, weekly_boundaries, order_holidays, order_eras, minute_readings, offset_scan)}
+def offset_scan_minutes(spark, d):
+    """All 241 shifts by whole minutes; offset_scan has every tenth, as its SQL."""
+    t = ticks(spark, d)
+    from barlab.operators.profile import scan_offsets
+
+    return scan_offsets(tick_bars(t, 3600), tick_bars(t, 60))
+
+
+QUERIES = {f.__name__: f for f in (bars_h1, gaps, gap_census, bar_validity, window_validity, returns, range_features, atr, rolling_median, rolling_median_short, direction_labels, volatility_labels, label_summary, outcomes_ahead, polynomial, causality, bar_clock, ambiguous_hours, weekly_boundaries, order_holidays, order_eras, minute_readings, offset_scan, offset_scan_minutes)}
 _r = lambda x, n=6: f"round({x}, {n})"
 _ret = lambda n: f"ln(close / lag(close, {n}) {q.SERIES}))"
 _vol = f"CASE WHEN {q.trailing('count(step)', 24)} = 24 THEN {q.trailing('stddev_pop(step)', 24)} END"
@@ -193,3 +201,4 @@ shifts AS (SELECT CAST(k AS BIGINT) AS shift FROM range(-7200, 7201, 600) t(k)),
 rolled AS (SELECT symbol, shift, ((time - shift) // 3600) * 3600 AS time, first(open ORDER BY time) AS o, max(high) AS h, min(low) AS l, last(close ORDER BY time) AS c FROM (SELECT s.shift, m.* FROM minutes m, shifts s) GROUP BY 1, 2, 3)
 SELECT s.shift, CAST(count(*) FILTER (b.open = r.o AND b.high = r.h AND b.low = r.l AND b.close = r.c) AS BIGINT) AS matches, count(b.time) AS tested FROM shifts s LEFT JOIN rolled r ON r.shift = s.shift LEFT JOIN hours b ON b.symbol = r.symbol AND b.time = r.time GROUP BY s.shift""",
 }
+SQL["offset_scan_minutes"] = SQL["offset_scan"].replace("range(-7200, 7201, 600)", "range(-7200, 7201, 60)")

@@ -276,3 +276,9 @@ def test_position_sizes_all_drops_no_position(spark):
     sizes = account.position_sizes_all(spark, d).collect()
     assert sorted(r["ticket"] for r in sizes) == sorted(tickets) and any(r["refusal"] == "SYMBOL_TERMS_MISSING" for r in sizes)
     assert all((r["lots"] is None) == (r["refusal"] is not None) for r in sizes)
+
+
+def test_offset_scan_minutes_asks_for_every_minute(spark):
+    from barlab.plans import bars
+
+    assert sorted(r["shift"] for r in bars.offset_scan_minutes(spark, "/root/testdata/sf0.001").collect()) == [*range(-7200, 7201, 60)]
