@@ -1 +1 @@
-"""Spark-native bar-series research and account-risk engine."""
+"""Spark-native engine for price-bar series, account risk and training data."""

@@ -1,4 +1,4 @@
-"""Trading costs as Columns over a row that carries a cost variant."""
+"""Costs of a position as Columns over a row that carries a cost variant."""
 
 from __future__ import annotations
 
