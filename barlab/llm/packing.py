@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,67 +15,73 @@ from pyspark.sql import Window
 
 from barlab.llm.shared import keep, ship
 
-
 #: A run of marks that ends a word after a plain letter or digit: the tokenizer's own words end there too.
-ENDING = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?![^\x20\x09-\x0D])")
-_LOADED: dict[str, WordTokens] = {}
-
-
-class Numbers(dict):
-    """Numbers in the order of first use; what is new is also listed."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
+ENDING = r"([a-z0-9])([.,!?;:]+)([ \t-\r]|$)"
+_LOADED: dict[tuple[str, int], WordTokens] = {}
 
 
 class WordTokens:
     """Ids of whole texts, by the ids of their words: the tokenizer lower-cases, drops white space, and never joins
-    words across it, nor a letter to the marks after it. A worker keeps what it knows from task to task."""
+    words across it, nor a letter to the marks after it. A worker keeps what it knows from task to task.
+    Number 0 stands for the end of a text."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, end_id: int, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
+        # a special token between words keeps them apart, whatever the tokenizer does within words
+        self.mark = next(((i, x.content) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)), None)
         self.clear()
 
     @classmethod
-    def of(cls, path: str) -> WordTokens:
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+    def of(cls, path: str, end_id: int) -> WordTokens:
+        if (path, end_id) not in _LOADED:
+            _LOADED[path, end_id] = cls(path, end_id)
+        return _LOADED[path, end_id]
 
     def clear(self) -> None:
-        self.number = Numbers()
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    @staticmethod
-    def words(text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "surrogatepass")
-        # special tokens are told by their exact letters, so texts that may hold one stay as they are
-        return raw.split() if b"<|" in raw else ENDING.sub(rb" \1", raw.lower()).split()
+        self.number: dict[bytes, int] = {}
+        self.flat, self.starts = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
 
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """One array a text, with end_id after its last token."""
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each of some different words; words not seen before are tokenized."""
+        number = self.number
+        fresh = [w for w in words if w not in number]
+        # many words between marks cost less than many calls; what may hold a mark itself is encoded alone
+        plain = [w for w in fresh if b"<|" not in w] if self.mark and "<|" in self.mark[1] else []
+        for some, joined in ((plain, True), ([w for w in fresh if not plain or b"<|" in w], False)):
+            if not some:
+                continue
+            number.update(zip(some, range(len(number) + 1, len(number) + len(some) + 1), strict=True))
+            asked = [w.decode("utf-8", "replace") for w in some]
+            if joined:
+                asked = [self.mark[1].join(asked[k : k + 500]) for k in range(0, len(asked), 500)]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
+            if joined:
+                ids = np.concatenate([x for e in found for x in (e, np.array([self.mark[0]], np.uint32))])
+                at = np.flatnonzero(ids == self.mark[0])
+                ids, ends = np.delete(ids, at), at - np.arange(len(at))
+            else:
+                ids, ends = np.concatenate(found), np.cumsum([len(e) for e in found])
+            self.flat, self.starts = np.concatenate([self.flat, ids]), np.r_[self.starts, self.starts[-1] + ends]
+        return np.array([number[w] for w in words], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the texts one after the other, each text's number of ids), the end's id after each text."""
         if len(self.number) > self.most:
             self.clear()
-        number = self.number
-        all_at = [np.array([number[w] for w in self.words(t)], np.int64) for t in texts]
-        fresh, number.fresh = number.fresh, []
-        if fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.array([i for own in ids for i in own], np.uint32)])
-            self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(own) for own in ids])]
-        out = []
-        for at in all_at:
-            count = self.starts[at + 1] - self.starts[at]
-            place = np.repeat(self.starts[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            out.append(np.append(self.flat[place], np.uint32(end_id)))
-        return out
+        # special tokens are told by their exact letters, so texts that may hold one stay as they are
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), ENDING, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, plain))
+        coded = split.flatten().dictionary_encode()
+        # white space at a text's ends leaves empty words, which have no ids
+        known = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        words = np.insert(known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64), ends, 0)
+        count = self.starts[words + 1] - self.starts[words]
+        upto = np.cumsum(count)
+        ids = self.flat[np.repeat(self.starts[words] - (upto - count), count) + np.arange(upto[-1])]
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 def cut(length: int, capacity: int, smallest: int) -> list[tuple[int, int]]:
@@ -91,10 +98,16 @@ def cut(length: int, capacity: int, smallest: int) -> list[tuple[int, int]]:
     return [*out, (rest, capacity // rest)] if rest else out
 
 
+@lru_cache(100_000)
+def _cut(length: int, capacity: int, smallest: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array(x, np.int64) for x in zip(*cut(length, capacity, smallest), strict=True))
+
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, class int, worker int, nth long, ids binary"
+PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int32()), ("worker", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int = 64, end_id: int = 2, batch_bytes: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int = 64, end_id: int = 2, batch_bytes: int = 4_000_000) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): the pieces of all documents, packed.
 
     docs: (doc_id long, text string). ids: the piece's token ids, 32 bits each, little-endian. A
@@ -108,34 +121,37 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int =
     Empty input gives an empty result."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokens.of(tokenizer)
-        worker, counts = TaskContext.get().partitionId(), {}
-
-        def pieces(ids: list, texts: list[str]) -> pd.DataFrame:
-            rows = []
-            for i, tokens in zip(ids, words.encode(texts, end_id), strict=True):
-                at = 0
-                for n, j in cut(len(tokens), capacity, smallest):
-                    nth = counts.get(j, 0)
-                    counts[j] = nth + 1
-                    rows.append((i, at, n, len(tokens), j, worker, nth, tokens[at : at + n].astype("<u4").tobytes()))
-                    at += n
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
-
-        ids, texts, size = [], [], 0
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordTokens.of(tokenizer, end_id)
+        worker, counts = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+
+        def pieces(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            tokens, tokens_of = words.encode(texts)
+            own = [_cut(n, capacity, smallest) for n in tokens_of.tolist()]
+            size, kind = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+            doc = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
+            ends = np.cumsum(size)
+            order = np.argsort(kind, kind="stable")
+            first = np.flatnonzero(np.diff(kind[order], prepend=-1))
+            many = np.diff(np.r_[first, len(order)])
+            nth = np.empty(len(order), np.int64)
+            nth[order] = np.arange(len(order)) - np.repeat(first - counts[kind[order[first]]], many)
+            counts[kind[order[first]]] += many
+            data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, 4 * ends].astype(np.int32)), pa.py_buffer(tokens.astype("<u4"))])
+            start = ends - size - (np.cumsum(tokens_of) - tokens_of)[doc]
+            columns = [ids.take(pa.array(doc)), start, size, tokens_of[doc], kind.astype(np.int32), np.full(len(size), worker, np.int32), nth, data]
+            return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=PIECES_ARROW)
+
         for batch in batches:
-            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(None if pd.isna(i) else int(i))
-                texts.append(text if isinstance(text, str) else "")
-                size += len(texts[-1]) + 64
-                if size > batch_bytes:
-                    yield pieces(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield pieces(ids, texts)
-
-    table = keep(docs.select("doc_id", "text").mapInPandas(run, PIECES), "pieces")
+            ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            a = 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + batch_bytes, side="right")))
+                yield pieces(ids.slice(a, b - a), texts.slice(a, b - a))
+                a = b
+
+    table = keep(docs.select("doc_id", "text").mapInArrow(run, PIECES), "pieces")
     counts = table.groupBy("class", "worker").agg(F.count("*").alias("n"))
     before = keep(counts.select("class", "worker", (F.sum("n").over(Window.partitionBy("class").orderBy("worker")) - F.col("n")).alias("before"), "n"), "piece-counts")
     totals = {r["class"]: (r["n"], r["length"]) for r in table.groupBy("class").agg(F.count("*").alias("n"), F.max("length").alias("length")).collect()}  # a row a class

@@ -333,6 +333,35 @@ def test_packing_holds_every_token_once(spark, sf):
         assert at <= 4096
 
 
+def test_packing_pads_little_and_only_below_a_sequence(spark):
+    """Sequences are bins of one class, padded by less than a piece, or a tail of powers of two without padding."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["stone", "river", "cloud"]) for _ in range(rng.choice([0, 3, 90, 700, 5000])))) for i in range(160)]
+    out = packing.packed_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    filled = Counter()
+    for r in out:
+        filled[r["sequence_id"]] += r["length"]
+    assert sorted(filled) == list(range(len(filled)))
+    odd = [n for n in filled.values() if n < 4096 * 0.98]
+    assert all(n & (n - 1) == 0 for n in odd) and len(odd) == len({*odd})
+    spent = sum(n if n in odd else 4096 for n in filled.values())
+    assert sum(filled.values()) > 0.985 * spent
+
+
+def test_word_tokens_are_the_tokenizers_own():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    parts = [*"aB9.,!?;:<|>_-'\" \t\n\r\x0b\x0c\x1céß日🙂", "<|endoftext|>", "<|im_end|>", "the", "don't", "\u0301"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    ids, of = packing.WordTokens.of(path, 2).encode(pa.array(some))
+    got = np.split(ids, np.cumsum(of)[:-1])
+    want = Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)
+    assert [x.tolist() for x in got] == [[*e.ids, 2] for e in want]
+
+
 def test_cut_covers_lengths():
     for n in [*range(1, 300), 4095, 4096, 4097, 9000]:
         parts = packing.cut(n, 4096, 64)
