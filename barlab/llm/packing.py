@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,12 +27,17 @@ class WordTokens:
     words across it, nor a letter to the marks after it. A worker keeps what it knows from task to task.
     Number 0 stands for the end of a text."""
 
-    def __init__(self, path: str, end_id: int, most: int = 700_000):
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
+        # a worker has one core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
-        # a special token between words keeps them apart, whatever the tokenizer does within words
-        self.mark = next(((i, x.content) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)), None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if suffix:
+            self.closes[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self.clear()
 
     @classmethod
@@ -41,30 +48,31 @@ class WordTokens:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat, self.starts = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
+        self.flat, self.starts = np.array([self.end_id], np.uint32), np.array([0, 1], np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each of some different words; words not seen before are tokenized."""
         number = self.number
-        fresh = [w for w in words if w not in number]
-        # many words between marks cost less than many calls; what may hold a mark itself is encoded alone
-        plain = [w for w in fresh if b"<|" not in w] if self.mark and "<|" in self.mark[1] else []
-        for some, joined in ((plain, True), ([w for w in fresh if not plain or b"<|" in w], False)):
-            if not some:
-                continue
-            number.update(zip(some, range(len(number) + 1, len(number) + len(some) + 1), strict=True))
-            asked = [w.decode("utf-8", "replace") for w in some]
-            if joined:
-                asked = [self.mark[1].join(asked[k : k + 500]) for k in range(0, len(asked), 500)]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
-            if joined:
-                ids = np.concatenate([x for e in found for x in (e, np.array([self.mark[0]], np.uint32))])
-                at = np.flatnonzero(ids == self.mark[0])
-                ids, ends = np.delete(ids, at), at - np.arange(len(at))
+        known = list(map(number.get, words))
+        fresh = [w for w, n in zip(words, known, strict=True) if n is None]
+        if fresh:
+            asked = [w.decode("utf-8", "replace") for w in fresh]
+            letters = [w for w in asked if w.isalpha()]
+            # many words of letters side by side cost less than many calls; each ends with one token that closes a word
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([" ".join(letters[k : k + 1000]) for k in range(0, len(letters), 1000)], add_special_tokens=False)]
+            flat = np.array([i for ids in found for i in ids], np.uint32)
+            ends = np.flatnonzero(self.closes[flat]) + 1
+            if len(ends) == len(letters):
+                order = sorted(range(len(asked)), key=[not w.isalpha() for w in asked].__getitem__)
+                fresh, rest = [fresh[i] for i in order], [w for w in asked if not w.isalpha()]
             else:
-                ids, ends = np.concatenate(found), np.cumsum([len(e) for e in found])
-            self.flat, self.starts = np.concatenate([self.flat, ids]), np.r_[self.starts, self.starts[-1] + ends]
-        return np.array([number[w] for w in words], np.int64)
+                flat, ends, rest = flat[:0], ends[:0], asked
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            ends = np.r_[ends, len(flat) + np.cumsum([len(ids) for ids in found], dtype=np.int64)]
+            number.update(zip(fresh, range(len(number) + 1, len(number) + len(fresh) + 1), strict=True))
+            self.flat = np.concatenate([self.flat, flat, np.array([i for ids in found for i in ids], np.uint32)])
+            self.starts = np.r_[self.starts, self.starts[-1] + ends].astype(np.int32)
+        return np.array(list(map(number.__getitem__, words)) if fresh else known, np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the texts one after the other, each text's number of ids), the end's id after each text."""
@@ -77,11 +85,12 @@ class WordTokens:
         # white space at a text's ends leaves empty words, which have no ids
         known = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        words = np.insert(known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64), ends, 0)
-        count = self.starts[words + 1] - self.starts[words]
-        upto = np.cumsum(count)
-        ids = self.flat[np.repeat(self.starts[words] - (upto - count), count) + np.arange(upto[-1])]
-        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
+        words = np.insert(known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32), ends, 0)
+        first = self.starts[words]
+        count = self.starts[words + 1] - first
+        upto = np.cumsum(count, dtype=np.int32)
+        ids = self.flat[np.repeat(first - upto + count, count) + np.arange(upto[-1], dtype=np.int32)]
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0).astype(np.int64)
 
 
 def cut(length: int, capacity: int, smallest: int) -> list[tuple[int, int]]:
