@@ -147,12 +147,34 @@ def test_top_k_equals_brute_force(spark, sf):
     assert sorted(tuple(r) for r in topk.op3_topk(spark, sf).collect()) == sorted(want)
 
 
-def test_top_k_ties_and_large_values(spark):
-    v = [(i, [1.0, 1.0]) for i in range(70)] + [(200, [2.0**60, 2.0**60])]
+def test_top_k_ties_repeats_and_rounds(spark):
+    v = [(i, [1.0, 1.0]) for i in range(70)] + [(200, [2.0**26, 2.0**26]), (201, [1.0, 1.0]), (201, [3.0, 0.0]), (None, [9.0, 9.0]), (300, None)]
     df = spark.createDataFrame(v, "vec_id long, v array<double>")
-    got = topk.top_k(df, df.where("vec_id in (40, 200)"), k=5, candidate_block=16, query_block=1).collect()
-    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 40] == [200, 0, 1, 2, 3]
-    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 200] == [0, 1, 2, 3, 4]
+    for size in (16_000_000, 100):
+        rows = topk.top_k(df, df.where("vec_id in (40, 200, 201) or vec_id is null"), k=5, round_bytes=size).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+        assert [got[40, n][0][0] for n in range(1, 6)] == [200, 201, 0, 1, 2]
+        assert [got[200, n][0][0] for n in range(1, 6)] == [201, 0, 1, 2, 3]
+        # two rows of one id are two queries
+        assert sorted(got[201, 1]) == [(200, 2**27), (200, 3 * 2**26)] and {*map(len, got.values())} == {1, 2}
+
+
+def test_top_k_scores_are_exact_up_to_the_last_long(spark):
+    rng = random.Random(12)
+    v = [(0, [3e9]), (1, [1e9]), (2, [9e8]), (3, [-3037000499.0]), (4, [3037000499.0])]
+    v += [(10 + i, [float(rng.randrange(-(2**31), 2**31)) for _ in range(2)]) for i in range(40)]
+    df = spark.createDataFrame(v, "vec_id long, v array<double>")
+    want = []
+    for q, x in v:
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), i) for i, y in v if i != q and len(x) == len(y))[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, df).collect()) == sorted(want)
+    assert max(abs(w[3]) for w in want) > 2**62
+    over = spark.createDataFrame([(0, [2.0**32]), (1, [2.0**32])], "vec_id long, v array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(over, over).collect()
 
 
 def test_embedding_dedup_equals_brute_force(spark, sf):
