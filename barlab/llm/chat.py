@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,20 +60,30 @@ def declared(mapping: Mapping) -> Column:
     return fingerprint(F.array(*[F.lit(p) for p in mapping.paths]))
 
 
-def _under(path: str, keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.concat(F.lit(f"{path}[]."), k))
+KEYS = "array<string>"
+TURNS = "array<struct<role:string,text:string>>"
 
 
-def _listed(turns: Column, role: str, text: str) -> Column:
-    kind = f"array<struct<`{role}`:string,`{text}`:string>>"
-    return F.transform(F.from_json(turns, kind), lambda t: F.struct(_canonical(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+def _keys(json: Column) -> Column:
+    return F.coalesce(F.json_object_keys(json), F.array().cast(KEYS))
+
+
+def _under(at: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{at}[]."), k))
 
 
 def _json_paths(record: Column, mappings: tuple[Mapping, ...]) -> Column:
-    """The field paths of a JSON object: its keys, and those of the first element of each array of turns that a mapping names."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    nested = [_under(m.turns[0], F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{m.turns[0]}[0]")), F.array().cast("array<string>"))) for m in mappings if m.turns]
-    return F.concat(top, *nested)
+    """The field paths of a JSON object: its keys, and those of every element of each array of turns that a mapping names."""
+    found = [_keys(record)]
+    for at in dict.fromkeys(m.turns[0] for m in mappings if m.turns):
+        elements = F.coalesce(F.from_json(F.get_json_object(record, f"$.{at}"), KEYS), F.array().cast(KEYS))
+        found.append(_under(at, F.flatten(F.transform(elements, _keys))))
+    return F.concat(*found)
+
+
+def _known(paths: Column, mappings: tuple[Mapping, ...]) -> Column:
+    """The paths that some mapping names: other fields (an id, a source, a score) do not change a layout."""
+    return F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted({p for m in mappings for p in m.paths})]))
 
 
 def _canonical(role: Column) -> Column:
@@ -81,61 +92,68 @@ def _canonical(role: Column) -> Column:
     return F.coalesce(F.try_element_at(other, role), role)
 
 
-def _turns(*turns: Column) -> Column:
-    return F.array_compact(F.array(*turns))
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _mapped(m: Mapping, get: Callable[[str], Column], listed: Callable[[str, str, str], Column]) -> tuple[Column, Column | None]:
+    """(turns, order of the row) of a record by a mapping."""
+    if m.turns:
+        return listed(*m.turns), None
+    if m.row:
+        turn, role, text = m.row
+        return F.array(_turn(get(role), get(text))), get(turn).try_cast("long")
+    # an empty field is no turn, but the last one always is
+    own = [_turn(F.lit(role), get(path)) for role, path in m.fields]
+    there = [F.coalesce(get(path), F.lit("")) != "" for _, path in m.fields[:-1]]
+    return F.array_compact(F.array(*[F.when(x, t) for x, t in zip(there, own[:-1], strict=True)], own[-1])), None
 
 
 def canonical_turns(records: DataFrame, id_col: str = "id", record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id, layout, turns array<struct<role,text>>) of each conversation in records of mixed layouts.
 
-    records: (id, record), the record a JSON object as text, or a struct column of any layout. The
-    nested field paths of each record are hashed; the hash selects the mapping, and a layout that no
-    mapping declares has layout null and no turns. Rows of a layout with one turn a row are gathered
-    by id, in the order of (turn, role, text), null turns last. Null texts and roles are empty; a
-    null id is one conversation. Repeated rows are repeated turns. Other columns are not looked at."""
+    records: (id, record), the record a JSON object as text, or a struct column of any layout. Of each
+    record's nested field paths (a struct's are those of its schema, whatever is null in it) those
+    that some mapping names are hashed, and the hash selects the mapping. A record that no mapping
+    declares, a null one, or text that isn't a JSON object has layout null and no turns. Rows of a layout with one
+    turn a row are gathered by id, in the order of (turn, role, text), null turns and turns that are
+    no whole numbers last. Null texts and roles are empty; a null id is one conversation. Repeated rows
+    are repeated turns. Other columns are not looked at. Empty input gives an empty result."""
     kind = records.schema[record_col].dataType
-    raw = records.select(F.col(id_col).alias("id"), (F.to_json(record_col, {"ignoreNullFields": "false"}) if isinstance(kind, StructType) else F.col(record_col)).alias("record"))
+    raw = records.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{record_col}`").alias("record"))
     if isinstance(kind, StructType):
-        paths = F.array(*[F.lit(p) for p in field_paths(kind)])
+        own = field_paths(kind)
+        paths = F.array(*[F.lit(p) for p in own]).cast(KEYS)
+        # a mapping with a path that the schema lacks has another fingerprint
+        able = [m for m in mappings if {*m.paths} <= {*own}]
+        get = lambda path: F.col("record." + ".".join(f"`{x}`" for x in path.split("."))).cast("string")
+        listed = lambda at, role, text: F.transform(F.col(f"record.`{at}`"), lambda t: _turn(_canonical(t[role].cast("string")), t[text].cast("string")))
     else:
-        paths = _json_paths(F.col("record"), mappings)
-    told = raw.withColumn("print", fingerprint(paths))
-    name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
-    get = lambda path: F.get_json_object("record", f"$.{path}")
-    order = F.lit(None).cast("long")
-    for m in mappings:
-        chosen = F.col("print") == declared(m)
-        name = F.when(chosen, F.lit(m.name)).otherwise(name)
-        if m.turns:
-            path, role, text = m.turns
-            own = _listed(get(path), role, text)
-        elif m.fields:
-            own = _turns(*[F.when(F.lit(m.fields.index((role, path)) == len(m.fields) - 1) | get(path).isNotNull() & (get(path) != ""), F.struct(F.lit(role).alias("role"), F.coalesce(get(path), F.lit("")).alias("text"))) for role, path in m.fields])
-        else:
-            turn, role, text = m.row
-            own = F.array(F.struct(F.coalesce(get(role), F.lit("")).alias("role"), F.coalesce(get(text), F.lit("")).alias("text")))
-            order = F.when(chosen, get(turn).cast("long")).otherwise(order)
-        turns = F.when(chosen, own).otherwise(turns)
-    by_row = [m.name for m in mappings if m.row]
-    mapped = told.select("id", name.alias("layout"), order.alias("turn"), F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
-    rows = mapped.where(F.col("layout").isin(by_row)).select("id", "layout", F.struct(F.col("turn").isNull().alias("none"), "turn", F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text")).alias("t"))
+        paths, able = _json_paths(F.col("record"), mappings), mappings
+        get = lambda path: F.get_json_object("record", f"$.{path}")
+
+        def listed(at: str, role: str, text: str) -> Column:
+            turns = F.from_json(get(at), f"array<struct<`{role}`:string,`{text}`:string>>")
+            return F.transform(turns, lambda t: _turn(_canonical(t[role]), t[text]))
+
+    told = raw.withColumn("print", F.when(F.col("record").isNotNull(), fingerprint(_known(paths, mappings))))
+    name, turns, order = F.lit(None).cast("string"), F.array().cast(TURNS), F.lit(None).cast("long")
+    for m in able:
+        chosen, (own, turn) = F.col("print") == declared(m), _mapped(m, get, listed)
+        name, turns = F.when(chosen, F.lit(m.name)).otherwise(name), F.when(chosen, own).otherwise(turns)
+        order = order if turn is None else F.when(chosen, turn).otherwise(order)
+    mapped = told.select("id", name.alias("layout"), order.alias("turn"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
+    by_row = F.coalesce(F.col("layout").isin([m.name for m in mappings if m.row]), F.lit(False))
+    ready = F.struct(F.col("turn").isNull().alias("none"), "turn", F.get("turns", F.lit(0))["role"].alias("role"), F.get("turns", F.lit(0))["text"].alias("text"))
+    rows = mapped.where(by_row).select("id", "layout", ready.alias("t"))
     gathered = rows.groupBy("id", "layout").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return mapped.where(F.col("layout").isNull() | ~F.col("layout").isin(by_row)).select("id", "layout", "turns").unionByName(gathered)
+    return mapped.where(~by_row).select("id", "layout", "turns").unionByName(gathered)
 
 
 def row_turns(rows: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """canonical_turns of a table that is itself a layout: all columns but the id are the record, and its schema's paths are hashed."""
-    named = {p: F.col(p) for p in rows.columns if p != id_col}
-    kept = [m for m in mappings if m.row and set(m.row) <= set(named)]
-    if not kept:
-        raise ValueError(f"no mapping takes rows of {sorted(named)}")
-    turn, role, text = kept[0].row
-    ready = rows.select(F.col(id_col).alias("id"), F.struct(F.col(turn).cast("long").alias(turn), F.col(role).cast("string").alias(role), F.col(text).cast("string").alias(text)).alias("record"))
-    prints = fingerprint(F.array(*[F.lit(p) for p in field_paths(ready.schema["record"].dataType)]))
-    own = F.struct(F.col(f"record.{turn}").isNull().alias("none"), F.col(f"record.{turn}").alias("turn"), F.coalesce(F.col(f"record.{role}"), F.lit("")).alias("role"), F.coalesce(F.col(f"record.{text}"), F.lit("")).alias("text"))
-    # the mapping is selected by fingerprint; a schema that no mapping declares leaves no rows
-    gathered = ready.where(prints == declared(kept[0])).select("id", own.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    return gathered.select("id", F.lit(kept[0].name).alias("layout"), F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    """canonical_turns of a table that is itself a layout: all columns but the id are the record, so the fingerprint is that of the table's schema."""
+    record = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != id_col])
+    return canonical_turns(rows.select(F.col(f"`{id_col}`").alias("id"), record.alias("record")), mappings=mappings)
 
 
 def escape(text: Column, line: bool = False) -> Column:
@@ -176,9 +194,13 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    """All conversations and conversation -1, by canonical_turns over the whole table's columns; see there for nulls, ties, repeats and empty tables.
+
+    A table whose schema no mapping declares has conversations without turns."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    out = read_chat(format_chat(row_turns(table.unionByName(extra), "conv_id")))
+    table = table.unionByName(extra, allowMissingColumns=True)
+    out = read_chat(format_chat(row_turns(table, "conv_id")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return out.select(F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 

@@ -463,6 +463,27 @@ def test_chat_layouts(spark):
     assert got["j"][1] == [("user", "one"), ("assistant", "two")] and got["k"][1] == [("user", "do"), ("assistant", "")]
 
 
+def test_chat_fingerprints_select(spark):
+    """Fields that no mapping names change nothing; a combination of known fields that none declares has no turns."""
+    records = [
+        ("a", '{"id": 5, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "name": "x"}]}'), ("b", '{"messages": [{"role": "user"}, {"content": "late"}]}'), ("c", '{"prompt": "p", "completion": "c", "response": "r"}'),
+        ("d", '{"messages": []}'), ("e", '{"messages": "none"}'), ("f", '{"turn": "x", "role": "user", "text": "odd"}'), ("f", '{"turn": 2, "role": "user", "text": "two"}'), ("g", "[1]"),
+    ]
+    got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(spark.createDataFrame(records, "id string, record string")).collect()}
+    assert got["a"] == ("messages", [("user", "q"), ("assistant", "a")]) and got["b"] == ("messages", [("user", ""), ("", "late")])
+    assert all(got[k] == (None, []) for k in "cdeg") and got["f"] == ("turn rows", [("user", "two"), ("user", "odd")])
+    struct = spark.createDataFrame([(1, ([("human", "q"), ("gpt", None)], 3)), (2, None)], "id long, record struct<conversations: array<struct<`from`:string,value:string>>, odd: int>")
+    got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(struct).collect()}
+    assert got == {1: ("shared dialogue", [("user", "q"), ("assistant", "")]), 2: (None, [])}
+    table = spark.createDataFrame([(1, 0, "user", "q", "s", 2), (1, 1, "assistant", "a", "s", 2)], "conv long, turn int, role string, text string, id string, `odd.name` int")
+    assert [(r["layout"], len(r["turns"])) for r in chat.row_turns(table, "conv").collect()] == [("turn rows", 2)]
+    assert {(r["layout"], len(r["turns"])) for r in chat.row_turns(table.drop("role"), "conv").collect()} == {(None, 0)}
+
+
+def test_chat_of_an_empty_table_is_the_extra_conversation(spark, none, sf):
+    assert [r["conv_id"] for r in chat.op4_chat_format(spark, none).collect()] == [-1]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 3), (41, 40), (200, 201)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
