@@ -5,23 +5,30 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN_FOLDER: list[str] = []
 _SHIPPED: set[str] = set()
+#: Where each table of keep() lies, by the frame that reads it.
+_KEPT: dict[int, tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The cluster's folder from spark.checkpoint.dir. A folder of our own only in local mode, where executors see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="barlab-"))
     return _OWN_FOLDER[0]
@@ -51,10 +58,44 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barlab/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _KEPT[id(back)] = (weakref.ref(back, lambda _, i=id(back): _KEPT.pop(i, None)), path)
+    return back
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that keep() wrote, once what was made from them is written too."""
+    for table in tables:
+        if id(table) in _KEPT:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_KEPT[id(table)][1])
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def marked(ids: DataFrame, key: str, most_bits: int = 26) -> tuple[DataFrame, int]:
+    """(word long, bits long), number of bits: a bitmap of the hashes of ids.key, 16 bits an id and 2**most_bits in all at most.
+
+    The bitmap has at most 2**(most_bits - 6) rows (a million), whatever the data, so it may be broadcast;
+    where ids are too many for it, more rows pass may_hold and the exact join after it is larger."""
+    bits = min(most_bits, max(10, (16 * ids.count()).bit_length()))
+    at = F.xxhash64(key).bitwiseAND(2**bits - 1)
+    word = F.shiftright(at, 6)
+    one = F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 as int))")
+    return ids.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")), bits
+
+
+def may_hold(df: DataFrame, key: str, bitmap: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not among the bitmap's ids, the other rows). Keys are longs and not null where it matters: a null key is surely not."""
+    table, bits = bitmap
+    columns = df.columns
+    at = F.xxhash64(F.col(f"`{key}`")).bitwiseAND(2**bits - 1)
+    words = F.broadcast(table.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    joined = df.withColumn("_at", at).join(words, F.shiftright("_at", 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("(shiftright(_bits, cast(_at & 63 as int)) & 1) = 1"), F.lit(False)) & F.col(f"`{key}`").isNotNull()
+    back = [f"`{c}`" for c in columns]
+    return joined.where(~hit).select(*back), joined.where(hit).select(*back)
+
+
+def empty(spark: SparkSession, schema: str | StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
@@ -82,8 +123,8 @@ def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[
         yield rest[0] if len(rest) == 1 else pd.concat(rest, ignore_index=True)
 
 
-def by_sorted_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, partitions: int | None = None) -> DataFrame:
-    """f over each group: shuffled by the keys, sorted, streamed; many small groups cost no call each into Spark."""
+def by_sorted_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | pa.RecordBatch | None], schema: str | StructType, partitions: int | None = None, arrow: bool = False) -> DataFrame:
+    """f over each group: shuffled by the keys, sorted, streamed; many small groups cost no call each into Spark. arrow: f returns record batches."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
@@ -98,8 +139,13 @@ def by_sorted_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame],
         if held:
             yield pd.concat(held, ignore_index=True)
 
+    def run_arrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups((b.to_pandas() for b in batches), keys):
+            yield f(group)
+
     dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys).mapInPandas(run, schema)
+    dealt = dealt.sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run_arrow, schema) if arrow else dealt.mapInPandas(run, schema)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,10 +169,10 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a long, b long) as (node, root): root is the smallest node; roots have no row.
 
-    Alternating large-star and small-star: each round is aggregations that combine before the
-    shuffle and plain joins, so a hub with a third of all links is split like any skewed join.
-    Nothing is collected but one row of totals for each round. Null ends are dropped; loops and
-    repeated links count once."""
+    Alternating large-star and small-star. Each round is aggregations that combine before the shuffle,
+    and joins of written tables, where a hub with a third of all links is a skewed key that Spark splits.
+    Nothing is collected but one row of totals for each round, and a round's tables go when the next
+    has been written. Null ends are dropped; loops and repeated links count once."""
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     now = keep(pairs, "links")
     was = None
@@ -136,11 +182,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         was = seen
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-low")
+        large = keep(both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "links-large")
+        least = keep(large.groupBy("hi").agg(F.min("lo").alias("m")), "links-least")
         moved = large.join(least, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        now = keep(moved.union(least.select(F.col("m").alias("lo"), "hi")).distinct(), "links")
+        new = keep(moved.union(least.select(F.col("m").alias("lo"), "hi")).distinct(), "links")
+        drop(now, low, large, least)
+        now = new
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

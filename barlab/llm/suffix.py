@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barlab.llm.lm import planes, unplanes
 from barlab.llm.shared import by_sorted_group, empty, keep, ship
@@ -21,7 +22,9 @@ ANCHOR = 16
 #: Bytes that the shallow sort looks at: eight at once, then five at a time beside the group's number.
 SHALLOW = 13
 LAST = np.iinfo(np.int64).max
-OUT = "doc_id long, n_bytes long, removed array<struct<start:long,length:long>>, kept binary, rest string"
+OUT = "doc_id long, n_bytes long, removed array<struct<start:long,length:long>>, kept binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("texts", "lengths", "ids", "rest", "hashes", "several")]])
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 def words_at(buffer: bytes) -> np.ndarray:
@@ -172,7 +175,7 @@ class Chunk:
 
 
 def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 3_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
-    """Per row of docs (doc_id long, text string, rest string): n_bytes, the removed spans, the kept bytes, and rest.
+    """Per row of docs (doc_id long, text string, rest of any type): doc_id, n_bytes, the removed spans, the kept bytes, and rest as it was.
 
     Removed is each byte covered by a string of length bytes (25 to 78) that also starts in a document
     with a smaller doc_id, judged on the input; strings never cross documents. whole_characters shrinks
@@ -188,22 +191,29 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text", "rest")
+    out_schema = StructType([*StructType.fromDDL(OUT).fields, docs.schema["rest"]])
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(2, math.ceil(math.log2(1 + size / slice_bytes))))
+    bits = min(40, max(2, math.ceil(math.log2(1 + size / slice_bytes))))
+    # several slices or chunks a task
+    dealt = max(12, 2**bits // 4)
 
     def slices(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = (hashes >> np.uint64(48 - bits)).astype(np.int64)
         return part, np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, np.int64)
 
-    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids, rests, n = [], [], [], 0
         # written once and shuffled twice, so worth the effort of a higher level
         squeeze = zstandard.ZstdCompressor(level=5)
 
-        def flush() -> pd.DataFrame:
-            own = Chunk(texts, np.array([LAST if i is None else i for i in ids], np.int64), length)
+        def flush() -> pa.RecordBatch:
+            own = Chunk(texts, np.concatenate(ids), length)
             number = uuid.uuid4().int >> 65
-            rows = [{"chunk": number, "slice": -1, "texts": squeeze.compress(own.buffer), "lengths": planes(np.diff(own.ends, prepend=0)), "ids": planes(own.ids), "rest": squeeze.compress(json.dumps(rests).encode())}]
+            rest = pa.concat_arrays(rests)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("rest", rest.type)])) as out:
+                out.write_batch(pa.record_batch([rest], names=["rest"]))
+            rows = [{"chunk": number, "slice": -1, "texts": squeeze.compress(own.buffer), "lengths": planes(np.diff(own.ends, prepend=0)), "ids": planes(own.ids), "rest": squeeze.compress(sink.getvalue())}]
             ids_at = own.ids[own.doc]
             low, high = np.full(len(own.unique), LAST), np.full(len(own.unique), -LAST)
             np.minimum.at(low, own.at, ids_at)
@@ -211,25 +221,31 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
             part, cuts = slices(own.unique)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 rows.append({"chunk": number, "slice": int(part[a]), "hashes": planes(np.diff(own.unique[a:b], prepend=np.uint64(0))), "several": np.packbits(low[a:b] < high[a:b]).tobytes()})
-            return pd.DataFrame(rows).reindex(columns=["chunk", "slice", "texts", "lengths", "ids", "rest", "hashes", "several"])
+            return pa.RecordBatch.from_pylist(rows, schema=CHUNKS)
 
         for batch in batches:
-            for i, text, rest in zip(batch["doc_id"], batch["text"], batch["rest"], strict=True):
-                texts.append(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"")
-                ids.append(None if pd.isna(i) else int(i))
-                rests.append(rest if isinstance(rest, str) else None)
-                n += len(texts[-1]) + 64
+            raw = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            own = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
+            begin = 0
+            for k, text in enumerate(raw):
+                texts.append(text)
+                n += len(text) + 64
+                if n >= chunk_bytes or k + 1 == len(raw):
+                    ids.append(own[begin : k + 1])
+                    rests.append(batch.column("rest").slice(begin, k + 1 - begin))
+                    begin = k + 1
                 if n >= chunk_bytes:
                     yield flush()
                     texts, ids, rests, n = [], [], [], 0
         if texts:
             yield flush()
 
-    table = keep(docs.mapInPandas(read, "chunk long, slice long, texts binary, lengths binary, ids binary, rest binary, hashes binary, several binary"), "suffix-chunks")
+    table = keep(docs.mapInArrow(read, "chunk long, slice long, texts binary, lengths binary, ids binary, rest binary, hashes binary, several binary"), "suffix-chunks")
     payloads = table.where("slice = -1").select("chunk", "texts", "lengths", "ids", "rest")
     chunks = payloads.count()
     if not chunks:
-        return empty(spark, OUT)
+        return empty(spark, out_schema)
+    grouped = max(12, chunks // 4)
 
     def shared(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in group["hashes"]]
@@ -239,7 +255,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         cuts = np.cumsum([0, *map(len, hashes)])
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(), "told": [np.packbits(yes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    flags = keep(by_sorted_group(table.where("slice >= 0").select("chunk", "slice", "hashes", "several"), ["slice"], shared, "chunk long, slice long, told binary", 2**bits), "suffix-shared")
+    flags = keep(by_sorted_group(table.where("slice >= 0").select("chunk", "slice", "hashes", "several"), ["slice"], shared, "chunk long, slice long, told binary", dealt), "suffix-shared")
 
     def opened(group: pd.DataFrame) -> tuple[pd.Series, Chunk, np.ndarray]:
         own = group[group["texts"].notna()].iloc[0]
@@ -282,17 +298,17 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(), "masks": [planes(masks[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     with_flags = payloads.unionByName(flags, allowMissingColumns=True)
-    asked = by_sorted_group(with_flags, ["chunk"], candidates, "chunk long, slice long, contexts binary, lengths binary, least binary", chunks)
-    masks = keep(by_sorted_group(asked, ["slice"], sorted_slice, "chunk long, slice long, masks binary", 2**bits), "suffix-masks")
+    asked = by_sorted_group(with_flags, ["chunk"], candidates, "chunk long, slice long, contexts binary, lengths binary, least binary", grouped)
+    masks = keep(by_sorted_group(asked, ["slice"], sorted_slice, "chunk long, slice long, masks binary", dealt), "suffix-masks")
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
+    def cut(group: pd.DataFrame) -> pa.RecordBatch:
         own, chunk, yes = opened(group)
         told = group[group["masks"].notna()].sort_values("slice")
         gone = chunk.covered(yes, np.concatenate([unplanes(x, np.int64) for x in told["masks"]]) if len(told) else np.zeros(0, np.int64))
-        rests = json.loads(zstandard.ZstdDecompressor().decompress(own["rest"]))
+        rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(own["rest"])).read_next_batch().column("rest")
         raw = np.frombuffer(chunk.buffer, np.uint8)
-        rows, begin = [], 0
-        for i, end, rest in zip(chunk.ids.tolist(), chunk.ends.tolist(), rests, strict=True):
+        spans, kept, begin = [], [], 0
+        for end in chunk.ends.tolist():
             text, out = raw[begin:end], gone[begin:end]
             edge = np.diff(np.r_[0, out.astype(np.int8), 0])
             starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -303,15 +319,17 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
                 out = np.zeros(len(text), bool)
                 for a, b in zip(starts, stops, strict=True):
                     out[a:b] = True
-            rows.append((None if i == LAST else i, end - begin, [{"start": int(a), "length": int(b - a)} for a, b in zip(starts, stops, strict=True)], text[~out].tobytes(), rest))
+            spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(starts, stops, strict=True)])
+            kept.append(text[~out].tobytes())
             begin = end
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "removed", "kept", "rest"])
-        return frame.astype({"doc_id": "Int64"})
+        columns = [pa.array(chunk.ids, mask=chunk.ids == LAST), pa.array(np.diff(chunk.ends, prepend=0)), pa.array(spans, SPANS), pa.array(kept, pa.binary()), rest]
+        return pa.record_batch(columns, names=["doc_id", "n_bytes", "removed", "kept", "rest"])
 
-    return by_sorted_group(with_flags.unionByName(masks, allowMissingColumns=True), ["chunk"], cut, OUT, chunks)
+    return by_sorted_group(with_flags.unionByName(masks, allowMissingColumns=True), ["chunk"], cut, out_schema, grouped, arrow=True)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What 50-byte strings of smaller documents cover in all documents; see repeated_strings for nulls, short texts, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(None).cast("string").alias("rest"))
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["length"])
     return repeated_strings(docs, 50).select("doc_id", "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
