@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.llm import gam, packing, simhash, suffix
-from barlab.llm.shared import keep
+from barlab.llm.shared import drop, keep, marked, may_hold
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,29 +20,47 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more): the smallest doc_id.
 
-    Of rows with one doc_id one stays if any does. Null and empty texts are one group. A null doc_id
-    names no row: if a row with one is alone in its group, all rows with one stay, whole repeats once."""
+    Null and empty texts are one group. Null ids come after all others. Rows of one group with one doc_id
+    and different texts: one of them stays; in different groups: each as its group says. Of repeated
+    rows one stays. Only rows that a bitmap of bounded size can't tell from those that go are shuffled."""
     found = simhash.near_duplicate_groups(docs.select("doc_id", "text"))
-    stay = keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")), "stay")
-    kept = docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    if stay.where("rows > 1").head(1):
-        # repeated ids: whole repeated rows of a null id, or one row of an id
-        nulls = kept.where("doc_id is null").dropDuplicates()
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)
-    return kept
+    pairs = keep(found.groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("rows")), "rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    stays = pairs.groupBy("root").agg(F.min_by(F.struct("doc_id", "row_key"), order).alias("s"))
+    own = (F.col("p.doc_id").eqNullSafe(F.col("s.doc_id"))) & (F.col("p.row_key") == F.col("s.row_key"))
+    told = pairs.alias("p").join(stays.select("root", "s.doc_id", "s.row_key").alias("s"), "root")
+    told = keep(told.select(F.col("p.doc_id").alias("id"), F.col("p.row_key").alias("key"), own.alias("stays"), "rows"), "told")
+    drop(found, pairs)
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumn("_row_key", simhash.row_key())
+    same = (F.col("_row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    gone = told.where("not stays")
+    clear, maybe = may_hold(keyed, "_row_key", marked(gone, "key"))
+    kept = clear.unionByName(maybe.join(gone.select("id", "key"), same, "left_anti"))
+    again = told.where("stays and rows > 1")
+    if again.head(1):
+        clear, maybe = may_hold(kept, "_row_key", marked(again, "key"))
+        once = maybe.join(again.select("id", "key"), same, "left_semi").groupBy("doc_id", "_row_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*_hashable(docs))).alias("row"))
+        kept = clear.unionByName(maybe.join(again.select("id", "key"), same, "left_anti")).select(*columns).unionByName(once.select("row.*"))
+    return kept.select(*columns)
+
+
+def _hashable(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts from each text what is covered by 50-byte strings that also start in a document with a smaller
-    doc_id, in whole characters, and sets n_chars anew. No row goes; a null text stays null."""
+    doc_id, in whole characters, and sets n_chars anew. No row goes; a null text stays null; a null doc_id
+    comes after all others. All other columns, of any type and name, go beside the text as they are."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kind = docs.select(*others, F.col("text").isNull().alias("text_is_null"))
-    rest = F.to_json(F.struct(*others, F.col("text").isNull().alias("text_is_null")), {"ignoreNullFields": "false"})
+    rest = F.struct(F.col("text").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(others)])
     out = suffix.repeated_strings(docs.select("doc_id", "text", rest.alias("rest")), 50, whole_characters=True)
-    back = out.select("doc_id", F.decode("kept", "UTF-8").alias("text"), F.from_json("rest", kind.schema).alias("r"))
-    text = F.when(~F.col("r.text_is_null"), F.col("text"))
-    columns = {c: F.col("doc_id") if c == "doc_id" else text if c == "text" else F.char_length(text).cast("long") if c == "n_chars" else F.col("r")[c] for c in docs.columns}
-    return back.select(*[v.alias(c) for c, v in columns.items()])
+    text = F.when(~F.col("rest.none"), F.decode("kept", "UTF-8"))
+    columns = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"rest.c{n}") for n, c in enumerate(others)}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
