@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -10,6 +12,8 @@ from barlab.functions import clock
 
 #: Swap modes by their terminal code; of the rest the units are not convertible here. Fixed values.
 DISABLED, POINTS, MARGIN_CURRENCY, DEPOSIT_CURRENCY = 0, 1, 3, 4
+#: Modes whose charge follows a price: symbol currency, interest and reopening. Fixed values.
+PRICE_DEPENDENT = (2, 5, 6, 7, 8)
 SEVERITY = ("CRITICAL", "WARN", "INFO")
 
 
@@ -97,14 +101,18 @@ def measured_points(carries: DataFrame) -> DataFrame:
 
 
 def swap_divergence(terms: DataFrame, measured: DataFrame, registered: dict[str, float], tolerance: float = 0.05) -> DataFrame:
-    """Per symbol: weekly points registered against published (exactly) and measured (with tolerance), by side; OPTIMISTIC if any exceeds what is registered."""
+    """Per symbol: weekly points registered against published (exactly) and measured (with tolerance), by side; OPTIMISTIC if any exceeds what is registered.
+
+    It bears on the registry if it is optimistic or if the charge follows a price, which no fixed number of points can stand for."""
     m = measured.select("symbol", "direction", "daily_points", "nightly_points")
     side = lambda d: terms.select("symbol", F.lit(d).alias("direction"), F.lit(registered[d] * 7).alias("registered"), (F.col(f"charge_{d}") * 7).alias("published"))
     rows = side("long").unionByName(side("short")).join(m, ["symbol", "direction"], "left").withColumn("daily", F.col("daily_points") * 7).withColumn("nightly", F.col("nightly_points") * 7)
     over = lambda c, t: F.col(c) > F.col("registered") * (1 + t)
     compared = rows.select("symbol", "direction", F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("source"), F.col(c).alias("weekly"), over(c, t).alias("exceeds"))) for c, t in (("published", 0.0), ("daily", tolerance), ("nightly", tolerance))]))).alias("x")).select("symbol", "direction", "x.*")
     verdict = F.when(F.count("source") == 0, "UNAVAILABLE").when(F.bool_or("exceeds"), "OPTIMISTIC").otherwise("CONSERVATIVE")
-    return terms.select("symbol").join(compared, "symbol", "left").groupBy("symbol").agg(F.count("source").alias("comparisons"), F.count_if("exceeds").alias("exceeding"), verdict.alias("verdict"))
+    told = terms.select("symbol", F.col("swap_mode").isin(*PRICE_DEPENDENT).alias("price_dependent")).join(compared, "symbol", "left")
+    told = told.groupBy("symbol", "price_dependent").agg(F.count("source").alias("comparisons"), F.count_if("exceeds").alias("exceeding"), verdict.alias("verdict"))
+    return told.withColumn("bears_on_registry", (F.col("verdict") == "OPTIMISTIC") | F.col("price_dependent"))
 
 
 def daily_loss(accounts: DataFrame, positions: DataFrame, deals: DataFrame, now: int, offset: float | None, limit_pct: float = 2.0) -> DataFrame:
@@ -141,8 +149,13 @@ def margin_projection(accounts: DataFrame, carry: DataFrame, max_leverage: int =
     return rows.select("account", F.col("x.level").alias("level"), "level_pct", "threshold", "headroom", breached.alias("breached"), days.alias("days"), "refusal")
 
 
-def risk_alerts(carries: DataFrame, margin: DataFrame, daily: DataFrame, open_counts: DataFrame, portfolio: DataFrame) -> DataFrame:
-    """(account, code, severity, key) by rule; three times a threshold is critical. The same function serves batches of a stream."""
+def risk_alerts(carries: DataFrame, margin: DataFrame, daily: DataFrame, open_counts: DataFrame, portfolio: DataFrame, readings: DataFrame | None = None, divergence: DataFrame | None = None) -> DataFrame:
+    """(account, code, severity, key) by rule; three times a threshold is critical. The same function serves batches of a stream.
+
+    readings (account, connected, timing_refusal): an account that is not connected, or whose positions'
+    openings moved, raises a critical alert; the latter takes the place of its positions' alerts, whose
+    ages can't be trusted. divergence (account, symbol, bears_on_registry): financing over what is
+    registered is critical. A limit that can't be worked out is a REFUSED alert and not silence."""
     rule = lambda when, code, severity, key: F.when(when, F.struct(F.lit(code).alias("code"), severity.alias("severity"), key.cast("string").alias("key")))
     warn, critical = F.lit("WARN"), F.lit("CRITICAL")
     graded = lambda c, at: F.when(c >= 3 * at, "CRITICAL").otherwise("WARN")
@@ -150,14 +163,24 @@ def risk_alerts(carries: DataFrame, margin: DataFrame, daily: DataFrame, open_co
     def raised(df: DataFrame, *rules: Column) -> DataFrame:
         return df.select("account", F.explode(F.array_compact(F.array(*rules))).alias("a")).select("account", "a.*")
 
-    days, pct = F.col("days_open"), F.col("carry_pct_of_equity")
-    return (
-        raised(carries, rule(days >= 2, "TIME_IN_TRADE", graded(days, 2), F.col("ticket")), rule(pct >= 1, "CARRY_OF_EQUITY", graded(pct, 1), F.col("ticket")), rule(F.col("stop_loss").isNull() | (F.col("stop_loss") == 0), "NO_STOP", warn, F.col("ticket")))
-        .unionByName(raised(margin, rule(F.col("breached"), "MARGIN_BREACHED", critical, F.col("level")), rule(F.col("days") <= 30, "MARGIN_NEAR", F.when(F.col("days") <= 7, "CRITICAL").otherwise("WARN"), F.col("level"))))
-        .unionByName(raised(daily, rule(F.col("breached"), "DAILY_LOSS", critical, F.lit("day")), rule(~F.col("breached") & (F.col("used") >= 0.75), "DAILY_LOSS_NEAR", warn, F.lit("day"))))
-        .unionByName(raised(open_counts.where("symbol is null and direction is null"), rule(F.col("breached"), "CONCURRENCY", warn, F.lit("open"))))
-        .unionByName(raised(portfolio, rule(F.col("days_to_zero") <= 90, "CARRY_EMPTIES_EQUITY", F.when(F.col("days_to_zero") <= 30, "CRITICAL").otherwise("WARN"), F.lit("book"))))
-    )
+    days, pct, refusal = F.col("days_open"), F.col("carry_pct_of_equity"), F.col("refusal")
+    out = []
+    if readings is not None:
+        out.append(raised(readings, rule(~F.col("connected"), "DISCONNECTED", critical, F.lit("reading")), rule(F.col("timing_refusal").isNotNull(), "REFUSED", critical, F.col("timing_refusal"))))
+        carries = carries.join(readings.where("timing_refusal is not null").select("account"), "account", "left_anti")
+    if divergence is not None:
+        out.append(raised(divergence, rule(F.col("bears_on_registry"), "SWAP_DIVERGENCE", critical, F.col("symbol"))))
+    out.append(raised(carries, rule(days >= 2, "TIME_IN_TRADE", graded(days, 2), F.col("ticket")), rule(pct >= 1, "CARRY_OF_EQUITY", graded(pct, 1), F.col("ticket")), rule(F.col("stop_loss").isNull() | (F.col("stop_loss") == 0), "NO_STOP", warn, F.col("ticket"))))
+    near = F.when(F.col("days") <= 7, "CRITICAL").otherwise("WARN")
+    unknown = (F.col("level") == "stop_out") & refusal.isin("STOPOUT_MODE_UNKNOWN", "IMPLAUSIBLE_LEVERAGE")
+    out.append(raised(margin, rule(F.col("breached"), "MARGIN_BREACHED", critical, F.col("level")), rule(F.col("days") <= 30, "MARGIN_NEAR", near, F.col("level")), rule(unknown, "REFUSED", warn, refusal)))
+    if "refusal" in daily.columns:
+        out.append(raised(daily, rule(refusal.isNotNull(), "REFUSED", warn, refusal)))
+    else:
+        out.append(raised(daily, rule(F.col("breached"), "DAILY_LOSS", critical, F.lit("day")), rule(~F.col("breached") & (F.col("used") >= 0.75), "DAILY_LOSS_NEAR", warn, F.lit("day"))))
+    out.append(raised(open_counts.where("symbol is null and direction is null"), rule(F.col("breached"), "CONCURRENCY", warn, F.lit("open"))))
+    out.append(raised(portfolio, rule(F.col("days_to_zero") <= 90, "CARRY_EMPTIES_EQUITY", warn, F.lit("book"))))
+    return reduce(DataFrame.unionByName, out)
 
 
 def severity_rank(severity: Column) -> Column:

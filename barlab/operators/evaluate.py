@@ -6,91 +6,197 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from barlab.sources.shared import written
+
 LEAKS = ("none", "label_column", "scale_on_all", "train_and_test", "target_means")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
-    return np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
+    e = np.exp(-np.abs(z))
+    return np.where(z >= 0, 1.0, e) / (1 + e)
 
 
 class Logistic:
     """Mean log-loss with an L2 penalty (the intercept free), by full-batch steps from zero.
 
-    Stops at steps, or, with tolerance, when the gradient's largest part is no larger."""
+    Stops at steps, or, with tolerance, when the gradient's largest part is no larger. y may hold many
+    columns of labels: one fit for each, all in the same steps, each stopping by itself. own, of y's
+    shape, is one more feature, with other values for each fit; its weights come last."""
 
     def __init__(self, steps: int = 1000, rate: float = 0.5, l2: float = 1e-6, tolerance: float | None = None):
         self.steps, self.rate, self.l2, self.tolerance = steps, rate, l2, tolerance
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.weights, self.intercept = np.zeros(x.shape[1]), 0.0
-        for self.iterations in range(1, self.steps + 1):
-            error = sigmoid(x @ self.weights + self.intercept) - y
-            gw, gb = x.T @ error / len(y) + self.l2 * self.weights, error.mean()
-            self.norm = max(abs(gb), np.abs(gw).max(initial=0.0))
-            if self.tolerance is not None and self.norm <= self.tolerance:
-                break
-            self.weights -= self.rate * gw
-            self.intercept -= self.rate * gb
-        self.converged = self.tolerance is not None and self.norm <= self.tolerance
+    def fit(self, x: np.ndarray, y: np.ndarray, own: np.ndarray | None = None) -> Logistic:
+        single, y = y.ndim == 1, y.reshape(len(y), -1)
+        many, p = y.shape[1], x.shape[1]
+        weights, intercept = np.zeros((p + (own is not None), many)), np.zeros(many)
+        norm, iterations = np.full(many, np.inf), np.zeros(many, np.int64)
+        live = np.arange(many)
+        for _ in range(self.steps):
+            z = x @ weights[:p] + intercept
+            error = sigmoid(z if own is None else z + own * weights[p]) - y
+            gw = x.T @ error
+            if own is not None:
+                gw = np.vstack([gw, (own * error).sum(0)])
+            gw, gb = gw / len(y) + self.l2 * weights, error.mean(0)
+            now = np.maximum(np.abs(gb), np.abs(gw).max(0, initial=0.0))
+            norm[live] = now
+            iterations[live] += 1
+            going = now > self.tolerance if self.tolerance is not None else np.ones(len(live), bool)
+            if not going.all():
+                self._store(live[~going], weights[:, ~going], intercept[~going], many)
+                live, weights, intercept, gw, gb, y = live[going], weights[:, going], intercept[going], gw[:, going], gb[going], y[:, going]
+                own = own if own is None else own[:, going]
+                if not len(live):
+                    break
+            weights = weights - self.rate * gw
+            intercept = intercept - self.rate * gb
+        self._store(live, weights, intercept, many)
+        self.norm, self.iterations = norm, iterations
+        self.converged = norm <= self.tolerance if self.tolerance is not None else np.zeros(many, bool)
+        self.hit_cap = ~self.converged & (iterations >= self.steps)
+        if single:
+            self.weights, self.intercept = self.weights[:, 0], self.intercept[0]
+            self.norm, self.iterations, self.converged, self.hit_cap = norm[0], int(iterations[0]), bool(self.converged[0]), bool(self.hit_cap[0])
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(x @ self.weights + self.intercept)
+    def _store(self, at: np.ndarray, weights: np.ndarray, intercept: np.ndarray, many: int) -> None:
+        if not hasattr(self, "weights") or self.weights.shape != (len(weights), many):
+            self.weights, self.intercept = np.zeros((len(weights), many)), np.zeros(many)
+        self.weights[:, at], self.intercept[at] = weights, intercept
+
+    def predict(self, x: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        if own is None:
+            return sigmoid(x @ self.weights + self.intercept)
+        return sigmoid(x @ self.weights[:-1] + own * self.weights[-1] + self.intercept)
+
+
+def _scaled(x: np.ndarray, base: np.ndarray) -> np.ndarray:
+    std = base.std(0)
+    return (x - base.mean(0)) / np.where(std == 0, 1.0, std)
 
 
-FIT = "symbol string, fold int, arm string, seed int, bar_seq long, p double, y double, iterations int, norm double, converged boolean, weights array<double>, intercept double"
+def _fits(x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray, leak: str, model: Callable[[], Logistic]) -> tuple[np.ndarray, np.ndarray, Logistic] | None:
+    """(fits that are there, their forecasts of the test rows, the model), for each column of labels y; rows in order of bars.
+
+    Scales on the training rows, fits on them, predicts the test rows. The leaks put on purpose into the fit what it must not see."""
+    learn = train | test if leak == "train_and_test" else train
+    if not learn.any() or not test.any():
+        return None
+    there = np.flatnonzero(y[learn].min(0) != y[learn].max(0))
+    if not len(there):
+        return None
+    own, y = None, y[:, there]
+    if leak == "label_column":
+        own = y
+    if leak == "target_means":
+        order = np.argsort(x[:, 0], kind="stable")
+        heads = np.arange(0, len(x), 4)
+        means = np.add.reduceat(y[order], heads, axis=0) / np.diff(np.r_[heads, len(x)])[:, None]
+        own = np.empty_like(y)
+        own[order] = np.repeat(means, np.diff(np.r_[heads, len(x)]), axis=0)
+    base = np.ones(len(x), bool) if leak == "scale_on_all" else learn
+    x = _scaled(x, x[base])
+    own = own if own is None else _scaled(own, own[base])
+    fitted = model().fit(x[learn], y[learn], own if own is None else own[learn])
+    return there, fitted.predict(x[test], own if own is None else own[test]), fitted
+
+
+FIT = "symbol string, fold int, arm string, seed int, bar_seq long, p double, y double, iterations int, norm double, converged boolean, hit_cap boolean, weights array<double>, intercept double"
 
 
 def fit_predict(rows: DataFrame, columns: dict[str, list[str]], leak: str = "none", model: Callable[[], Logistic] = Logistic) -> DataFrame:
     """Forecasts of the test rows of rows (symbol, fold, seed, bar_seq, role, y, features), for each arm's list of columns.
 
-    Scales on the training rows, fits on them, predicts the test rows: one task for each (symbol, fold,
-    seed, arm). The leaks put on purpose into the fit what it must not see. Groups without training
-    rows, test rows or two outcomes give nothing."""
+    One task for each (symbol, fold) fits all arms and seeds, so rows move once. Groups without
+    training rows, test rows or two outcomes give nothing. A fold's rows are held by one worker."""
+    names = sorted({c for own in columns.values() for c in own})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for seed, rows_ in group.groupby("seed", sort=True):
+            own = rows_.sort_values("bar_seq")
+            y = own["y"].to_numpy(np.float64)
+            train, test = (own["role"] == "train").to_numpy(), (own["role"] == "test").to_numpy()
+            for arm, features in columns.items():
+                out = _fits(own[features].to_numpy(np.float64), y[:, None], train, test, leak, model)
+                if out is None:
+                    continue
+                _, p, fitted = out
+                n = int(test.sum())
+                found.append(pd.DataFrame({
+                    "symbol": own["symbol"].to_numpy()[test], "fold": own["fold"].to_numpy()[test], "arm": arm, "seed": seed, "bar_seq": own["bar_seq"].to_numpy()[test], "p": p[:, 0], "y": y[test], "iterations": fitted.iterations[0],
+                    "norm": fitted.norm[0], "converged": fitted.converged[0], "hit_cap": fitted.hit_cap[0], "weights": [fitted.weights[:, 0].tolist()] * n, "intercept": fitted.intercept[0],
+                }))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[c.split()[0] for c in FIT.split(", ")])
+
+    return rows.select("symbol", "fold", "seed", "bar_seq", "role", "y", *names).groupBy("symbol", "fold").applyInPandas(run, FIT)
+
+
+STUDY = "symbol string, fold int, arm string, leak string, seed int, parameters int, n long, sum_y double, sum_error double, norm double, converged boolean"
+
+
+def null_fits(rows: DataFrame, columns: dict[str, list[str]], leaks: tuple[str, ...] = ("none",), model: Callable[[], Logistic] = Logistic, parts: dict[str, int] | None = None) -> DataFrame:
+    """Sums of each (symbol, fold, arm, leak, seed) over its test rows, of rows (symbol, fold, bar_seq, role, ys, features): n, labels, squared errors.
+
+    ys holds the row's label under each seed. All seeds are fitted together in matrices, so a (symbol,
+    fold) moves once for each part of the arms (parts: which part an arm belongs to, all in one by default)."""
     names = sorted({c for own in columns.values() for c in own})
-    asked = rows.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in columns])))
+    part_of = {a: (parts or {}).get(a, 0) for a in columns}
+    asked = rows.withColumn("part", F.explode(F.array(*[F.lit(n) for n in sorted({*part_of.values()})])))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        arm = group["arm"].iloc[0]
         group = group.sort_values("bar_seq")
-        x, y = group[columns[arm]].to_numpy(np.float64), group["y"].to_numpy(np.float64)
+        y = np.stack(group["ys"].to_numpy()).astype(np.float64)
         train, test = (group["role"] == "train").to_numpy(), (group["role"] == "test").to_numpy()
-        empty = pd.DataFrame(columns=[c.split()[0] for c in FIT.split(", ")])
-        if leak == "label_column":
-            x = np.column_stack([x, y])
-        if leak == "target_means":
-            order = np.argsort(x[:, 0], kind="stable")
-            bucket = np.empty(len(y), np.int64)
-            bucket[order] = np.arange(len(y)) // 4
-            x = np.column_stack([x, (np.bincount(bucket, y) / np.bincount(bucket))[bucket]])
-        learn = train | test if leak == "train_and_test" else train
-        if not learn.any() or not test.any() or len(set(y[learn])) < 2:
-            return empty
-        base = x if leak == "scale_on_all" else x[learn]
-        mean, std = base.mean(0), base.std(0)
-        x = (x - mean) / np.where(std == 0, 1.0, std)
-        own = model().fit(x[learn], y[learn])
-        n = int(test.sum())
-        return pd.DataFrame({
-            "symbol": group["symbol"].to_numpy()[test], "fold": group["fold"].to_numpy()[test], "arm": arm, "seed": group["seed"].to_numpy()[test], "bar_seq": group["bar_seq"].to_numpy()[test], "p": own.predict(x[test]), "y": y[test],
-            "iterations": own.iterations, "norm": own.norm, "converged": own.converged, "weights": [own.weights.tolist()] * n, "intercept": own.intercept,
-        })
-
-    return asked.select("symbol", "fold", "seed", "bar_seq", "role", "y", "arm", *names).groupBy("symbol", "fold", "seed", "arm").applyInPandas(run, FIT)
-
-
-def permuted(rows: DataFrame, seeds: int) -> DataFrame:
-    """rows (symbol, bar_seq, y) with seed 0 to seeds - 1, y permuted over the whole symbol by each: the label of rank r by bar goes to the row of rank r by a hash of (seed, bar)."""
-    every = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    by_bar = Window.partitionBy("symbol", "seed").orderBy("bar_seq")
-    by_hash = Window.partitionBy("symbol", "seed").orderBy(F.xxhash64("seed", "bar_seq"), "bar_seq")
-    labels = every.select("symbol", "seed", F.row_number().over(by_bar).alias("r"), "y")
-    places = every.drop("y").withColumn("r", F.row_number().over(by_hash))
-    return places.join(labels, ["symbol", "seed", "r"]).drop("r")
+        found = []
+        for arm, features in columns.items():
+            if part_of[arm] != group["part"].iloc[0]:
+                continue
+            x = group[features].to_numpy(np.float64)
+            for leak in leaks:
+                out = _fits(x, y, train, test, leak, model)
+                if out is None:
+                    continue
+                seeds, p, fitted = out
+                own = y[test][:, seeds]
+                found.append(pd.DataFrame({
+                    "symbol": group["symbol"].iloc[0], "fold": group["fold"].iloc[0], "arm": arm, "leak": leak, "seed": seeds, "parameters": len(fitted.weights) + 1, "n": len(own), "sum_y": own.sum(0), "sum_error": ((p - own) ** 2).sum(0),
+                    "norm": fitted.norm, "converged": fitted.converged,
+                }))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[c.split()[0] for c in STUDY.split(", ")])
+
+    return asked.select("symbol", "fold", "part", "bar_seq", "role", "ys", *names).groupBy("symbol", "fold", "part").applyInPandas(run, STUDY)
+
+
+def _numbered(rows: DataFrame, by: list[str], span: Column, order: list[Column | str], out: str) -> DataFrame:
+    """rows with a running number within by, in the order of (span, order): numbered within spans, which are offset by a running sum of their counts."""
+    rows = rows.withColumn("_span", span)
+    counts = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_span")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_span").orderBy(*order))
+    return rows.withColumn("_own", own).join(before, [*by, "_span"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_span", "_own", "_before")
+
+
+def permuted(rows: DataFrame, seeds: int, spans: int = 64) -> DataFrame:
+    """rows (symbol, bar_seq, y) with seed 0 to seeds - 1, y permuted over the whole symbol by each: the label of rank r by bar goes to the row of rank r by a hash of (seed, bar).
+
+    Ranks are taken within spans of bars and of hashes, so that a long symbol is many tasks."""
+    labels = _numbered(rows, ["symbol"], F.floor(F.col("bar_seq") / 8192), ["bar_seq"], "r")
+    every = rows.drop("y").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    mixed = F.xxhash64("seed", "bar_seq")
+    places = _numbered(every.withColumn("_hash", mixed), ["symbol", "seed"], F.floor(F.col("_hash") / (2.0**64 / spans)), ["_hash", "bar_seq"], "r").drop("_hash")
+    return places.join(labels.select("symbol", "r", "y"), ["symbol", "r"]).drop("r")
+
+
+def permuted_labels(rows: DataFrame, seeds: int) -> DataFrame:
+    """(symbol, bar_seq, ys): each row's labels under seeds 0 to seeds - 1 of permuted, in one array."""
+    listed = permuted(rows, seeds).groupBy("symbol", "bar_seq").agg(F.sort_array(F.collect_list(F.struct("seed", "y"))).alias("ys"))
+    return listed.select("symbol", "bar_seq", F.transform("ys", lambda x: x["y"].cast("double")).alias("ys"))
 
 
 def skill(forecasts: DataFrame, by: list[str]) -> DataFrame:
@@ -98,12 +204,24 @@ def skill(forecasts: DataFrame, by: list[str]) -> DataFrame:
     return forecasts.groupBy(*by).agg(F.count("*").alias("n"), F.when(ref > 1e-15, 1 - F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2))) / ref).alias("skill"))
 
 
-def null_study(forecasts: DataFrame, by: list[str], mean_limit: float = 0.01, max_limit: float = 0.05) -> DataFrame:
-    """Of permuted fits: mean, median and largest skill over the seeds, and whether the null holds (the mean's upper bound, the largest and the median within limits)."""
-    s = skill(forecasts, [*by, "seed"])
-    upper = F.avg("skill") + 1.96 * F.coalesce(F.stddev_samp("skill"), F.lit(0.0)) / F.sqrt(F.count("skill"))
-    g = s.groupBy(*by).agg(F.count("*").alias("seeds"), F.avg("skill").alias("mean"), F.percentile("skill", 0.5).alias("median"), F.max("skill").alias("largest"), upper.alias("upper"))
-    return g.withColumn("holds", (F.col("upper") <= mean_limit) & (F.col("largest") <= max_limit) & (F.col("median") <= 0))
+def pooled_skill(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Skill of null_fits' sums, pooled over folds."""
+    total = sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sum_y").alias("y"), F.sum("sum_error").alias("e"), F.first("parameters").alias("parameters"), F.max("norm").alias("norm"), F.bool_and("converged").alias("converged"))
+    ref = F.col("y") / F.col("n") * (1 - F.col("y") / F.col("n"))
+    return total.select(*by, "n", "parameters", "norm", "converged", F.when(ref > 1e-15, 1 - F.col("e") / F.col("n") / ref).alias("skill"))
+
+
+def null_study(skills: DataFrame, by: list[str], mean_limit: float = 0.01, max_limit: float = 0.05, resamples: int = 10_000) -> DataFrame:
+    """Of permuted fits' skills (by, seed, skill): mean, median and largest over the seeds, the bootstrap interval of the mean, and whether
+    the null holds: the interval's upper end, the largest and the median within limits. trips: the mean is over the limit of the largest.
+
+    A study needs two seeds at least; groups with fewer have holds null."""
+    more = [c for c in ("n", "parameters", "norm", "converged") if c in skills.columns]
+    skills = written(skills.select(*by, "seed", "skill", *more), "skills")
+    g = skills.groupBy(*by).agg(F.count("skill").alias("seeds"), F.percentile("skill", 0.5).alias("median"), F.max("skill").alias("largest"), *[(F.bool_and(c) if c == "converged" else F.max(c)).alias(c) for c in more])
+    interval = bootstrap_mean(skills, by, "skill", resamples, order="seed").select(*by, "mean", F.col("low").alias("lower"), F.col("high").alias("upper"))
+    holds = (F.col("upper") <= mean_limit) & (F.col("largest") <= max_limit) & (F.col("median") <= 0)
+    return g.join(interval, by).withColumn("holds", F.when(F.col("seeds") >= 2, holds)).withColumn("trips", F.col("mean") > max_limit)
 
 
 def response_probe(forecasts: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,31 +231,69 @@ def response_probe(forecasts: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("symbol", "fold", "arm", "seed", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (s(F.col("b") + F.col("w")[i]) - s(F.col("b"))).alias("response")) for i, c in enumerate(columns)])).alias("x")).select("symbol", "fold", "arm", "seed", "x.*")
 
 
-def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int = 10_000, block: int = 1, seed: int = 1337, order: str = "bar_seq", alpha: float = 0.05) -> DataFrame:
+def _resampled(v: np.ndarray, resamples: int, block: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of so many resamples of v: rows, or stationary blocks of that mean length, wrapped around."""
+    means, n = [], len(v)
+    for done in range(0, resamples, step := max(1, 2_000_000 // n)):
+        many = min(step, resamples - done)
+        at = rng.integers(0, n, (many, n))
+        if block > 1:
+            goes_on = rng.random((many, n)) >= 1 / block
+            goes_on[:, 0] = False
+            start = np.maximum.accumulate(np.where(goes_on, 0, np.arange(n)), axis=1)
+            at = (np.take_along_axis(at, start, 1) + np.arange(n) - start) % n
+        means.append(v[at].mean(1))
+    return np.concatenate(means)
+
+
+def _weighted(v: np.ndarray, resamples: int, block: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of weights, weighted sum) of some consecutive values under each resample: each place opens a Poisson number of
+    blocks, 1 / block in the mean, and each block that is open goes on with probability 1 - 1 / block."""
+    if block <= 1:
+        weights = (rng.poisson(1.0, (min(256, resamples - done), len(v))) for done in range(0, resamples, 256))
+        sums = [(w.sum(1), w @ v) for w in weights]
+        return np.concatenate([x for x, _ in sums]), np.concatenate([y for _, y in sums])
+    w = rng.poisson(1.0, resamples)
+    total, valued = w.astype(np.float64), w * v[0]
+    for x in v[1:]:
+        w = rng.binomial(w, 1 - 1 / block) + rng.poisson(1 / block, resamples)
+        total += w
+        valued += w * x
+    return total, valued
+
+
+def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int = 10_000, block: int = 1, seed: int = 1337, order: str = "bar_seq", alpha: float = 0.05, most: int = 500_000) -> DataFrame:
     """Per group: mean, its percentile interval from resamples, and the one-sided p-value, add-one smoothed.
 
-    block 1 resamples rows; more takes stationary blocks of that mean length, wrapped around. The
-    resamples are dealt out in parts, each a task with its own stream of random numbers."""
+    block 1 resamples rows; more takes stationary blocks of that mean length, wrapped around. Groups of up
+    to most rows are resampled as they are, in parts, each a task with its own stream of random numbers.
+    Larger ones are cut into pieces of 4,096 rows; each piece gives its weighted sums under every resample,
+    with Poisson numbers of blocks, and the sums are added up, so no task holds such a group."""
     parts = 8
-    packed = values.where(F.col(column).isNotNull()).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, column))), lambda x: x[column]).alias("v"))
+    kinds = dict(values.dtypes)
+    named = ", ".join(f"{b} {kinds[b]}" for b in by)
+    there = written(values.where(F.col(column).isNotNull()).select(*by, F.col(order).alias("_at"), F.col(column).cast("double").alias("_v")), "bootstrap")
+    sizes = there.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_v").alias("mean"))
+    packed = there.join(sizes.where(F.col("_n") <= most), by).groupBy(*by, "mean").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("v"))
     dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *by, "part")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                v, part = np.array(row["v"], np.float64), row["part"]
-                rng = np.random.default_rng([seed, part])
-                means = []
-                for _ in range(part, resamples, parts):
-                    at = rng.integers(0, len(v), len(v))
-                    if block > 1:
-                        keep = rng.random(len(v)) >= 1 / block
-                        keep[0] = False
-                        start = np.maximum.accumulate(np.where(keep, 0, np.arange(len(v))))
-                        at = (at[start] + np.arange(len(v)) - start) % len(v)
-                    means.append(v[at].mean())
-                yield pd.DataFrame({b: [row[b]] * len(means) for b in by} | {"mean": v.mean(), "m": means})
-
-    kinds = dict(values.dtypes)
-    drawn = dealt.mapInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", mean double, m double")
+                many = len(range(row["part"], resamples, parts))
+                if many:
+                    means = _resampled(np.array(row["v"], np.float64), many, block, np.random.default_rng([seed, row["part"]]))
+                    yield pd.DataFrame({b: [row[b]] * many for b in by} | {"mean": row["mean"], "m": means})
+
+    drawn = dealt.mapInPandas(run, f"{named}, mean double, m double")
+    large = there.join(sizes.where(F.col("_n") > most).select(*by), by)
+    pieces = _numbered(large, by, F.floor(F.col("_at") / 65_536), ["_at"], "_r").withColumn("_piece", F.floor((F.col("_r") - 1) / 4096))
+
+    def weigh(piece: pd.DataFrame) -> pd.DataFrame:
+        own = piece.sort_values("_r")
+        total, valued = _weighted(own["_v"].to_numpy(np.float64), resamples, block, np.random.default_rng([seed, int(own["_piece"].iloc[0])]))
+        return pd.DataFrame({b: [own[b].iloc[0]] * resamples for b in by} | {"b": np.arange(resamples), "w": total, "x": valued})
+
+    summed = pieces.groupBy(*by, "_piece").applyInPandas(weigh, f"{named}, b int, w double, x double").groupBy(*by, "b").agg((F.sum("x") / F.sum("w")).alias("m"))
+    drawn = drawn.unionByName(summed.join(sizes.select(*by, "mean"), by).select(*by, "mean", "m"))
     return drawn.groupBy(*by).agg(F.first("mean").alias("mean"), F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"), ((1 + F.count_if(F.col("m") - F.col("mean") >= F.col("mean"))) / (F.count("*") + 1)).alias("p_value"))

@@ -108,8 +108,11 @@ def margin_projection(spark, d):
 
 
 def risk_alerts(spark, d):
-    c = _carries(spark, d)
-    return ac.risk_alerts(c, _margin(spark, d), _daily(spark, d), concurrency(spark, d), ac.portfolio_carry(c))
+    c, p = _carries(spark, d), _positions(spark, d)
+    moved = openings(spark, d).where("moved").join(p.select("ticket", "account"), "ticket").select("account", F.lit("OPENING_MOVED").alias("timing_refusal")).distinct()
+    readings = heartbeat(spark, d).select("account", F.col("clear").alias("connected")).join(moved, "account", "left")
+    divergence = p.select("account", "symbol").distinct().join(swap_divergence(spark, d), "symbol")
+    return ac.risk_alerts(c, _margin(spark, d), _daily(spark, d), concurrency(spark, d), ac.portfolio_carry(c), readings, divergence)
 
 
 def worst_severity(spark, d):
@@ -176,16 +179,35 @@ levels AS (SELECT a.account, a.equity, a.margin, CASE WHEN leverage NOT BETWEEN
 heads AS (SELECT *, CASE WHEN refusal IS NULL THEN CASE stopout_mode WHEN 0 THEN margin * value / 100.0 ELSE value END END AS threshold FROM levels),
 margins AS (SELECT account, level, CASE WHEN margin > 0 THEN 100.0 * equity / margin END AS level_pct, threshold, equity - threshold AS headroom, equity - threshold <= 0 AS breached, CASE WHEN NOT (equity - threshold <= 0) AND rate > 0 THEN (equity - threshold) / rate END AS days, refusal FROM heads),
 counts AS (SELECT account, symbol, direction, count(*) AS open, CASE WHEN grouping(symbol) = 1 AND grouping(direction) = 1 THEN count(*) >= 5 END AS breached FROM positions GROUP BY GROUPING SETS ((account), (account, symbol), (account, direction))),
+-- what is registered, 6 points a night long and 8 short, against what is published and measured
+sides AS (SELECT symbol, 'long' AS direction, 42.0 AS reg, charge_long * 7 AS published FROM terms UNION ALL SELECT symbol, 'short', 56.0, charge_short * 7 FROM terms),
+sided AS (SELECT s.*, w.daily * 7 AS daily, w.nightly * 7 AS nightly FROM sides s LEFT JOIN weighted w USING (symbol, direction)),
+compared AS (
+  SELECT symbol, published > reg AS e FROM sided WHERE published IS NOT NULL
+  UNION ALL SELECT symbol, daily > reg * 1.05 FROM sided WHERE daily IS NOT NULL
+  UNION ALL SELECT symbol, nightly > reg * 1.05 FROM sided WHERE nightly IS NOT NULL),
+verdicts AS (
+  SELECT t.symbol, t.swap_mode IN (2, 5, 6, 7, 8) AS price_dependent, count(c.e) AS comparisons, CAST(count(*) FILTER (c.e) AS BIGINT) AS exceeding,
+    CASE WHEN count(c.e) = 0 THEN 'UNAVAILABLE' WHEN bool_or(c.e) THEN 'OPTIMISTIC' ELSE 'CONSERVATIVE' END AS verdict
+  FROM terms t LEFT JOIN compared c USING (symbol) GROUP BY t.symbol, t.swap_mode),
+diverging AS (SELECT *, verdict = 'OPTIMISTIC' OR price_dependent AS bears_on_registry FROM verdicts),
+seen AS (SELECT account, max(closed_at) AS last FROM deals WHERE account % 4 > 0 GROUP BY account),
+moved AS (SELECT DISTINCT account FROM positions WHERE ticket % 5 > 0 AND ticket % 7 = 0),
+timed AS (SELECT * FROM carries WHERE account NOT IN (SELECT account FROM moved)),
 alerts AS (
-  SELECT account, 'TIME_IN_TRADE' AS code, CASE WHEN days >= 6 THEN 'CRITICAL' ELSE 'WARN' END AS severity, CAST(ticket AS VARCHAR) AS key FROM carries WHERE days >= 2
-  UNION ALL SELECT account, 'CARRY_OF_EQUITY', CASE WHEN pct >= 3 THEN 'CRITICAL' ELSE 'WARN' END, CAST(ticket AS VARCHAR) FROM carries WHERE pct >= 1
-  UNION ALL SELECT account, 'NO_STOP', 'WARN', CAST(ticket AS VARCHAR) FROM carries WHERE stop_loss IS NULL OR stop_loss = 0
+  SELECT account, 'TIME_IN_TRADE' AS code, CASE WHEN days >= 6 THEN 'CRITICAL' ELSE 'WARN' END AS severity, CAST(ticket AS VARCHAR) AS key FROM timed WHERE days >= 2
+  UNION ALL SELECT account, 'CARRY_OF_EQUITY', CASE WHEN pct >= 3 THEN 'CRITICAL' ELSE 'WARN' END, CAST(ticket AS VARCHAR) FROM timed WHERE pct >= 1
+  UNION ALL SELECT account, 'NO_STOP', 'WARN', CAST(ticket AS VARCHAR) FROM timed WHERE stop_loss IS NULL OR stop_loss = 0
   UNION ALL SELECT account, 'MARGIN_BREACHED', 'CRITICAL', level FROM margins WHERE breached
   UNION ALL SELECT account, 'MARGIN_NEAR', CASE WHEN days <= 7 THEN 'CRITICAL' ELSE 'WARN' END, level FROM margins WHERE days <= 30
   UNION ALL SELECT account, 'DAILY_LOSS', 'CRITICAL', 'day' FROM days WHERE breached
   UNION ALL SELECT account, 'DAILY_LOSS_NEAR', 'WARN', 'day' FROM days WHERE NOT breached AND used >= 0.75
   UNION ALL SELECT account, 'CONCURRENCY', 'WARN', 'open' FROM counts WHERE breached
-  UNION ALL SELECT account, 'CARRY_EMPTIES_EQUITY', CASE WHEN days_to_zero <= 30 THEN 'CRITICAL' ELSE 'WARN' END, 'book' FROM books WHERE days_to_zero <= 90)"""
+  UNION ALL SELECT account, 'CARRY_EMPTIES_EQUITY', 'WARN', 'book' FROM books WHERE days_to_zero <= 90
+  UNION ALL SELECT account, 'REFUSED', 'WARN', refusal FROM margins WHERE level = 'stop_out' AND refusal IN ('STOPOUT_MODE_UNKNOWN', 'IMPLAUSIBLE_LEVERAGE')
+  UNION ALL SELECT account, 'REFUSED', 'CRITICAL', 'OPENING_MOVED' FROM moved
+  UNION ALL SELECT account, 'DISCONNECTED', 'CRITICAL', 'reading' FROM accounts LEFT JOIN seen USING (account) WHERE NOT coalesce({NOW + 432000 - 86400} - last <= 172800, false)
+  UNION ALL SELECT DISTINCT account, 'SWAP_DIVERGENCE', 'CRITICAL', symbol FROM positions JOIN diverging USING (symbol) WHERE bears_on_registry)"""
 _d = lambda x, n=5: f"round(CAST({x} AS DOUBLE), {n}) + 0.0"
 LOG = f"log0 AS (SELECT l_suppkey AS ticket, {_W.format('l_shipdate')} AS tick, min(l_extendedprice) AS price, sum(l_linenumber) AS n FROM lineitem GROUP BY ALL), log AS (SELECT *, sum(n * 1.5) OVER (PARTITION BY ticket ORDER BY tick) AS carry FROM log0), steps AS (SELECT *, CAST(round(carry - lag(carry) OVER (PARTITION BY ticket ORDER BY tick), 8) AS DOUBLE) AS charge FROM log), units AS (SELECT ticket, median(abs(charge)) AS unit FROM steps WHERE charge <> 0 GROUP BY ticket), charges AS (SELECT s.ticket, s.tick, s.charge, u.unit, greatest(1.0, round_even(abs(s.charge) / u.unit, 0)) AS multiplier, CAST(((tick + 7200) // 86400 + 3) % 7 AS INTEGER) AS weekday, s.price FROM steps s JOIN units u USING (ticket) WHERE s.charge <> 0)"
 SQL = {
@@ -198,7 +220,7 @@ SELECT ticket, CASE WHEN refusal IS NULL THEN {_d('lots', 6)} END AS lots, CASE
     "carry_projection": f"WITH {ACCOUNT} SELECT account, ticket, CAST(h AS INTEGER) AS horizon, {_d('rate * h', 10)} AS carry, {_d('paid + rate * h', 10)} AS total, CASE WHEN equity > 0 THEN {_d('100.0 * rate * h / equity', 10)} END AS pct_of_equity FROM carries, (VALUES (7), (30), (60), (90)) v(h)",
     "portfolio_carry": f"WITH {ACCOUNT} SELECT account, positions, {', '.join(f'{_d(c, 4)} AS {c}' for c in ('carry_paid', 'rate', 'rate_declared', 'rate_measured', 'equity', 'days_to_zero'))}, partial FROM books",
     "measured_points": f"WITH {ACCOUNT} SELECT symbol, direction, positions, {_d('daily')} AS daily_points, {_d('nightly')} AS nightly_points FROM weighted",
-    "swap_divergence": f"WITH {ACCOUNT}, sides AS (SELECT symbol, 'long' AS direction, 42.0 AS reg, charge_long * 7 AS published FROM terms UNION ALL SELECT symbol, 'short', 56.0, charge_short * 7 FROM terms), j AS (SELECT s.*, w.daily * 7 AS daily, w.nightly * 7 AS nightly FROM sides s LEFT JOIN weighted w USING (symbol, direction)), c AS (SELECT symbol, published > reg AS e FROM j WHERE published IS NOT NULL UNION ALL SELECT symbol, daily > reg * 1.05 FROM j WHERE daily IS NOT NULL UNION ALL SELECT symbol, nightly > reg * 1.05 FROM j WHERE nightly IS NOT NULL) SELECT t.symbol, count(c.e) AS comparisons, CAST(count(*) FILTER (c.e) AS BIGINT) AS exceeding, CASE WHEN count(c.e) = 0 THEN 'UNAVAILABLE' WHEN bool_or(c.e) THEN 'OPTIMISTIC' ELSE 'CONSERVATIVE' END AS verdict FROM terms t LEFT JOIN c USING (symbol) GROUP BY t.symbol",
+    "swap_divergence": f"WITH {ACCOUNT} SELECT * FROM diverging",
     "daily_loss": f"WITH {ACCOUNT} SELECT account, {', '.join(f'{_d(c, 4)} AS {c}' for c in ('equity', 'realised', 'floating', 'loss', 'used'))}, {_d('lim', 4)} AS \"limit\", CAST(deals AS BIGINT) AS deals, CAST(carried_in AS BIGINT) AS carried_in, breached FROM days",
     "concurrency": f"WITH {ACCOUNT} SELECT * FROM counts",
     "margin_projection": f"WITH {ACCOUNT} SELECT account, level, {_d('level_pct', 4)} AS level_pct, {_d('threshold', 4)} AS threshold, {_d('headroom', 4)} AS headroom, breached, {_d('days', 4)} AS days, refusal FROM margins",

@@ -110,9 +110,10 @@ def ambiguous_hours(spark, d):
 
 
 def weekly_boundaries(spark, d):
-    """The last bar before and the first after each gap of a day or more."""
-    g = ga.find_gaps(hourly_bars(spark, d)).where(F.col("after") - F.col("before") >= 86400)
-    return g.select("symbol", "before", "after", clock.hour_of(clock.new_york(clock.to_utc(F.col("before")))).alias("close_hour"), clock.hour_of(clock.new_york(clock.to_utc(F.col("after")))).alias("open_hour"))
+    """The last bar before and the first after each gap of two days or more in the daily series, by their hours in New York."""
+    g = ga.find_gaps(daily_bars(spark, d), 86400).where(F.col("after") - F.col("before") >= 172800)
+    hour = lambda c: clock.hour_of(clock.new_york(clock.to_utc(F.col(c))))
+    return g.select("symbol", "before", "after", hour("before").alias("close_hour"), hour("after").alias("open_hour"))
 
 
 def order_holidays(spark, d):
@@ -188,7 +189,10 @@ SELECT symbol, bar_seq, round(CASE WHEN k = 24 AND hi > lo THEN (close - lo) / (
     "causality": f"WITH {q.BARS}, lasts AS (SELECT symbol, max(bar_seq) AS n FROM bars GROUP BY symbol), cuts AS (SELECT DISTINCT symbol, k * n // 200 AS cut FROM lasts, range(200) t(k)) SELECT f AS feature, count(*) AS cuts, CAST(0 AS BIGINT) AS violations FROM cuts, (VALUES ('log_return_24'), ('realized_vol_24'), ('range_position_24'), ('drawdown_from_max_48'), ('volume_weighted_return_24')) v(f) GROUP BY f",
     "bar_clock": f"WITH {q.BARS}, {q.DAILY}, b AS (SELECT symbol, time FROM bars UNION ALL SELECT symbol, time FROM daily), u AS (SELECT *, {_utc} AS utc FROM b), z AS (SELECT *, {ny('utc')} AS ny, {q.day('time')} AS day FROM u) SELECT symbol, time, utc, {q.hour('ny')} AS ny_hour, CAST((ny // 86400 + 3) % 7 AS INTEGER) AS ny_weekday, {q.break_hour('day')} AS break_hour, CASE WHEN {q.us('day')} AND NOT {q.eu('day')} THEN 22 ELSE 23 END AS close_hour, CASE WHEN {q.us('day')} THEN 'us-summer' ELSE 'us-winter' END || '/' || CASE WHEN {q.eu('day')} THEN 'eu-summer' ELSE 'eu-winter' END AS bucket, day >= DATE '2015-09-11' AS in_window FROM z",
     "ambiguous_hours": f"WITH {q.BARS}, u AS (SELECT symbol, bar_seq, {_utc} AS utc FROM bars), w AS (SELECT *, lag(utc) {q.SERIES}) AS was FROM u) SELECT symbol, count(*) AS bars, CAST(count(*) FILTER (was >= utc) AS BIGINT) AS violations FROM w GROUP BY symbol",
-    "weekly_boundaries": f"WITH {q.BARS}, {q.GAPS}, w AS (SELECT symbol, before, after, before - {q.offset(q.day('before'))} * 3600 AS ub, after - {q.offset(q.day('after'))} * 3600 AS ua FROM gaps WHERE after - before >= 86400) SELECT symbol, before, after, {q.hour(ny('ub'))} AS close_hour, {q.hour(ny('ua'))} AS open_hour FROM w",
+    "weekly_boundaries": f"""WITH {q.DAILY},
+found AS (SELECT symbol, time AS before, lead(time) {q.SERIES}) AS after FROM daily),
+w AS (SELECT *, before - {q.offset(q.day('before'))} * 3600 AS ub, after - {q.offset(q.day('after'))} * 3600 AS ua FROM found WHERE after - before >= 172800)
+SELECT symbol, before, after, {q.hour(ny('ub'))} AS close_hour, {q.hour(ny('ua'))} AS open_hour FROM w""",
     "order_holidays": f"WITH {q.HOLIDAYS}, {q.near(2)}, nearest AS (SELECT h.day + CAST(s AS INTEGER) AS day, arg_min(h.name || CASE WHEN s <> 0 THEN ' (adjacent)' ELSE '' END, (abs(s), -s)) AS nearest FROM holidays h, range(-2, 3) t(s) GROUP BY 1), days AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1) SELECT holiday, nearest, count(*) AS days, CAST(sum(orders) AS BIGINT) AS orders FROM days JOIN near USING (day) JOIN nearest USING (day) GROUP BY holiday, nearest",
     "order_eras": "WITH x AS (SELECT CAST(o_orderdate AS DATE) + INTERVAL 192 MONTH AS day FROM orders) SELECT CASE WHEN day >= DATE '2022-10-21' THEN '2022-10-21' WHEN day >= DATE '2017-10-07' THEN '2017-10-07' WHEN day >= DATE '2015-09-11' THEN '2015-09-11' ELSE '' END AS era, CASE WHEN day >= DATE '2022-10-21' THEN true WHEN day >= DATE '2017-10-07' THEN false WHEN day >= DATE '2015-09-11' THEN true END AS daily_break, count(*) AS orders, CAST(count(*) FILTER (dayofweek(day) = 5 AND day(day) <= 7 AND day >= DATE '2008-01-01' AND day <= DATE '2020-12-31') AS BIGINT) AS first_fridays FROM x GROUP BY 1, 2",
     "minute_readings": f"""WITH {q.TICKS}, {q.tick_bars(3600, out='hours')}, {q.tick_bars(60, out='minutes')},

@@ -10,7 +10,8 @@ from barlab.functions import calendar, clock
 from barlab.operators import gaps as ga
 from barlab.operators import invariants as iv
 from barlab.plans import sql as q
-from barlab.plans.account import risk_alerts
+from barlab.plans.account import ACCOUNT, risk_alerts
+from barlab.plans.account import _deals as deals
 from barlab.plans.bars import checked_bars, gaps
 from barlab.sources import snapshot
 from barlab.sources.shared import shared_folder
@@ -42,19 +43,21 @@ def duplicate_keys(spark, d):
 
 
 def streamed_bars(spark, d):
-    """Hourly bars of the events read as a stream, in one run over all that is there."""
+    """Hourly bars of the events read as a stream, in one run over all that is there: those that the watermark, ten minutes behind the last event, has closed."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     t = e.select(F.col("event_type").alias("symbol"), F.timestamp_seconds(clock.wall_seconds(F.col("ts"))).alias("ts"), F.col("event_id").alias("tick_id"), (F.col("value") + 1.0).alias("price"), F.get_json_object("props", "$.k").cast("long").alias("volume"))
     path = f"{shared_folder(spark)}/barlab/stream-{uuid.uuid4().hex}"
-    jobs.roll_up_stream(t).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/bars")).start().awaitTermination()
+    bars = jobs.roll_up_stream(t).writeStream.outputMode("append").format("parquet").option("path", f"{path}/bars").option("checkpointLocation", f"{path}/checkpoint")
+    bars.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/bars")
 
 
 def sent_alerts(spark, d):
-    """Of the account alerts, each raised at its key's place in the day, those that the throttle lets out."""
-    a = risk_alerts(spark, d).withColumn("account", F.col("account").cast("string"))
-    return jobs.throttle(a.select("account", "code", F.lit("all").alias("key"), "severity", F.pmod(F.xxhash64("key"), F.lit(86400)).alias("raised_at")))
+    """Each reading of an account (its deals' times) raises all of the account's alerts; of those, what the throttle lets out."""
+    readings = deals(spark, d).select("account", F.col("closed_at").alias("raised_at")).distinct()
+    a = risk_alerts(spark, d).join(readings, "account").withColumn("account", F.col("account").cast("string"))
+    return jobs.throttle(a.select("account", "code", "key", "severity", "raised_at"))
 
 
 QUERIES = {f.__name__: f for f in (table_digest, snapshot_summary, invariants, duplicate_keys, streamed_bars, sent_alerts)}
@@ -62,5 +65,13 @@ SQL = {
     "table_digest": "WITH l AS (SELECT event_type, event_id, event_id // 1000 AS chunk, sha256(concat_ws('|', CAST(event_id AS VARCHAR), coalesce(CAST(user_id AS VARCHAR), ''), coalesce(event_type, ''), coalesce(props, ''))) AS h FROM events), c AS (SELECT event_type, chunk, count(*) AS n, sha256(string_agg(h, '' ORDER BY event_id)) AS x FROM l GROUP BY ALL) SELECT event_type, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(x, '' ORDER BY chunk)) AS digest FROM c GROUP BY event_type",
     "snapshot_summary": f"WITH {q.VALID}, w AS (SELECT *, {q.whole(0, 24)} AS lv FROM checked) SELECT symbol, count(*) AS rows, CAST(count(*) FILTER ({q.day('time')} >= DATE '2015-09-11') AS BIGINT) AS in_window, CAST(count(*) FILTER (valid) AS BIGINT) AS valid, CAST(count(*) FILTER (lv) AS BIGINT) AS label_valid, min(time) AS first_bar, max(time) AS last_bar, max(time) // 86400 - 1 AS window_end FROM w GROUP BY symbol",
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM (SELECT DISTINCT * FROM lineitem) GROUP BY ALL HAVING count(*) > 1",
-    "streamed_bars": f"WITH {q.BARS} SELECT symbol, time, open, high, low, close, tick_volume, n FROM bars",
+    "streamed_bars": f"WITH {q.BARS} SELECT symbol, time, open, high, low, close, tick_volume, n FROM bars WHERE time + 3600 <= (SELECT floor(epoch(max(ts))) - 600 FROM events)",
+    # an alert goes out when its key's last was sent an hour ago or more; a key has one severity
+    "sent_alerts": f"""WITH RECURSIVE {ACCOUNT},
+raised AS MATERIALIZED (SELECT DISTINCT account, code, key, severity, closed_at AS raised_at FROM alerts JOIN deals USING (account)),
+sent AS (
+  SELECT account, code, key, severity, min(raised_at) AS raised_at FROM raised GROUP BY ALL
+  UNION ALL
+  SELECT r.account, r.code, r.key, r.severity, min(r.raised_at) FROM sent s JOIN raised r ON r.account = s.account AND r.code = s.code AND r.key = s.key AND r.severity = s.severity AND r.raised_at >= s.raised_at + 3600 GROUP BY ALL)
+SELECT CAST(account AS VARCHAR) AS account, code, key, severity, raised_at FROM sent""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,11 +45,16 @@ def _throttled(rows: list[tuple], sent_at: int | None, severity: str | None, eve
     return out, sent_at, severity
 
 
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """By time; at one time the most severe first, so that it holds back the others."""
+    return rows.assign(_rank=rows["severity"].map(RANK)).sort_values(["raised_at", "_rank"]).drop(columns="_rank")
+
+
 def throttle_stream(alerts: DataFrame, every: int = 3600) -> DataFrame:
     """Alerts that are sent: per (account, code, key) one an hour, unless severity rises."""
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches]).sort_values(["raised_at", "severity"])
+        rows = _in_order(pd.concat([*batches]))
         sent_at, severity = state.get if state.exists else (None, None)
         go, sent_at, severity = _throttled([*zip(rows["raised_at"].tolist(), rows["severity"], strict=True)], sent_at, severity, every)
         state.update((sent_at, severity))
@@ -62,57 +67,84 @@ def throttle(alerts: DataFrame, every: int = 3600) -> DataFrame:
     """throttle_stream over a whole table of alerts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["raised_at", "severity"])
+        rows = _in_order(rows)
         return rows[_throttled([*zip(rows["raised_at"].tolist(), rows["severity"], strict=True)], None, None, every)[0]]
 
     return alerts.select("account", "code", "key", "severity", "raised_at").groupBy("account", "code", "key").applyInPandas(run, ALERT)
 
 
-def openings_stream(readings: DataFrame, tolerance: int = 1) -> DataFrame:
-    """(ticket, read_at, opened_at, first_seen, moved) of a stream of readings: the first opening seen of a ticket counts for ever."""
+def openings_stream(readings: DataFrame, tolerance: int = 1, closed_after: int = 86_400) -> DataFrame:
+    """(ticket, read_at, opened_at, first_seen, moved) of a stream of readings: the first opening seen of a ticket counts while it is open.
+
+    A ticket that no reading has shown for closed_after seconds is closed and leaves the state; a
+    reading that comes over that much later than others is dropped."""
     schema = "ticket long, read_at long, opened_at long, first_seen long, moved boolean"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat([*batches]).sort_values("read_at")
-        first = state.get[0] if state.exists else int(rows["opened_at"].iloc[0])
-        state.update((first,))
+        first, last = state.get if state.exists else (int(rows["opened_at"].iloc[0]), 0)
+        last = max(last, int(rows["read_at"].max()))
+        state.update((first, last))
+        state.setTimeoutTimestamp(max((last + closed_after) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"ticket": key[0], "read_at": rows["read_at"], "opened_at": rows["opened_at"], "first_seen": first, "moved": (rows["opened_at"] - first).abs() > tolerance})
 
-    return readings.groupBy("ticket").applyInPandasWithState(run, schema, "first_seen long", "append", GroupStateTimeout.NoTimeout)
+    timed = readings.withColumn("_at", F.timestamp_seconds("read_at")).withWatermark("_at", f"{closed_after} seconds")
+    return timed.groupBy("ticket").applyInPandasWithState(run, schema, "first_seen long, last_seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _segment(table: DataFrame, columns: list[str]) -> Column:
+    """A digest of rows whatever their order: sums of the row hashes' parts."""
+    line = F.sha2(F.to_json(F.struct(*[f"`{c}`" for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+    part = lambda a: F.coalesce(F.sum(F.conv(F.substring(line, a, 12), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", part(1), part(13), part(25)), 256)
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows, none if it was never written."""
+    schema = "seq long, rows long, segment string, chain string, status string"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ledger")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(f"{path}/ledger") if there else spark.createDataFrame([], schema)
 
 
 def ledger_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: appends the batch and a ledger row of its count and digest, chained to the one before. A replayed batch is written once."""
+    """A foreachBatch sink: appends the batch and a ledger row of its count and digest, chained to the one before. A replayed batch is written once.
+
+    A batch whose data was written before and whose ledger row was not (the writer died in between) is replaced and marked RECOVERED."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        line = F.sha2(F.to_json(F.struct(*sorted(batch.columns)), {"ignoreNullFields": "false"}), 256)
-        # a digest of the batch whatever its order: sums of the row hashes' parts
-        part = lambda a: F.coalesce(F.sum(F.conv(F.substring(line, a, 12), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
-        own = batch.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", part(1), part(13), part(25)), 256).alias("segment")).first()
-        try:
-            done = spark.read.parquet(f"{path}/ledger").where(F.col("seq") <= number).orderBy(F.desc("seq")).limit(1).collect()
-        except Exception as error:  # the first batch finds no ledger
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            done = []
+        own = batch.agg(F.count("*").alias("rows"), _segment(batch, batch.columns).alias("segment")).first()
+        done = _ledger(spark, path).where(F.col("seq") <= number).orderBy(F.desc("seq")).limit(1).collect()
         if done and done[0]["seq"] == number:
             return
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/batch={number}")
+        status = "RECOVERED" if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else "OK"
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-        was = done[0]["chain"] if done else ""
-        spark.range(1).select(F.lit(number).cast("long").alias("seq"), F.lit(own["rows"]).cast("long").alias("rows"), F.lit(own["segment"]).alias("segment"), F.sha2(F.lit(was + own["segment"]), 256).alias("chain")).write.mode("append").parquet(f"{path}/ledger")
+        chain = F.sha2(F.lit((done[0]["chain"] if done else "") + own["segment"]), 256)
+        row = spark.range(1).select(F.lit(number).cast("long").alias("seq"), F.lit(own["rows"]).cast("long").alias("rows"), F.lit(own["segment"]).alias("segment"), chain.alias("chain"), F.lit(status).alias("status"))
+        row.coalesce(1).write.mode("append").parquet(f"{path}/ledger")
 
     return write
 
 
 def audit_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, status): OK where the batch's rows still give the recorded segment, else TAMPERED."""
-    ledger = spark.read.parquet(f"{path}/ledger")
+    """(seq, rows, status) of the ledger's batches: the recorded status (OK or RECOVERED) where all agrees, else why not.
+
+    TAMPERED: the batch's rows don't give the recorded segment. BROKEN: the chain isn't that of the row
+    before, as when a row was changed or taken out. UNRECORDED: data without a ledger row. A row a batch."""
+    ledger = _ledger(spark, path)
     data = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
-    line = F.sha2(F.to_json(F.struct(*sorted(c for c in data.columns if c != "batch")), {"ignoreNullFields": "false"}), 256)
-    part = lambda a: F.sum(F.conv(F.substring(line, a, 12), 16, 10).cast("decimal(38,0)")).cast("string")
-    now = data.groupBy(F.col("batch").cast("long").alias("seq")).agg(F.count("*").alias("found"), F.sha2(F.concat_ws("|", part(1), part(13), part(25)), 256).alias("actual"))
-    return ledger.join(now, "seq", "left").select("seq", "rows", F.when((F.col("rows") == 0) & F.col("found").isNull() | (F.col("found") == F.col("rows")) & (F.col("actual") == F.col("segment")), "OK").otherwise("TAMPERED").alias("status")).orderBy("seq")
+    now = data.groupBy(F.col("batch").cast("long").alias("seq")).agg(F.count("*").alias("found"), _segment(data, [c for c in data.columns if c != "batch"]).alias("actual"))
+    # one row a batch, in the order that they are chained in
+    before = F.coalesce(F.lag("chain").over(Window.orderBy("seq")), F.lit(""))
+    linked = ledger.withColumn("links", F.col("chain") == F.sha2(F.concat(before, "segment"), 256))
+    same = (F.col("rows") == 0) & F.col("found").isNull() | F.coalesce((F.col("found") == F.col("rows")) & (F.col("actual") == F.col("segment")), F.lit(False))
+    status = F.when(F.col("rows").isNull(), "UNRECORDED").when(~same, "TAMPERED").when(~F.col("links"), "BROKEN").otherwise(F.col("status"))
+    return linked.join(now, "seq", "full").select("seq", F.coalesce("rows", "found").alias("rows"), status.alias("status")).orderBy("seq")
 
 
 def carry_log_rows(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,3 +152,23 @@ def carry_log_rows(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(~F.coalesce(F.col("timing_trusted"), F.lit(False)), "timing not trusted").when(~F.coalesce(F.col("offset_source").isin("measured", "explicit"), F.lit(False)), "offset not measured")
     marked = readings.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def carry_log_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of readings: accepted rows go to the carry log, the others to its quarantine with their reason. A replayed batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        for rows, name in zip(carry_log_rows(batch), ("log", "quarantine"), strict=True):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return write
+
+
+def alert_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of alerts as JSON lines, the most severe first in each batch. A replayed batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rank = F.array_position(F.array(*[F.lit(s) for s in RANK]), F.col("severity"))
+        batch.orderBy(rank, "code", "key").write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return write

@@ -142,6 +142,35 @@ def test_fit_agrees_with_one_machine(spark):
     assert leak > 0.8
 
 
+def test_fits_together_are_the_fits_alone():
+    rng = np.random.default_rng(9)
+    x, y = rng.standard_normal((120, 3)), (rng.random((120, 5)) < 0.4).astype(float)
+    own = rng.standard_normal((120, 5))
+    for steps, tolerance in ((50, None), (3000, 1e-3)):
+        many = ev.Logistic(steps, tolerance=tolerance).fit(x, y, own)
+        for k in range(5):
+            one = ev.Logistic(steps, tolerance=tolerance).fit(np.column_stack([x, own[:, k]]), y[:, k])
+            assert np.allclose(many.weights[:, k], one.weights) and np.allclose(many.intercept[k], one.intercept)
+            assert (many.iterations[k], many.converged[k], many.hit_cap[k]) == (one.iterations, one.converged, one.hit_cap)
+
+
+def test_null_fits_sum_up_the_forecasts(spark):
+    rng = np.random.default_rng(13)
+    rows = [("s", 0, i, "train" if i < 90 else "test", rng.standard_normal(2).tolist(), [float(rng.random() < 0.5), float(rng.random() < 0.3)]) for i in range(130)]
+    table = spark.createDataFrame([(s, f, i, role, x[0], x[1], ys) for s, f, i, role, x, ys in rows], "symbol string, fold int, bar_seq long, role string, a double, b double, ys array<double>")
+    sums = {(r["leak"], r["seed"]): r for r in ev.null_fits(table, {"all": ["a", "b"]}, ev.LEAKS).collect()}
+    assert len(sums) == 10
+    for seed in (0, 1):
+        own = table.withColumn("y", F.col("ys")[seed]).withColumn("seed", F.lit(seed)).drop("ys")
+        for leak in ev.LEAKS:
+            f = ev.fit_predict(own, {"all": ["a", "b"]}, leak).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2))).alias("e")).first()
+            r = sums[leak, seed]
+            assert (r["n"], r["sum_y"]) == (f["n"], f["y"]) and r["sum_error"] == pytest.approx(f["e"])
+            assert r["parameters"] == 3 + (leak in ("label_column", "target_means"))
+    study = ev.null_study(ev.pooled_skill(spark.createDataFrame([*sums.values()]), ["symbol", "leak", "seed"]), ["symbol", "leak"]).collect()
+    assert {r["leak"]: r["trips"] for r in study}["label_column"] and all(r["seeds"] == 2 for r in study)
+
+
 def test_permutation_keeps_the_labels(spark):
     rows = spark.createDataFrame([("s", i, float(i % 5 == 0)) for i in range(100)], "symbol string, bar_seq long, y double")
     out = ev.permuted(rows, 3)
@@ -155,6 +184,16 @@ def test_bootstrap(spark):
         assert r["low"] < r["mean"] < r["high"] and r["p_value"] == pytest.approx(1 / 401)
 
 
+def test_bootstrap_of_large_groups_in_pieces_has_the_same_spread(spark):
+    rng = np.random.default_rng(2)
+    v = np.cumsum(rng.standard_normal(9000) * 0.1) * 0.02 + rng.standard_normal(9000) + 0.02
+    rows = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)] + [("t", 0, 1.0), ("t", 1, 2.0)], "symbol string, bar_seq long, v double")
+    for block in (1, 10):
+        a, b = (ev.bootstrap_mean(rows, ["symbol"], "v", 1500, block, most=most).where("symbol = 's'").first() for most in (500_000, 100))
+        assert a["mean"] == pytest.approx(b["mean"]) and (a["high"] - a["low"]) == pytest.approx(b["high"] - b["low"], rel=0.15)
+    assert ev.bootstrap_mean(rows, ["symbol"], "v", 100, most=100).count() == 2
+
+
 def test_sizing(spark):
     r = ac.size_positions(spark.createDataFrame([(4637.20, 500.0, 32.0, 0.01, 0.01, 1.0, 0.01, 50.0, 0.01, 2000.0)], "equity double, atr_points double, spread_points double, point double, tick_size double, tick_value double, volume_min double, volume_max double, volume_step double, price double")).first()
     assert (r["adverse_points"], r["lots"]) == (782, 0.05)
@@ -233,6 +272,47 @@ def test_tick_stream_and_ledger(spark, tmp_path):
     assert [r["status"] for r in jobs.audit_ledger(spark, str(tmp_path / "ledger")).collect()] == ["OK", "TAMPERED"]
 
 
+def test_ledger_chain_and_recovery(spark, tmp_path):
+    path = str(tmp_path / "l")
+    sink = jobs.ledger_batch(path)
+    for n in range(3):
+        sink(spark.range(n * 10, n * 10 + 5), n)
+    # the writer died between data and ledger
+    spark.range(2).write.parquet(f"{path}/data/batch=3")
+    sink(spark.range(30, 35), 3)
+    status = lambda: [(r["seq"], r["status"]) for r in jobs.audit_ledger(spark, path).collect()]
+    assert status() == [(0, "OK"), (1, "OK"), (2, "OK"), (3, "RECOVERED")]
+    kept = [r.asDict() for r in spark.read.parquet(f"{path}/ledger").collect() if r["seq"] != 1]
+    spark.createDataFrame(kept, "seq long, rows long, segment string, chain string, status string").write.mode("overwrite").parquet(f"{path}/ledger")
+    assert status() == [(0, "OK"), (1, "UNRECORDED"), (2, "BROKEN"), (3, "RECOVERED")]
+
+
+def test_throttle_prefers_the_severe_of_one_second(spark):
+    df = spark.createDataFrame([("a", "C", "k", s, 5) for s in ("INFO", "WARN", "CRITICAL")] + [("b", "C", "k", s, 5) for s in ("INFO", "WARN")], jobs.ALERT)
+    assert sorted((r["account"], r["severity"]) for r in jobs.throttle(df).collect()) == [("a", "CRITICAL"), ("b", "WARN")]
+
+
+def test_sinks_of_alerts_and_carry_log(spark, tmp_path):
+    alerts = spark.createDataFrame([("a", "C", "k", s, 5) for s in ("INFO", "CRITICAL")], jobs.ALERT)
+    for _ in range(2):
+        jobs.alert_batch(str(tmp_path / "alerts"))(alerts, 0)
+        jobs.carry_log_batch(str(tmp_path / "carry"))(spark.createDataFrame([(1, True, "measured"), (2, False, "measured"), (3, True, "cached")], "ticket long, timing_trusted boolean, offset_source string"), 0)
+    assert [r["severity"] for r in spark.read.json(str(tmp_path / "alerts/batch=0")).collect()] == ["CRITICAL", "INFO"]
+    assert [r["ticket"] for r in spark.read.parquet(str(tmp_path / "carry/log")).collect()] == [1]
+    assert {r["ticket"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "carry/quarantine")).collect()} == {2: "timing not trusted", 3: "offset not measured"}
+
+
+def test_closed_tickets_leave_the_state(spark, tmp_path):
+    schema = "ticket long, read_at long, opened_at long"
+    start = lambda: jobs.openings_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "r")), closed_after=100).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    for rows in ([(1, 1000, 100), (2, 1000, 5)], [(2, 1090, 5)], [(2, 1400, 5)], [(1, 1500, 700), (2, 1500, 9)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "r"))
+        start()
+    got = sorted((r["ticket"], r["read_at"], r["first_seen"], r["moved"]) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    # ticket 1 was closed and forgotten: its number is a new position; 2 was read in time
+    assert (1, 1500, 700, False) in got and (2, 1500, 5, True) in got
+
+
 def test_throttle_stream_equals_batch(spark, tmp_path):
     rows = [("a", "C", "k", s, t) for s, t in (("WARN", 0), ("WARN", 10), ("CRITICAL", 20), ("WARN", 30), ("WARN", 3600), ("CRITICAL", 3625))] + [("b", "C", "k", "INFO", 5)]
     df = spark.createDataFrame(rows, jobs.ALERT)
