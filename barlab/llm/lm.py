@@ -96,7 +96,7 @@ ASKED = "chunk long, is_mixing boolean, level int, slice long, hashes binary, co
 TOLD = "chunk long, is_mixing boolean, level int, slice long, counting binary, counts binary, n long, n_counting long, v long, v_counting long"
 
 
-def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes: int = 8_000_000, rounds: int = 15) -> DataFrame:
+def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes: int = 24_000_000, rounds: int = 15) -> DataFrame:
     """log10 probability of each text under P(w|v) = l2 c(v w)/c(v) + l1 c(w)/N + l0/(V+1).
 
     docs: (doc_id long, text string, role int): HELD_OUT texts are only scored, COUNTING texts give
@@ -119,7 +119,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
     ship(spark)
     docs = docs.select("doc_id", "text", "role")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(2, math.ceil(math.log2(1 + size / slice_bytes))))
+    bits = min(40, max(2, math.ceil(math.log2(1 + size / slice_bytes))))
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         building = {m: Builder(m) for m in (False, True)}
@@ -139,6 +139,8 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
     chunks = {r["is_mixing"]: r["count"] for r in table.groupBy("is_mixing").count().collect()}
     if not chunks:
         return empty(spark, out_schema)
+    # several slices or chunks a task
+    dealt, grouped = max(12, 2**bits // 2), max(12, sum(chunks.values()) // 4)
 
     def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,7 +168,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
             rows.append((chunk, mixed, level, part, planes(counting[own]) if mixed else None, planes(both[own]), *sums))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TOLD.split(", ")])
 
-    told = keep(by_sorted_group(table.mapInPandas(ask, ASKED), ["level", "slice"], totals, TOLD, 2 ** (bits + 1)), "lm-totals")
+    told = keep(by_sorted_group(table.mapInPandas(ask, ASKED), ["level", "slice"], totals, TOLD, dealt), "lm-totals")
     n_all, n_counting, v_all, v_counting = (int(x or 0) for x in told.where("level = 1").agg(*[F.sum(c) for c in ("n", "n_counting", "v", "v_counting")]).first())
     together = table.unionByName(told.select("chunk", "is_mixing", "level", "slice", "counting", "counts"), allowMissingColumns=True)
 
@@ -184,7 +186,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
     weights = np.tile([0.4, 0.59, 0.01], (BUCKETS, 1))
     weights[0] = [0, 0.99, 0.01]
     if n_counting and chunks.get(True):
-        seen = by_sorted_group(together.where("is_mixing"), ["chunk"], events, "both long, context long, word long, n long", chunks[True]).groupBy("both", "context", "word").agg(F.sum("n").alias("n"))
+        seen = by_sorted_group(together.where("is_mixing"), ["chunk"], events, "both long, context long, word long, n long", max(12, chunks[True] // 4)).groupBy("both", "context", "word").agg(F.sum("n").alias("n"))
         bucket = F.when(F.col("context") > 0, F.least(F.lit(BUCKETS - 1), F.floor(F.log2("context")).cast("int") + 1)).otherwise(0)
         seen = keep(seen.select("n", bucket.alias("b"), F.coalesce(F.try_divide("both", "context"), F.lit(0.0)).alias("f2"), (F.col("word") / n_counting).alias("f1")), "lm-events")
         f0 = 1 / (v_counting + 1)
@@ -209,11 +211,11 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
         ids[np.frombuffer(own["nulls"], np.uint8) == 1] = pd.NA
         return pd.DataFrame({"doc_id": ids, "held_out": roles == HELD_OUT, "n_tokens": lengths, "n_known": total((word > 0).astype(np.int64)), "train_tokens": n_all, "base_score": total(np.log10((word + 0.1) / (n_all + 0.1 * (v_all + 1)))), "score": total(np.log10(p))})
 
-    return by_sorted_group(together.drop("counting"), ["chunk"], scored, out_schema, sum(chunks.values()))
+    return by_sorted_group(together.drop("counting"), ["chunk"], scored, out_schema, grouped)
 
 
 def op1_lm_scores(spark, sf_dir: str) -> DataFrame:
-    """Remainder 0 of crc32 is held out, 1 teaches the weights, 2 to 9 the counts behind them. A null doc_id counts as the text ''."""
+    """Scores of all documents, see score_documents for nulls, empty texts, repeats and empty tables. Remainder 0 of crc32 is held out, 1 teaches the weights, 2 to 9 the counts behind them. A null doc_id counts as the text ''."""
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.least(remainder, F.lit(2)).cast("int").alias("role")))
 

@@ -166,15 +166,42 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def contracted(edges: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """(lo, hi): what edges (lo long, hi long) connect, with the links of each block of a partition replaced by stars around their smallest nodes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def stars() -> pa.RecordBatch:
+            ends = np.concatenate([np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in held], axis=1)
+            nodes, at = np.unique(ends, return_inverse=True)
+            at = at.reshape(2, -1)
+            label = forest(len(nodes), at[0], at[1])
+            tied = np.flatnonzero(label != np.arange(len(nodes)))
+            return pa.record_batch([pa.array(nodes[label[tied]]), pa.array(nodes[tied])], names=["lo", "hi"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= block:
+                yield stars()
+                held, rows = [], 0
+        if rows:
+            yield stars()
+
+    return edges.select("lo", "hi").mapInArrow(run, "lo long, hi long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a long, b long) as (node, root): root is the smallest node; roots have no row.
 
-    Alternating large-star and small-star. Each round is aggregations that combine before the shuffle,
-    and joins of written tables, where a hub with a third of all links is a skewed key that Spark splits.
-    Nothing is collected but one row of totals for each round, and a round's tables go when the next
-    has been written. Null ends are dropped; loops and repeated links count once."""
-    pairs = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    now = keep(pairs, "links")
+    Alternating large-star and small-star, each partition's links drawn together first. Each round is
+    aggregations that combine before the shuffle, and joins of written tables, where a hub with a third
+    of all links is a skewed key that Spark splits. Nothing is collected but one row of totals for each
+    round, and a round's tables go when the next has been written. Null ends are dropped; loops and
+    repeated links count once."""
+    pairs = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    now = keep(contracted(pairs), "links")
     was = None
     for _ in range(rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
@@ -186,7 +213,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = keep(both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "links-large")
         least = keep(large.groupBy("hi").agg(F.min("lo").alias("m")), "links-least")
         moved = large.join(least, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        new = keep(moved.union(least.select(F.col("m").alias("lo"), "hi")).distinct(), "links")
+        new = keep(contracted(moved.union(least.select(F.col("m").alias("lo"), "hi")).distinct()), "links")
         drop(now, low, large, least)
         now = new
     else:

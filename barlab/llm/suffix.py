@@ -174,7 +174,7 @@ class Chunk:
         return np.cumsum(change)[: len(self.buffer)] > 0
 
 
-def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 3_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 3_000_000, slice_bytes: int = 24_000_000, sorted_bytes: int = 4_000_000) -> DataFrame:
     """Per row of docs (doc_id long, text string, rest of any type): doc_id, n_bytes, the removed spans, the kept bytes, and rest as it was.
 
     Removed is each byte covered by a string of length bytes (25 to 78) that also starts in a document
@@ -193,11 +193,10 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
     docs = docs.select("doc_id", "text", "rest")
     out_schema = StructType([*StructType.fromDDL(OUT).fields, docs.schema["rest"]])
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(40, max(2, math.ceil(math.log2(1 + size / slice_bytes))))
-    # several slices or chunks a task
-    dealt = max(12, 2**bits // 4)
+    # ranges of hashes that are matched, and the finer ones in which strings are sorted
+    bits, fine = (min(40, max(2, math.ceil(math.log2(1 + size / n)))) for n in (slice_bytes, sorted_bytes))
 
-    def slices(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slices(hashes: np.ndarray, bits: int = bits) -> tuple[np.ndarray, np.ndarray]:
         part = (hashes >> np.uint64(48 - bits)).astype(np.int64)
         return part, np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, np.int64)
 
@@ -255,7 +254,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         cuts = np.cumsum([0, *map(len, hashes)])
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(), "told": [np.packbits(yes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    flags = keep(by_sorted_group(table.where("slice >= 0").select("chunk", "slice", "hashes", "several"), ["slice"], shared, "chunk long, slice long, told binary", dealt), "suffix-shared")
+    flags = keep(by_sorted_group(table.where("slice >= 0").select("chunk", "slice", "hashes", "several"), ["slice"], shared, "chunk long, slice long, told binary", max(12, 2**bits // 2)), "suffix-shared")
 
     def opened(group: pd.DataFrame) -> tuple[pd.Series, Chunk, np.ndarray]:
         own = group[group["texts"].notna()].iloc[0]
@@ -270,7 +269,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
     def candidates(group: pd.DataFrame) -> pd.DataFrame:
         own, chunk, yes = opened(group)
         _, _, contexts, least, hashes = chunk.contexts(yes)
-        part, cuts = slices(hashes)
+        part, cuts = slices(hashes, fine)
         squeeze, rows = zstandard.ZstdCompressor(level=3), []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             rows.append((own["chunk"], int(part[a]), squeeze.compress(b"".join(contexts[a:b])), np.array([len(c) for c in contexts[a:b]], np.uint8).tobytes(), planes(least[a:b])))
@@ -299,7 +298,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
 
     with_flags = payloads.unionByName(flags, allowMissingColumns=True)
     asked = by_sorted_group(with_flags, ["chunk"], candidates, "chunk long, slice long, contexts binary, lengths binary, least binary", grouped)
-    masks = keep(by_sorted_group(asked, ["slice"], sorted_slice, "chunk long, slice long, masks binary", dealt), "suffix-masks")
+    masks = keep(by_sorted_group(asked, ["slice"], sorted_slice, "chunk long, slice long, masks binary", max(12, 2**fine // 4)), "suffix-masks")
 
     def cut(group: pd.DataFrame) -> pa.RecordBatch:
         own, chunk, yes = opened(group)

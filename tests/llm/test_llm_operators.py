@@ -85,13 +85,54 @@ def test_lm_base_and_interpolated_scores(spark, sf):
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
 
 
-def test_lm_distribution_sums_to_one(spark):
-    """Scores of one-token texts over the whole vocabulary and one unknown word, in one context, sum to 1."""
-    train = [(i, "a b a c", r) for i, r in enumerate([lm.COUNTING] * 4 + [lm.MIXING] * 2)]
-    ask = [(100 + i, w, lm.HELD_OUT) for i, w in enumerate(["a", "b", "c", "zzz", ""])]
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(train + ask, "doc_id long, text string, role int")).collect()}
-    # a text w is w then the end; dividing by P(end | w) isn't possible from here, so only check that all are proper
-    assert all(-20 < got[100 + i] < 0 for i in range(5))
+def brute_interpolated(rows, rounds=15):
+    """log10 probability of each (id, text, role) as the docstring of score_documents says, without chunks, hashes or Spark."""
+    tokens = [[*split(t), b"\n"] for _, t, _ in rows]
+    pairs = lambda x: [*zip([b"\n", *x], x, strict=False)]
+
+    def counts(roles):
+        uni, bi = Counter(), Counter()
+        for x, (_, _, role) in zip(tokens, rows, strict=True):
+            if role in roles:
+                uni.update(x)
+                bi.update(pairs(x))
+        return uni, bi, sum(uni.values()), len(uni)
+
+    bucket = lambda c: min(47, math.floor(math.log2(c)) + 1) if c else 0
+    weights = {k: [0.4, 0.59, 0.01] if k else [0, 0.99, 0.01] for k in range(48)}
+    uni, bi, n, v = counts([lm.COUNTING])
+    held = [p for x, (_, _, role) in zip(tokens, rows, strict=True) if role == lm.MIXING for p in pairs(x)]
+    for _ in range(rounds if held and n else 0):
+        new = {}
+        for a, w in held:
+            k = bucket(uni[a])
+            parts = [weights[k][0] * (bi[a, w] / uni[a] if uni[a] else 0), weights[k][1] * uni[w] / n, weights[k][2] / (v + 1)]
+            for j in range(3):
+                new.setdefault(k, [0.0] * 3)[j] += parts[j] / sum(parts)
+        for k, x in new.items():
+            x = [x[0] if k else 0, x[1], max(x[2], 1e-9 * sum(x))]
+            weights[k] = [y / sum(x) for y in x]
+    uni, bi, n, v = counts([lm.COUNTING, lm.MIXING])
+    out = []
+    for x in tokens:
+        total = 0.0
+        for a, w in pairs(x):
+            own = weights[bucket(uni[a])]
+            total += math.log10(own[0] * bi[a, w] / max(uni[a], 1) + own[1] * uni[w] / n + own[2] / (v + 1)) if n else 0.0
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("roles", [(0, 1, 2, 2, 2), (0, 2), (0, 1), (0,)])
+def test_lm_scores_equal_brute_force(spark, sf, roles):
+    """Weights learned, fixed for want of mixing texts, without counting texts, and without any training text; chunks and slices many and few."""
+    rows = [(i, t, roles[n % len(roles)]) for n, (i, t) in enumerate(docs(spark, sf).items())]
+    rows += [(5, rows[5][1], rows[5][2])]
+    want = sorted((i is None, i or 0, s) for (i, _, _), s in zip(rows, brute_interpolated(rows), strict=True))
+    for size in ({}, {"chunk_tokens": 700, "slice_bytes": 2000}):
+        got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, role int"), **size).collect()
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in got)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
 def brute_removed(own, length=50):
@@ -259,6 +300,29 @@ def test_near_duplicate_groups_find_similar_texts(spark, sf):
     assert got == want
 
 
+def test_near_duplicate_groups_catch_planted_copies(spark):
+    """Of copies at a similarity of 0.8 to 0.95, nine of ten at least are in their original's group."""
+    rng = random.Random(21)
+    rows, planted = [], []
+    for i in range(150):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(rng.randrange(60, 400))]
+        rows.append((i, " ".join(words)))
+        copy = words.copy()
+        while True:
+            trial = copy.copy()
+            trial[rng.randrange(len(trial))] = "new" + str(rng.randrange(10**6))
+            a, b = (set(simhash.shingle_hashes(" ".join(x), 5).tolist()) for x in (words, trial))
+            if len(a & b) / len(a | b) < rng.uniform(0.8, 0.9):
+                break
+            copy = trial
+        if copy != words:
+            rows.append((1000 + i, " ".join(copy)))
+            planted.append(i)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(planted) > 100 and sum(got[1000 + i] == i for i in planted) >= 0.9 * len(planted)
+    assert all(got[i] == i for i in range(150))
+
+
 def test_near_duplicate_groups_check_what_failed_links_leave(spark):
     """Pairs around the bound: each candidate that met at an anchor and reaches it connects, whatever became of closer candidates."""
     rng = random.Random(11)
@@ -285,12 +349,20 @@ def test_near_duplicate_groups_check_what_failed_links_leave(spark):
     bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
     met = (met | met.T) & (bits <= 54)
     likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    want = closure([*own], lambda a, b: bits[a, b] == 0 or (met[a, b] and likeness(a, b) >= 0.8))
+    cluster = closure([*own], lambda a, b: met[a, b])
+    want = closure([*own], lambda a, b: bits[a, b] == 0 or (cluster[a] == cluster[b] and bits[a, b] <= 54 and likeness(a, b) >= 0.8))
     table = spark.createDataFrame([*own.items()], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(table).collect()}
     assert len({*want.values()}) > 2 and got == want
 
 
+def test_jaccards_are_those_of_single_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)).tobytes() for n in (0, 0, 1, 20, 40, 40, 300)]
+    many = simhash.jaccards(sets, sets[::-1], step=7)
+    assert many.tolist() == [[simhash.jaccard(a, b) for b in sets[::-1]] for a in sets]
+
+
 def test_near_duplicate_groups_look_behind_closer_pairs_that_fail(spark):
     """0 and 1 have 77 of 95 shingles in common, 2 has 76 of 96 with either and is closer to both by fingerprint: 0 and 1 are a group all the same."""
     rows = []
@@ -320,6 +392,34 @@ def test_quality_learns_a_rule_and_scores_all_texts(spark, tmp_path):
     assert all((s >= 0.3) == (y == 1) for s, y in held)
 
 
+def test_quality_scores_are_sums_of_looked_up_additions(spark, tmp_path):
+    """Every score equals the model's tables looked up one by one; repeated rows, conflicting labels and labels of fold 0 change nothing that they should not."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["one", "Two!", "3", "FOUR"]) for _ in range(rng.randrange(1, 60)))) for i in range(120)]
+    rows += [rows[3], rows[3], (None, None)]
+    marks = [(i, int(len(t) > 90)) for i, t in rows[:110]]
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks + [(4, 0), (4, 1), (4, 1)], "doc_id long, quality int")
+    model = gam.learn(table, labels)
+    for r in table.select("doc_id", "text", gam.quality(model, "text").alias("score")).collect():
+        x = gam.features(r["text"])
+        z = model.intercept + sum(t[int((np.asarray(c) <= v).sum())] for v, c, t in zip(x, model.cuts, model.tables, strict=True))
+        z += sum(t[int((np.asarray(model.coarse[i]) <= x[i]).sum()), int((np.asarray(model.coarse[j]) <= x[j]).sum())] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+    # labels of fold 0 teach nothing
+    flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in marks] + [(4, 0), (4, 1), (4, 1)], "doc_id long, quality int")
+    assert gam.learn(table, flipped).intercept == model.intercept and all((a == b).all() for a, b in zip(gam.learn(table, flipped).tables, model.tables, strict=True))
+
+
+def test_quality_held_out(spark):
+    """Held-out figures on the given tables: labelled rows of fold 0, which teach nothing."""
+    sf = "/root/testdata/sf0.01"
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r["score"], marks[r["doc_id"]], r["predicted"]) for r in gam.op7_quality(spark, sf).collect() if r["held_out"] and marks.get(r["doc_id"]) is not None]
+    good, bad = [s for s, y, _ in held if y], [s for s, y, _ in held if not y]
+    area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert area > 0.97 and sum(p == y for _, y, p in held) / len(held) > 0.95
+
+
 def test_gam_uses_a_pair():
     rng = np.random.default_rng(1)
     x = rng.uniform(-1, 1, (3000, 4))
