@@ -26,11 +26,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = simhash.near_duplicate_groups(docs.select("doc_id", "text"))
     pairs = keep(found.groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("rows")), "rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    stays = pairs.groupBy("root").agg(F.min_by(F.struct("doc_id", "row_key"), order).alias("s"))
+    stays = keep(pairs.groupBy("root").agg(F.min_by(F.struct("doc_id", "row_key"), order).alias("s")), "stays")
     own = (F.col("p.doc_id").eqNullSafe(F.col("s.doc_id"))) & (F.col("p.row_key") == F.col("s.row_key"))
     told = pairs.alias("p").join(stays.select("root", "s.doc_id", "s.row_key").alias("s"), "root")
     told = keep(told.select(F.col("p.doc_id").alias("id"), F.col("p.row_key").alias("key"), own.alias("stays"), "rows"), "told")
-    drop(found, pairs)
+    drop(found, pairs, stays)
     columns = [f"`{c}`" for c in docs.columns]
     keyed = docs.withColumn("_row_key", simhash.row_key())
     same = (F.col("_row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
