@@ -61,7 +61,7 @@ def position_carry(positions: DataFrame, terms: DataFrame, now: int, offset: flo
 
     terms is a table of symbols (see declared_swaps), broadcast: an instrument list, not data. A position without terms stays, with a refusal."""
     t = terms.select("symbol", "point", point_value().alias("per_point"), "charge_long", "charge_short", F.lit(True).alias("has_terms"))
-    p = positions.join(F.broadcast(t), "symbol", "left")
+    p = positions.join(t, "symbol", "left")
     days = (F.lit(now) - F.col("opened_at")) / 86400.0
     paid, long = -F.col("swap"), F.col("direction") == "long"
     p = p.withColumns({"days_open": days, "nights": clock.nights_between(F.col("opened_at"), F.lit(now), F.lit(offset)) if offset is not None else F.lit(None).cast("long"), "carry_paid": paid})
@@ -115,6 +115,17 @@ def swap_divergence(terms: DataFrame, measured: DataFrame, registered: dict[str,
     return told.withColumn("bears_on_registry", (F.col("verdict") == "OPTIMISTIC") | F.col("price_dependent"))
 
 
+def annual_carry(terms: DataFrame, prices: DataFrame) -> DataFrame:
+    """(symbol, direction, nightly_points, annual_pct): the published nightly charge over a year in percent of a lot's value at prices (symbol, price).
+
+    Null where the charge can't be converted to points or there is no positive price."""
+    side = lambda d: F.struct(F.lit(d).alias("direction"), F.col(f"charge_{d}").alias("nightly_points"))
+    rows = terms.join(prices, "symbol", "left").select("symbol", "point", "price", F.explode(F.array(side("long"), side("short"))).alias("x")).select("symbol", "point", "price", "x.*")
+    # both the charge and the lot's value are points times the value of a point
+    pct = F.when(F.col("price") > 0, 100.0 * 365.0 * F.col("nightly_points") * F.col("point") / F.col("price"))
+    return rows.select("symbol", "direction", "nightly_points", pct.alias("annual_pct"))
+
+
 def daily_loss(accounts: DataFrame, positions: DataFrame, deals: DataFrame, now: int, offset: float | None, limit_pct: float = 2.0) -> DataFrame:
     """Per account: the server day's realised and floating result against the limit, the balance it opened at being equity less both. Without a clock: a refusal."""
     if offset is None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -14,17 +14,30 @@ def fold_geometry(bars: DataFrame, n_folds: int = 5, first_share: float = 0.5) -
     return folds.select("symbol", "fold", (F.col("first") + F.col("fold") * F.col("size")).alias("test_start"), (F.col("first") + (F.col("fold") + 1) * F.col("size")).alias("test_end"))
 
 
+def refused_series(bars: DataFrame, n_folds: int = 5, first_share: float = 0.5) -> DataFrame:
+    """(symbol, bars, refusal): series too short to be cut into the folds, which fold_geometry leaves out."""
+    size = bars.groupBy("symbol").agg((F.max("bar_seq") + 1).alias("bars"))
+    short = F.floor((F.col("bars") - F.floor(F.col("bars") * first_share)) / n_folds) <= 0
+    return size.where(short).select("symbol", "bars", F.lit("SERIES_TOO_SHORT").alias("refusal"))
+
+
+def embargoed(at: Column, test_end: Column, horizon: int) -> Column:
+    """Whether a row lies so close after a test window that the window's labels reach it."""
+    return (at >= test_end) & (at < test_end + horizon)
+
+
 def walk_forward(bars: DataFrame, folds: DataFrame, horizon: int, spacing: int | None = None, embargo: bool = True) -> DataFrame:
     """(symbol, fold, bar_seq, role) with role train, test, purged or embargoed, of bars (symbol, bar_seq, valid).
 
     Test rows are spaced from the window's start first and filtered by valid second; training rows are
-    the valid ones before it whose label ends before it opens. The folds are a few rows a symbol."""
+    the valid ones before it whose label ends before it opens. Windows expand, so only rows
+    before the window may train and none of them is embargoed; the count shows that."""
     spacing = spacing or horizon
-    joined = bars.where("valid").join(F.broadcast(folds), "symbol").where("bar_seq < test_end")
+    joined = bars.where("valid").join(folds, "symbol").where("bar_seq < test_end")
     at, start = F.col("bar_seq"), F.col("test_start")
     role = F.when(at >= start, F.when((at - start) % spacing == 0, "test")).when(at + horizon >= start, "purged")
     if embargo:
-        role = role.when((at >= F.col("test_end")) & (at < F.col("test_end") + horizon), "embargoed")
+        role = role.when(embargoed(at, F.col("test_end"), horizon), "embargoed")
     return joined.select("symbol", "fold", "bar_seq", role.otherwise("train").alias("role")).where("role is not null")
 
 
@@ -52,7 +65,7 @@ def brier(forecasts: DataFrame, by: list[str]) -> DataFrame:
 def improvement(forecasts: DataFrame, by: list[str]) -> DataFrame:
     """forecasts with gain, (base - y)^2 - (p - y)^2, the base being the group's; the small table of bases is joined back."""
     bases = forecasts.groupBy(*by).agg(F.avg("y").alias("base"))
-    return forecasts.join(F.broadcast(bases), by).withColumn("gain", F.pow(F.col("base") - F.col("y"), F.lit(2)) - F.pow(F.col("p") - F.col("y"), F.lit(2))).drop("base")
+    return forecasts.join(bases, by).withColumn("gain", F.pow(F.col("base") - F.col("y"), F.lit(2)) - F.pow(F.col("p") - F.col("y"), F.lit(2))).drop("base")
 
 
 def hit_rates(forecasts: DataFrame, by: list[str]) -> DataFrame:
@@ -69,7 +82,7 @@ def target_means(rows: DataFrame, feature: str, label: str, bucket: int = 4) ->
 def standardise(members: DataFrame, columns: list[str]) -> DataFrame:
     """members with each column less its training mean over its training population deviation (1 if that is 0), by symbol and fold."""
     fit = members.where("role = 'train'").groupBy("symbol", "fold").agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
-    joined = members.join(F.broadcast(fit), ["symbol", "fold"])
+    joined = members.join(fit, ["symbol", "fold"])
     return joined.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std")) for c in columns}).drop(*[f"{c}_{k}" for c in columns for k in ("mean", "std")])
 
 

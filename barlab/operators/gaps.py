@@ -59,3 +59,23 @@ def window_validity(bars: DataFrame, horizon: int = 24, lookback: int = 24, hold
     whole = lambda a, b: (F.sum(bad).over(w.rowsBetween(a, b)) == 0) & (F.count("*").over(w.rowsBetween(a, b)) == b - a + 1)
     halo = with_halo(bars, back=lookback - 1, ahead=max(horizon, hold + 1))
     return without_halo(halo.withColumns({"label_valid": whole(0, horizon), "feature_valid": whole(-(lookback - 1), 0), "trade_valid": whole(0, hold + 1)}))
+
+
+def break_ledger(bars: DataFrame, gaps: DataFrame, dense: int = 20) -> DataFrame:
+    """Per symbol the days that should hold one missing bar against the one-bar gaps that are there, and what is left over.
+
+    Of days with dense bars or more those count that have not all 24, are no short Friday and hold no early close."""
+    days = bars.groupBy("symbol", day_number(F.col("time")).alias("day")).agg(F.count("*").alias("n")).where(F.col("n") >= dense)
+    # day 1 since the epoch was a Friday
+    friday = F.pmod(F.col("day") - 1, F.lit(7)) == 0
+    early = gaps.where("cause = 'early_close'").select("symbol", day_number(F.col("before")).alias("day")).distinct().withColumn("early", F.lit(True))
+    whole, early_day = F.col("n") == 24, F.coalesce(F.col("early"), F.lit(False))
+    of = days.join(early, ["symbol", "day"], "left").groupBy("symbol").agg(
+        F.count("*").alias("dense"), F.count_if(whole).alias("whole"), F.count_if(F.col("n") == 23).alias("with_23"), F.count_if(~whole & friday).alias("short_fridays"), F.count_if(~whole & ~friday & early_day).alias("early_closes"),
+    )
+    single = gaps.groupBy("symbol").agg(F.count_if(F.col("missing") == 1).alias("one_bar_gaps"), F.count_if(F.col("cause") == "daily_break").alias("breaks"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    told = bars.select("symbol").distinct().join(of, "symbol", "left").join(single, "symbol", "left")
+    told = told.select("symbol", *[zero(c).alias(c) for c in ("dense", "whole", "with_23", "short_fridays", "early_closes", "one_bar_gaps", "breaks")])
+    expected = F.col("dense") - F.col("whole") - F.col("short_fridays") - F.col("early_closes")
+    return told.withColumns({"expected": expected, "residual": expected - F.col("one_bar_gaps")})

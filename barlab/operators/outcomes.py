@@ -51,12 +51,13 @@ def barrier_outcomes(decisions: DataFrame, bars: DataFrame, variants: DataFrame,
     the target; a stop fills at the worse of its level and the open, a target at its level, and after
     hold bars the position closes at the next open. All bars a decision needs come by one equi-join on
     (symbol, bar_seq); the first touch is an aggregation. Decisions without a positive range or with too
-    few bars after them are left out."""
-    asked = decisions.where("atr > 0").withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(risk.hold + 1))))
+    few bars after them have no outcome; run_arms shows them as refused."""
+    asked = decisions.where("atr > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(risk.hold + 1))))
     path = asked.withColumn("at", F.col("bar_seq") + F.col("k")).join(bars.select("symbol", F.col("bar_seq").alias("at"), "utc", "multiplier", "open", "high", "low"), ["symbol", "at"])
     bar = F.struct("k", "utc", "multiplier", "open", "high", "low")
-    gathered = path.groupBy("symbol", "bar_seq", "atr", "sign").agg(F.sort_array(F.collect_list(bar)).alias("path")).where(F.size("path") == risk.hold + 1)
-    rows = gathered.join(F.broadcast(variants))
+    gathered = path.groupBy("symbol", "bar_seq", "atr").agg(F.sort_array(F.collect_list(bar)).alias("path")).where(F.size("path") == risk.hold + 1)
+    # a decision's bars move once; directions and the few cost variants are told apart after that
+    rows = gathered.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).join(F.broadcast(variants))
     sign, atr = F.col("sign"), F.col("atr")
     first = F.col("path")[0]
     entry = first["open"]
@@ -112,7 +113,8 @@ def crossover_arm(bars: DataFrame, decisions: DataFrame, fast: int = 8, slow: in
 def run_arms(arms: DataFrame, outcomes: DataFrame, variant_names: list[str]) -> DataFrame:
     """arms (symbol, bar_seq, arm, sign) with each decision's outcome in each variant; a flat one has r 0 and no trade.
 
-    Outcomes are worked out once for each direction, so any number of arms costs one join."""
+    Outcomes are worked out once for each direction, so any number of arms costs one join. A decision
+    without an outcome stays, with a null r."""
     asked = arms.select("symbol", "bar_seq", "arm", "sign").withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variant_names])))
     return asked.join(outcomes, ["symbol", "bar_seq", "sign", "variant"], "left").withColumn("r", F.when(F.col("sign") == 0, 0.0).otherwise(F.col("r")))
 

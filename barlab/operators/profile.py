@@ -56,9 +56,9 @@ def density(days: DataFrame, dense: int = 20) -> DataFrame:
 def density_boundary(days: DataFrame, sparse: int = 3, dense: int = 20) -> DataFrame:
     """Per symbol: days by class, the last one left out, the first dense day, and whether no sparse day follows it."""
     last = days.groupBy("symbol").agg(F.max("day").alias("last"))
-    full = days.join(F.broadcast(last), "symbol").where("day < last")
+    full = days.join(last, "symbol").where("day < last")
     first = full.where(F.col("bars") >= dense).groupBy("symbol").agg(F.min("day").alias("first_dense"))
-    return full.join(F.broadcast(first), "symbol", "left").groupBy("symbol").agg(
+    return full.join(first, "symbol", "left").groupBy("symbol").agg(
         F.count_if(F.col("bars") <= sparse).alias("sparse"), F.count_if((F.col("bars") > sparse) & (F.col("bars") < dense)).alias("middling"), F.count_if(F.col("bars") >= dense).alias("dense"), F.first("first_dense").alias("first_dense"),
         (F.count_if((F.col("bars") <= sparse) & (F.col("day") > F.col("first_dense"))) == 0).alias("cliff"),
     )
@@ -75,7 +75,7 @@ def modal_anomalies(days: DataFrame) -> DataFrame:
     """days (symbol, day, weekday, bars) from Tuesday to Thursday that are one bar off the symbol's modal count."""
     mid = days.where(F.col("weekday").between(1, 3))
     modal = modal_with_purity(mid.groupBy("symbol", "bars").agg(F.count("*").alias("n")), ["symbol"], "bars")
-    return mid.join(F.broadcast(modal.select("symbol", "modal")), "symbol").where(F.abs(F.col("bars") - F.col("modal")) == 1).select("symbol", "day", "bars", "modal")
+    return mid.join(modal.select("symbol", "modal"), "symbol").where(F.abs(F.col("bars") - F.col("modal")) == 1).select("symbol", "day", "bars", "modal")
 
 
 def meet(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -180,7 +180,7 @@ def first_mismatches(hours: DataFrame, minutes: DataFrame, n: int = 10) -> DataF
 def stride_sample(rows: DataFrame, most: int, order: str = "bar_seq") -> DataFrame:
     """At most so many rows of each symbol, evenly spaced by their dense number."""
     size = rows.groupBy("symbol").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / most).cast("long")).alias("stride"))
-    return rows.join(F.broadcast(size), "symbol").where(F.col(order) % F.col("stride") == 0).drop("stride")
+    return rows.join(size, "symbol").where(F.col(order) % F.col("stride") == 0).drop("stride")
 
 
 def dst_fingerprint(anchors: DataFrame, least: int = 8, purity: float = 0.8) -> DataFrame:

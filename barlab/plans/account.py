@@ -58,7 +58,7 @@ def position_sizes_all(spark, d):
 
 
 def _sizes(spark, d, how):
-    rows = _positions(spark, d).join(_accounts(spark, d).select("account", "equity"), "account", how).join(F.broadcast(_terms(spark)), "symbol", how)
+    rows = _positions(spark, d).join(_accounts(spark, d).select("account", "equity"), "account", how).join(_terms(spark), "symbol", how)
     rows = rows.withColumn("atr_points", (F.col("ticket") % 50) * 10.0).withColumn("price", F.col("price_open"))
     return _rounded(ac.size_positions(rows).select("ticket", "lots", "adverse_points", "stop_long", "stop_short", "refusal"))
 
@@ -87,6 +87,11 @@ def swap_divergence(spark, d):
     return ac.swap_divergence(_terms(spark), ac.measured_points(_carries(spark, d)), {"long": 6.0, "short": 8.0})
 
 
+def annual_carry(spark, d):
+    """At the mean opening price of each symbol's open positions."""
+    return _rounded(ac.annual_carry(_terms(spark), _positions(spark, d).groupBy("symbol").agg(F.avg("price_open").alias("price"))), 6)
+
+
 def _daily(spark, d):
     return ac.daily_loss(_accounts(spark, d), _positions(spark, d), _deals(spark, d), NOW, OFFSET)
 
@@ -153,7 +158,7 @@ def charge_structure(spark, d):
     return _rounded(ac.charge_structure(ac.nightly_charges(_log(spark, d))), 7)
 
 
-QUERIES = {f.__name__: f for f in (position_sizes, position_sizes_all, position_carry, carry_projection, portfolio_carry, measured_points, swap_divergence, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, heartbeat, clock_offsets, nightly_charges, charge_structure)}
+QUERIES = {f.__name__: f for f in (position_sizes, position_sizes_all, position_carry, carry_projection, portfolio_carry, measured_points, swap_divergence, annual_carry, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, heartbeat, clock_offsets, nightly_charges, charge_structure)}
 _lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
 _PV = "CASE WHEN point > 0 AND tick_size > 0 AND tick_value > 0 THEN tick_value * point / tick_size END"
 _W = "CAST(floor(epoch({0})) AS BIGINT)"
@@ -220,6 +225,9 @@ SELECT ticket, CASE WHEN refusal IS NULL THEN {_d('lots', 6)} END AS lots, CASE
     "carry_projection": f"WITH {ACCOUNT} SELECT account, ticket, CAST(h AS INTEGER) AS horizon, {_d('rate * h', 10)} AS carry, {_d('paid + rate * h', 10)} AS total, CASE WHEN equity > 0 THEN {_d('100.0 * rate * h / equity', 10)} END AS pct_of_equity FROM carries, (VALUES (7), (30), (60), (90)) v(h)",
     "portfolio_carry": f"WITH {ACCOUNT} SELECT account, positions, {', '.join(f'{_d(c, 4)} AS {c}' for c in ('carry_paid', 'rate', 'rate_declared', 'rate_measured', 'equity', 'days_to_zero'))}, partial FROM books",
     "measured_points": f"WITH {ACCOUNT} SELECT symbol, direction, positions, {_d('daily')} AS daily_points, {_d('nightly')} AS nightly_points FROM weighted",
+    "annual_carry": f"""WITH {ACCOUNT}, prices AS (SELECT symbol, avg(price_open) AS price FROM positions GROUP BY symbol),
+sided_terms AS (SELECT symbol, point, 'long' AS direction, charge_long AS c FROM terms UNION ALL SELECT symbol, point, 'short', charge_short FROM terms)
+SELECT symbol, direction, {_d('c', 6)} AS nightly_points, CASE WHEN price > 0 THEN {_d('36500.0 * c * point / price', 6)} END AS annual_pct FROM sided_terms LEFT JOIN prices USING (symbol)""",
     "swap_divergence": f"WITH {ACCOUNT} SELECT * FROM diverging",
     "daily_loss": f"WITH {ACCOUNT} SELECT account, {', '.join(f'{_d(c, 4)} AS {c}' for c in ('equity', 'realised', 'floating', 'loss', 'used'))}, {_d('lim', 4)} AS \"limit\", CAST(deals AS BIGINT) AS deals, CAST(carried_in AS BIGINT) AS carried_in, breached FROM days",
     "concurrency": f"WITH {ACCOUNT} SELECT * FROM counts",

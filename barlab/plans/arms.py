@@ -9,6 +9,7 @@ from barlab.operators import features as fe
 from barlab.operators import outcomes as ou
 from barlab.plans import sql as q
 from barlab.plans.bars import _rounded, ny
+from barlab.sources.shared import written
 from barlab.sources.tables import hourly_bars
 
 GRID = (0.0, 10.0, 25.0, 50.0, 75.0, 100.0, 150.0, 200.0, 400.0)
@@ -27,8 +28,9 @@ def _decisions(b):
 
 
 def _outcomes(spark, d, models):
-    b = _bars(spark, d)
-    return _decisions(b), ou.barrier_outcomes(_decisions(b).drop("p"), ou.point_bars(b), costs.variants(spark, models))
+    b = written(_bars(spark, d), "arm-bars")
+    asked = written(_decisions(b), "decisions")
+    return asked, ou.barrier_outcomes(asked.drop("p"), ou.point_bars(b), costs.variants(spark, models))
 
 
 def spread_multipliers(spark, d):
@@ -48,6 +50,7 @@ def barrier_outcomes(spark, d):
 
 def _runs(spark, d, models=BASE):
     asked, out = _outcomes(spark, d, models)
+    out = written(out, "outcomes")
     done = out.where("variant = 'base' and sign = 1").select("symbol", "bar_seq")
     asked = asked.join(done, ["symbol", "bar_seq"], "left_semi")
     arms = ou.signal_arm(asked).unionByName(ou.long_arm(asked))
@@ -69,6 +72,7 @@ def cost_invariance(spark, d):
 def random_arm_summary(spark, d):
     """Thirty random arms over the same decisions, in one job."""
     asked, out = _outcomes(spark, d, {"base": costs.CostModel()})
+    out = written(out, "outcomes")
     asked = asked.join(out.where("sign = 1").select("symbol", "bar_seq"), ["symbol", "bar_seq"], "left_semi")
     return ou.arm_summary(ou.run_arms(ou.random_arms(asked), out, ["base"]))
 

@@ -34,6 +34,11 @@ def checked_bars(spark, d):
     return ga.bar_validity(hourly_bars(spark, d), gaps(spark, d))
 
 
+def break_ledger(spark, d):
+    """Days that should hold a break against the one-bar gaps of the hourly series."""
+    return ga.break_ledger(hourly_bars(spark, d), gaps(spark, d))
+
+
 def bar_validity(spark, d):
     return checked_bars(spark, d).select("symbol", "time", "valid")
 
@@ -156,7 +161,7 @@ def offset_scan_minutes(spark, d):
     return scan_offsets(tick_bars(t, 3600), tick_bars(t, 60))
 
 
-QUERIES = {f.__name__: f for f in (bars_h1, gaps, gap_census, bar_validity, window_validity, returns, range_features, atr, rolling_median, rolling_median_short, direction_labels, volatility_labels, label_summary, outcomes_ahead, polynomial, causality, bar_clock, ambiguous_hours, weekly_boundaries, order_holidays, order_eras, minute_readings, offset_scan, offset_scan_minutes)}
+QUERIES = {f.__name__: f for f in (bars_h1, gaps, gap_census, break_ledger, bar_validity, window_validity, returns, range_features, atr, rolling_median, rolling_median_short, direction_labels, volatility_labels, label_summary, outcomes_ahead, polynomial, causality, bar_clock, ambiguous_hours, weekly_boundaries, order_holidays, order_eras, minute_readings, offset_scan, offset_scan_minutes)}
 _r = lambda x, n=6: f"round({x}, {n})"
 _ret = lambda n: f"ln(close / lag(close, {n}) {q.SERIES}))"
 _vol = f"CASE WHEN {q.trailing('count(step)', 24)} = 24 THEN {q.trailing('stddev_pop(step)', 24)} END"
@@ -172,6 +177,19 @@ def ny(utc: str) -> str:
 SQL = {
     "bars_h1": f"WITH {q.BARS} SELECT symbol, time, bar_seq, open, high, low, close, tick_volume, n FROM bars",
     "gaps": f"WITH {q.BARS}, {q.GAPS} SELECT * FROM gaps",
+    "break_ledger": f"""WITH {q.BARS}, {q.GAPS},
+day_counts AS (SELECT symbol, time // 86400 AS day, count(*) AS n FROM bars GROUP BY ALL HAVING count(*) >= 20),
+early AS (SELECT DISTINCT symbol, before // 86400 AS day, true AS early FROM gaps WHERE cause = 'early_close'),
+of AS (
+  SELECT symbol, count(*) AS dense, count(*) FILTER (n = 24) AS whole, count(*) FILTER (n = 23) AS with_23, count(*) FILTER (n <> 24 AND (day + 6) % 7 = 0) AS short_fridays,
+    count(*) FILTER (n <> 24 AND (day + 6) % 7 <> 0 AND early) AS early_closes
+  FROM day_counts LEFT JOIN early USING (symbol, day) GROUP BY symbol),
+single AS (SELECT symbol, count(*) FILTER (missing = 1) AS one_bar_gaps, count(*) FILTER (cause = 'daily_break') AS breaks FROM gaps GROUP BY symbol),
+told AS (
+  SELECT symbol, coalesce(dense, 0) AS dense, coalesce(whole, 0) AS whole, coalesce(with_23, 0) AS with_23, coalesce(short_fridays, 0) AS short_fridays, coalesce(early_closes, 0) AS early_closes,
+    coalesce(one_bar_gaps, 0) AS one_bar_gaps, coalesce(breaks, 0) AS breaks
+  FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN of USING (symbol) LEFT JOIN single USING (symbol))
+SELECT *, dense - whole - short_fridays - early_closes AS expected, dense - whole - short_fridays - early_closes - one_bar_gaps AS residual FROM told""",
     "gap_census": f"WITH {q.BARS}, {q.GAPS} SELECT c.cause, count(g.cause) AS n, CAST(coalesce(sum(g.missing), 0) AS BIGINT) AS missing FROM (VALUES ('out_of_window'), ('weekend'), ('daily_break'), ('holiday'), ('early_close'), ('unknown')) c(cause) LEFT JOIN gaps g USING (cause) GROUP BY c.cause",
     "bar_validity": f"WITH {q.VALID} SELECT symbol, time, valid FROM checked",
     "window_validity": f"WITH {q.VALID} SELECT symbol, bar_seq, {q.whole(0, 5)} AS label_valid, {q.whole(-4, 0)} AS feature_valid, {q.whole(0, 25)} AS trade_valid FROM checked",

@@ -10,7 +10,8 @@ INVARIANTS = ("weekly_close", "release_hour", "volume_peak", "daily_break")
 
 def table_digest(rows: DataFrame, by: str, seq: str, columns: list[str], chunk: int = 1000) -> DataFrame:
     """(by, rows, digest): a hash of the values alone, whatever the files look like. Rows are hashed one by one, each run of chunk numbers into one digest, and those into the group's."""
-    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    # a row's JSON tells nulls from empty strings and columns from one another
+    line = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     chunks = rows.groupBy(by, F.floor(F.col(seq) / chunk).alias("chunk")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq, line.alias("h")))), lambda x: x["h"]), ""), 256).alias("d"))
     return chunks.groupBy(by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
 
