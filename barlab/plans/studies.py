@@ -34,7 +34,7 @@ def _rows(spark, d, specs=tuple(BASE), horizon=5):
 
 
 def _permuted_rows(spark, d):
-    rows = _rows(spark, d)
+    rows = written(_rows(spark, d), "fold-rows")
     labels = ev.permuted_labels(rows.select("symbol", "bar_seq", "y").distinct(), SEEDS)
     return rows.drop("y").join(labels, ["symbol", "bar_seq"])
 
