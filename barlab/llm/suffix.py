@@ -174,7 +174,7 @@ class Chunk:
         return np.cumsum(change)[: len(self.buffer)] > 0
 
 
-def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 3_000_000, slice_bytes: int = 24_000_000, sorted_bytes: int = 4_000_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 2_000_000, slice_bytes: int = 6_000_000, sorted_bytes: int = 4_000_000) -> DataFrame:
     """Per row of docs (doc_id long, text string, rest of any type): doc_id, n_bytes, the removed spans, the kept bytes, and rest as it was.
 
     Removed is each byte covered by a string of length bytes (25 to 78) that also starts in a document
