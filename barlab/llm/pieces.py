@@ -47,19 +47,17 @@ class Pieces:
         self.most, self.known = most, {}
 
     def _viterbi(self, s: str) -> list[int]:
-        ends: list[list[tuple]] = [[] for _ in s]
-        for end, match in self.automaton.iter(s):
-            ends[end].append(match)
-        best, back = [0.0], [(0, -1)]
-        for at, matches in enumerate(ends):
-            top, step = best[at] + self.unknown, (1, -1)
-            for i, score, size in matches:
-                x = best[at + 1 - size] + score
-                if x > top or (x == top and size > step[0]):
-                    top, step = x, (size, i)
-            best.append(top)
-            back.append(step)
-        out, at = [], len(s)
+        # best sum and last step (length, piece) up to each position; a place that no piece ends at is a character of bytes
+        n, unknown = len(s), self.unknown
+        best, back, at = [0.0] * (n + 1), [(1, -1)] * (n + 1), -1
+        for end, (i, score, size) in self.automaton.iter(s):
+            while at < end:
+                at += 1
+                best[at + 1] = best[at] + unknown
+            x, own = best[end + 1 - size] + score, back[end + 1]
+            if x > best[end + 1] or (x == best[end + 1] and size > own[0]):
+                best[end + 1], back[end + 1] = x, (size, i)
+        out, at = [], n
         while at:
             size, i = back[at]
             out += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(s[at - 1 : at].encode("utf-8", "surrogatepass"))]
