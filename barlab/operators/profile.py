@@ -50,7 +50,13 @@ def upper_median(values: Column) -> Column:
 
 def density(days: DataFrame, dense: int = 20) -> DataFrame:
     """days (symbol, year, day, bars): per year and, with year null, in all: days, dense days, their share, bars, the upper median."""
-    return days.rollup("symbol", "year").agg(F.count("*").alias("days"), F.sum("bars").alias("bars"), F.count_if(F.col("bars") >= dense).alias("dense"), upper_median(F.collect_list("bars")).alias("median_bars")).where("symbol is not null").withColumn("dense_share", F.col("dense") / F.col("days"))
+    # days are counted by their number of bars first, so no group's days meet in one row
+    counts = days.groupBy("symbol", "year", "bars").agg(F.count("*").alias("k"))
+    each = counts.select("symbol", F.explode(F.array("year", F.lit(None))).alias("year"), "bars", "k").groupBy("symbol", "year", "bars").agg(F.sum("k").alias("k"))
+    upto = each.withColumn("upto", F.sum("k").over(Window.partitionBy("symbol", "year").orderBy("bars"))).withColumn("n", F.sum("k").over(Window.partitionBy("symbol", "year")))
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("bars")))
+    g = upto.where("symbol is not null").groupBy("symbol", "year").agg(F.sum("k").alias("days"), F.sum(F.col("k") * F.col("bars")).alias("bars"), F.sum(F.when(F.col("bars") >= dense, F.col("k")).otherwise(0)).alias("dense"), median.alias("median_bars"))
+    return g.withColumn("dense_share", F.col("dense") / F.col("days"))
 
 
 def density_boundary(days: DataFrame, sparse: int = 3, dense: int = 20) -> DataFrame:
