@@ -214,7 +214,13 @@ alerts AS (
   UNION ALL SELECT account, 'DISCONNECTED', 'CRITICAL', 'reading' FROM accounts LEFT JOIN seen USING (account) WHERE NOT coalesce({NOW + 432000 - 86400} - last <= 172800, false)
   UNION ALL SELECT DISTINCT account, 'SWAP_DIVERGENCE', 'CRITICAL', symbol FROM positions JOIN diverging USING (symbol) WHERE bears_on_registry)"""
 _d = lambda x, n=5: f"round(CAST({x} AS DOUBLE), {n}) + 0.0"
-LOG = f"log0 AS (SELECT l_suppkey AS ticket, {_W.format('l_shipdate')} AS tick, min(l_extendedprice) AS price, sum(l_linenumber) AS n FROM lineitem GROUP BY ALL), log AS (SELECT *, sum(n * 1.5) OVER (PARTITION BY ticket ORDER BY tick) AS carry FROM log0), steps AS (SELECT *, CAST(round(carry - lag(carry) OVER (PARTITION BY ticket ORDER BY tick), 8) AS DOUBLE) AS charge FROM log), units AS (SELECT ticket, median(abs(charge)) AS unit FROM steps WHERE charge <> 0 GROUP BY ticket), charges AS (SELECT s.ticket, s.tick, s.charge, u.unit, greatest(1.0, round_even(abs(s.charge) / u.unit, 0)) AS multiplier, CAST(((tick + 7200) // 86400 + 3) % 7 AS INTEGER) AS weekday, s.price FROM steps s JOIN units u USING (ticket) WHERE s.charge <> 0)"
+LOG = f"""log0 AS (SELECT l_suppkey AS ticket, {_W.format('l_shipdate')} AS tick, min(l_extendedprice) AS price, sum(l_linenumber) AS n FROM lineitem
+GROUP BY ALL),
+log AS (SELECT *, sum(n * 1.5) OVER (PARTITION BY ticket ORDER BY tick) AS carry FROM log0),
+steps AS (SELECT *, CAST(round(carry - lag(carry) OVER (PARTITION BY ticket ORDER BY tick), 8) AS DOUBLE) AS charge FROM log),
+units AS (SELECT ticket, median(abs(charge)) AS unit FROM steps WHERE charge <> 0 GROUP BY ticket),
+charges AS (SELECT s.ticket, s.tick, s.charge, u.unit, greatest(1.0, round_even(abs(s.charge) / u.unit, 0)) AS multiplier, CAST(((tick + 7200) //
+86400 + 3) % 7 AS INTEGER) AS weekday, s.price FROM steps s JOIN units u USING (ticket) WHERE s.charge <> 0)"""
 SQL = {
     "position_sizes": f"""WITH {ACCOUNT}, x AS (SELECT p.ticket, a.equity, t.*, (p.ticket % 50) * 10.0 AS atr, p.price_open AS price FROM positions p JOIN accounts a USING (account) JOIN terms t USING (symbol)),
 y AS (SELECT *, 1.5 * atr + spread_points AS adverse FROM x), z AS (SELECT *, equity * 1.0 / 100.0 / (adverse * pv) AS wanted FROM y),
@@ -222,23 +228,46 @@ s AS (SELECT *, CASE WHEN volume_step > 0 THEN round(floor(CASE WHEN volume_max
 c AS (SELECT *, CASE WHEN atr <= 0 THEN 'NO_VOLATILITY' WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step <= 0 THEN 'NO_VOLUME_STEP' WHEN spread_points < 0 THEN 'NO_POINT_VALUE' WHEN lots < volume_min THEN 'BELOW_MINIMUM_VOLUME' END AS refusal FROM s)
 SELECT ticket, CASE WHEN refusal IS NULL THEN {_d('lots', 6)} END AS lots, CASE WHEN refusal IS NULL THEN {_d('adverse', 6)} END AS adverse_points, CASE WHEN refusal IS NULL THEN {_d('price - 1.5 * atr * point', 6)} END AS stop_long, CASE WHEN refusal IS NULL THEN {_d('price + 1.5 * atr * point', 6)} END AS stop_short, refusal FROM c""",
     "position_carry": f"WITH {ACCOUNT} SELECT account, ticket, CAST(nights AS BIGINT) AS nights, {_d('paid', 8)} AS carry_paid, {_d('declared', 8)} AS rate_declared, {_d('measured', 8)} AS rate_measured, {_d('nightly', 8)} AS rate_nightly, {_d('rate', 8)} AS rate, source AS rate_source, {_d('bp', 8)} AS breakeven_points, {_d('price_open + bp * point * CASE direction WHEN chr(108) || chr(111) || chr(110) || chr(103) THEN 1.0 ELSE -1.0 END', 8)} AS breakeven_price, {_d('pct', 8)} AS carry_pct_of_equity, concat_ws(',', CASE WHEN NOT has_terms THEN 'SYMBOL_TERMS_MISSING' END, CASE WHEN has_terms AND pv IS NULL THEN 'NO_POINT_VALUE' END, CASE WHEN measured IS NULL THEN 'CARRY_TOO_YOUNG' END, CASE WHEN source = 'none' THEN 'NO_CARRY_RATE' END) AS refusals FROM carries".replace("chr(108) || chr(111) || chr(110) || chr(103)", "'long'"),
-    "carry_projection": f"WITH {ACCOUNT} SELECT account, ticket, CAST(h AS INTEGER) AS horizon, {_d('rate * h', 10)} AS carry, {_d('paid + rate * h', 10)} AS total, CASE WHEN equity > 0 THEN {_d('100.0 * rate * h / equity', 10)} END AS pct_of_equity FROM carries, (VALUES (7), (30), (60), (90)) v(h)",
-    "portfolio_carry": f"WITH {ACCOUNT} SELECT account, positions, {', '.join(f'{_d(c, 4)} AS {c}' for c in ('carry_paid', 'rate', 'rate_declared', 'rate_measured', 'equity', 'days_to_zero'))}, partial FROM books",
+    "carry_projection": f"""WITH {ACCOUNT} SELECT account, ticket, CAST(h AS INTEGER) AS horizon, {_d('rate * h', 10)} AS carry,
+{_d('paid + rate * h', 10)} AS total, CASE WHEN equity > 0 THEN {_d('100.0 * rate * h / equity', 10)} END AS pct_of_equity FROM carries, (VALUES (7),
+(30), (60), (90)) v(h)""",
+    "portfolio_carry": f"""WITH {ACCOUNT} SELECT account, positions,
+{', '.join(f'{_d(c, 4)} AS {c}' for c in ('carry_paid', 'rate', 'rate_declared', 'rate_measured', 'equity', 'days_to_zero'))}, partial FROM books""",
     "measured_points": f"WITH {ACCOUNT} SELECT symbol, direction, positions, {_d('daily')} AS daily_points, {_d('nightly')} AS nightly_points FROM weighted",
     "annual_carry": f"""WITH {ACCOUNT}, prices AS (SELECT symbol, avg(price_open) AS price FROM positions GROUP BY symbol),
 sided_terms AS (SELECT symbol, point, 'long' AS direction, charge_long AS c FROM terms UNION ALL SELECT symbol, point, 'short', charge_short FROM terms)
 SELECT symbol, direction, {_d('c', 6)} AS nightly_points, CASE WHEN price > 0 THEN {_d('36500.0 * c * point / price', 6)} END AS annual_pct FROM sided_terms LEFT JOIN prices USING (symbol)""",
     "swap_divergence": f"WITH {ACCOUNT} SELECT * FROM diverging",
-    "daily_loss": f"WITH {ACCOUNT} SELECT account, {', '.join(f'{_d(c, 4)} AS {c}' for c in ('equity', 'realised', 'floating', 'loss', 'used'))}, {_d('lim', 4)} AS \"limit\", CAST(deals AS BIGINT) AS deals, CAST(carried_in AS BIGINT) AS carried_in, breached FROM days",
+    "daily_loss": f"""WITH {ACCOUNT} SELECT account, {', '.join(f'{_d(c, 4)} AS {c}' for c in ('equity', 'realised', 'floating', 'loss', 'used'))},
+{_d('lim', 4)} AS \"limit\", CAST(deals AS BIGINT) AS deals, CAST(carried_in AS BIGINT) AS carried_in, breached FROM days""",
     "concurrency": f"WITH {ACCOUNT} SELECT * FROM counts",
-    "margin_projection": f"WITH {ACCOUNT} SELECT account, level, {_d('level_pct', 4)} AS level_pct, {_d('threshold', 4)} AS threshold, {_d('headroom', 4)} AS headroom, breached, {_d('days', 4)} AS days, refusal FROM margins",
+    "margin_projection": f"""WITH {ACCOUNT} SELECT account, level, {_d('level_pct', 4)} AS level_pct, {_d('threshold', 4)} AS threshold,
+{_d('headroom', 4)} AS headroom, breached, {_d('days', 4)} AS days, refusal FROM margins""",
     "risk_alerts": f"WITH {ACCOUNT} SELECT * FROM alerts",
     "worst_severity": f"WITH {ACCOUNT} SELECT account, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'WARN' END AS worst, count(*) AS alerts FROM alerts GROUP BY account",
-    "openings": f"WITH {ACCOUNT}, b AS (SELECT ticket, opened_at - CASE WHEN ticket % 7 = 0 THEN 60 ELSE 0 END AS was FROM positions WHERE ticket % 5 > 0) SELECT p.ticket, p.opened_at, coalesce(b.was, p.opened_at) AS first_seen, coalesce(abs(p.opened_at - b.was) > 1, false) AS moved FROM positions p LEFT JOIN b USING (ticket)",
-    "heartbeat": f"WITH {ACCOUNT}, l AS (SELECT account, max(closed_at) AS last FROM deals WHERE account % 4 > 0 GROUP BY account) SELECT a.account, l.last, {NOW + 432000 - 86400} - l.last AS age, coalesce({NOW + 432000 - 86400} - l.last <= 172800, false) AS clear FROM accounts a LEFT JOIN l USING (account)",
-    "clock_offsets": f"WITH {ACCOUNT}, r AS (SELECT account, closed_at AS host_at, arg_min(closed_at + 10800 + ticket % 900 - 450, ticket) AS server_at, min(ticket) % 50 = 0 AS ex FROM deals GROUP BY account, closed_at), m AS (SELECT *, CASE WHEN abs(server_at - host_at - 10800) <= 300 THEN 3.0 END AS measured FROM r), w AS (SELECT *, max(measured) OVER (PARTITION BY account ORDER BY host_at) AS cached FROM m) SELECT account, host_at, CAST(CASE WHEN ex THEN 2.0 ELSE coalesce(measured, cached) END AS DOUBLE) AS \"offset\", CASE WHEN ex THEN 'explicit' WHEN measured IS NOT NULL THEN 'measured' WHEN cached IS NOT NULL THEN 'cached' ELSE 'unavailable' END AS source FROM w",
-    "nightly_charges": f"WITH {LOG} SELECT ticket, tick AS \"at\", {_d('charge', 6)} AS charge, {_d('unit', 6)} AS unit, {_d('multiplier', 6)} AS multiplier, weekday, {_d('price', 6)} AS price FROM charges",
-    "charge_structure": f"WITH {LOG}, s AS (SELECT *, charge / multiplier AS per, sign(price - lag(price) OVER w) AS step FROM charges WINDOW w AS (PARTITION BY ticket ORDER BY tick)), t AS (SELECT *, CASE WHEN step * lag(step) OVER (PARTITION BY ticket ORDER BY tick) < 0 THEN 1 WHEN step * lag(step) OVER (PARTITION BY ticket ORDER BY tick) IS NULL THEN NULL ELSE 0 END AS turn FROM s), g AS (SELECT ticket, count(*) AS nights, max(price) - min(price) AS range, avg(price) AS mean_price, CAST(sum(turn) AS BIGINT) AS reversals, avg(abs(per)) AS unit, stddev_samp(per) / abs(avg(per)) AS cv_charge, stddev_samp(per / price) / abs(avg(per / price)) AS cv_rate FROM t GROUP BY ticket) SELECT ticket, nights, {', '.join(f'{_d(c, 7)} AS {c}' for c in ('range', 'mean_price', 'unit', 'cv_charge', 'cv_rate'))}, reversals, CASE WHEN NOT (nights >= 5 AND range >= 0.03 / unit * mean_price AND reversals >= 2) THEN 'UNDETERMINED' WHEN cv_charge > 3 * cv_rate THEN 'PRICE_DEPENDENT' WHEN cv_rate > 3 * cv_charge THEN 'FIXED_RATE' ELSE 'UNDETERMINED' END AS verdict FROM g",
+    "openings": f"""WITH {ACCOUNT}, b AS (SELECT ticket, opened_at - CASE WHEN ticket % 7 = 0 THEN 60 ELSE 0 END AS was FROM positions WHERE ticket %
+5 > 0) SELECT p.ticket, p.opened_at, coalesce(b.was, p.opened_at) AS first_seen, coalesce(abs(p.opened_at - b.was) > 1, false) AS moved FROM positions
+p LEFT JOIN b USING (ticket)""",
+    "heartbeat": f"""WITH {ACCOUNT}, l AS (SELECT account, max(closed_at) AS last FROM deals WHERE account % 4 > 0 GROUP BY account) SELECT a.account,
+l.last, {NOW + 432000 - 86400} - l.last AS age, coalesce({NOW + 432000 - 86400} - l.last <= 172800, false) AS clear FROM accounts a LEFT JOIN l USING
+(account)""",
+    "clock_offsets": f"""WITH {ACCOUNT}, r AS (SELECT account, closed_at AS host_at, arg_min(closed_at + 10800 + ticket % 900 - 450, ticket) AS
+server_at, min(ticket) % 50 = 0 AS ex FROM deals GROUP BY account, closed_at),
+m AS (SELECT *, CASE WHEN abs(server_at - host_at - 10800) <= 300 THEN 3.0 END AS measured FROM r),
+w AS (SELECT *, max(measured) OVER (PARTITION BY account ORDER BY host_at) AS cached FROM m) SELECT account, host_at, CAST(CASE WHEN ex THEN 2.0 ELSE
+coalesce(measured, cached) END AS DOUBLE) AS \"offset\", CASE WHEN ex THEN 'explicit' WHEN measured IS NOT NULL THEN 'measured' WHEN cached IS NOT
+NULL THEN 'cached' ELSE 'unavailable' END AS source FROM w""",
+    "nightly_charges": f"""WITH {LOG} SELECT ticket, tick AS \"at\", {_d('charge', 6)} AS charge, {_d('unit', 6)} AS unit, {_d('multiplier', 6)} AS
+multiplier, weekday, {_d('price', 6)} AS price FROM charges""",
+    "charge_structure": f"""WITH {LOG}, s AS (SELECT *, charge / multiplier AS per, sign(price - lag(price) OVER w) AS step FROM charges WINDOW w AS
+(PARTITION BY ticket ORDER BY tick)),
+t AS (SELECT *, CASE WHEN step * lag(step) OVER (PARTITION BY ticket ORDER BY tick) < 0 THEN 1 WHEN step * lag(step) OVER (PARTITION BY ticket ORDER
+BY tick) IS NULL THEN NULL ELSE 0 END AS turn FROM s),
+g AS (SELECT ticket, count(*) AS nights, max(price) - min(price) AS range, avg(price) AS mean_price, CAST(sum(turn) AS BIGINT) AS reversals,
+avg(abs(per)) AS unit, stddev_samp(per) / abs(avg(per)) AS cv_charge, stddev_samp(per / price) / abs(avg(per / price)) AS cv_rate FROM t GROUP BY
+ticket) SELECT ticket, nights, {', '.join(f'{_d(c, 7)} AS {c}' for c in ('range', 'mean_price', 'unit', 'cv_charge', 'cv_rate'))}, reversals, CASE
+WHEN NOT (nights >= 5 AND range >= 0.03 / unit * mean_price AND reversals >= 2) THEN 'UNDETERMINED' WHEN cv_charge > 3 * cv_rate THEN
+'PRICE_DEPENDENT' WHEN cv_rate > 3 * cv_charge THEN 'FIXED_RATE' ELSE 'UNDETERMINED' END AS verdict FROM g""",
 }
 # its own SQL, with left joins and their two codes
 SQL["position_sizes_all"] = (

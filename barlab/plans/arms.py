@@ -142,11 +142,23 @@ _all = ["decisions", "stop", "target", "time", "longs", "shorts", "flats"]
 _total = " + ".join(f"{c}_r" for c in ou.COMPONENTS)
 SQL = {
     "spread_multipliers": f"WITH RECURSIVE {_two} SELECT symbol, bar_seq, CAST(multiplier AS DOUBLE) AS multiplier FROM multiplied",
-    "multiplier_coverage": f"WITH RECURSIVE {_two} SELECT symbol, count(*) AS bars, CAST(count(*) FILTER (multiplier > 1 AND multiplier < 10) AS BIGINT) AS raised, CAST(count(*) FILTER (multiplier >= 10) AS BIGINT) AS news, round(count(*) FILTER (multiplier > 1) / count(*), 6) AS share FROM multiplied GROUP BY symbol",
-    "barrier_outcomes": f"WITH RECURSIVE {_two} SELECT symbol, bar_seq, sign, variant, {', '.join(f'round(CAST({c} AS DOUBLE), 5) + 0.0 AS {c}' for c in ('atr', 'lots', 'exit_mid', 'gross', 'spread', 'slippage', 'latency', 'commission', 'swap', 'gap_through', 'net', 'r'))}, round(entry, 5) AS entry_mid, reason, bar_seq + k AS exit_seq, CAST(nights AS BIGINT) AS nights FROM outcomes",
-    "arm_summary": f"WITH RECURSIVE {_two} SELECT arm, variant, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _all)}, {', '.join(f'round(CAST({c} AS DOUBLE), 5) + 0.0 AS {c}' for c in ['mean_r', *[f'{c}_r' for c in ou.COMPONENTS]])} FROM summary",
-    "paired_difference": f"WITH RECURSIVE {_two} SELECT symbol, bar_seq, variant, arms, round(CAST(signal_r AS DOUBLE), 5) AS signal_r, round(CAST(control_r AS DOUBLE), 5) AS control_r, round(CAST(signal_r - control_r AS DOUBLE), 5) + 0.0 AS difference FROM paired",
-    "cost_invariance": f"WITH RECURSIVE {_two}, g AS (SELECT variant, avg({_total}) FILTER (arm = 'signal') - avg({_total}) FILTER (arm <> 'signal') AS cost_gap, avg(mean_r) FILTER (arm = 'signal') - avg(mean_r) FILTER (arm <> 'signal') AS effect, avg(commission_r) FILTER (arm = 'signal') - avg(commission_r) FILTER (arm <> 'signal') AS cg FROM summary GROUP BY variant) SELECT variant, round(CAST(cost_gap AS DOUBLE), 5) AS cost_gap, round(CAST(effect AS DOUBLE), 5) AS effect, round(CAST(abs(cost_gap) / abs(effect) AS DOUBLE), 5) AS share, CASE WHEN abs(cg) > 1e-12 THEN 'void' WHEN abs(cost_gap) / abs(effect) <= 0.1 THEN 'invariant' ELSE 'void' END AS verdict FROM g",
-    "crossover_arm": f"WITH {q.BARS}, m AS (SELECT symbol, bar_seq, CASE WHEN {q.trailing('avg(close)', 8)} > {q.trailing('avg(close)', 32)} THEN 1 ELSE -1 END AS sign FROM bars) SELECT * FROM m WHERE bar_seq % 24 = 0",
-    "breakeven_sweep": f"WITH RECURSIVE {_grid} SELECT variant, round(CAST(avg(signal_r - control_r) AS DOUBLE), 5) AS difference, round(CAST(avg(signal_r) AS DOUBLE), 5) AS signal_r FROM paired WHERE variant <> 'base' GROUP BY variant",
+    "multiplier_coverage": f"""WITH RECURSIVE {_two} SELECT symbol, count(*) AS bars, CAST(count(*) FILTER (multiplier > 1 AND multiplier < 10) AS
+BIGINT) AS raised, CAST(count(*) FILTER (multiplier >= 10) AS BIGINT) AS news, round(count(*) FILTER (multiplier > 1) / count(*), 6) AS share FROM
+multiplied GROUP BY symbol""",
+    "barrier_outcomes": f"""WITH RECURSIVE {_two} SELECT symbol, bar_seq, sign, variant,
+{', '.join(f'round(CAST({c} AS DOUBLE), 5) + 0.0 AS {c}' for c in ('atr', 'lots', 'exit_mid', 'gross', 'spread', 'slippage', 'latency', 'commission', 'swap', 'gap_through', 'net', 'r'))},
+round(entry, 5) AS entry_mid, reason, bar_seq + k AS exit_seq, CAST(nights AS BIGINT) AS nights FROM outcomes""",
+    "arm_summary": f"""WITH RECURSIVE {_two} SELECT arm, variant, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _all)},
+{', '.join(f'round(CAST({c} AS DOUBLE), 5) + 0.0 AS {c}' for c in ['mean_r', *[f'{c}_r' for c in ou.COMPONENTS]])} FROM summary""",
+    "paired_difference": f"""WITH RECURSIVE {_two} SELECT symbol, bar_seq, variant, arms, round(CAST(signal_r AS DOUBLE), 5) AS signal_r,
+round(CAST(control_r AS DOUBLE), 5) AS control_r, round(CAST(signal_r - control_r AS DOUBLE), 5) + 0.0 AS difference FROM paired""",
+    "cost_invariance": f"""WITH RECURSIVE {_two}, g AS (SELECT variant, avg({_total}) FILTER (arm = 'signal') - avg({_total}) FILTER (arm <> 'signal')
+AS cost_gap, avg(mean_r) FILTER (arm = 'signal') - avg(mean_r) FILTER (arm <> 'signal') AS effect, avg(commission_r) FILTER (arm = 'signal') -
+avg(commission_r) FILTER (arm <> 'signal') AS cg FROM summary GROUP BY variant) SELECT variant, round(CAST(cost_gap AS DOUBLE), 5) AS cost_gap,
+round(CAST(effect AS DOUBLE), 5) AS effect, round(CAST(abs(cost_gap) / abs(effect) AS DOUBLE), 5) AS share, CASE WHEN abs(cg) > 1e-12 THEN 'void' WHEN
+abs(cost_gap) / abs(effect) <= 0.1 THEN 'invariant' ELSE 'void' END AS verdict FROM g""",
+    "crossover_arm": f"""WITH {q.BARS}, m AS (SELECT symbol, bar_seq, CASE WHEN {q.trailing('avg(close)', 8)} > {q.trailing('avg(close)', 32)} THEN 1
+ELSE -1 END AS sign FROM bars) SELECT * FROM m WHERE bar_seq % 24 = 0""",
+    "breakeven_sweep": f"""WITH RECURSIVE {_grid} SELECT variant, round(CAST(avg(signal_r - control_r) AS DOUBLE), 5) AS difference,
+round(CAST(avg(signal_r) AS DOUBLE), 5) AS signal_r FROM paired WHERE variant <> 'base' GROUP BY variant""",
 }

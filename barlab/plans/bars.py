@@ -190,29 +190,58 @@ told AS (
     coalesce(one_bar_gaps, 0) AS one_bar_gaps, coalesce(breaks, 0) AS breaks
   FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN of USING (symbol) LEFT JOIN single USING (symbol))
 SELECT *, dense - whole - short_fridays - early_closes AS expected, dense - whole - short_fridays - early_closes - one_bar_gaps AS residual FROM told""",
-    "gap_census": f"WITH {q.BARS}, {q.GAPS} SELECT c.cause, count(g.cause) AS n, CAST(coalesce(sum(g.missing), 0) AS BIGINT) AS missing FROM (VALUES ('out_of_window'), ('weekend'), ('daily_break'), ('holiday'), ('early_close'), ('unknown')) c(cause) LEFT JOIN gaps g USING (cause) GROUP BY c.cause",
+    "gap_census": f"""WITH {q.BARS}, {q.GAPS} SELECT c.cause, count(g.cause) AS n, CAST(coalesce(sum(g.missing), 0) AS BIGINT) AS missing FROM (VALUES
+('out_of_window'), ('weekend'), ('daily_break'), ('holiday'), ('early_close'), ('unknown')) c(cause) LEFT JOIN gaps g USING (cause) GROUP BY c.cause""",
     "bar_validity": f"WITH {q.VALID} SELECT symbol, time, valid FROM checked",
     "window_validity": f"WITH {q.VALID} SELECT symbol, bar_seq, {q.whole(0, 5)} AS label_valid, {q.whole(-4, 0)} AS feature_valid, {q.whole(0, 25)} AS trade_valid FROM checked",
-    "returns": f"WITH {q.BARS}, {q.STEPS} SELECT symbol, bar_seq, {_r(_ret(1))} AS log_return_1, {_r(_ret(24))} AS log_return_24, {_r('-' + _ret(3))} AS reversal_3, {_r(_vol)} AS realized_vol_24, {_r(f'CASE WHEN ({_vol}) > 0 THEN {_ret(5)} / ({_vol}) END')} AS vol_scaled_return_5_24 FROM steps",
+    "returns": f"""WITH {q.BARS}, {q.STEPS} SELECT symbol, bar_seq, {_r(_ret(1))} AS log_return_1, {_r(_ret(24))} AS log_return_24,
+{_r('-' + _ret(3))} AS reversal_3, {_r(_vol)} AS realized_vol_24, {_r(f'CASE WHEN ({_vol}) > 0 THEN {_ret(5)} / ({_vol}) END')} AS
+vol_scaled_return_5_24 FROM steps""",
     "range_features": f"""WITH {q.BARS}, framed AS (SELECT *, {q.trailing('min(low)', 24)} AS lo, {q.trailing('max(high)', 24)} AS hi, {q.trailing('count(*)', 24)} AS k, {q.trailing('max(close)', 48)} AS top, {q.trailing('count(*)', 48)} AS k2, {q.trailing('sum(tick_volume)', 24)} AS v, {_ret(24)} AS r FROM bars)
 SELECT symbol, bar_seq, round(CASE WHEN k = 24 AND hi > lo THEN (close - lo) / (hi - lo) END, 8) AS range_position_24, round(CASE WHEN k2 = 48 THEN (top - close) / top END, 8) AS drawdown_from_max_48, round(CASE WHEN v > 0 THEN r / v END, 8) AS volume_weighted_return_24 FROM framed""",
-    "atr": f"WITH RECURSIVE {q.BARS}, {q.ATR} SELECT symbol, bar_seq, round(atr, 6) AS atr, round(CASE WHEN {q.trailing('count(*)', 24)} = 24 AND atr > 0 THEN (close - {q.trailing('avg(close)', 24)}) / atr END, 6) AS atr_distance_24 FROM with_atr",
+    "atr": f"""WITH RECURSIVE {q.BARS}, {q.ATR} SELECT symbol, bar_seq, round(atr, 6) AS atr, round(CASE WHEN {q.trailing('count(*)', 24)} = 24 AND
+atr > 0 THEN (close - {q.trailing('avg(close)', 24)}) / atr END, 6) AS atr_distance_24 FROM with_atr""",
     "rolling_median": f"WITH {q.DAILY} SELECT symbol, bar_seq, round(CASE WHEN {q.trailing('count(*)', 250)} = 250 THEN {q.trailing('median(close)', 250)} END, 6) AS median_250 FROM daily",
     "rolling_median_short": f"WITH {q.BARS} SELECT symbol, bar_seq, round(CASE WHEN {q.trailing('count(*)', 24)} = 24 THEN {q.trailing('median(close)', 24)} END, 6) AS median_24 FROM bars",
-    "direction_labels": f"WITH {q.VALID} SELECT symbol, bar_seq, CASE WHEN {q.whole(0, 24)} AND lead(close, 24) {q.SERIES}) IS NOT NULL THEN CAST(lead(close, 24) {q.SERIES}) > close AS DOUBLE) END AS label FROM checked",
-    "volatility_labels": f"WITH {q.BARS}, {q.STEPS}, vols AS (SELECT *, {_vol} AS rv FROM steps), ranked AS (SELECT *, CASE WHEN {q.trailing('count(rv)', 100)} = 100 THEN {q.trailing('median(rv)', 100)} END AS th, lead(rv, 24) {q.SERIES}) AS later FROM vols) SELECT symbol, bar_seq, CASE WHEN later IS NOT NULL AND th IS NOT NULL THEN CAST(later > th AS DOUBLE) END AS vol_label FROM ranked",
-    "label_summary": f"WITH {q.BARS}, x AS (SELECT *, lead(close, 24) {q.SERIES}) AS later FROM bars) SELECT symbol, count(*) AS total, count(later) AS defined, CAST(count(*) FILTER (later > close) AS BIGINT) AS positive, CAST(count(*) FILTER (later = close) AS BIGINT) AS ties, round(CASE WHEN count(later) > 0 THEN count(*) FILTER (later > close) / count(later) END, 6) AS base_rate, round(CASE WHEN count(later) > 0 THEN count(*) FILTER (later = close) / count(later) END, 6) AS tie_rate FROM x GROUP BY symbol",
+    "direction_labels": f"""WITH {q.VALID} SELECT symbol, bar_seq, CASE WHEN {q.whole(0, 24)} AND lead(close, 24) {q.SERIES}) IS NOT NULL THEN
+CAST(lead(close, 24) {q.SERIES}) > close AS DOUBLE) END AS label FROM checked""",
+    "volatility_labels": f"""WITH {q.BARS}, {q.STEPS}, vols AS (SELECT *, {_vol} AS rv FROM steps),
+ranked AS (SELECT *, CASE WHEN {q.trailing('count(rv)', 100)} = 100 THEN {q.trailing('median(rv)', 100)} END AS th, lead(rv, 24) {q.SERIES}) AS later
+FROM vols) SELECT symbol, bar_seq, CASE WHEN later IS NOT NULL AND th IS NOT NULL THEN CAST(later > th AS DOUBLE) END AS vol_label FROM ranked""",
+    "label_summary": f"""WITH {q.BARS}, x AS (SELECT *, lead(close, 24) {q.SERIES}) AS later FROM bars) SELECT symbol, count(*) AS total, count(later)
+AS defined, CAST(count(*) FILTER (later > close) AS BIGINT) AS positive, CAST(count(*) FILTER (later = close) AS BIGINT) AS ties, round(CASE WHEN
+count(later) > 0 THEN count(*) FILTER (later > close) / count(later) END, 6) AS base_rate, round(CASE WHEN count(later) > 0 THEN count(*) FILTER
+(later = close) / count(later) END, 6) AS tie_rate FROM x GROUP BY symbol""",
     "outcomes_ahead": f"WITH {q.BARS} SELECT symbol, bar_seq, " + ", ".join(f"round(lead(close, {h}) {q.SERIES}) / close - 1, 8) AS h{h}" for h in (1, 4, 24)) + " FROM bars",
-    "polynomial": f"WITH {q.BARS}, x AS (SELECT symbol, bar_seq, open AS a, close AS b FROM bars) SELECT symbol, bar_seq, round(a, 6) AS a, round(b, 6) AS b, round(a*a, 6) AS \"a*a\", round(a*b, 6) AS \"a*b\", round(b*b, 6) AS \"b*b\", round(a*a*a, 6) AS \"a*a*a\", round(a*a*b, 6) AS \"a*a*b\", round(a*b*b, 6) AS \"a*b*b\", round(b*b*b, 6) AS \"b*b*b\" FROM x",
-    "causality": f"WITH {q.BARS}, lasts AS (SELECT symbol, max(bar_seq) AS n FROM bars GROUP BY symbol), cuts AS (SELECT DISTINCT symbol, k * n // 200 AS cut FROM lasts, range(200) t(k)) SELECT f AS feature, count(*) AS cuts, CAST(0 AS BIGINT) AS violations FROM cuts, (VALUES ('log_return_24'), ('realized_vol_24'), ('range_position_24'), ('drawdown_from_max_48'), ('volume_weighted_return_24')) v(f) GROUP BY f",
-    "bar_clock": f"WITH {q.BARS}, {q.DAILY}, b AS (SELECT symbol, time FROM bars UNION ALL SELECT symbol, time FROM daily), u AS (SELECT *, {_utc} AS utc FROM b), z AS (SELECT *, {ny('utc')} AS ny, {q.day('time')} AS day FROM u) SELECT symbol, time, utc, {q.hour('ny')} AS ny_hour, CAST((ny // 86400 + 3) % 7 AS INTEGER) AS ny_weekday, {q.break_hour('day')} AS break_hour, CASE WHEN {q.us('day')} AND NOT {q.eu('day')} THEN 22 ELSE 23 END AS close_hour, CASE WHEN {q.us('day')} THEN 'us-summer' ELSE 'us-winter' END || '/' || CASE WHEN {q.eu('day')} THEN 'eu-summer' ELSE 'eu-winter' END AS bucket, day >= DATE '2015-09-11' AS in_window FROM z",
-    "ambiguous_hours": f"WITH {q.BARS}, u AS (SELECT symbol, bar_seq, {_utc} AS utc FROM bars), w AS (SELECT *, lag(utc) {q.SERIES}) AS was FROM u) SELECT symbol, count(*) AS bars, CAST(count(*) FILTER (was >= utc) AS BIGINT) AS violations FROM w GROUP BY symbol",
+    "polynomial": f"""WITH {q.BARS}, x AS (SELECT symbol, bar_seq, open AS a, close AS b FROM bars) SELECT symbol, bar_seq, round(a, 6) AS a, round(b,
+6) AS b, round(a*a, 6) AS \"a*a\", round(a*b, 6) AS \"a*b\", round(b*b, 6) AS \"b*b\", round(a*a*a, 6) AS \"a*a*a\", round(a*a*b, 6) AS \"a*a*b\",
+round(a*b*b, 6) AS \"a*b*b\", round(b*b*b, 6) AS \"b*b*b\" FROM x""",
+    "causality": f"""WITH {q.BARS}, lasts AS (SELECT symbol, max(bar_seq) AS n FROM bars GROUP BY symbol),
+cuts AS (SELECT DISTINCT symbol, k * n // 200 AS cut FROM lasts, range(200) t(k)) SELECT f AS feature, count(*) AS cuts, CAST(0 AS BIGINT) AS
+violations FROM cuts, (VALUES ('log_return_24'), ('realized_vol_24'), ('range_position_24'), ('drawdown_from_max_48'), ('volume_weighted_return_24'))
+v(f) GROUP BY f""",
+    "bar_clock": f"""WITH {q.BARS}, {q.DAILY}, b AS (SELECT symbol, time FROM bars UNION ALL SELECT symbol, time FROM daily),
+u AS (SELECT *, {_utc} AS utc FROM b),
+z AS (SELECT *, {ny('utc')} AS ny, {q.day('time')} AS day FROM u) SELECT symbol, time, utc, {q.hour('ny')} AS ny_hour, CAST((ny // 86400 + 3) % 7 AS
+INTEGER) AS ny_weekday, {q.break_hour('day')} AS break_hour, CASE WHEN {q.us('day')} AND NOT {q.eu('day')} THEN 22 ELSE 23 END AS close_hour, CASE
+WHEN {q.us('day')} THEN 'us-summer' ELSE 'us-winter' END || '/' || CASE WHEN {q.eu('day')} THEN 'eu-summer' ELSE 'eu-winter' END AS bucket, day >=
+DATE '2015-09-11' AS in_window FROM z""",
+    "ambiguous_hours": f"""WITH {q.BARS}, u AS (SELECT symbol, bar_seq, {_utc} AS utc FROM bars),
+w AS (SELECT *, lag(utc) {q.SERIES}) AS was FROM u) SELECT symbol, count(*) AS bars, CAST(count(*) FILTER (was >= utc) AS BIGINT) AS violations FROM w
+GROUP BY symbol""",
     "weekly_boundaries": f"""WITH {q.DAILY},
 found AS (SELECT symbol, time AS before, lead(time) {q.SERIES}) AS after FROM daily),
 w AS (SELECT *, before - {q.offset(q.day('before'))} * 3600 AS ub, after - {q.offset(q.day('after'))} * 3600 AS ua FROM found WHERE after - before >= 172800)
 SELECT symbol, before, after, {q.hour(ny('ub'))} AS close_hour, {q.hour(ny('ua'))} AS open_hour FROM w""",
-    "order_holidays": f"WITH {q.HOLIDAYS}, {q.near(2)}, nearest AS (SELECT h.day + CAST(s AS INTEGER) AS day, arg_min(h.name || CASE WHEN s <> 0 THEN ' (adjacent)' ELSE '' END, (abs(s), -s)) AS nearest FROM holidays h, range(-2, 3) t(s) GROUP BY 1), days AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1) SELECT holiday, nearest, count(*) AS days, CAST(sum(orders) AS BIGINT) AS orders FROM days JOIN near USING (day) JOIN nearest USING (day) GROUP BY holiday, nearest",
-    "order_eras": "WITH x AS (SELECT CAST(o_orderdate AS DATE) + INTERVAL 192 MONTH AS day FROM orders) SELECT CASE WHEN day >= DATE '2022-10-21' THEN '2022-10-21' WHEN day >= DATE '2017-10-07' THEN '2017-10-07' WHEN day >= DATE '2015-09-11' THEN '2015-09-11' ELSE '' END AS era, CASE WHEN day >= DATE '2022-10-21' THEN true WHEN day >= DATE '2017-10-07' THEN false WHEN day >= DATE '2015-09-11' THEN true END AS daily_break, count(*) AS orders, CAST(count(*) FILTER (dayofweek(day) = 5 AND day(day) <= 7 AND day >= DATE '2008-01-01' AND day <= DATE '2020-12-31') AS BIGINT) AS first_fridays FROM x GROUP BY 1, 2",
+    "order_holidays": f"""WITH {q.HOLIDAYS}, {q.near(2)}, nearest AS (SELECT h.day + CAST(s AS INTEGER) AS day, arg_min(h.name || CASE WHEN s <> 0
+THEN ' (adjacent)' ELSE '' END, (abs(s), -s)) AS nearest FROM holidays h, range(-2, 3) t(s) GROUP BY 1),
+days AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1) SELECT holiday, nearest, count(*) AS days,
+CAST(sum(orders) AS BIGINT) AS orders FROM days JOIN near USING (day) JOIN nearest USING (day) GROUP BY holiday, nearest""",
+    "order_eras": """WITH x AS (SELECT CAST(o_orderdate AS DATE) + INTERVAL 192 MONTH AS day FROM orders) SELECT CASE WHEN day >= DATE '2022-10-21'
+THEN '2022-10-21' WHEN day >= DATE '2017-10-07' THEN '2017-10-07' WHEN day >= DATE '2015-09-11' THEN '2015-09-11' ELSE '' END AS era, CASE WHEN day >=
+DATE '2022-10-21' THEN true WHEN day >= DATE '2017-10-07' THEN false WHEN day >= DATE '2015-09-11' THEN true END AS daily_break, count(*) AS orders,
+CAST(count(*) FILTER (dayofweek(day) = 5 AND day(day) <= 7 AND day >= DATE '2008-01-01' AND day <= DATE '2020-12-31') AS BIGINT) AS first_fridays FROM
+x GROUP BY 1, 2""",
     "minute_readings": f"""WITH {q.TICKS}, {q.tick_bars(3600, out='hours')}, {q.tick_bars(60, out='minutes')},
 spread AS (SELECT symbol, 'left' AS reading, time - time % 3600 AS hour, * EXCLUDE (symbol) FROM minutes UNION ALL SELECT symbol, 'right', ((time - 60) // 3600 + 1) * 3600, * EXCLUDE (symbol) FROM minutes),
 rolled AS (SELECT symbol, reading, hour AS time, first(open ORDER BY time) AS o, max(high) AS h, min(low) AS l, last(close ORDER BY time) AS c FROM spread GROUP BY symbol, reading, hour),

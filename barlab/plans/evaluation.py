@@ -139,9 +139,13 @@ def train_and_test(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (density, density_boundary, modal_anomalies, modal_hours, spread_profile, coverage, hours_present, session_runs, absorbed_runs, largest_gaps, fold_counts, fold_leaks, brier_skill, hit_rates, target_means, standardised, eligibility, fold_eras, untested_eras, train_and_test)}
-DAYS = f"{q.BARS}, days AS (SELECT symbol, CAST(year({q.day('time')}) AS INTEGER) AS year, time // 86400 AS day, CAST((time // 86400 + 3) % 7 AS INTEGER) AS weekday, count(*) AS bars FROM bars GROUP BY ALL)"
+DAYS = f"""{q.BARS}, days AS (SELECT symbol, CAST(year({q.day('time')}) AS INTEGER) AS year, time // 86400 AS day, CAST((time // 86400 + 3) % 7 AS
+INTEGER) AS weekday, count(*) AS bars FROM bars GROUP BY ALL)"""
 _upper = lambda x, where="": f"list_sort(list({x}) {where})[CAST(count({x}) {where} // 2 AS INTEGER) + 1]"
-MODAL = "ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, {v}) AS r, sum(n) OVER (PARTITION BY {by}) AS total FROM counts), modes AS (SELECT {by}, max({v}) FILTER (r = 1) AS modal, round(max(n) FILTER (r = 1) / max(total), 6) AS purity, round((max(n) FILTER (r = 1) - coalesce(max(n) FILTER (r = 2), 0)) / max(total), 6) AS margin FROM ranked GROUP BY {by})"
+MODAL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, {v}) AS r, sum(n) OVER (PARTITION BY {by}) AS total FROM
+counts),
+modes AS (SELECT {by}, max({v}) FILTER (r = 1) AS modal, round(max(n) FILTER (r = 1) / max(total), 6) AS purity, round((max(n) FILTER (r = 1) -
+coalesce(max(n) FILTER (r = 2), 0)) / max(total), 6) AS margin FROM ranked GROUP BY {by})"""
 MEMBERS = f"""{q.VALID},
 labelled AS (SELECT *, CASE WHEN lead(close, 5) {q.SERIES}) IS NOT NULL THEN CAST(lead(close, 5) {q.SERIES}) > close AS DOUBLE) END AS label, ln(close / lag(close, 5) {q.SERIES})) AS r5, {q.trailing('min(low)', 24)} AS lo, {q.trailing('max(high)', 24)} AS hi, {q.trailing('count(*)', 24)} AS k FROM checked),
 feat AS (SELECT *, CASE WHEN k = 24 AND hi > lo THEN (close - lo) / (hi - lo) END AS rp FROM labelled),
@@ -153,23 +157,59 @@ members AS (SELECT * FROM (SELECT s.symbol, f.fold, s.bar_seq, CASE WHEN s.bar_s
 forecasts AS (SELECT m.symbol, m.fold, m.bar_seq, s.p, s.label AS y FROM members m JOIN series s USING (symbol, bar_seq) WHERE role = 'test')"""
 _ref = "avg(y) * (1 - avg(y))"
 SQL = {
-    "density": f"WITH {DAYS} SELECT symbol, year, count(*) AS days, CAST(sum(bars) AS BIGINT) AS bars, CAST(count(*) FILTER (bars >= 20) AS BIGINT) AS dense, {_upper('bars')} AS median_bars, round(count(*) FILTER (bars >= 20) / count(*), 6) AS dense_share FROM days GROUP BY GROUPING SETS ((symbol, year), (symbol))",
-    "density_boundary": f"WITH {DAYS}, lasts AS (SELECT symbol, max(day) AS last FROM days GROUP BY symbol), kept AS (SELECT d.* FROM days d JOIN lasts l USING (symbol) WHERE day < last), firsts AS (SELECT symbol, min(day) AS first_dense FROM kept WHERE bars >= 23 GROUP BY symbol) SELECT symbol, CAST(count(*) FILTER (bars <= 20) AS BIGINT) AS sparse, CAST(count(*) FILTER (bars > 20 AND bars < 23) AS BIGINT) AS middling, CAST(count(*) FILTER (bars >= 23) AS BIGINT) AS dense, any_value(first_dense) AS first_dense, count(*) FILTER (bars <= 20 AND day > first_dense) = 0 AS cliff FROM kept LEFT JOIN firsts USING (symbol) GROUP BY symbol",
-    "modal_anomalies": f"WITH {DAYS}, mid AS (SELECT * FROM days WHERE weekday BETWEEN 1 AND 3), counts AS (SELECT symbol, bars, count(*) AS n FROM mid GROUP BY ALL), {MODAL.format(by='symbol', v='bars')} SELECT m.symbol, m.day, m.bars, x.modal FROM mid m JOIN modes x USING (symbol) WHERE abs(m.bars - x.modal) = 1",
-    "modal_hours": f"WITH {q.TICKS}, counts AS (SELECT symbol, CAST((time // 86400 + 3) % 7 AS INTEGER) AS weekday, {q.hour('time')} AS hour, count(*) AS n FROM ticks GROUP BY ALL), {MODAL.format(by='symbol, weekday', v='hour')} SELECT * FROM modes",
-    "spread_profile": f"WITH {q.TICKS}, s AS (SELECT symbol, time // 86400 AS day, round(price - 2.0, 2) AS spread FROM ticks), g AS (SELECT symbol, day, count(*) AS quotes, list_sort(list(spread) FILTER (spread > 0)) AS u FROM s GROUP BY ALL) SELECT symbol, day, quotes, round(coalesce(len(u), 0) / quotes, 6) AS share, round(u[len(u) // 2 + 1], 6) AS median, round(u[CAST(floor(len(u) * 0.95) AS INTEGER) + 1], 6) AS p95 FROM g",
-    "coverage": f"WITH {q.TICKS}, g AS (SELECT symbol, CAST(year({q.day('time')}) AS INTEGER) AS year, count(*) AS rows, list_sort(list(volume) FILTER (volume <> 0)) AS u FROM ticks GROUP BY ALL) SELECT symbol, year, rows, CAST(coalesce(len(u), 0) AS BIGINT) AS recorded, u[1] AS least, u[len(u) // 2 + 1] AS median, u[len(u)] AS most, round(coalesce(len(u), 0) / rows, 6) AS share FROM g",
+    "density": f"""WITH {DAYS} SELECT symbol, year, count(*) AS days, CAST(sum(bars) AS BIGINT) AS bars, CAST(count(*) FILTER (bars >= 20) AS BIGINT)
+AS dense, {_upper('bars')} AS median_bars, round(count(*) FILTER (bars >= 20) / count(*), 6) AS dense_share FROM days GROUP BY GROUPING SETS ((symbol,
+year), (symbol))""",
+    "density_boundary": f"""WITH {DAYS}, lasts AS (SELECT symbol, max(day) AS last FROM days GROUP BY symbol),
+kept AS (SELECT d.* FROM days d JOIN lasts l USING (symbol) WHERE day < last),
+firsts AS (SELECT symbol, min(day) AS first_dense FROM kept WHERE bars >= 23 GROUP BY symbol) SELECT symbol, CAST(count(*) FILTER (bars <= 20) AS
+BIGINT) AS sparse, CAST(count(*) FILTER (bars > 20 AND bars < 23) AS BIGINT) AS middling, CAST(count(*) FILTER (bars >= 23) AS BIGINT) AS dense,
+any_value(first_dense) AS first_dense, count(*) FILTER (bars <= 20 AND day > first_dense) = 0 AS cliff FROM kept LEFT JOIN firsts USING (symbol) GROUP
+BY symbol""",
+    "modal_anomalies": f"""WITH {DAYS}, mid AS (SELECT * FROM days WHERE weekday BETWEEN 1 AND 3),
+counts AS (SELECT symbol, bars, count(*) AS n FROM mid GROUP BY ALL), {MODAL.format(by='symbol', v='bars')} SELECT m.symbol, m.day, m.bars, x.modal
+FROM mid m JOIN modes x USING (symbol) WHERE abs(m.bars - x.modal) = 1""",
+    "modal_hours": f"""WITH {q.TICKS}, counts AS (SELECT symbol, CAST((time // 86400 + 3) % 7 AS INTEGER) AS weekday, {q.hour('time')} AS hour,
+count(*) AS n FROM ticks GROUP BY ALL), {MODAL.format(by='symbol, weekday', v='hour')} SELECT * FROM modes""",
+    "spread_profile": f"""WITH {q.TICKS}, s AS (SELECT symbol, time // 86400 AS day, round(price - 2.0, 2) AS spread FROM ticks),
+g AS (SELECT symbol, day, count(*) AS quotes, list_sort(list(spread) FILTER (spread > 0)) AS u FROM s GROUP BY ALL) SELECT symbol, day, quotes,
+round(coalesce(len(u), 0) / quotes, 6) AS share, round(u[len(u) // 2 + 1], 6) AS median, round(u[CAST(floor(len(u) * 0.95) AS INTEGER) + 1], 6) AS p95
+FROM g""",
+    "coverage": f"""WITH {q.TICKS}, g AS (SELECT symbol, CAST(year({q.day('time')}) AS INTEGER) AS year, count(*) AS rows, list_sort(list(volume)
+FILTER (volume <> 0)) AS u FROM ticks GROUP BY ALL) SELECT symbol, year, rows, CAST(coalesce(len(u), 0) AS BIGINT) AS recorded, u[1] AS least,
+u[len(u) // 2 + 1] AS median, u[len(u)] AS most, round(coalesce(len(u), 0) / rows, 6) AS share FROM g""",
     "hours_present": f"WITH {q.BARS} SELECT symbol, time // 86400 AS day, count(DISTINCT time % 86400 // 3600) AS hours FROM bars GROUP BY ALL",
-    "session_runs": f"WITH {q.DAILY}, s AS (SELECT symbol, time // 86400 AS day, n >= 2 AS state FROM daily), f AS (SELECT *, CASE WHEN lag(state) OVER w IS NOT DISTINCT FROM state THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY symbol ORDER BY day)), r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY symbol ORDER BY day) AS BIGINT) AS run FROM f) SELECT symbol, run, state, min(day) AS first, max(day) AS last, count(*) AS days FROM r GROUP BY symbol, run, state",
-    "largest_gaps": f"WITH {q.DAILY}, g AS (SELECT symbol, time AS before, lead(time) {q.SERIES}) AS after FROM daily) SELECT symbol, before, after, (after - before) // 86400 - 1 AS missing FROM g WHERE after - before > 86400 ORDER BY missing DESC, symbol, before LIMIT 15",
+    "session_runs": f"""WITH {q.DAILY}, s AS (SELECT symbol, time // 86400 AS day, n >= 2 AS state FROM daily),
+f AS (SELECT *, CASE WHEN lag(state) OVER w IS NOT DISTINCT FROM state THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY symbol ORDER BY
+day)),
+r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY symbol ORDER BY day) AS BIGINT) AS run FROM f) SELECT symbol, run, state, min(day) AS first,
+max(day) AS last, count(*) AS days FROM r GROUP BY symbol, run, state""",
+    "largest_gaps": f"""WITH {q.DAILY}, g AS (SELECT symbol, time AS before, lead(time) {q.SERIES}) AS after FROM daily) SELECT symbol, before, after,
+(after - before) // 86400 - 1 AS missing FROM g WHERE after - before > 86400 ORDER BY missing DESC, symbol, before LIMIT 15""",
     "fold_counts": f"WITH {MEMBERS} SELECT symbol, fold, " + ", ".join(f"CAST(count(*) FILTER (role = '{r}') AS BIGINT) AS {r}" for r in ("train", "test", "purged", "embargoed")) + " FROM members GROUP BY symbol, fold",
-    "fold_leaks": f"WITH {MEMBERS} SELECT f.symbol, f.fold, CAST((SELECT count(*) FROM members a JOIN members b USING (symbol, fold, bar_seq) WHERE a.role = 'train' AND b.role = 'test' AND a.symbol = f.symbol AND a.fold = f.fold) AS BIGINT) AS overlap, coalesce((SELECT max(bar_seq) + 5 FROM members m WHERE m.symbol = f.symbol AND m.fold = f.fold AND role = 'train') >= f.test_start, false) AS reaches FROM folds f",
-    "brier_skill": f"WITH {MEMBERS} SELECT symbol, fold, count(*) AS n, round(avg((p - y) ** 2), 6) AS brier, round(avg(y), 6) AS base_rate, round(CASE WHEN {_ref} > 1e-15 THEN 1 - avg((p - y) ** 2) / ({_ref}) END, 6) AS skill FROM forecasts GROUP BY GROUPING SETS ((symbol, fold), (symbol))",
-    "hit_rates": f"WITH {MEMBERS}, b AS (SELECT symbol, fold, avg(y) AS base FROM forecasts GROUP BY ALL) SELECT f.symbol, f.fold, count(*) AS n, round(avg((base - y) ** 2 - (p - y) ** 2), 6) AS gain, round(avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS long_share, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM forecasts f JOIN b USING (symbol, fold) GROUP BY f.symbol, f.fold",
-    "target_means": f"WITH {MEMBERS}, k AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY r5, bar_seq) - 1) // 4 AS b FROM series WHERE valid) SELECT symbol, bar_seq, round(avg(label) OVER (PARTITION BY symbol, b), 6) AS leak FROM k",
-    "standardised": f"WITH {MEMBERS}, x AS (SELECT m.*, s.r5, s.rp FROM members m JOIN series s USING (symbol, bar_seq)), fit AS (SELECT symbol, fold, avg(r5) AS m1, stddev_pop(r5) AS s1, avg(rp) AS m2, stddev_pop(rp) AS s2 FROM x WHERE role = 'train' GROUP BY ALL) SELECT x.symbol, x.fold, x.bar_seq, round((r5 - m1) / CASE WHEN s1 = 0 THEN 1 ELSE s1 END, 6) AS log_return_5, round((rp - m2) / CASE WHEN s2 = 0 THEN 1 ELSE s2 END, 6) AS range_position_24 FROM x JOIN fit USING (symbol, fold) WHERE role = 'test'",
-    "eligibility": f"WITH {MEMBERS}, s AS (SELECT symbol, 1 AS a, valid AS b, valid AND label IS NOT NULL AS c, valid AND label IS NOT NULL AND bar_seq % 5 = 0 AS d FROM series), g AS (SELECT symbol, count(*) AS a, count(*) FILTER (b) AS b, count(*) FILTER (c) AS c, count(*) FILTER (d) AS d FROM s GROUP BY symbol) SELECT symbol, 'all' AS step, CAST(a AS BIGINT) AS rows FROM g UNION ALL SELECT symbol, 'valid', CAST(b AS BIGINT) FROM g UNION ALL SELECT symbol, 'has_label', CAST(c AS BIGINT) FROM g UNION ALL SELECT symbol, 'on_grid', CAST(d AS BIGINT) FROM g",
-    "fold_eras": f"WITH {MEMBERS} SELECT m.symbol, m.fold, m.role, s.time // 864000 AS era, count(*) AS n FROM members m JOIN series s USING (symbol, bar_seq) WHERE role IN ('train', 'test') GROUP BY ALL",
-    "untested_eras": f"WITH {MEMBERS} SELECT DISTINCT symbol, time // 864000 AS era FROM series EXCEPT SELECT m.symbol, s.time // 864000 FROM members m JOIN series s USING (symbol, bar_seq) WHERE role = 'test'",
-    "train_and_test": f"WITH {MEMBERS}, u AS (SELECT DISTINCT symbol, fold, bar_seq FROM members WHERE role IN ('train', 'test')) SELECT symbol, fold, count(*) AS rows, CAST(sum(bar_seq) AS BIGINT) AS total FROM u GROUP BY ALL",
+    "fold_leaks": f"""WITH {MEMBERS} SELECT f.symbol, f.fold, CAST((SELECT count(*) FROM members a JOIN members b USING (symbol, fold, bar_seq) WHERE
+a.role = 'train' AND b.role = 'test' AND a.symbol = f.symbol AND a.fold = f.fold) AS BIGINT) AS overlap, coalesce((SELECT max(bar_seq) + 5 FROM
+members m WHERE m.symbol = f.symbol AND m.fold = f.fold AND role = 'train') >= f.test_start, false) AS reaches FROM folds f""",
+    "brier_skill": f"""WITH {MEMBERS} SELECT symbol, fold, count(*) AS n, round(avg((p - y) ** 2), 6) AS brier, round(avg(y), 6) AS base_rate,
+round(CASE WHEN {_ref} > 1e-15 THEN 1 - avg((p - y) ** 2) / ({_ref}) END, 6) AS skill FROM forecasts GROUP BY GROUPING SETS ((symbol, fold), (symbol))""",
+    "hit_rates": f"""WITH {MEMBERS}, b AS (SELECT symbol, fold, avg(y) AS base FROM forecasts GROUP BY ALL) SELECT f.symbol, f.fold, count(*) AS n,
+round(avg((base - y) ** 2 - (p - y) ** 2), 6) AS gain, round(avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS long_share, round(avg(CASE WHEN (p >
+0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM forecasts f JOIN b USING (symbol, fold) GROUP BY f.symbol, f.fold""",
+    "target_means": f"""WITH {MEMBERS}, k AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY r5, bar_seq) - 1) // 4 AS b FROM series WHERE
+valid) SELECT symbol, bar_seq, round(avg(label) OVER (PARTITION BY symbol, b), 6) AS leak FROM k""",
+    "standardised": f"""WITH {MEMBERS}, x AS (SELECT m.*, s.r5, s.rp FROM members m JOIN series s USING (symbol, bar_seq)),
+fit AS (SELECT symbol, fold, avg(r5) AS m1, stddev_pop(r5) AS s1, avg(rp) AS m2, stddev_pop(rp) AS s2 FROM x WHERE role = 'train' GROUP BY ALL) SELECT
+x.symbol, x.fold, x.bar_seq, round((r5 - m1) / CASE WHEN s1 = 0 THEN 1 ELSE s1 END, 6) AS log_return_5, round((rp - m2) / CASE WHEN s2 = 0 THEN 1 ELSE
+s2 END, 6) AS range_position_24 FROM x JOIN fit USING (symbol, fold) WHERE role = 'test'""",
+    "eligibility": f"""WITH {MEMBERS}, s AS (SELECT symbol, 1 AS a, valid AS b, valid AND label IS NOT NULL AS c, valid AND label IS NOT NULL AND
+bar_seq % 5 = 0 AS d FROM series),
+g AS (SELECT symbol, count(*) AS a, count(*) FILTER (b) AS b, count(*) FILTER (c) AS c, count(*) FILTER (d) AS d FROM s GROUP BY symbol) SELECT
+symbol, 'all' AS step, CAST(a AS BIGINT) AS rows FROM g UNION ALL SELECT symbol, 'valid', CAST(b AS BIGINT) FROM g UNION ALL SELECT symbol,
+'has_label', CAST(c AS BIGINT) FROM g UNION ALL SELECT symbol, 'on_grid', CAST(d AS BIGINT) FROM g""",
+    "fold_eras": f"""WITH {MEMBERS} SELECT m.symbol, m.fold, m.role, s.time // 864000 AS era, count(*) AS n FROM members m JOIN series s USING
+(symbol, bar_seq) WHERE role IN ('train', 'test') GROUP BY ALL""",
+    "untested_eras": f"""WITH {MEMBERS} SELECT DISTINCT symbol, time // 864000 AS era FROM series EXCEPT SELECT m.symbol, s.time // 864000 FROM
+members m JOIN series s USING (symbol, bar_seq) WHERE role = 'test'""",
+    "train_and_test": f"""WITH {MEMBERS}, u AS (SELECT DISTINCT symbol, fold, bar_seq FROM members WHERE role IN ('train', 'test')) SELECT symbol,
+fold, count(*) AS rows, CAST(sum(bar_seq) AS BIGINT) AS total FROM u GROUP BY ALL""",
 }

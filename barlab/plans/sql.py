@@ -1,6 +1,7 @@
 """Pieces of the queries' DuckDB SQL."""
 
-TICKS = "ticks AS (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time, event_id AS tick_id, value + 1.0 AS price, CAST(regexp_extract(props, '\"k\": *(\\d+)', 1) AS BIGINT) AS volume FROM events)"
+TICKS = """ticks AS (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time, event_id AS tick_id, value + 1.0 AS price,
+CAST(regexp_extract(props, '\"k\": *(\\d+)', 1) AS BIGINT) AS volume FROM events)"""
 
 
 def tick_bars(seconds: int, source: str = "ticks", out: str = "bars") -> str:
@@ -9,7 +10,8 @@ def tick_bars(seconds: int, source: str = "ticks", out: str = "bars") -> str:
 
 
 BARS = f"{TICKS}, {tick_bars(3600)}"
-DAILY_TICKS = "daily_ticks AS (SELECT o_orderpriority AS symbol, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS time, o_orderkey AS tick_id, o_totalprice / 1000.0 + 1.0 AS price, 1 AS volume FROM orders)"
+DAILY_TICKS = """daily_ticks AS (SELECT o_orderpriority AS symbol, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS time, o_orderkey AS tick_id,
+o_totalprice / 1000.0 + 1.0 AS price, 1 AS volume FROM orders)"""
 DAILY = f"{DAILY_TICKS}, {tick_bars(86400, 'daily_ticks', 'daily')}"
 SERIES = "OVER (PARTITION BY symbol ORDER BY bar_seq"
 

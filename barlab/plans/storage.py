@@ -65,7 +65,9 @@ SQL = {
     "table_digest": """WITH l AS (SELECT event_type, event_id, event_id // 1000 AS chunk, sha256(CAST(to_json({event_id: event_id, user_id: user_id, event_type: event_type, props: props}) AS VARCHAR)) AS h FROM events),
 c AS (SELECT event_type, chunk, count(*) AS n, sha256(string_agg(h, '' ORDER BY event_id)) AS x FROM l GROUP BY ALL)
 SELECT event_type, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(x, '' ORDER BY chunk)) AS digest FROM c GROUP BY event_type""",
-    "snapshot_summary": f"WITH {q.VALID}, w AS (SELECT *, {q.whole(0, 24)} AS lv FROM checked) SELECT symbol, count(*) AS rows, CAST(count(*) FILTER ({q.day('time')} >= DATE '2015-09-11') AS BIGINT) AS in_window, CAST(count(*) FILTER (valid) AS BIGINT) AS valid, CAST(count(*) FILTER (lv) AS BIGINT) AS label_valid, min(time) AS first_bar, max(time) AS last_bar, max(time) // 86400 - 1 AS window_end FROM w GROUP BY symbol",
+    "snapshot_summary": f"""WITH {q.VALID}, w AS (SELECT *, {q.whole(0, 24)} AS lv FROM checked) SELECT symbol, count(*) AS rows, CAST(count(*) FILTER
+({q.day('time')} >= DATE '2015-09-11') AS BIGINT) AS in_window, CAST(count(*) FILTER (valid) AS BIGINT) AS valid, CAST(count(*) FILTER (lv) AS BIGINT)
+AS label_valid, min(time) AS first_bar, max(time) AS last_bar, max(time) // 86400 - 1 AS window_end FROM w GROUP BY symbol""",
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM (SELECT DISTINCT * FROM lineitem) GROUP BY ALL HAVING count(*) > 1",
     "streamed_bars": f"WITH {q.BARS} SELECT symbol, time, open, high, low, close, tick_volume, n FROM bars WHERE time + 3600 <= (SELECT floor(epoch(max(ts))) - 600 FROM events)",
     # an alert goes out when its key's last was sent an hour ago or more; a key has one severity
