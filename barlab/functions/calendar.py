@@ -41,7 +41,8 @@ def us_market_holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
 def near_holidays(holidays: DataFrame, tolerance: int = 2, nearest: bool = False) -> DataFrame:
     """(day, holiday): each day within the tolerance of a holiday, once. The earliest holiday in reach
     wins or, with nearest, the same day, then the day after it, before it, and so on."""
-    shift = holidays.select("name", "day", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("s")).select(F.date_add("day", F.col("s")).alias("near"), "day", "name", "s")
+    shift = holidays.select("name", "day", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("s")).select(F.date_add("day", F.col("s"))
+        .alias("near"), "day", "name", "s")
     order = F.struct(F.abs("s"), -F.col("s")) if nearest else F.struct(F.col("day"), F.col("name"))
     label = F.concat("name", F.when(F.col("s") != 0, F.lit(" (adjacent)")).otherwise("")) if nearest else F.col("name")
     return shift.groupBy(F.col("near").alias("day")).agg(F.min_by(label, order).alias("holiday"))

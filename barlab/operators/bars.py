@@ -14,7 +14,8 @@ def roll_up(rows: DataFrame, seconds: int, shift: int = 0, order: tuple[str, ...
     key = F.struct(*order)
     bucket = (F.floor((F.col("time") - shift) / seconds) * seconds + shift).cast("long")
     return rows.groupBy("symbol", bucket.alias("bucket")).agg(
-        F.min_by("open", key).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", key).alias("close"), F.sum("tick_volume").alias("tick_volume"), F.count("*").alias("n"),
+        F.min_by("open", key).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", key).alias("close"),
+            F.sum("tick_volume").alias("tick_volume"), F.count("*").alias("n"),
     ).withColumnRenamed("bucket", "time")
 
 

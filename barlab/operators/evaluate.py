@@ -129,8 +129,10 @@ def fit_predict(rows: DataFrame, columns: dict[str, list[str]], leak: str = "non
                 _, p, fitted = out
                 n = int(test.sum())
                 found.append(pd.DataFrame({
-                    "symbol": own["symbol"].to_numpy()[test], "fold": own["fold"].to_numpy()[test], "arm": arm, "seed": seed, "bar_seq": own["bar_seq"].to_numpy()[test], "p": p[:, 0], "y": y[test], "iterations": fitted.iterations[0],
-                    "norm": fitted.norm[0], "converged": fitted.converged[0], "hit_cap": fitted.hit_cap[0], "weights": [fitted.weights[:, 0].tolist()] * n, "intercept": fitted.intercept[0],
+                    "symbol": own["symbol"].to_numpy()[test], "fold": own["fold"].to_numpy()[test], "arm": arm, "seed": seed,
+                        "bar_seq": own["bar_seq"].to_numpy()[test], "p": p[:, 0], "y": y[test], "iterations": fitted.iterations[0],
+                    "norm": fitted.norm[0], "converged": fitted.converged[0], "hit_cap": fitted.hit_cap[0],
+                        "weights": [fitted.weights[:, 0].tolist()] * n, "intercept": fitted.intercept[0],
                 }))
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[c.split()[0] for c in FIT.split(", ")])
 
@@ -140,7 +142,8 @@ def fit_predict(rows: DataFrame, columns: dict[str, list[str]], leak: str = "non
 STUDY = "symbol string, fold int, arm string, leak string, seed int, parameters int, n long, sum_y double, sum_error double, norm double, converged boolean"
 
 
-def null_fits(rows: DataFrame, columns: dict[str, list[str]], leaks: tuple[str, ...] = ("none",), model: Callable[[], Logistic] = Logistic, parts: dict[str, int] | None = None) -> DataFrame:
+def null_fits(rows: DataFrame, columns: dict[str, list[str]], leaks: tuple[str, ...] = ("none",), model: Callable[[], Logistic] = Logistic,
+    parts: dict[str, int] | None = None) -> DataFrame:
     """Sums of each (symbol, fold, arm, leak, seed) over its test rows, of rows (symbol, fold, bar_seq, role, ys, features): n, labels, squared errors.
 
     ys holds the row's label under each seed. All seeds are fitted together in matrices, so a (symbol,
@@ -165,7 +168,8 @@ def null_fits(rows: DataFrame, columns: dict[str, list[str]], leaks: tuple[str,
                 seeds, p, fitted = out
                 own = y[test][:, seeds]
                 found.append(pd.DataFrame({
-                    "symbol": group["symbol"].iloc[0], "fold": group["fold"].iloc[0], "arm": arm, "leak": leak, "seed": seeds, "parameters": len(fitted.weights) + 1, "n": len(own), "sum_y": own.sum(0), "sum_error": ((p - own) ** 2).sum(0),
+                    "symbol": group["symbol"].iloc[0], "fold": group["fold"].iloc[0], "arm": arm, "leak": leak, "seed": seeds,
+                        "parameters": len(fitted.weights) + 1, "n": len(own), "sum_y": own.sum(0), "sum_error": ((p - own) ** 2).sum(0),
                     "norm": fitted.norm, "converged": fitted.converged,
                 }))
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[c.split()[0] for c in STUDY.split(", ")])
@@ -206,7 +210,8 @@ def skill(forecasts: DataFrame, by: list[str]) -> DataFrame:
 
 def pooled_skill(sums: DataFrame, by: list[str]) -> DataFrame:
     """Skill of null_fits' sums, pooled over folds."""
-    total = sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sum_y").alias("y"), F.sum("sum_error").alias("e"), F.first("parameters").alias("parameters"), F.max("norm").alias("norm"), F.bool_and("converged").alias("converged"))
+    total = sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sum_y").alias("y"), F.sum("sum_error").alias("e"), F.first("parameters")
+        .alias("parameters"), F.max("norm").alias("norm"), F.bool_and("converged").alias("converged"))
     ref = F.col("y") / F.col("n") * (1 - F.col("y") / F.col("n"))
     return total.select(*by, "n", "parameters", "norm", "converged", F.when(ref > 1e-15, 1 - F.col("e") / F.col("n") / ref).alias("skill"))
 
@@ -218,7 +223,8 @@ def null_study(skills: DataFrame, by: list[str], mean_limit: float = 0.01, max_l
     A study needs two seeds at least; groups with fewer have holds null."""
     more = [c for c in ("n", "parameters", "norm", "converged") if c in skills.columns]
     skills = written(skills.select(*by, "seed", "skill", *more), "skills")
-    g = skills.groupBy(*by).agg(F.count("skill").alias("seeds"), F.percentile("skill", 0.5).alias("median"), F.max("skill").alias("largest"), *[(F.bool_and(c) if c == "converged" else F.max(c)).alias(c) for c in more])
+    g = skills.groupBy(*by).agg(F.count("skill").alias("seeds"), F.percentile("skill", 0.5).alias("median"), F.max("skill").alias("largest"),
+        *[(F.bool_and(c) if c == "converged" else F.max(c)).alias(c) for c in more])
     interval = bootstrap_mean(skills, by, "skill", resamples, order="seed").select(*by, "mean", F.col("low").alias("lower"), F.col("high").alias("upper"))
     holds = (F.col("upper") <= mean_limit) & (F.col("largest") <= max_limit) & (F.col("median") <= 0)
     return g.join(interval, by).withColumn("holds", F.when(F.col("seeds") >= 2, holds)).withColumn("trips", F.col("mean") > max_limit)
@@ -228,7 +234,8 @@ def response_probe(forecasts: DataFrame, columns: list[str]) -> DataFrame:
     """Per fold the change in probability for a step of one deviation of each feature from the mean, from the fit's coefficients."""
     one = forecasts.groupBy("symbol", "fold", "arm", "seed").agg(F.first("weights").alias("w"), F.first("intercept").alias("b"))
     s = lambda z: 1 / (1 + F.exp(-z))
-    return one.select("symbol", "fold", "arm", "seed", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (s(F.col("b") + F.col("w")[i]) - s(F.col("b"))).alias("response")) for i, c in enumerate(columns)])).alias("x")).select("symbol", "fold", "arm", "seed", "x.*")
+    return one.select("symbol", "fold", "arm", "seed", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
+        (s(F.col("b") + F.col("w")[i]) - s(F.col("b"))).alias("response")) for i, c in enumerate(columns)])).alias("x")).select("symbol", "fold", "arm", "seed", "x.*")
 
 
 def _resampled(v: np.ndarray, resamples: int, block: int, rng: np.random.Generator) -> np.ndarray:
@@ -262,7 +269,8 @@ def _weighted(v: np.ndarray, resamples: int, block: int, rng: np.random.Generato
     return total, valued
 
 
-def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int = 10_000, block: int = 1, seed: int = 1337, order: str = "bar_seq", alpha: float = 0.05, most: int = 500_000) -> DataFrame:
+def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int = 10_000, block: int = 1, seed: int = 1337, order: str = "bar_seq",
+    alpha: float = 0.05, most: int = 500_000) -> DataFrame:
     """Per group: mean, its percentile interval from resamples, and the one-sided p-value, add-one smoothed.
 
     block 1 resamples rows; more takes stationary blocks of that mean length, wrapped around. Groups of up
@@ -274,7 +282,8 @@ def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int
     named = ", ".join(f"{b} {kinds[b]}" for b in by)
     there = written(values.where(F.col(column).isNotNull()).select(*by, F.col(order).alias("_at"), F.col(column).cast("double").alias("_v")), "bootstrap")
     sizes = there.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_v").alias("mean"))
-    packed = there.join(sizes.where(F.col("_n") <= most), by).groupBy(*by, "mean").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("v"))
+    packed = there.join(sizes.where(F.col("_n") <= most), by).groupBy(*by,
+        "mean").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("v"))
     dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *by, "part")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,4 +305,5 @@ def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int
 
     summed = pieces.groupBy(*by, "_piece").applyInPandas(weigh, f"{named}, b int, w double, x double").groupBy(*by, "b").agg((F.sum("x") / F.sum("w")).alias("m"))
     drawn = drawn.unionByName(summed.join(sizes.select(*by, "mean"), by).select(*by, "mean", "m"))
-    return drawn.groupBy(*by).agg(F.first("mean").alias("mean"), F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"), ((1 + F.count_if(F.col("m") - F.col("mean") >= F.col("mean"))) / (F.count("*") + 1)).alias("p_value"))
+    return drawn.groupBy(*by).agg(F.first("mean").alias("mean"), F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2)
+        .alias("high"), ((1 + F.count_if(F.col("m") - F.col("mean") >= F.col("mean"))) / (F.count("*") + 1)).alias("p_value"))

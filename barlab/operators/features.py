@@ -121,8 +121,10 @@ def wilder_atr(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame
     keep = (period - 1) / period
     w = series()
     before = F.lag("close").over(w)
-    ranged = without_halo(with_halo(bars, back=1, size=size).withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))))
-    seeds = ranged.where(F.col("bar_seq").between(1, period)).groupBy("symbol").agg(F.avg("tr").alias("seed"), F.count("tr").alias("n")).where(F.col("n") == period).drop("n")
+    ranged = without_halo(with_halo(bars, back=1, size=size)
+        .withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))))
+    seeds = ranged.where(F.col("bar_seq").between(1, period)).groupBy("symbol").agg(F.avg("tr").alias("seed"), F.count("tr")
+        .alias("n")).where(F.col("n") == period).drop("n")
     later = ranged.where(F.col("bar_seq") > period).withColumn("at", F.col("bar_seq") - period - 1).withColumn("chunk", F.floor(F.col("at") / size))
 
     def local(chunk: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +135,8 @@ def wilder_atr(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame
             out.append(y)
         return chunk.assign(local=out)[["symbol", "bar_seq", "at", "chunk", "local"]]
 
-    parts = later.select("symbol", "bar_seq", "at", "chunk", "tr").groupBy("symbol", "chunk").applyInPandas(local, "symbol string, bar_seq long, at long, chunk long, local double")
+    parts = later.select("symbol", "bar_seq", "at", "chunk", "tr").groupBy("symbol", "chunk").applyInPandas(local,
+        "symbol string, bar_seq long, at long, chunk long, local double")
     ends = parts.groupBy("symbol", "chunk").agg(F.max_by("local", "at").alias("tail"), F.count("*").alias("n")).join(seeds, "symbol")
 
     def carried(rows: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +148,8 @@ def wilder_atr(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame
         return rows.assign(carry=out)[["symbol", "chunk", "carry"]]
 
     carries = ends.groupBy("symbol").applyInPandas(carried, "symbol string, chunk long, carry double")
-    done = parts.join(carries, ["symbol", "chunk"]).select("symbol", "bar_seq", (F.col("local") + F.pow(F.lit(keep), F.col("at") % size + 1) * F.col("carry")).alias("atr"))
+    done = parts.join(carries, ["symbol", "chunk"]).select("symbol", "bar_seq",
+        (F.col("local") + F.pow(F.lit(keep), F.col("at") % size + 1) * F.col("carry")).alias("atr"))
     first = seeds.select("symbol", F.lit(period).cast("long").alias("bar_seq"), F.col("seed").alias("atr"))
     return ranged.join(done.unionByName(first), ["symbol", "bar_seq"], "left").drop("tr")
 
@@ -173,7 +177,8 @@ def volatility_label(bars: DataFrame, horizon: int = 24, vol: int = 24, threshol
 def label_summary(rows: DataFrame, label: str = "label") -> DataFrame:
     """Per symbol: rows, defined, positive, ties, and rates over the defined, null when there are none."""
     defined = F.col(label).isNotNull()
-    return rows.groupBy("symbol").agg(F.count("*").alias("total"), F.count(label).alias("defined"), F.count_if(F.col(label) == 1).alias("positive"), F.count_if(defined & F.col("tie")).alias("ties")).withColumns({"base_rate": F.try_divide("positive", "defined"), "tie_rate": F.try_divide("ties", "defined")})
+    return rows.groupBy("symbol").agg(F.count("*").alias("total"), F.count(label).alias("defined"), F.count_if(F.col(label) == 1).alias("positive"),
+        F.count_if(defined & F.col("tie")).alias("ties")).withColumns({"base_rate": F.try_divide("positive", "defined"), "tie_rate": F.try_divide("ties", "defined")})
 
 
 def polynomial_terms(n: int, degree: int, diagonal_only: bool = False) -> list[tuple[int, ...]]:
@@ -202,10 +207,13 @@ def causality_audit(bars: DataFrame, specs: list[FeatureSpec], cuts: int = 200)
     full = with_features(bars, specs)
     deep, lag = max(s.lookback + s.lag for s in specs) + 1, max(s.lag for s in specs)
     size = bars.groupBy("symbol").agg(F.max("bar_seq").alias("last"))
-    chosen = size.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))).alias("k"), "last").select("symbol", F.floor(F.col("k") * F.col("last") / cuts).cast("long").alias("cut")).distinct()
+    chosen = size.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))).alias("k"), "last").select("symbol",
+        F.floor(F.col("k") * F.col("last") / cuts).cast("long").alias("cut")).distinct()
     needed = chosen.select("symbol", "cut", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("cut") - deep), F.col("cut") + lag)).alias("bar_seq"))
     history = bars.join(needed, ["symbol", "bar_seq"]).withColumn("chunk", F.col("cut")).withColumn("step", F.ln(F.col("close") / F.lag("close").over(series())))
     again = history.withColumns({f"{s.name}_cut": s.expr(series()) for s in specs}).where("bar_seq = cut").select("symbol", "bar_seq", *[f"{s.name}_cut" for s in specs])
     both = again.join(full, ["symbol", "bar_seq"])
     same = lambda s: F.col(s.name).eqNullSafe(F.col(f"{s.name}_cut")) | (F.abs(F.col(s.name) - F.col(f"{s.name}_cut")) <= 1e-12 * F.greatest(F.lit(1.0), F.abs(s.name)))
-    return both.select("symbol", F.col("bar_seq").alias("cut"), F.explode(F.array(*[F.struct(F.lit(s.name).alias("feature"), F.coalesce(same(s), F.lit(False)).alias("same")) for s in specs])).alias("x")).select("symbol", "cut", "x.*")
+    return both.select("symbol", F.col("bar_seq").alias("cut"),
+        F.explode(F.array(*[F.struct(F.lit(s.name).alias("feature"), F.coalesce(same(s), F.lit(False)).alias("same")) for s in specs]))
+            .alias("x")).select("symbol", "cut", "x.*")

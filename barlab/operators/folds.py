@@ -9,9 +9,11 @@ from pyspark.sql import Window
 
 def fold_geometry(bars: DataFrame, n_folds: int = 5, first_share: float = 0.5) -> DataFrame:
     """(symbol, fold, test_start, test_end): the first test window opens at first_share of the series, the rest is cut evenly."""
-    size = bars.groupBy("symbol").agg((F.max("bar_seq") + 1).alias("n")).withColumn("first", F.floor(F.col("n") * first_share).cast("long")).withColumn("size", F.floor((F.col("n") - F.col("first")) / n_folds).cast("long")).where("size > 0")
+    size = bars.groupBy("symbol").agg((F.max("bar_seq") + 1).alias("n")).withColumn("first", F.floor(F.col("n") * first_share)
+        .cast("long")).withColumn("size", F.floor((F.col("n") - F.col("first")) / n_folds).cast("long")).where("size > 0")
     folds = size.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    return folds.select("symbol", "fold", (F.col("first") + F.col("fold") * F.col("size")).alias("test_start"), (F.col("first") + (F.col("fold") + 1) * F.col("size")).alias("test_end"))
+    return folds.select("symbol", "fold", (F.col("first") + F.col("fold") * F.col("size")).alias("test_start"),
+        (F.col("first") + (F.col("fold") + 1) * F.col("size")).alias("test_end"))
 
 
 def refused_series(bars: DataFrame, n_folds: int = 5, first_share: float = 0.5) -> DataFrame:
@@ -48,9 +50,11 @@ def fold_counts(members: DataFrame) -> DataFrame:
 
 def leaks(members: DataFrame, folds: DataFrame, horizon: int) -> DataFrame:
     """Per fold: rows in both train and test, and training labels that reach the test window; both must be 0."""
-    both = members.where("role = 'train'").select("symbol", "fold", "bar_seq").intersect(members.where("role = 'test'").select("symbol", "fold", "bar_seq")).groupBy("symbol", "fold").agg(F.count("*").alias("overlap"))
+    both = members.where("role = 'train'").select("symbol", "fold", "bar_seq").intersect(members.where("role = 'test'")
+        .select("symbol", "fold", "bar_seq")).groupBy("symbol", "fold").agg(F.count("*").alias("overlap"))
     reach = members.where("role = 'train'").groupBy("symbol", "fold").agg(F.max(F.col("bar_seq") + horizon).alias("reach"))
-    return folds.join(reach, ["symbol", "fold"], "left").join(both, ["symbol", "fold"], "left").select("symbol", "fold", F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"), F.coalesce(F.col("reach") >= F.col("test_start"), F.lit(False)).alias("reaches"))
+    return folds.join(reach, ["symbol", "fold"], "left").join(both, ["symbol", "fold"], "left").select("symbol", "fold",
+        F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"), F.coalesce(F.col("reach") >= F.col("test_start"), F.lit(False)).alias("reaches"))
 
 
 def brier(forecasts: DataFrame, by: list[str]) -> DataFrame:
@@ -69,7 +73,8 @@ def improvement(forecasts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def hit_rates(forecasts: DataFrame, by: list[str]) -> DataFrame:
-    return improvement(forecasts, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg("gain").alias("gain"), F.avg((F.col("p") > 0.5).cast("double")).alias("long_share"), F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"))
+    return improvement(forecasts, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg("gain").alias("gain"), F.avg((F.col("p") > 0.5).cast("double"))
+        .alias("long_share"), F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"))
 
 
 def target_means(rows: DataFrame, feature: str, label: str, bucket: int = 4) -> DataFrame:
@@ -83,7 +88,8 @@ def standardise(members: DataFrame, columns: list[str]) -> DataFrame:
     """members with each column less its training mean over its training population deviation (1 if that is 0), by symbol and fold."""
     fit = members.where("role = 'train'").groupBy("symbol", "fold").agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
     joined = members.join(fit, ["symbol", "fold"])
-    return joined.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std")) for c in columns}).drop(*[f"{c}_{k}" for c in columns for k in ("mean", "std")])
+    return joined.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_std") == 0, 1.0)
+        .otherwise(F.col(f"{c}_std")) for c in columns}).drop(*[f"{c}_{k}" for c in columns for k in ("mean", "std")])
 
 
 def funnel(rows: DataFrame, constraints: list[str]) -> DataFrame:
@@ -99,7 +105,8 @@ def funnel(rows: DataFrame, constraints: list[str]) -> DataFrame:
 
 def era_shares(members: DataFrame, bars: DataFrame) -> DataFrame:
     """(symbol, fold, role, era, n) of train and test rows; bars has era."""
-    return members.where("role in ('train', 'test')").join(bars.select("symbol", "bar_seq", "era"), ["symbol", "bar_seq"]).groupBy("symbol", "fold", "role", "era").agg(F.count("*").alias("n"))
+    return members.where("role in ('train', 'test')").join(bars.select("symbol", "bar_seq", "era"), ["symbol", "bar_seq"]).groupBy("symbol", "fold",
+        "role", "era").agg(F.count("*").alias("n"))
 
 
 def untested_eras(members: DataFrame, bars: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def find_gaps(bars: DataFrame, step: int = HOUR) -> DataFrame:
     """(symbol, before, after, missing): consecutive bars more than a step apart."""
     w = series()
     ahead = without_halo(with_halo(bars.select("symbol", "bar_seq", "time"), ahead=1).withColumn("after", F.lead("time").over(w)))
-    return ahead.where(F.col("after") - F.col("time") > step).select("symbol", F.col("time").alias("before"), "after", (F.floor((F.col("after") - F.col("time")) / step) - 1).cast("long").alias("missing"))
+    return ahead.where(F.col("after") - F.col("time") > step).select("symbol", F.col("time").alias("before"), "after",
+        (F.floor((F.col("after") - F.col("time")) / step) - 1).cast("long").alias("missing"))
 
 
 def classify(gaps: DataFrame, near: DataFrame, clock: Clock = Clock()) -> DataFrame:
@@ -31,10 +32,13 @@ def classify(gaps: DataFrame, near: DataFrame, clock: Clock = Clock()) -> DataFr
     covers = F.pmod(rest - hour_of(before) - 1, F.lit(24)) < F.col("missing")
     resumes = covers | (hour_of(after) == rest) | (hour_of(after) == (rest + 1) % 24)
     # the holiday table has a few rows a year
-    joined = gaps.withColumn("b", day_of(before)).withColumn("a", day_of(after)).join(F.broadcast(near.select(F.col("day").alias("b"), F.col("holiday").alias("hb"))), "b", "left").join(F.broadcast(near.select(F.col("day").alias("a"), F.col("holiday").alias("ha"))), "a", "left")
+    joined = gaps.withColumn("b", day_of(before)).withColumn("a",
+        day_of(after)).join(F.broadcast(near.select(F.col("day").alias("b"), F.col("holiday").alias("hb"))), "b",
+            "left").join(F.broadcast(near.select(F.col("day").alias("a"), F.col("holiday").alias("ha"))), "a", "left")
     holiday = F.coalesce("hb", "ha").isNotNull()
     cause = (
-        F.when(F.col("b") < F.lit(clock.window_start), "out_of_window").when(spans_saturday(before, after), "weekend").when((F.col("missing") == 1) & (hour_of(before) == F.pmod(rest - 1, F.lit(24))), "daily_break")
+        F.when(F.col("b") < F.lit(clock.window_start), "out_of_window").when(spans_saturday(before, after), "weekend")
+            .when((F.col("missing") == 1) & (hour_of(before) == F.pmod(rest - 1, F.lit(24))), "daily_break")
         .when(holiday & (F.col("missing") >= HOLIDAY_MISSING), "holiday").when(holiday & resumes, "early_close").otherwise("unknown")
     )
     return joined.select("symbol", "before", "after", "missing", cause.alias("cause"))
@@ -44,7 +48,8 @@ def census(gaps: DataFrame) -> DataFrame:
     """(cause, n): every cause, those without gaps at zero."""
     every = gaps.sparkSession.createDataFrame([(c,) for c in CAUSES], "cause string")
     counts = gaps.groupBy("cause").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"))
-    return every.join(F.broadcast(counts), "cause", "left").select("cause", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
+    return every.join(F.broadcast(counts), "cause", "left").select("cause", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
 
 
 def bar_validity(bars: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -71,7 +76,8 @@ def break_ledger(bars: DataFrame, gaps: DataFrame, dense: int = 20) -> DataFrame
     early = gaps.where("cause = 'early_close'").select("symbol", day_number(F.col("before")).alias("day")).distinct().withColumn("early", F.lit(True))
     whole, early_day = F.col("n") == 24, F.coalesce(F.col("early"), F.lit(False))
     of = days.join(early, ["symbol", "day"], "left").groupBy("symbol").agg(
-        F.count("*").alias("dense"), F.count_if(whole).alias("whole"), F.count_if(F.col("n") == 23).alias("with_23"), F.count_if(~whole & friday).alias("short_fridays"), F.count_if(~whole & ~friday & early_day).alias("early_closes"),
+        F.count("*").alias("dense"), F.count_if(whole).alias("whole"), F.count_if(F.col("n") == 23).alias("with_23"), F.count_if(~whole & friday)
+            .alias("short_fridays"), F.count_if(~whole & ~friday & early_day).alias("early_closes"),
     )
     single = gaps.groupBy("symbol").agg(F.count_if(F.col("missing") == 1).alias("one_bar_gaps"), F.count_if(F.col("cause") == "daily_break").alias("breaks"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))

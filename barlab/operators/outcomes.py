@@ -31,12 +31,14 @@ def multipliers(bars: DataFrame, open_multiplier: float = 3.0, news_multiplier:
     opened = with_halo(bars, back=open_bars + 1).withColumn("opens", (F.col("utc") - F.lag("utc").over(w) >= 86400).cast("int"))
     recent = F.coalesce(F.max("opens").over(w.rowsBetween(-(open_bars - 1), 0)), F.lit(0)) == 1
     news = (clock.weekday(ny) == 4) & (F.day(clock.day_of(ny)) <= 7) & (clock.hour_of(ny) == 8)
-    return without_halo(opened.withColumn("multiplier", F.greatest(F.when(recent, open_multiplier).otherwise(1.0), F.when(news, news_multiplier).otherwise(1.0))).drop("opens"))
+    return without_halo(opened.withColumn("multiplier", F.greatest(F.when(recent, open_multiplier).otherwise(1.0), F.when(news, news_multiplier)
+        .otherwise(1.0))).drop("opens"))
 
 
 def multiplier_coverage(bars: DataFrame) -> DataFrame:
     m = F.col("multiplier")
-    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if((m > 1) & (m < 10)).alias("raised"), F.count_if(m >= 10).alias("news"), (F.count_if(m > 1) / F.count("*")).alias("share"))
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if((m > 1) & (m < 10)).alias("raised"), F.count_if(m >= 10).alias("news"),
+        (F.count_if(m > 1) / F.count("*")).alias("share"))
 
 
 def point_bars(bars: DataFrame, points: float = 100.0) -> DataFrame:
@@ -53,7 +55,8 @@ def barrier_outcomes(decisions: DataFrame, bars: DataFrame, variants: DataFrame,
     (symbol, bar_seq); the first touch is an aggregation. Decisions without a positive range or with too
     few bars after them have no outcome; run_arms shows them as refused."""
     asked = decisions.where("atr > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(risk.hold + 1))))
-    path = asked.withColumn("at", F.col("bar_seq") + F.col("k")).join(bars.select("symbol", F.col("bar_seq").alias("at"), "utc", "multiplier", "open", "high", "low"), ["symbol", "at"])
+    path = asked.withColumn("at", F.col("bar_seq") + F.col("k")).join(bars.select("symbol", F.col("bar_seq").alias("at"), "utc", "multiplier", "open",
+        "high", "low"), ["symbol", "at"])
     bar = F.struct("k", "utc", "multiplier", "open", "high", "low")
     gathered = path.groupBy("symbol", "bar_seq", "atr").agg(F.sort_array(F.collect_list(bar)).alias("path")).where(F.size("path") == risk.hold + 1)
     # a decision's bars move once; directions and the few cost variants are told apart after that
@@ -77,15 +80,20 @@ def barrier_outcomes(decisions: DataFrame, bars: DataFrame, variants: DataFrame,
 
     rows = rows.withColumn("exit", F.filter(F.transform("path", touched), lambda x: x["reason"].isNotNull())[0])
     lots = risk.money / ((atr * risk.stop if risk.stop else atr) * POINT_VALUE_PER_LOT)
-    rows = rows.withColumns({"lots": lots, "reason": F.col("exit.reason"), "exit_seq": F.col("bar_seq") + F.col("exit.k"), "exit_mid": F.col("exit.price") + sign * F.col("exit.half"), "nights": clock.rollovers_crossed(first["utc"], F.col("exit.utc"))})
+    rows = rows.withColumns({"lots": lots, "reason": F.col("exit.reason"), "exit_seq": F.col("bar_seq") + F.col("exit.k"),
+        "exit_mid": F.col("exit.price") + sign * F.col("exit.half"), "nights": clock.rollovers_crossed(first["utc"], F.col("exit.utc"))})
     market = F.when(F.col("reason") == "target", 0).otherwise(1)
     cost = {
-        "spread": costs.half_spread(first["multiplier"]) + F.col("exit.half"), "slippage_paid": 2 * costs.slippage(atr, F.col("lots")), "latency": costs.latency(atr) * (1 + market),
-        "commission_paid": costs.commission(F.col("lots")), "swap": costs.swap(sign, F.col("nights"), F.col("lots")), "gap_through": F.when(F.col("reason") == "stop", sign * (F.col("stop") - F.col("exit.price"))).otherwise(0.0),
+        "spread": costs.half_spread(first["multiplier"]) + F.col("exit.half"), "slippage_paid": 2 * costs.slippage(atr, F.col("lots")),
+            "latency": costs.latency(atr) * (1 + market),
+        "commission_paid": costs.commission(F.col("lots")), "swap": costs.swap(sign, F.col("nights"), F.col("lots")),
+            "gap_through": F.when(F.col("reason") == "stop", sign * (F.col("stop") - F.col("exit.price"))).otherwise(0.0),
     }
     rows = rows.withColumns(cost).withColumn("gross", sign * (F.col("exit_mid") - F.col("entry_mid")))
     rows = rows.withColumn("net", F.col("gross") - F.col("spread") - F.col("slippage_paid") - F.col("latency") - F.col("commission_paid") - F.col("swap"))
-    return rows.select("symbol", "bar_seq", "sign", "variant", "atr", "lots", "reason", "exit_seq", "entry_mid", "exit_mid", "gross", "spread", F.col("slippage_paid").alias("slippage"), "latency", F.col("commission_paid").alias("commission"), "swap", "nights", "gap_through", "net", (F.col("net") * F.col("lots") * POINT_VALUE_PER_LOT / risk.money).alias("r"))
+    return rows.select("symbol", "bar_seq", "sign", "variant", "atr", "lots", "reason", "exit_seq", "entry_mid", "exit_mid", "gross", "spread",
+        F.col("slippage_paid").alias("slippage"), "latency", F.col("commission_paid").alias("commission"), "swap", "nights", "gap_through", "net",
+            (F.col("net") * F.col("lots") * POINT_VALUE_PER_LOT / risk.money).alias("r"))
 
 
 def signal_arm(decisions: DataFrame, probability: str = "p") -> DataFrame:
@@ -100,13 +108,15 @@ def long_arm(decisions: DataFrame) -> DataFrame:
 def random_arms(decisions: DataFrame, seeds: int = 30) -> DataFrame:
     """As many arms of directions that a hash of (seed, symbol, bar_seq) gives, blind to price."""
     bit = F.xxhash64("seed", "symbol", "bar_seq").bitwiseAND(F.lit(1).cast("long"))
-    return decisions.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("arm", F.concat(F.lit("random_"), F.col("seed"))).withColumn("sign", F.when(bit == 1, 1).otherwise(-1)).drop("seed")
+    return decisions.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("arm",
+        F.concat(F.lit("random_"), F.col("seed"))).withColumn("sign", F.when(bit == 1, 1).otherwise(-1)).drop("seed")
 
 
 def crossover_arm(bars: DataFrame, decisions: DataFrame, fast: int = 8, slow: int = 32) -> DataFrame:
     """Long where the mean of the last fast closes is over that of the last slow, else short; shorter windows at the start."""
     w = series()
-    means = without_halo(with_halo(bars, back=slow).withColumn("sign", F.when(F.avg("close").over(w.rowsBetween(-(fast - 1), 0)) > F.avg("close").over(w.rowsBetween(-(slow - 1), 0)), 1).otherwise(-1)))
+    means = without_halo(with_halo(bars, back=slow).withColumn("sign", F.when(F.avg("close").over(w.rowsBetween(-(fast - 1), 0)) > F.avg("close")
+        .over(w.rowsBetween(-(slow - 1), 0)), 1).otherwise(-1)))
     return decisions.join(means.select("symbol", "bar_seq", "sign"), ["symbol", "bar_seq"]).withColumn("arm", F.lit("crossover"))
 
 
@@ -123,20 +133,25 @@ def arm_summary(runs: DataFrame, money: float = 100.0) -> DataFrame:
     """Per arm and variant: decisions, mean r over all of them, exits and directions by kind, each cost in r."""
     n = F.count("*")
     cost = [(F.sum(F.coalesce(F.col(c) * F.col("lots") * POINT_VALUE_PER_LOT / money, F.lit(0.0))) / n).alias(f"{c}_r") for c in COMPONENTS]
-    return runs.groupBy("arm", "variant").agg(n.alias("decisions"), F.avg("r").alias("mean_r"), *[F.count_if(F.col("reason") == x).alias(x) for x in ("stop", "target", "time")], F.count_if(F.col("sign") > 0).alias("longs"), F.count_if(F.col("sign") < 0).alias("shorts"), F.count_if(F.col("sign") == 0).alias("flats"), *cost)
+    return runs.groupBy("arm", "variant").agg(n.alias("decisions"), F.avg("r").alias("mean_r"),
+        *[F.count_if(F.col("reason") == x).alias(x) for x in ("stop", "target", "time")], F.count_if(F.col("sign") > 0).alias("longs"),
+            F.count_if(F.col("sign") < 0).alias("shorts"), F.count_if(F.col("sign") == 0).alias("flats"), *cost)
 
 
 def paired_difference(runs: DataFrame, signal: str = "signal") -> DataFrame:
     """Per decision and variant: the signal's r less the mean of the other arms'."""
     is_signal = F.col("arm") == signal
-    return runs.groupBy("symbol", "bar_seq", "variant").agg(F.max(F.when(is_signal, F.col("r"))).alias("signal_r"), F.avg(F.when(~is_signal, F.col("r"))).alias("control_r"), F.count("*").alias("arms")).withColumn("difference", F.col("signal_r") - F.col("control_r"))
+    return runs.groupBy("symbol", "bar_seq", "variant").agg(F.max(F.when(is_signal, F.col("r"))).alias("signal_r"),
+        F.avg(F.when(~is_signal, F.col("r"))).alias("control_r"), F.count("*").alias("arms")).withColumn("difference", F.col("signal_r") - F.col("control_r"))
 
 
 def cost_invariance(summary: DataFrame, signal: str = "signal", tolerance: float = 0.1) -> DataFrame:
     """Per variant: whether the signal's commission is that of the controls and its total cost differs by no more than the tolerance of the effect."""
     total = sum((F.col(f"{c}_r") for c in COMPONENTS[1:]), F.col("spread_r"))
     side = lambda c, own: F.avg(F.when((F.col("arm") == signal) == F.lit(own), c))
-    g = summary.groupBy("variant").agg((side(total, True) - side(total, False)).alias("cost_gap"), (side(F.col("mean_r"), True) - side(F.col("mean_r"), False)).alias("effect"), (side(F.col("commission_r"), True) - side(F.col("commission_r"), False)).alias("commission_gap"))
+    g = summary.groupBy("variant").agg((side(total, True) - side(total, False)).alias("cost_gap"),
+        (side(F.col("mean_r"), True) - side(F.col("mean_r"), False)).alias("effect"),
+            (side(F.col("commission_r"), True) - side(F.col("commission_r"), False)).alias("commission_gap"))
     share = F.try_divide(F.abs("cost_gap"), F.abs("effect"))
     return g.withColumns({"share": share, "verdict": F.when(F.abs("commission_gap") > 1e-12, "void").when(share <= tolerance, "invariant").otherwise("void")})
 
@@ -152,7 +167,9 @@ def breakeven(differences: DataFrame) -> DataFrame:
     flips = F.count_if((F.col("d") > 0) != (F.col("next_d") > 0))
     at = F.max(F.when((F.col("d") > 0) != (F.col("next_d") > 0), F.col("floor") + (F.col("next_floor") - F.col("floor")) * F.col("d") / (F.col("d") - F.col("next_d"))))
     g = cells.agg(flips.alias("flips"), at.alias("at"), F.min_by("d", "floor").alias("first"), F.max_by("d", "floor").alias("last"))
-    return g.select(F.when(F.col("flips") > 1, "not monotone").when(F.col("first") <= 0, "none: not positive at the lowest").when(F.col("last") > 0, "above the bracket").otherwise("found").alias("outcome"), F.when((F.col("flips") == 1) & (F.col("first") > 0), F.col("at")).alias("floor"))
+    return g.select(F.when(F.col("flips") > 1, "not monotone").when(F.col("first") <= 0, "none: not positive at the lowest")
+        .when(F.col("last") > 0, "above the bracket").otherwise("found").alias("outcome"),
+            F.when((F.col("flips") == 1) & (F.col("first") > 0), F.col("at")).alias("floor"))
 
 
 def decision_log(runs: DataFrame, features: DataFrame, run_id: str, method: str) -> DataFrame:
@@ -164,9 +181,13 @@ def decision_log(runs: DataFrame, features: DataFrame, run_id: str, method: str)
     low = F.lower(F.concat(variant, F.substring(digest, 18, 3)))
     uid = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), low, F.substring(digest, 21, 12))
     names = [c for c in features.columns if c not in ("symbol", "bar_seq")]
-    values = features.select("symbol", "bar_seq", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.struct(F.col(c).alias("value"), F.lit(1).alias("version")) for c in names])).alias("features"))
+    values = features.select("symbol", "bar_seq", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.struct(F.col(c).alias("value"), F.lit(1)
+        .alias("version")) for c in names])).alias("features"))
     traded = F.col("reason").isNotNull()
     return runs.join(values, ["symbol", "bar_seq"], "left").select(
-        uid.alias("decision_id"), F.lit(run_id).alias("run_id"), "arm", "symbol", "bar_seq", "features", F.array().cast("array<string>").alias("agents"), F.lit(method).alias("decision_method"),
-        F.when(F.col("sign") > 0, "long").when(F.col("sign") < 0, "short").otherwise("flat").alias("final_decision"), F.when(traded, F.struct(*COMPONENTS)).alias("costs_applied"), F.when(traded, F.struct("reason", "exit_seq", "entry_mid", "exit_mid", "lots")).alias("execution"), F.col("r").alias("outcome_r"),
+        uid.alias("decision_id"), F.lit(run_id).alias("run_id"), "arm", "symbol", "bar_seq", "features", F.array().cast("array<string>")
+            .alias("agents"), F.lit(method).alias("decision_method"),
+        F.when(F.col("sign") > 0, "long").when(F.col("sign") < 0, "short").otherwise("flat").alias("final_decision"),
+            F.when(traded, F.struct(*COMPONENTS)).alias("costs_applied"),
+                F.when(traded, F.struct("reason", "exit_seq", "entry_mid", "exit_mid", "lots")).alias("execution"), F.col("r").alias("outcome_r"),
     )

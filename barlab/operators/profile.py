@@ -22,13 +22,15 @@ def compare_readings(hours: DataFrame, minutes: DataFrame) -> DataFrame:
     The reading is a derived key, so minutes meet hours in an equi-join."""
     left = roll_up(minutes, 3600).withColumn("reading", F.lit("left"))
     # under the right reading the minute t belongs to the hour ((t - 60) div 3600 + 1)
-    right = roll_up(minutes.withColumn("at", F.col("time")).withColumn("time", F.col("time") - 60), 3600, order=("at",)).withColumn("time", F.col("time") + 3600).withColumn("reading", F.lit("right"))
+    right = roll_up(minutes.withColumn("at", F.col("time")).withColumn("time", F.col("time") - 60), 3600, order=("at",)).withColumn("time",
+        F.col("time") + 3600).withColumn("reading", F.lit("right"))
     rolled = left.unionByName(right).select("symbol", "time", "reading", *[F.col(c).alias(f"m_{c}") for c in FIELDS])
     every = hours.select("symbol", "time", *FIELDS).withColumn("reading", F.explode(F.array(F.lit("left"), F.lit("right"))))
     same = {c: F.col(c) == F.col(f"m_{c}") for c in FIELDS}
     whole = same["open"] & same["high"] & same["low"] & same["close"]
     return every.join(rolled, ["symbol", "time", "reading"], "left").groupBy("reading").agg(
-        F.count("*").alias("tested"), F.count_if(F.col("m_open").isNull()).alias("empty"), F.count_if(whole).alias("matches"), *[F.count_if(same[c]).alias(f"{c}_matches") for c in FIELDS],
+        F.count("*").alias("tested"), F.count_if(F.col("m_open").isNull()).alias("empty"), F.count_if(whole).alias("matches"),
+            *[F.count_if(same[c]).alias(f"{c}_matches") for c in FIELDS],
     )
 
 
@@ -36,11 +38,13 @@ def scan_offsets(hours: DataFrame, minutes: DataFrame, step: int = 60, span: int
     """(shift, matches, tested): hours equal to minutes of [t + shift, t + shift + 3600), for each shift."""
     shifted = minutes.withColumn("shift", F.explode(F.sequence(F.lit(-span).cast("long"), F.lit(span).cast("long"), F.lit(step).cast("long"))))
     key = (F.floor((F.col("time") - F.col("shift")) / 3600) * 3600).cast("long")
-    rolled = shifted.groupBy("symbol", "shift", key.alias("hour")).agg(F.min_by("open", "time").alias("m_open"), F.max("high").alias("m_high"), F.min("low").alias("m_low"), F.max_by("close", "time").alias("m_close")).withColumnRenamed("hour", "time")
+    rolled = shifted.groupBy("symbol", "shift", key.alias("hour")).agg(F.min_by("open", "time").alias("m_open"), F.max("high").alias("m_high"),
+        F.min("low").alias("m_low"), F.max_by("close", "time").alias("m_close")).withColumnRenamed("hour", "time")
     whole = None
     for c in FIELDS:
         whole = (F.col(c) == F.col(f"m_{c}")) if whole is None else whole & (F.col(c) == F.col(f"m_{c}"))
-    return rolled.join(hours.select("symbol", "time", *FIELDS), ["symbol", "time"], "left").groupBy("shift").agg(F.count_if(whole).alias("matches"), F.count("open").alias("tested"))
+    return rolled.join(hours.select("symbol", "time", *FIELDS), ["symbol", "time"], "left").groupBy("shift").agg(F.count_if(whole).alias("matches"),
+        F.count("open").alias("tested"))
 
 
 def upper_median(values: Column) -> Column:
@@ -53,9 +57,11 @@ def density(days: DataFrame, dense: int = 20) -> DataFrame:
     # days are counted by their number of bars first, so no group's days meet in one row
     counts = days.groupBy("symbol", "year", "bars").agg(F.count("*").alias("k"))
     each = counts.select("symbol", F.explode(F.array("year", F.lit(None))).alias("year"), "bars", "k").groupBy("symbol", "year", "bars").agg(F.sum("k").alias("k"))
-    upto = each.withColumn("upto", F.sum("k").over(Window.partitionBy("symbol", "year").orderBy("bars"))).withColumn("n", F.sum("k").over(Window.partitionBy("symbol", "year")))
+    upto = each.withColumn("upto", F.sum("k").over(Window.partitionBy("symbol", "year").orderBy("bars"))).withColumn("n", F.sum("k")
+        .over(Window.partitionBy("symbol", "year")))
     median = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("bars")))
-    g = upto.where("symbol is not null").groupBy("symbol", "year").agg(F.sum("k").alias("days"), F.sum(F.col("k") * F.col("bars")).alias("bars"), F.sum(F.when(F.col("bars") >= dense, F.col("k")).otherwise(0)).alias("dense"), median.alias("median_bars"))
+    g = upto.where("symbol is not null").groupBy("symbol", "year").agg(F.sum("k").alias("days"), F.sum(F.col("k") * F.col("bars")).alias("bars"),
+        F.sum(F.when(F.col("bars") >= dense, F.col("k")).otherwise(0)).alias("dense"), median.alias("median_bars"))
     return g.withColumn("dense_share", F.col("dense") / F.col("days"))
 
 
@@ -65,7 +71,8 @@ def density_boundary(days: DataFrame, sparse: int = 3, dense: int = 20) -> DataF
     full = days.join(last, "symbol").where("day < last")
     first = full.where(F.col("bars") >= dense).groupBy("symbol").agg(F.min("day").alias("first_dense"))
     return full.join(first, "symbol", "left").groupBy("symbol").agg(
-        F.count_if(F.col("bars") <= sparse).alias("sparse"), F.count_if((F.col("bars") > sparse) & (F.col("bars") < dense)).alias("middling"), F.count_if(F.col("bars") >= dense).alias("dense"), F.first("first_dense").alias("first_dense"),
+        F.count_if(F.col("bars") <= sparse).alias("sparse"), F.count_if((F.col("bars") > sparse) & (F.col("bars") < dense)).alias("middling"),
+            F.count_if(F.col("bars") >= dense).alias("dense"), F.first("first_dense").alias("first_dense"),
         (F.count_if((F.col("bars") <= sparse) & (F.col("day") > F.col("first_dense"))) == 0).alias("cliff"),
     )
 
@@ -74,7 +81,9 @@ def modal_with_purity(counts: DataFrame, by: list[str], value: str) -> DataFrame
     """counts (by, value, n): the commonest value (smallest at a tie), its share, and its lead over the runner-up."""
     order = Window.partitionBy(*by).orderBy(F.desc("n"), value)
     ranked = counts.withColumn("r", F.row_number().over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    return ranked.groupBy(*by).agg(F.max(F.when(F.col("r") == 1, F.col(value))).alias("modal"), (F.max(F.when(F.col("r") == 1, F.col("n"))) / F.max("total")).alias("purity"), ((F.max(F.when(F.col("r") == 1, F.col("n"))) - F.coalesce(F.max(F.when(F.col("r") == 2, F.col("n"))), F.lit(0))) / F.max("total")).alias("margin"))
+    return ranked.groupBy(*by).agg(F.max(F.when(F.col("r") == 1, F.col(value))).alias("modal"),
+        (F.max(F.when(F.col("r") == 1, F.col("n"))) / F.max("total")).alias("purity"),
+            ((F.max(F.when(F.col("r") == 1, F.col("n"))) - F.coalesce(F.max(F.when(F.col("r") == 2, F.col("n"))), F.lit(0))) / F.max("total")).alias("margin"))
 
 
 def modal_anomalies(days: DataFrame) -> DataFrame:
@@ -98,7 +107,9 @@ def at_ranks(counts: DataFrame, by: list[str], value: str, ranks: dict[str, Call
     dealt = meet(counts.select(*by, value, "n"), bounds, by).select(*by, value, "n", F.size(F.filter("bounds", lambda x: x < F.col(value))).alias("range"))
     group = Window.partitionBy(*by)
     totals = dealt.groupBy(*by, "range").agg(F.sum("n").alias("own")).withColumns({"upto": F.sum("own").over(group.orderBy("range")), "size": F.sum("own").over(group)})
-    asked = totals.select(*by, "range", (F.col("upto") - F.col("own")).alias("below"), "upto", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), f(F.col("size")).cast("long").alias("rank")) for k, f in ranks.items()])).alias("x")).select(*by, "range", "below", "upto", "x.*").where("rank >= below and rank < upto").drop("upto")
+    asked = totals.select(*by, "range", (F.col("upto") - F.col("own")).alias("below"), "upto",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("what"), f(F.col("size")).cast("long").alias("rank")) for k, f in ranks.items()]))
+            .alias("x")).select(*by, "range", "below", "upto", "x.*").where("rank >= below and rank < upto").drop("upto")
     near = meet(dealt, asked, [*by, "range"])
     found = near.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*by, "range", "what").orderBy(value))).where("rank < upto")
     return found.groupBy(*by).agg(*[F.min(F.when(F.col("what") == k, F.col(value))).alias(k) for k in ranks])
@@ -117,7 +128,8 @@ def coverage(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group: rows, those that record a value (not zero), their share, least, upper median and most."""
     seen = F.col(value) != 0
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
-    whole = counts.groupBy(*by).agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("recorded"), F.min(F.when(seen, F.col(value))).alias("least"), F.max(F.when(seen, F.col(value))).alias("most"))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("recorded"),
+        F.min(F.when(seen, F.col(value))).alias("least"), F.max(F.when(seen, F.col(value))).alias("most"))
     found = at_ranks(counts.where(seen), by, value, {"median": lambda n: F.floor(n / 2)})
     return meet(whole, found, by, "left").select(*by, "rows", "recorded", "least", "median", "most", (F.col("recorded") / F.col("rows")).alias("share"))
 
@@ -146,7 +158,8 @@ def absorb_short_runs(runs: DataFrame, least: int = 30) -> DataFrame:
             rows = merged
         return pd.DataFrame([(group["symbol"].iloc[0], i + 1, *r) for i, r in enumerate(rows)], columns=["symbol", "run", "state", "first", "last", "days"])
 
-    return runs.select("symbol", "run", "state", "first", "last", "days").groupBy("symbol").applyInPandas(absorb, runs.select("symbol", "run", "state", "first", "last", "days").schema)
+    return runs.select("symbol", "run", "state", "first", "last", "days").groupBy("symbol").applyInPandas(absorb,
+        runs.select("symbol", "run", "state", "first", "last", "days").schema)
 
 
 def best_shifts(scan: DataFrame, k: int = 10) -> DataFrame:
@@ -195,7 +208,8 @@ def dst_fingerprint(anchors: DataFrame, least: int = 8, purity: float = 0.8) ->
     modes = modal_with_purity(anchors.groupBy("symbol", "bucket", "hour").agg(F.count("*").alias("n")), ["symbol", "bucket"], "hour")
     n = anchors.groupBy("symbol", "bucket").agg(F.count("*").alias("n"))
     at = lambda b, c: F.max(F.when(F.col("bucket") == b, F.col(c)))
-    g = modes.join(n, ["symbol", "bucket"]).groupBy("symbol").agg(at("us-summer/eu-summer", "modal").alias("both"), at("us-winter/eu-winter", "modal").alias("none"), at("us-summer/eu-winter", "modal").alias("apart"), at("us-summer/eu-winter", "n").alias("rows"), F.min("purity").alias("purity"))
+    g = modes.join(n, ["symbol", "bucket"]).groupBy("symbol").agg(at("us-summer/eu-summer", "modal").alias("both"), at("us-winter/eu-winter", "modal")
+        .alias("none"), at("us-summer/eu-winter", "modal").alias("apart"), at("us-summer/eu-winter", "n").alias("rows"), F.min("purity").alias("purity"))
     told = F.col("both").isNotNull() & F.col("none").isNotNull() & (F.col("rows") >= least) & (F.col("purity") >= purity)
     level = F.col("both") == F.col("none")
     rule = F.when(level & (F.col("apart") == F.col("none")), "US").when(level, "EU").when(F.col("apart") == F.col("both"), "FIXED").otherwise("UNDETERMINED")
@@ -218,7 +232,8 @@ def holiday_match(days: DataFrame, near: DataFrame, confirm: float = 0.9) -> Dat
 def history(bars: DataFrame, horizon: int = 24, folds: int = 5, least: int = 150) -> DataFrame:
     """Per symbol: bars, decisions they allow, span in days, and whether each fold gets enough of them."""
     n = F.floor(F.count("*") / horizon).cast("long")
-    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), n.alias("decisions"), F.floor((F.max("time") - F.min("time")) / 86400).cast("long").alias("span_days")).withColumn("enough", F.floor(F.col("decisions") / (2 * folds)) >= least)
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), n.alias("decisions"), F.floor((F.max("time") - F.min("time")) / 86400).cast("long")
+        .alias("span_days")).withColumn("enough", F.floor(F.col("decisions") / (2 * folds)) >= least)
 
 
 def boundaries_agree(declared: DataFrame, measured: DataFrame, days: int = 3) -> DataFrame:

@@ -27,14 +27,19 @@ def _terms(spark):
 def _accounts(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     k = F.col("c_custkey")
-    return c.select(k.alias("account"), (F.col("c_acctbal") + 2000.0).alias("equity"), F.when(k % 11 == 0, 0.0).otherwise((k % 97) * 20.0).alias("margin"), F.when(k % 13 == 0, 2).otherwise(k % 2).cast("int").alias("stopout_mode"), F.when(k % 17 == 0, 9000).otherwise(500).alias("leverage"), F.lit(100.0).alias("call_level"), F.lit(50.0).alias("stop_level"))
+    return c.select(k.alias("account"), (F.col("c_acctbal") + 2000.0).alias("equity"), F.when(k % 11 == 0, 0.0).otherwise((k % 97) * 20.0)
+        .alias("margin"), F.when(k % 13 == 0, 2).otherwise(k % 2).cast("int").alias("stopout_mode"), F.when(k % 17 == 0, 9000).otherwise(500)
+            .alias("leverage"), F.lit(100.0).alias("call_level"), F.lit(50.0).alias("stop_level"))
 
 
 def _positions(spark, d):
     """Open orders as positions."""
     o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O'")
     k = F.col("o_orderkey")
-    return o.select(F.col("o_custkey").alias("account"), k.alias("ticket"), F.col("o_orderpriority").alias("symbol"), F.when(k % 2 == 0, "long").otherwise("short").alias("direction"), ((k % 10 + 1) / 100.0).alias("volume"), (F.col("o_totalprice") / 100.0).alias("price_open"), wall_seconds(F.col("o_orderdate")).alias("opened_at"), F.when(k % 3 > 0, F.col("o_totalprice") / 110.0).alias("stop_loss"), (-(k % 700) / 100.0).alias("swap"), (((k * 37) % 20000 - 10000) / 100.0).alias("profit"))
+    return o.select(F.col("o_custkey").alias("account"), k.alias("ticket"), F.col("o_orderpriority").alias("symbol"), F.when(k % 2 == 0, "long")
+        .otherwise("short").alias("direction"), ((k % 10 + 1) / 100.0).alias("volume"), (F.col("o_totalprice") / 100.0).alias("price_open"),
+            wall_seconds(F.col("o_orderdate")).alias("opened_at"), F.when(k % 3 > 0, F.col("o_totalprice") / 110.0).alias("stop_loss"),
+                (-(k % 700) / 100.0).alias("swap"), (((k * 37) % 20000 - 10000) / 100.0).alias("profit"))
 
 
 def _with_equity(spark, d):
@@ -44,7 +49,8 @@ def _with_equity(spark, d):
 def _deals(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus <> 'O'")
     k = F.col("o_orderkey")
-    return o.select(F.col("o_custkey").alias("account"), k.alias("ticket"), (((k * 53) % 30000 - 15000) / 100.0).alias("profit"), F.lit(-3.5).alias("commission"), (-(k % 90) / 100.0).alias("swap"), F.lit(0.0).alias("fee"), (wall_seconds(F.col("o_orderdate")) % 864000 + NOW - 432000).alias("closed_at"))
+    return o.select(F.col("o_custkey").alias("account"), k.alias("ticket"), (((k * 53) % 30000 - 15000) / 100.0).alias("profit"), F.lit(-3.5)
+        .alias("commission"), (-(k % 90) / 100.0).alias("swap"), F.lit(0.0).alias("fee"), (wall_seconds(F.col("o_orderdate")) % 864000 + NOW - 432000).alias("closed_at"))
 
 
 def position_sizes(spark, d):
@@ -68,7 +74,8 @@ def _carries(spark, d):
 
 
 def position_carry(spark, d):
-    return _rounded(_carries(spark, d).select("account", "ticket", "nights", "carry_paid", "rate_declared", "rate_measured", "rate_nightly", "rate", "rate_source", "breakeven_points", "breakeven_price", "carry_pct_of_equity", F.concat_ws(",", F.col("refusals.code")).alias("refusals")), 8)
+    return _rounded(_carries(spark, d).select("account", "ticket", "nights", "carry_paid", "rate_declared", "rate_measured", "rate_nightly", "rate",
+        "rate_source", "breakeven_points", "breakeven_price", "carry_pct_of_equity", F.concat_ws(",", F.col("refusals.code")).alias("refusals")), 8)
 
 
 def carry_projection(spark, d):
@@ -137,7 +144,8 @@ def heartbeat(spark, d):
 
 def clock_offsets(spark, d):
     o = _deals(spark, d)
-    r = o.select("account", F.col("closed_at").alias("host_at"), (F.col("closed_at") + 10800 + F.col("ticket") % 900 - 450).alias("server_at"), F.when(F.col("ticket") % 50 == 0, 2).alias("explicit"), "ticket")
+    r = o.select("account", F.col("closed_at").alias("host_at"), (F.col("closed_at") + 10800 + F.col("ticket") % 900 - 450).alias("server_at"),
+        F.when(F.col("ticket") % 50 == 0, 2).alias("explicit"), "ticket")
     # one reading at a time: the smallest ticket's
     return ac.clock_offsets(r.groupBy("account", "host_at").agg(F.min_by("server_at", "ticket").alias("server_at"), F.min_by("explicit", "ticket").alias("explicit")))
 
@@ -146,7 +154,8 @@ def _log(spark, d):
     """Readings of each supplier's shipments as a carry log: cumulative charges, a price, and the server's offset."""
     from pyspark.sql import Window
 
-    l = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("ticket"), wall_seconds(F.col("l_shipdate")).alias("at")).agg(F.min("l_extendedprice").alias("price"), F.sum("l_linenumber").alias("n"))
+    l = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("ticket"), wall_seconds(F.col("l_shipdate"))
+        .alias("at")).agg(F.min("l_extendedprice").alias("price"), F.sum("l_linenumber").alias("n"))
     return l.withColumn("carry_paid", F.sum(F.col("n") * 1.5).over(Window.partitionBy("ticket").orderBy("at"))).withColumn("offset", F.lit(2.0)).drop("n")
 
 
@@ -158,7 +167,9 @@ def charge_structure(spark, d):
     return _rounded(ac.charge_structure(ac.nightly_charges(_log(spark, d))), 7)
 
 
-QUERIES = {f.__name__: f for f in (position_sizes, position_sizes_all, position_carry, carry_projection, portfolio_carry, measured_points, swap_divergence, annual_carry, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, heartbeat, clock_offsets, nightly_charges, charge_structure)}
+QUERIES = {f.__name__: f for f in (position_sizes, position_sizes_all, position_carry, carry_projection, portfolio_carry, measured_points,
+    swap_divergence, annual_carry, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, heartbeat, clock_offsets,
+        nightly_charges, charge_structure)}
 _lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
 _PV = "CASE WHEN point > 0 AND tick_size > 0 AND tick_value > 0 THEN tick_value * point / tick_size END"
 _W = "CAST(floor(epoch({0})) AS BIGINT)"
@@ -272,5 +283,7 @@ WHEN NOT (nights >= 5 AND range >= 0.03 / unit * mean_price AND reversals >= 2)
 # its own SQL, with left joins and their two codes
 SQL["position_sizes_all"] = (
     SQL["position_sizes"].replace("JOIN accounts a USING (account) JOIN terms t USING (symbol)", "LEFT JOIN accounts a USING (account) LEFT JOIN terms t USING (symbol)")
-    .replace("WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step", "WHEN point IS NULL THEN 'SYMBOL_TERMS_MISSING' WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step").replace("WHEN lots < volume_min", "WHEN equity IS NULL THEN 'NO_EQUITY' WHEN lots < volume_min")
+    .replace("WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step",
+        "WHEN point IS NULL THEN 'SYMBOL_TERMS_MISSING' WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step")
+            .replace("WHEN lots < volume_min", "WHEN equity IS NULL THEN 'NO_EQUITY' WHEN lots < volume_min")
 )

@@ -24,7 +24,8 @@ def _bars(spark, d):
 def _decisions(b):
     specs = [fe.range_position(24)]
     p = 1 / (1 + F.exp(-(F.col("range_position_24") - 0.5)))
-    return fe.with_features(b, specs).where((F.col("bar_seq") % 24 == 0) & F.col("range_position_24").isNotNull() & (F.col("atr") > 0)).select("symbol", "bar_seq", (F.col("atr") * 100.0).alias("atr"), p.alias("p"))
+    return fe.with_features(b, specs).where((F.col("bar_seq") % 24 == 0) & F.col("range_position_24")
+        .isNotNull() & (F.col("atr") > 0)).select("symbol", "bar_seq", (F.col("atr") * 100.0).alias("atr"), p.alias("p"))
 
 
 def _outcomes(spark, d, models):
@@ -97,10 +98,12 @@ def breakeven(spark, d):
 def decision_log(spark, d):
     b = fe.with_features(hourly_bars(spark, d), [fe.log_return(24), fe.range_position(24)])
     log = ou.decision_log(_runs(spark, d).where("variant = 'base'"), b.select("symbol", "bar_seq", "log_return_24", "range_position_24"), "run", "closed form")
-    return log.select("decision_id", "arm", "symbol", "bar_seq", "final_decision", F.col("execution.reason").alias("reason"), F.round("outcome_r", 5).alias("outcome_r"), F.map_keys("features").alias("features").cast("string"))
+    return log.select("decision_id", "arm", "symbol", "bar_seq", "final_decision", F.col("execution.reason").alias("reason"), F.round("outcome_r", 5)
+        .alias("outcome_r"), F.map_keys("features").alias("features").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (spread_multipliers, multiplier_coverage, barrier_outcomes, arm_summary, paired_difference, cost_invariance, random_arm_summary, crossover_arm, breakeven_sweep, breakeven, decision_log)}
+QUERIES = {f.__name__: f for f in (spread_multipliers, multiplier_coverage, barrier_outcomes, arm_summary, paired_difference, cost_invariance,
+    random_arm_summary, crossover_arm, breakeven_sweep, breakeven, decision_log)}
 _MODELS = {k: costs.asdict(v) for k, v in BASE.items()}
 
 

@@ -87,7 +87,8 @@ def outcomes_ahead(spark, d):
     """Relative moves of the close in 1, 4 and 24 bars."""
     w, hs = series(), (1, 4, 24)
     ahead = with_halo(hourly_bars(spark, d), ahead=24)
-    return _rounded(without_halo(ahead.withColumns({f"h{h}": F.try_divide(F.lead("close", h).over(w), "close") - 1 for h in hs})).select("symbol", "bar_seq", *[f"h{h}" for h in hs]), 8)
+    return _rounded(without_halo(ahead.withColumns({f"h{h}": F.try_divide(F.lead("close", h).over(w), "close") - 1 for h in hs}))
+        .select("symbol", "bar_seq", *[f"h{h}" for h in hs]), 8)
 
 
 def polynomial(spark, d):
@@ -105,13 +106,16 @@ def bar_clock(spark, d):
     b = hourly_bars(spark, d).select("symbol", "time").unionByName(daily_bars(spark, d).select("symbol", "time"))
     day, utc = clock.day_of(F.col("time")), clock.to_utc(F.col("time"))
     ny = clock.new_york(utc)
-    return b.select("symbol", "time", utc.alias("utc"), clock.hour_of(ny).alias("ny_hour"), clock.weekday(ny).alias("ny_weekday"), clock.break_hour(day).alias("break_hour"), clock.close_hour(day).alias("close_hour"), clock.dst_bucket(day).alias("bucket"), (day >= F.lit("2015-09-11").cast("date")).alias("in_window"))
+    return b.select("symbol", "time", utc.alias("utc"), clock.hour_of(ny).alias("ny_hour"), clock.weekday(ny).alias("ny_weekday"),
+        clock.break_hour(day).alias("break_hour"), clock.close_hour(day).alias("close_hour"), clock.dst_bucket(day).alias("bucket"),
+            (day >= F.lit("2015-09-11").cast("date")).alias("in_window"))
 
 
 def ambiguous_hours(spark, d):
     """Bars whose UTC time is not after the one before, once the clock is taken off."""
     b = hourly_bars(spark, d).withColumn("utc", clock.to_utc(F.col("time")))
-    return without_halo(with_halo(b, back=1).withColumn("was", F.lag("utc").over(series()))).groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(F.col("was") >= F.col("utc")).alias("violations"))
+    return without_halo(with_halo(b, back=1).withColumn("was", F.lag("utc").over(series()))).groupBy("symbol").agg(F.count("*").alias("bars"),
+        F.count_if(F.col("was") >= F.col("utc")).alias("violations"))
 
 
 def weekly_boundaries(spark, d):
@@ -126,7 +130,8 @@ def order_holidays(spark, d):
     h = calendar.us_market_holidays(spark, 1994, 2025)
     days = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("orders"))
     first, nearest = calendar.near_holidays(h), calendar.near_holidays(h, nearest=True).withColumnRenamed("holiday", "nearest")
-    return days.join(F.broadcast(first), "day").join(F.broadcast(nearest), "day").groupBy("holiday", "nearest").agg(F.count("*").alias("days"), F.sum("orders").alias("orders"))
+    return days.join(F.broadcast(first), "day").join(F.broadcast(nearest), "day").groupBy("holiday", "nearest").agg(F.count("*").alias("days"),
+        F.sum("orders").alias("orders"))
 
 
 def order_eras(spark, d):
@@ -134,7 +139,8 @@ def order_eras(spark, d):
     days = spark.read.parquet(f"{d}/orders.parquet").select(F.add_months(F.col("o_orderdate").cast("date"), 192).alias("day"))
     start, daily = calendar.era_of(F.col("day"))
     fridays = calendar.first_fridays(spark, "2008-01-01", "2020-12-31").withColumn("friday", F.lit(True))
-    return days.join(F.broadcast(fridays), "day", "left").groupBy(F.coalesce(start.cast("string"), F.lit("")).alias("era"), daily.alias("daily_break")).agg(F.count("*").alias("orders"), F.count("friday").alias("first_fridays"))
+    return days.join(F.broadcast(fridays), "day", "left").groupBy(F.coalesce(start.cast("string"), F.lit("")).alias("era"),
+        daily.alias("daily_break")).agg(F.count("*").alias("orders"), F.count("friday").alias("first_fridays"))
 
 
 def minute_readings(spark, d):
@@ -161,7 +167,9 @@ def offset_scan_minutes(spark, d):
     return scan_offsets(tick_bars(t, 3600), tick_bars(t, 60))
 
 
-QUERIES = {f.__name__: f for f in (bars_h1, gaps, gap_census, break_ledger, bar_validity, window_validity, returns, range_features, atr, rolling_median, rolling_median_short, direction_labels, volatility_labels, label_summary, outcomes_ahead, polynomial, causality, bar_clock, ambiguous_hours, weekly_boundaries, order_holidays, order_eras, minute_readings, offset_scan, offset_scan_minutes)}
+QUERIES = {f.__name__: f for f in (bars_h1, gaps, gap_census, break_ledger, bar_validity, window_validity, returns, range_features, atr,
+    rolling_median, rolling_median_short, direction_labels, volatility_labels, label_summary, outcomes_ahead, polynomial, causality, bar_clock,
+        ambiguous_hours, weekly_boundaries, order_holidays, order_eras, minute_readings, offset_scan, offset_scan_minutes)}
 _r = lambda x, n=6: f"round({x}, {n})"
 _ret = lambda n: f"ln(close / lag(close, {n}) {q.SERIES}))"
 _vol = f"CASE WHEN {q.trailing('count(step)', 24)} = 24 THEN {q.trailing('stddev_pop(step)', 24)} END"
@@ -212,7 +220,8 @@ FROM vols) SELECT symbol, bar_seq, CASE WHEN later IS NOT NULL AND th IS NOT NUL
 AS defined, CAST(count(*) FILTER (later > close) AS BIGINT) AS positive, CAST(count(*) FILTER (later = close) AS BIGINT) AS ties, round(CASE WHEN
 count(later) > 0 THEN count(*) FILTER (later > close) / count(later) END, 6) AS base_rate, round(CASE WHEN count(later) > 0 THEN count(*) FILTER
 (later = close) / count(later) END, 6) AS tie_rate FROM x GROUP BY symbol""",
-    "outcomes_ahead": f"WITH {q.BARS} SELECT symbol, bar_seq, " + ", ".join(f"round(lead(close, {h}) {q.SERIES}) / close - 1, 8) AS h{h}" for h in (1, 4, 24)) + " FROM bars",
+    "outcomes_ahead": f"WITH {q.BARS} SELECT symbol, bar_seq, " + ", ".join(f"round(lead(close, {h}) {q.SERIES}) / close - 1, 8) AS h{h}" for h in (1,
+        4, 24)) + " FROM bars",
     "polynomial": f"""WITH {q.BARS}, x AS (SELECT symbol, bar_seq, open AS a, close AS b FROM bars) SELECT symbol, bar_seq, round(a, 6) AS a, round(b,
 6) AS b, round(a*a, 6) AS \"a*a\", round(a*b, 6) AS \"a*b\", round(b*b, 6) AS \"b*b\", round(a*a*a, 6) AS \"a*a*a\", round(a*a*b, 6) AS \"a*a*b\",
 round(a*b*b, 6) AS \"a*b*b\", round(b*b*b, 6) AS \"b*b*b\" FROM x""",

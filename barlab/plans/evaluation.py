@@ -113,7 +113,8 @@ def target_means(spark, d):
 def standardised(spark, d):
     s, _, members = _members(spark, d)
     rows = members.join(s.select("symbol", "bar_seq", "log_return_5", "range_position_24"), ["symbol", "bar_seq"])
-    return _rounded(fo.standardise(rows, ["log_return_5", "range_position_24"]).where("role = 'test'").select("symbol", "fold", "bar_seq", "log_return_5", "range_position_24"))
+    return _rounded(fo.standardise(rows, ["log_return_5", "range_position_24"]).where("role = 'test'")
+        .select("symbol", "fold", "bar_seq", "log_return_5", "range_position_24"))
 
 
 def eligibility(spark, d):
@@ -138,7 +139,8 @@ def train_and_test(spark, d):
     return one("train").union(one("test")).dropDuplicates().groupBy("symbol", "fold").agg(F.count("*").alias("rows"), F.sum("bar_seq").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (density, density_boundary, modal_anomalies, modal_hours, spread_profile, coverage, hours_present, session_runs, absorbed_runs, largest_gaps, fold_counts, fold_leaks, brier_skill, hit_rates, target_means, standardised, eligibility, fold_eras, untested_eras, train_and_test)}
+QUERIES = {f.__name__: f for f in (density, density_boundary, modal_anomalies, modal_hours, spread_profile, coverage, hours_present, session_runs,
+    absorbed_runs, largest_gaps, fold_counts, fold_leaks, brier_skill, hit_rates, target_means, standardised, eligibility, fold_eras, untested_eras, train_and_test)}
 DAYS = f"""{q.BARS}, days AS (SELECT symbol, CAST(year({q.day('time')}) AS INTEGER) AS year, time // 86400 AS day, CAST((time // 86400 + 3) % 7 AS
 INTEGER) AS weekday, count(*) AS bars FROM bars GROUP BY ALL)"""
 _upper = lambda x, where="": f"list_sort(list({x}) {where})[CAST(count({x}) {where} // 2 AS INTEGER) + 1]"
@@ -186,7 +188,8 @@ r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY symbol ORDER BY day) AS BIGIN
 max(day) AS last, count(*) AS days FROM r GROUP BY symbol, run, state""",
     "largest_gaps": f"""WITH {q.DAILY}, g AS (SELECT symbol, time AS before, lead(time) {q.SERIES}) AS after FROM daily) SELECT symbol, before, after,
 (after - before) // 86400 - 1 AS missing FROM g WHERE after - before > 86400 ORDER BY missing DESC, symbol, before LIMIT 15""",
-    "fold_counts": f"WITH {MEMBERS} SELECT symbol, fold, " + ", ".join(f"CAST(count(*) FILTER (role = '{r}') AS BIGINT) AS {r}" for r in ("train", "test", "purged", "embargoed")) + " FROM members GROUP BY symbol, fold",
+    "fold_counts": f"WITH {MEMBERS} SELECT symbol, fold, " + ", ".join(f"CAST(count(*) FILTER (role = '{r}') AS BIGINT) AS {r}" for r in ("train",
+        "test", "purged", "embargoed")) + " FROM members GROUP BY symbol, fold",
     "fold_leaks": f"""WITH {MEMBERS} SELECT f.symbol, f.fold, CAST((SELECT count(*) FROM members a JOIN members b USING (symbol, fold, bar_seq) WHERE
 a.role = 'train' AND b.role = 'test' AND a.symbol = f.symbol AND a.fold = f.fold) AS BIGINT) AS overlap, coalesce((SELECT max(bar_seq) + 5 FROM
 members m WHERE m.symbol = f.symbol AND m.fold = f.fold AND role = 'train') >= f.test_start, false) AS reaches FROM folds f""",

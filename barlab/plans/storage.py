@@ -46,7 +46,8 @@ def streamed_bars(spark, d):
     """Hourly bars of the events read as a stream, in one run over all that is there: those that the watermark, ten minutes behind the last event, has closed."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    t = e.select(F.col("event_type").alias("symbol"), F.timestamp_seconds(clock.wall_seconds(F.col("ts"))).alias("ts"), F.col("event_id").alias("tick_id"), (F.col("value") + 1.0).alias("price"), F.get_json_object("props", "$.k").cast("long").alias("volume"))
+    t = e.select(F.col("event_type").alias("symbol"), F.timestamp_seconds(clock.wall_seconds(F.col("ts"))).alias("ts"), F.col("event_id")
+        .alias("tick_id"), (F.col("value") + 1.0).alias("price"), F.get_json_object("props", "$.k").cast("long").alias("volume"))
     path = f"{shared_folder(spark)}/barlab/stream-{uuid.uuid4().hex}"
     bars = jobs.roll_up_stream(t).writeStream.outputMode("append").format("parquet").option("path", f"{path}/bars").option("checkpointLocation", f"{path}/checkpoint")
     bars.trigger(availableNow=True).start().awaitTermination()

@@ -52,7 +52,8 @@ def leaky_fits(spark, d):
 def converged_fits(spark, d):
     """Fits that go on until the gradient's largest part is 1e-6 or less, or for a million steps."""
     f = ev.fit_predict(_rows(spark, d).withColumn("seed", F.lit(0)), {"all": FEATURES}, model=lambda: ev.Logistic(1_000_000, tolerance=1e-6))
-    return f.groupBy("symbol").agg(F.max("iterations").alias("iterations"), F.max("norm").alias("norm"), F.bool_and("converged").alias("converged"), F.bool_or("hit_cap").alias("hit_cap"))
+    return f.groupBy("symbol").agg(F.max("iterations").alias("iterations"), F.max("norm").alias("norm"), F.bool_and("converged").alias("converged"),
+        F.bool_or("hit_cap").alias("hit_cap"))
 
 
 def permutation_null(spark, d):
@@ -66,10 +67,13 @@ def ablation(spark, d):
     arms = {"base": FEATURES, "all": names} | {f"base+{c}": [*FEATURES, c] for c in names[3:]}
     gains = None
     for h in HORIZONS:
-        f = ev.fit_predict(_rows(spark, d, (*BASE, *ADDED), h).withColumn("seed", F.lit(0)), arms).select("symbol", "fold", "bar_seq", "arm", F.pow(F.col("p") - F.col("y"), F.lit(2)).alias("loss"))
+        f = ev.fit_predict(_rows(spark, d, (*BASE, *ADDED), h).withColumn("seed", F.lit(0)), arms).select("symbol", "fold", "bar_seq", "arm",
+            F.pow(F.col("p") - F.col("y"), F.lit(2)).alias("loss"))
         # each arm's losses beside the base's, from one pass over the fits
-        packed = f.groupBy("symbol", "fold", "bar_seq").agg(F.max(F.when(F.col("arm") == "base", F.col("loss"))).alias("base"), F.collect_list(F.struct("arm", "loss")).alias("arms"))
-        own = packed.select(F.lit(h).alias("horizon"), "symbol", "fold", "bar_seq", "base", F.inline("arms")).where("arm <> 'base'").withColumn("gain", F.col("base") - F.col("loss"))
+        packed = f.groupBy("symbol", "fold", "bar_seq").agg(F.max(F.when(F.col("arm") == "base", F.col("loss"))).alias("base"),
+            F.collect_list(F.struct("arm", "loss")).alias("arms"))
+        own = packed.select(F.lit(h).alias("horizon"), "symbol", "fold", "bar_seq", "base",
+            F.inline("arms")).where("arm <> 'base'").withColumn("gain", F.col("base") - F.col("loss"))
         gains = own if gains is None else gains.unionByName(own)
     return _intervals(gains, ["horizon", "symbol", "arm"])
 
@@ -107,5 +111,6 @@ def block_interval(spark, d):
     return _intervals(fo.improvement(_forecasts(spark, d), ["symbol"]), ["symbol"])
 
 
-QUERIES = {f.__name__: f for f in (walk_forward_fit, leaky_fits, converged_fits, permutation_null, ablation, capacity_ladder, response_probe, gain_interval, block_interval)}
+QUERIES = {f.__name__: f for f in (walk_forward_fit, leaky_fits, converged_fits, permutation_null, ablation, capacity_ladder, response_probe,
+    gain_interval, block_interval)}
 SQL: dict[str, str] = {}

@@ -22,7 +22,9 @@ def load_bars(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 def parse_price(text: Column) -> Column:
     """A price with two decimals at most; more is an error, not rounded away."""
     value = text.try_cast("decimal(18,2)")
-    return F.when(F.length(F.split_part(text, F.lit("."), F.lit(2))) > 2, F.raise_error(F.concat(F.lit("more than two decimals: "), text))).when(value.isNull() & text.isNotNull(), F.raise_error(F.concat(F.lit("not a price: "), text))).otherwise(value)
+    return F.when(F.length(F.split_part(text, F.lit("."), F.lit(2))) > 2,
+        F.raise_error(F.concat(F.lit("more than two decimals: "), text))).when(value.isNull() & text.isNotNull(),
+            F.raise_error(F.concat(F.lit("not a price: "), text))).otherwise(value)
 
 
 def unrecorded_to_null(bars: DataFrame) -> DataFrame:
@@ -40,7 +42,8 @@ def load_carry_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rows = spark.read.schema(CARRY_SCHEMA).option("mode", "FAILFAST").json(path).withColumn("log_id", F.input_file_name())
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in CARRY_REQUIRED]))
     rows = rows.withColumn("ticket", F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing "), F.array_join(missing, ", ")))).otherwise(F.col("ticket")))
-    bad = ~F.coalesce(F.col("server_offset_hours").between(-12, 14), F.lit(True)) | (F.col("server_offset_source").isNotNull() & ~F.col("server_offset_source").isin("measured", "explicit"))
+    bad = ~F.coalesce(F.col("server_offset_hours").between(-12, 14), F.lit(True)) | (F.col("server_offset_source")
+        .isNotNull() & ~F.col("server_offset_source").isin("measured", "explicit"))
     marked = rows.withColumn("refused", F.max(bad).over(Window.partitionBy("log_id")))
     return marked.where("not refused").drop("refused"), marked.where("refused").drop("refused")
 
@@ -52,10 +55,13 @@ def audit_files(spark: SparkSession, folder: str, registry: DataFrame) -> DataFr
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
     is_side = F.col("filename").endswith(".sha256")
     data = files.where(~is_side).select("filename", F.sha2("content", 256).alias("actual"))
-    side = files.where(is_side).select(F.expr("left(filename, length(filename) - 7)").alias("filename"), F.substring_index(F.trim(F.decode("content", "UTF-8")), " ", 1).alias("sidecar"))
+    side = files.where(is_side).select(F.expr("left(filename, length(filename) - 7)").alias("filename"),
+        F.substring_index(F.trim(F.decode("content", "UTF-8")), " ", 1).alias("sidecar"))
     j = registry.join(data, "filename", "full").join(side, "filename", "left")
     state = (
-        F.when(F.col("awaiting").isNull(), "unregistered").when(F.col("awaiting") & F.col("actual").isNotNull(), "present-but-awaiting").when(F.col("awaiting"), "awaiting").when(F.col("actual").isNull(), "missing")
-        .when(F.col("actual") != F.col("sha256"), "hash-mismatch").when(F.col("sidecar").isNull() | (F.col("sidecar") != F.col("actual")), "sidecar-mismatch").otherwise("matched")
+        F.when(F.col("awaiting").isNull(), "unregistered").when(F.col("awaiting") & F.col("actual").isNotNull(), "present-but-awaiting")
+            .when(F.col("awaiting"), "awaiting").when(F.col("actual").isNull(), "missing")
+        .when(F.col("actual") != F.col("sha256"), "hash-mismatch")
+            .when(F.col("sidecar").isNull() | (F.col("sidecar") != F.col("actual")), "sidecar-mismatch").otherwise("matched")
     )
     return j.select("filename", state.alias("state"))

@@ -12,14 +12,17 @@ def table_digest(rows: DataFrame, by: str, seq: str, columns: list[str], chunk:
     """(by, rows, digest): a hash of the values alone, whatever the files look like. Rows are hashed one by one, each run of chunk numbers into one digest, and those into the group's."""
     # a row's JSON tells nulls from empty strings and columns from one another
     line = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    chunks = rows.groupBy(by, F.floor(F.col(seq) / chunk).alias("chunk")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq, line.alias("h")))), lambda x: x["h"]), ""), 256).alias("d"))
-    return chunks.groupBy(by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    chunks = rows.groupBy(by, F.floor(F.col(seq) / chunk).alias("chunk")).agg(F.count("*").alias("n"),
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq, line.alias("h")))), lambda x: x["h"]), ""), 256).alias("d"))
+    return chunks.groupBy(by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "d"))),
+        lambda x: x["d"]), ""), 256).alias("digest"))
 
 
 def summary(bars: DataFrame) -> DataFrame:
     """Per symbol: rows, in-window, valid and labelled counts, first and last bar, and the last day that is whole (the one before the last bar's)."""
     count = lambda c: F.count_if(F.col(c)).alias(c)
-    return bars.groupBy("symbol").agg(F.count("*").alias("rows"), count("in_window"), count("valid"), count("label_valid"), F.min("time").alias("first_bar"), F.max("time").alias("last_bar"), (F.floor(F.max("time") / 86400) - 1).cast("long").alias("window_end"))
+    return bars.groupBy("symbol").agg(F.count("*").alias("rows"), count("in_window"), count("valid"), count("label_valid"), F.min("time")
+        .alias("first_bar"), F.max("time").alias("last_bar"), (F.floor(F.max("time") / 86400) - 1).cast("long").alias("window_end"))
 
 
 def write_snapshot(bars: DataFrame, outcomes: DataFrame, path: str, calendar_hash: str) -> None:

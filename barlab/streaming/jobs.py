@@ -17,7 +17,8 @@ RANK = {"CRITICAL": 0, "WARN": 1, "INFO": 2}
 def ingest_ticks(spark: SparkSession, folder: str, delay: str = "1 minute") -> DataFrame:
     """A stream of CSV ticks without exact repeats, with the server's day to route by. Different ticks may share a millisecond."""
     raw = spark.readStream.schema(TICK_SCHEMA).option("header", True).csv(folder)
-    return raw.withColumn("ts", F.timestamp_millis("time_msc")).withWatermark("ts", delay).dropDuplicatesWithinWatermark([c.split()[0] for c in TICK_SCHEMA.split(", ")]).withColumn("server_day", F.to_date("ts"))
+    return raw.withColumn("ts", F.timestamp_millis("time_msc")).withWatermark("ts",
+        delay).dropDuplicatesWithinWatermark([c.split()[0] for c in TICK_SCHEMA.split(", ")]).withColumn("server_day", F.to_date("ts"))
 
 
 def write_ticks(ticks: DataFrame, path: str, checkpoint: str) -> Any:
@@ -28,7 +29,9 @@ def write_ticks(ticks: DataFrame, path: str, checkpoint: str) -> Any:
 def roll_up_stream(ticks: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Bars of a stream (symbol, ts timestamp, tick_id, price, volume), labelled at their open; rows later than the delay are dropped and counted by Spark."""
     key = F.struct("ts", "tick_id")
-    return ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width).alias("w")).agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.sum("volume").alias("tick_volume"), F.count("*").alias("n")).select("symbol", F.unix_timestamp("w.start").alias("time"), "open", "high", "low", "close", "tick_volume", "n")
+    return ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width).alias("w")).agg(F.min_by("price", key).alias("open"),
+        F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.sum("volume").alias("tick_volume"),
+            F.count("*").alias("n")).select("symbol", F.unix_timestamp("w.start").alias("time"), "open", "high", "low", "close", "tick_volume", "n")
 
 
 ALERT = "account string, code string, key string, severity string, raised_at long"
@@ -89,7 +92,8 @@ def openings_stream(readings: DataFrame, tolerance: int = 1, closed_after: int =
         last = max(last, int(rows["read_at"].max()))
         state.update((first, last))
         state.setTimeoutTimestamp(max((last + closed_after) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"ticket": key[0], "read_at": rows["read_at"], "opened_at": rows["opened_at"], "first_seen": first, "moved": (rows["opened_at"] - first).abs() > tolerance})
+        yield pd.DataFrame({"ticket": key[0], "read_at": rows["read_at"], "opened_at": rows["opened_at"], "first_seen": first,
+            "moved": (rows["opened_at"] - first).abs() > tolerance})
 
     timed = readings.withColumn("_at", F.timestamp_seconds("read_at")).withWatermark("_at", f"{closed_after} seconds")
     return timed.groupBy("ticket").applyInPandasWithState(run, schema, "first_seen long, last_seen long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -125,7 +129,8 @@ def ledger_batch(path: str) -> Callable[[DataFrame, int], None]:
         status = "RECOVERED" if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else "OK"
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
         chain = F.sha2(F.lit((done[0]["chain"] if done else "") + own["segment"]), 256)
-        row = spark.range(1).select(F.lit(number).cast("long").alias("seq"), F.lit(own["rows"]).cast("long").alias("rows"), F.lit(own["segment"]).alias("segment"), chain.alias("chain"), F.lit(status).alias("status"))
+        row = spark.range(1).select(F.lit(number).cast("long").alias("seq"), F.lit(own["rows"]).cast("long").alias("rows"), F.lit(own["segment"])
+            .alias("segment"), chain.alias("chain"), F.lit(status).alias("status"))
         row.coalesce(1).write.mode("append").parquet(f"{path}/ledger")
 
     return write
@@ -138,7 +143,8 @@ def audit_ledger(spark: SparkSession, path: str) -> DataFrame:
     before, as when a row was changed or taken out. UNRECORDED: data without a ledger row. A row a batch."""
     ledger = _ledger(spark, path)
     data = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
-    now = data.groupBy(F.col("batch").cast("long").alias("seq")).agg(F.count("*").alias("found"), _segment(data, [c for c in data.columns if c != "batch"]).alias("actual"))
+    now = data.groupBy(F.col("batch").cast("long").alias("seq")).agg(F.count("*").alias("found"),
+        _segment(data, [c for c in data.columns if c != "batch"]).alias("actual"))
     # one row a batch, in the order that they are chained in
     before = F.coalesce(F.lag("chain").over(Window.orderBy("seq")), F.lit(""))
     linked = ledger.withColumn("links", F.col("chain") == F.sha2(F.concat(before, "segment"), 256))
@@ -149,7 +155,8 @@ def audit_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def carry_log_rows(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined with reason): readings with trusted timing and a measured or explicit offset go to the carry log."""
-    reason = F.when(~F.coalesce(F.col("timing_trusted"), F.lit(False)), "timing not trusted").when(~F.coalesce(F.col("offset_source").isin("measured", "explicit"), F.lit(False)), "offset not measured")
+    reason = F.when(~F.coalesce(F.col("timing_trusted"), F.lit(False)),
+        "timing not trusted").when(~F.coalesce(F.col("offset_source").isin("measured", "explicit"), F.lit(False)), "offset not measured")
     marked = readings.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
