@@ -146,7 +146,8 @@ def canonical_turns(records: DataFrame, id_col: str = "id", record_col: str = "r
     by_row = F.coalesce(F.col("layout").isin([m.name for m in mappings if m.row]), F.lit(False))
     ready = F.struct(F.col("turn").isNull().alias("none"), "turn", F.get("turns", F.lit(0))["role"].alias("role"), F.get("turns", F.lit(0))["text"].alias("text"))
     rows = mapped.where(by_row).select("id", "layout", ready.alias("t"))
-    gathered = rows.groupBy("id", "layout").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    gathered = rows.groupBy("id", "layout").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"),
+        t["text"].alias("text"))).alias("turns"))
     return mapped.where(~by_row).select("id", "layout", "turns").unionByName(gathered)
 
 
@@ -171,12 +172,14 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     """(id, formatted, mask): the turns marked up, and the spans (start, length in code points) of assistant texts in it.
 
     A turn is `<|im_start|>role`, a line end, the escaped text, `<|im_end|>` and a line end. No turns give ''."""
-    heads = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escape(t["role"], True), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
+    heads = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escape(t["role"], True), F.lit("\n")).alias("head"), escape(t["text"])
+        .alias("body"), (t["role"] == "assistant").alias("loss")))
     marked = conversations.select("id", heads.alias("h"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
     step = lambda s, t: F.struct(
         (s["at"] + F.char_length(t["head"]) + F.char_length(t["body"]) + len(CLOSE)).alias("at"),
-        F.when(t["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.char_length(t["head"])).alias("start"), F.char_length(t["body"]).cast("long").alias("length"))))).otherwise(s["spans"]).alias("spans"),
+        F.when(t["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.char_length(t["head"])).alias("start"), F.char_length(t["body"])
+            .cast("long").alias("length"))))).otherwise(s["spans"]).alias("spans"),
     )
     text = F.concat_ws("", F.transform("h", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))))
     return marked.select("id", text.alias("formatted"), F.aggregate("h", start, step, lambda s: s["spans"]).alias("mask"))
@@ -185,7 +188,9 @@ def format_chat(conversations: DataFrame) -> DataFrame:
 def read_chat(formatted: DataFrame) -> DataFrame:
     """(id, turns, loss_text): what format_chat wrote, read back from its text and mask."""
     parts = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p: p != "")
-    turns = F.transform(parts, lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"), unescape(p.substr(F.char_length(F.substring_index(p, "\n", 1)) + 2, F.char_length(p) - F.char_length(F.substring_index(p, "\n", 1)) - 1 - len(CLOSE))).alias("text")))
+    turns = F.transform(parts, lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"),
+        unescape(p.substr(F.char_length(F.substring_index(p, "\n", 1)) + 2,
+            F.char_length(p) - F.char_length(F.substring_index(p, "\n", 1)) - 1 - len(CLOSE))).alias("text")))
     loss = F.concat_ws("", F.transform("mask", lambda m: unescape(F.col("formatted").substr(m["start"].cast("int") + 1, m["length"].cast("int")))))
     return formatted.select("id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
@@ -198,11 +203,14 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
 
     A table whose schema no mapping declares has conversations without turns."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user")
+        .otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     table = table.unionByName(extra, allowMissingColumns=True)
     out = read_chat(format_chat(row_turns(table, "conv_id")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    return out.select(F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    return out.select(F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted")
+            .cast("long").alias("formatted_chars"))
 
 
 SQL = {

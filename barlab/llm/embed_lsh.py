@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from barlab.llm.shared import by_sorted_group, components, forest, keep, ship
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 64, projections: int = 20, width: float = 2.0, block: int = 4096, seed: int = 20) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 64, projections: int = 20, width: float = 2.0, block: int = 4096,
+    seed: int = 20) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id long, embedding array).
 
     Normalised vectors are hashed in each of the tables by floor((p.x + u) / width) of Gaussian
@@ -28,7 +29,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 64,
     spark = vectors.sparkSession
     ship(spark)
     wide = F.transform("embedding", lambda x: x.cast("double"))
-    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(wide, lambda x: x != 0)
+    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(wide,
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(wide, lambda x: x != 0)
     base = vectors.select("vec_id", F.when(fine, wide).alias("v")).withColumn("class", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     classes = base.where("v is not null").groupBy("class").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     directions: dict[int, tuple] = {}
@@ -48,14 +50,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 64,
                 with np.errstate(over="ignore"):
                     key = ((cell + size) * mix).sum(axis=2)
                     key ^= key >> 31
-                yield pd.DataFrame({"class": batch["class"].to_numpy(), "copies": batch["copies"].to_numpy(), "first_id": batch["first_id"].to_numpy(), "size": np.int32(size), "unit": [x.tobytes() for x in v], "keys": list(key)})
+                yield pd.DataFrame({"class": batch["class"].to_numpy(), "copies": batch["copies"].to_numpy(),
+                    "first_id": batch["first_id"].to_numpy(), "size": np.int32(size), "unit": [x.tobytes() for x in v], "keys": list(key)})
 
     nodes = keep(classes.mapInPandas(hashed, "class long, copies long, first_id long, size int, unit binary, keys array<long>"), "vectors")
     met = nodes.select("class", F.posexplode("keys").alias("table", "key"))
     full = met.join(met.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), ["table", "key"])
     parts = F.ceil(F.col("n") / block).cast("long")
     own, zero = F.pmod(F.xxhash64("class"), parts), F.lit(0).cast("long")
-    cells = full.withColumn("own", own).select("table", "key", "class", "own", F.explode(F.transform(F.sequence(zero, parts - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))).alias("to"))
+    cells = full.withColumn("own", own).select("table", "key", "class", "own",
+        F.explode(F.transform(F.sequence(zero, parts - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))).alias("to"))
     cells = cells.select("table", "key", "to.i", "to.j", "own", "class").join(nodes.select("class", "copies", "size", "unit", "keys"), "class")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame | None:
@@ -84,16 +88,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 64,
                     np.add.at(counts, q, copies[p])
                     label = forest(len(group), np.r_[p, np.arange(len(group))], np.r_[q, label])
         n, e = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(group)))
-        return pd.DataFrame({"a": np.r_[classes[n], classes[e]], "b": pd.array(np.r_[np.zeros(len(n), np.int64), classes[label[e]]], dtype="Int64"), "links": np.r_[counts[n], np.zeros(len(e), np.int64)]})
+        return pd.DataFrame({"a": np.r_[classes[n], classes[e]], "b": pd.array(np.r_[np.zeros(len(n), np.int64), classes[label[e]]], dtype="Int64"),
+            "links": np.r_[counts[n], np.zeros(len(e), np.int64)]})
 
     found = keep(by_sorted_group(cells, ["table", "key", "i", "j"], compare, "a long, b long, links long"), "vector-links")
     counted = found.where("links > 0").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     roots = components(found.where("links = 0").select("a", "b")).withColumnRenamed("node", "class")
-    rooted = nodes.select("class", "copies", "first_id").join(counted, "class", "left").join(roots, "class", "left").select("class", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
+    rooted = nodes.select("class", "copies", "first_id").join(counted, "class", "left").join(roots, "class", "left").select("class", "first_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
     rooted = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("class", "n_links", "component_id")
     out = base.select("vec_id", "class").join(rooted, "class", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id")
+        .eqNullSafe(component).alias("kept"))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from barlab.llm.shared import ship
 
 FEATURES = (
-    "log bytes", "log words", "bytes a word", "upper case a byte", "digits a byte", "marks a byte", "exclamations a word", "pipes a word", "symbols a word", "white space a byte",
-    "lines a word", "other bytes a byte", "distinct words a word", "share of the commonest word", "words like the last", "repeated lines a line", "words without letters", "upper-case words", "short words", "longest word",
+    "log bytes", "log words", "bytes a word", "upper case a byte", "digits a byte", "marks a byte", "exclamations a word", "pipes a word",
+        "symbols a word", "white space a byte",
+    "lines a word", "other bytes a byte", "distinct words a word", "share of the commonest word", "words like the last", "repeated lines a line",
+        "words without letters", "upper-case words", "short words", "longest word",
 )
-_SETS = {n: [*map(ord, s)] for n, s in {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "mark": ".,;:!?'\"()-", "bang": "!", "pipe": "|", "symbol": "#$%&*+<=>@[\\]^_`{}~", "space": " \t\n\r\v\f", "line": "\n"}.items()}
+_SETS = {n: [*map(ord, s)] for n, s in {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "mark": ".,;:!?'\"()-", "bang": "!",
+    "pipe": "|", "symbol": "#$%&*+<=>@[\\]^_`{}~", "space": " \t\n\r\v\f", "line": "\n"}.items()}
 
 
 def features(text: str | None) -> list[float]:
@@ -35,7 +38,8 @@ def features(text: str | None) -> list[float]:
     return [
         np.log1p(n), np.log1p(w), n / w, of["upper"] / n, of["digit"] / n, of["mark"] / n, of["bang"] / w, of["pipe"] / w, of["symbol"] / w, of["space"] / n,
         of["line"] / w, int(count[128:].sum()) / n, len(seen) / w, max(seen.values()) / w, sum(map(eq, words, words[1:])) / w, 1 - len(set(lines)) / len(lines),
-        sum(c for x, c in seen.items() if not x.upper() != x.lower()) / w, sum(c for x, c in seen.items() if len(x) > 1 and x.isupper()) / w, sum(c for x, c in seen.items() if len(x) <= 2) / w, np.log1p(max(map(len, seen))),
+        sum(c for x, c in seen.items() if not x.upper() != x.lower()) / w, sum(c for x, c in seen.items() if len(x) > 1 and x.isupper()) / w,
+            sum(c for x, c in seen.items() if len(x) <= 2) / w, np.log1p(max(map(len, seen))),
     ]
 
 
@@ -162,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": [features(t) for t in batch["text"]]})
 
     # the sample has at most max_rows rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"]).drop_duplicates("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run,
+        "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"]).drop_duplicates("doc_id")
     return fit(np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(np.float64)) if len(rows) else Model()
 
 

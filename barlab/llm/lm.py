@@ -79,8 +79,10 @@ class Builder:
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         return pd.DataFrame([{
-            "chunk": uuid.uuid4().int >> 65, "is_mixing": self.mixing, "ids": planes(np.array([0 if i is None else i for i in self.ids], np.int64)), "nulls": np.array([i is None for i in self.ids], np.uint8).tobytes(),
-            "roles": np.array(self.roles, np.uint8).tobytes(), "lengths": planes(np.array([len(x) for x in self.own], np.uint32)), "tokens": planes(rank[np.concatenate(self.own)]), "words": planes(np.diff(hashes[order], prepend=np.uint64(0))), "end": int(rank[0]),
+            "chunk": uuid.uuid4().int >> 65, "is_mixing": self.mixing, "ids": planes(np.array([0 if i is None else i for i in self.ids], np.int64)),
+                "nulls": np.array([i is None for i in self.ids], np.uint8).tobytes(),
+            "roles": np.array(self.roles, np.uint8).tobytes(), "lengths": planes(np.array([len(x) for x in self.own], np.uint32)),
+                "tokens": planes(rank[np.concatenate(self.own)]), "words": planes(np.diff(hashes[order], prepend=np.uint64(0))), "end": int(rank[0]),
         }])
 
 
@@ -153,7 +155,8 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
                     cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
                     low = np.uint64(8 * (level == 2))
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        rows.append((row["chunk"], row["is_mixing"], level, int(part[a]), planes(np.diff(hashes[a:b] >> low, prepend=np.uint64(0))), planes(sums[0][a:b]), planes(sums[1][a:b])))
+                        rows.append((row["chunk"], row["is_mixing"], level, int(part[a]), planes(np.diff(hashes[a:b] >> low, prepend=np.uint64(0))),
+                            planes(sums[0][a:b]), planes(sums[1][a:b])))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ASKED.split(", ")])
 
     def totals(group: pd.DataFrame) -> pd.DataFrame:
@@ -186,13 +189,16 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
     weights = np.tile([0.4, 0.59, 0.01], (BUCKETS, 1))
     weights[0] = [0, 0.99, 0.01]
     if n_counting and chunks.get(True):
-        seen = by_sorted_group(together.where("is_mixing"), ["chunk"], events, "both long, context long, word long, n long", max(12, chunks[True] // 4)).groupBy("both", "context", "word").agg(F.sum("n").alias("n"))
+        seen = by_sorted_group(together.where("is_mixing"), ["chunk"], events, "both long, context long, word long, n long",
+            max(12, chunks[True] // 4)).groupBy("both", "context", "word").agg(F.sum("n").alias("n"))
         bucket = F.when(F.col("context") > 0, F.least(F.lit(BUCKETS - 1), F.floor(F.log2("context")).cast("int") + 1)).otherwise(0)
-        seen = keep(seen.select("n", bucket.alias("b"), F.coalesce(F.try_divide("both", "context"), F.lit(0.0)).alias("f2"), (F.col("word") / n_counting).alias("f1")), "lm-events")
+        seen = keep(seen.select("n", bucket.alias("b"), F.coalesce(F.try_divide("both", "context"), F.lit(0.0)).alias("f2"),
+            (F.col("word") / n_counting).alias("f1")), "lm-events")
         f0 = 1 / (v_counting + 1)
         for _ in range(rounds):
             w = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, j]]), F.col("b") + 1) for j in range(3)]
-            shares = seen.select("b", "n", (w[0] * F.col("f2")).alias("p2"), (w[1] * F.col("f1")).alias("p1"), (w[2] * f0).alias("p0")).withColumn("p", F.col("n") / (F.col("p2") + F.col("p1") + F.col("p0")))
+            shares = seen.select("b", "n", (w[0] * F.col("f2")).alias("p2"), (w[1] * F.col("f1")).alias("p1"), (w[2] * f0)
+                .alias("p0")).withColumn("p", F.col("n") / (F.col("p2") + F.col("p1") + F.col("p0")))
             for row in shares.groupBy("b").agg(*[F.sum(F.col("p") * F.col(c)).alias(c) for c in ("p2", "p1", "p0")]).collect():
                 new = np.maximum([0 if row["b"] == 0 else row["p2"], row["p1"], row["p0"]], [0, 0, 1e-9 * (row["p2"] + row["p1"] + row["p0"])])
                 weights[row["b"]] = new / new.sum()
@@ -209,7 +215,8 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes:
         total = lambda x: np.add.reduceat(x, starts)
         ids = pd.array(unplanes(own["ids"], np.int64), dtype="Int64")
         ids[np.frombuffer(own["nulls"], np.uint8) == 1] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "held_out": roles == HELD_OUT, "n_tokens": lengths, "n_known": total((word > 0).astype(np.int64)), "train_tokens": n_all, "base_score": total(np.log10((word + 0.1) / (n_all + 0.1 * (v_all + 1)))), "score": total(np.log10(p))})
+        return pd.DataFrame({"doc_id": ids, "held_out": roles == HELD_OUT, "n_tokens": lengths, "n_known": total((word > 0).astype(np.int64)),
+            "train_tokens": n_all, "base_score": total(np.log10((word + 0.1) / (n_all + 0.1 * (v_all + 1)))), "score": total(np.log10(p))})
 
     return by_sorted_group(together.drop("counting"), ["chunk"], scored, out_schema, grouped)
 

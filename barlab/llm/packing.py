@@ -113,7 +113,8 @@ def _cut(length: int, capacity: int, smallest: int) -> tuple[np.ndarray, np.ndar
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, class int, worker int, nth long, ids binary"
-PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int32()), ("worker", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
+PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int32()),
+    ("worker", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int = 64, end_id: int = 2, batch_bytes: int = 4_000_000) -> DataFrame:
@@ -174,18 +175,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, smallest: int =
         at += size
         ends.append(at)
     of = lambda d: F.element_at(F.create_map(*[F.lit(x) for j, v in d.items() for x in (j, v)]), F.col("class")) if d else F.lit(0)
-    placed = table.join(before.drop("n"), ["class", "worker"]).withColumn("g", F.col("before") + F.col("nth")).withColumn("full", of({j: n // j * j for j, (n, _) in totals.items()}).cast("long"))
+    placed = table.join(before.drop("n"), ["class", "worker"]).withColumn("g", F.col("before") + F.col("nth")).withColumn("full",
+        of({j: n // j * j for j, (n, _) in totals.items()}).cast("long"))
     columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    whole = placed.where("g < full").withColumn("sequence_id", of(first).cast("long") + F.floor(F.col("g") / F.col("class"))).withColumn("offset", F.pmod("g", F.col("class").cast("long")) * F.col("length")).select(columns)
+    whole = placed.where("g < full").withColumn("sequence_id", of(first).cast("long") + F.floor(F.col("g") / F.col("class"))).withColumn("offset",
+        F.pmod("g", F.col("class").cast("long")) * F.col("length")).select(columns)
     if not ends:
         return whole
     rest = placed.where("g >= full").withColumn("x", F.sum("length").over(Window.orderBy("class", "g").rowsBetween(Window.unboundedPreceding, -1)))
     rest = rest.withColumn("x", F.coalesce("x", F.lit(0).cast("long")))
-    bounds = F.array(*[F.struct(F.lit(n).cast("long").alias("q"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for n, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))])
+    bounds = F.array(*[F.struct(F.lit(n).cast("long").alias("q"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for n,
+        (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))])
     parts = rest.withColumn("s", F.explode(F.filter(bounds, lambda s: (s["b"] > F.col("x")) & (s["a"] < F.col("x") + F.col("length")))))
     skip = F.greatest(F.lit(0).cast("long"), F.col("s.a") - F.col("x"))
     size = F.least(F.col("x") + F.col("length"), F.col("s.b")) - F.col("x") - skip
-    tail = parts.select("doc_id", (F.col("start") + skip).alias("start"), size.alias("length"), "doc_tokens", (F.lit(base).cast("long") + F.col("s.q")).alias("sequence_id"), (F.col("x") + skip - F.col("s.a")).alias("offset"), F.substring("ids", (4 * skip + 1).cast("int"), (4 * size).cast("int")).alias("ids"))
+    tail = parts.select("doc_id", (F.col("start") + skip).alias("start"), size.alias("length"), "doc_tokens",
+        (F.lit(base).cast("long") + F.col("s.q")).alias("sequence_id"), (F.col("x") + skip - F.col("s.a")).alias("offset"),
+            F.substring("ids", (4 * skip + 1).cast("int"), (4 * size).cast("int")).alias("ids"))
     return whole.unionByName(tail)
 
 

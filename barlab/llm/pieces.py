@@ -101,7 +101,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         for whole in batches:
             for s in range(0, len(whole), 500):
                 batch = whole.iloc[s : s + 500]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [pieces.encode(t).astype("<u4").tobytes() if isinstance(t, str) else None for t in batch["text"]]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"),
+                    "ids": [pieces.encode(t).astype("<u4").tobytes() if isinstance(t, str) else None for t in batch["text"]]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary")
 
@@ -115,7 +116,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for whole in batches:
             for s in range(0, len(whole), 500):
                 batch = whole.iloc[s : s + 500]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": batch["ids"], "text": [pieces.decode(np.frombuffer(x, "<u4")) if isinstance(x, bytes) else None for x in batch["ids"]]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": batch["ids"],
+                    "text": [pieces.decode(np.frombuffer(x, "<u4")) if isinstance(x, bytes) else None for x in batch["ids"]]})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, text string")
 

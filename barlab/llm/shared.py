@@ -123,7 +123,8 @@ def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[
         yield rest[0] if len(rest) == 1 else pd.concat(rest, ignore_index=True)
 
 
-def by_sorted_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | pa.RecordBatch | None], schema: str | StructType, partitions: int | None = None, arrow: bool = False) -> DataFrame:
+def by_sorted_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | pa.RecordBatch | None], schema: str | StructType,
+    partitions: int | None = None, arrow: bool = False) -> DataFrame:
     """f over each group: shuffled by the keys, sorted, streamed; many small groups cost no call each into Spark. arrow: f returns record batches."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

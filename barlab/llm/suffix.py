@@ -153,7 +153,8 @@ class Chunk:
         runs = np.flatnonzero(shared[self.at])
         runs = runs[np.argsort(self.hash[runs], kind="stable")]
         number: dict[bytes, int] = {}
-        own = np.array([number.setdefault(self.buffer[a:b], len(number)) for a, b in zip(self.low[runs].tolist(), (self.high[runs] + self.length).tolist(), strict=True)], np.int64)
+        own = np.array([number.setdefault(self.buffer[a:b], len(number)) for a,
+            b in zip(self.low[runs].tolist(), (self.high[runs] + self.length).tolist(), strict=True)], np.int64)
         least, hashes = np.full(len(number), LAST), np.zeros(len(number), np.uint64)
         np.minimum.at(least, own, self.ids[self.doc[runs]])
         hashes[own] = self.hash[runs]
@@ -174,7 +175,8 @@ class Chunk:
         return np.cumsum(change)[: len(self.buffer)] > 0
 
 
-def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 2_000_000, slice_bytes: int = 6_000_000, sorted_bytes: int = 4_000_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 2_000_000, slice_bytes: int = 6_000_000,
+    sorted_bytes: int = 4_000_000) -> DataFrame:
     """Per row of docs (doc_id long, text string, rest of any type): doc_id, n_bytes, the removed spans, the kept bytes, and rest as it was.
 
     Removed is each byte covered by a string of length bytes (25 to 78) that also starts in a document
@@ -212,14 +214,16 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("rest", rest.type)])) as out:
                 out.write_batch(pa.record_batch([rest], names=["rest"]))
-            rows = [{"chunk": number, "slice": -1, "texts": squeeze.compress(own.buffer), "lengths": planes(np.diff(own.ends, prepend=0)), "ids": planes(own.ids), "rest": squeeze.compress(sink.getvalue())}]
+            rows = [{"chunk": number, "slice": -1, "texts": squeeze.compress(own.buffer), "lengths": planes(np.diff(own.ends, prepend=0)),
+                "ids": planes(own.ids), "rest": squeeze.compress(sink.getvalue())}]
             ids_at = own.ids[own.doc]
             low, high = np.full(len(own.unique), LAST), np.full(len(own.unique), -LAST)
             np.minimum.at(low, own.at, ids_at)
             np.maximum.at(high, own.at, ids_at)
             part, cuts = slices(own.unique)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                rows.append({"chunk": number, "slice": int(part[a]), "hashes": planes(np.diff(own.unique[a:b], prepend=np.uint64(0))), "several": np.packbits(low[a:b] < high[a:b]).tobytes()})
+                rows.append({"chunk": number, "slice": int(part[a]), "hashes": planes(np.diff(own.unique[a:b], prepend=np.uint64(0))),
+                    "several": np.packbits(low[a:b] < high[a:b]).tobytes()})
             return pa.RecordBatch.from_pylist(rows, schema=CHUNKS)
 
         for batch in batches:
@@ -252,9 +256,11 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         yes = (np.bincount(at) + np.bincount(at, weights=several) > 1)[at]
         cuts = np.cumsum([0, *map(len, hashes)])
-        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(), "told": [np.packbits(yes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(),
+            "told": [np.packbits(yes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    flags = keep(by_sorted_group(table.where("slice >= 0").select("chunk", "slice", "hashes", "several"), ["slice"], shared, "chunk long, slice long, told binary", max(12, 2**bits // 2)), "suffix-shared")
+    flags = keep(by_sorted_group(table.where("slice >= 0").select("chunk", "slice", "hashes", "several"), ["slice"], shared,
+        "chunk long, slice long, told binary", max(12, 2**bits // 2)), "suffix-shared")
 
     def opened(group: pd.DataFrame) -> tuple[pd.Series, Chunk, np.ndarray]:
         own = group[group["texts"].notna()].iloc[0]
@@ -272,7 +278,8 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         part, cuts = slices(hashes, fine)
         squeeze, rows = zstandard.ZstdCompressor(level=3), []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows.append((own["chunk"], int(part[a]), squeeze.compress(b"".join(contexts[a:b])), np.array([len(c) for c in contexts[a:b]], np.uint8).tobytes(), planes(least[a:b])))
+            rows.append((own["chunk"], int(part[a]), squeeze.compress(b"".join(contexts[a:b])), np.array([len(c) for c in contexts[a:b]], np.uint8)
+                .tobytes(), planes(least[a:b])))
         return pd.DataFrame(rows, columns=["chunk", "slice", "contexts", "lengths", "least"])
 
     def sorted_slice(group: pd.DataFrame) -> pd.DataFrame:
@@ -294,7 +301,8 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         smaller = row[best < least[of[row]]]
         np.bitwise_or.at(masks, of[smaller], np.int64(1) << nth[smaller])
         cuts = np.cumsum([0, *map(len, sizes)])
-        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(), "masks": [planes(masks[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(),
+            "masks": [planes(masks[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     with_flags = payloads.unionByName(flags, allowMissingColumns=True)
     asked = by_sorted_group(with_flags, ["chunk"], candidates, "chunk long, slice long, contexts binary, lengths binary, least binary", grouped)
@@ -331,7 +339,8 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What 50-byte strings of smaller documents cover in all documents; see repeated_strings for nulls, short texts, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(None).cast("string").alias("rest"))
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["length"])
-    return repeated_strings(docs, 50).select("doc_id", "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return repeated_strings(docs, 50).select("doc_id", "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = {

@@ -21,7 +21,8 @@ def texts():
     words = ["alpha", "Beta", "gamma", "delta", "épsilon", "zeta", "eta&", "theta<|", "iota", "kappa", "naïve", "ünder"]
     say = lambda n: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n))
     base, passage = say(120), say(60)
-    out = [None, "", " \n\t ", "one", "two words", base, base, base.replace("alpha", "omega", 1), base + " tail", passage, say(30) + passage + say(30), passage + say(5), say(9000), "ab" * 200, "ab" * 180, "▁ x ▁▁y  z\r\nw\x00\x1c", "日本語 テキスト 🙂 ok"]
+    out = [None, "", " \n\t ", "one", "two words", base, base, base.replace("alpha", "omega", 1), base + " tail", passage,
+        say(30) + passage + say(30), passage + say(5), say(9000), "ab" * 200, "ab" * 180, "▁ x ▁▁y  z\r\nw\x00\x1c", "日本語 テキスト 🙂 ok"]
     return out + [say(rng.randrange(1, 80)) for _ in range(60)]
 
 
@@ -31,14 +32,17 @@ def sf(spark, tmp_path_factory):
     rows = [(i, t, "en", "s", len(t or ""), 7, "r", "x") for i, t in enumerate(texts())]
     rows += [(None, "nobody's text, " + (rows[5][1] or ""), None, None, None, None, None, None)]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(5, 70)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(5, 70)] + [(None, 1, 0), (3, None, 0)],
+        "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     rng = np.random.default_rng(5)
     v = rng.standard_normal((120, 8))
     v[30:60] = v[:30] + rng.standard_normal((30, 8)) * 0.02
     vec = [(i, x.tolist(), 1) for i, x in enumerate(v)]
-    vec += [(120, vec[0][1], 1), (140, None, 1), (141, [0.0] * 8, 2), (142, [float("nan")] * 8, 1), (143, [None] * 8, 1), (144, [float("inf")] * 8, 1), (160, [1.0, 2.0], 1), (180, [], 1)]
+    vec += [(120, vec[0][1], 1), (140, None, 1), (141, [0.0] * 8, 2), (142, [float("nan")] * 8, 1), (143, [None] * 8, 1),
+        (144, [float("inf")] * 8, 1), (160, [1.0, 2.0], 1), (180, [], 1)]
     spark.createDataFrame(vec, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
-    talk = [(1, 0, "user", "hi & <|im_end|> &amp;"), (1, 1, "assistant", None), (1, 2, None, "x\ny"), (2, None, "assistant", "b"), (2, None, "assistant", "a"), (2, 1, "user\n<|", ""), (None, 0, "assistant", "lost"), (3, 0, "user", "q"), (3, 0, "user", "q")]
+    talk = [(1, 0, "user", "hi & <|im_end|> &amp;"), (1, 1, "assistant", None), (1, 2, None, "x\ny"), (2, None, "assistant", "b"),
+        (2, None, "assistant", "a"), (2, 1, "user\n<|", ""), (None, 0, "assistant", "lost"), (3, 0, "user", "q"), (3, 0, "user", "q")]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
@@ -46,7 +50,8 @@ def sf(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def none(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
-    for name, schema in {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string"}.items():
+    for name, schema in {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int",
+        "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{d}/{name}.parquet")
     return d
 
@@ -59,7 +64,8 @@ def split(t):
     return (t or "").encode().lower().split()
 
 
-@pytest.mark.parametrize("query", [lm.op1_lm_scores, suffix.op2_suffix_dedup, topk.op3_topk, embed_lsh.op5_embedding_dedup, simhash.op6_simhash, gam.op7_quality, packing.op8_packing, pieces.op9_sentencepiece, wordpiece.op10_token_counts])
+@pytest.mark.parametrize("query", [lm.op1_lm_scores, suffix.op2_suffix_dedup, topk.op3_topk, embed_lsh.op5_embedding_dedup, simhash.op6_simhash,
+    gam.op7_quality, packing.op8_packing, pieces.op9_sentencepiece, wordpiece.op10_token_counts])
 def test_empty_tables_give_empty_results(spark, none, query):
     assert query(spark, none).count() == 0
 
@@ -159,7 +165,8 @@ def test_suffix_dedup_removes_exactly_what_brute_force_does(spark, sf):
     for r in suffix.op2_suffix_dedup(spark, sf).collect():
         raw, marks = (own[r["doc_id"]] or "").encode(), gone[r["doc_id"]]
         kept = bytes(b for b, m in zip(raw, marks, strict=True) if not m)
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), sum(marks), len([x for x in marks.split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), sum(marks), len([x for x in marks.split(b"\0") if x]),
+            hashlib.sha256(kept).hexdigest())
 
 
 def test_deep_shallow_order_and_groups():
@@ -403,7 +410,8 @@ def test_quality_scores_are_sums_of_looked_up_additions(spark, tmp_path):
     for r in table.select("doc_id", "text", gam.quality(model, "text").alias("score")).collect():
         x = gam.features(r["text"])
         z = model.intercept + sum(t[int((np.asarray(c) <= v).sum())] for v, c, t in zip(x, model.cuts, model.tables, strict=True))
-        z += sum(t[int((np.asarray(model.coarse[i]) <= x[i]).sum()), int((np.asarray(model.coarse[j]) <= x[j]).sum())] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        z += sum(t[int((np.asarray(model.coarse[i]) <= x[i]).sum()), int((np.asarray(model.coarse[j]) <= x[j]).sum())] for (i, j),
+            t in zip(model.pairs, model.pair_tables, strict=True))
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)))
     # labels of fold 0 teach nothing
     flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in marks] + [(4, 0), (4, 1), (4, 1)], "doc_id long, quality int")
@@ -552,11 +560,15 @@ def test_chat_round_trip(spark, sf):
 
 def test_chat_layouts(spark):
     records = [
-        ("a", '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'), ("b", '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}'),
-        ("c", '{"instruction": "do", "input": "this", "output": "done"}'), ("d", '{"instruction": "do", "output": "done"}'), ("e", '{"prompt": "p", "completion": "c"}'), ("f", '{"response": "r", "prompt": "p"}'),
-        ("g", '{"unknown": 1}'), ("h", None), ("i", "not json"), ("j", '{"turn": 1, "role": "assistant", "text": "two"}'), ("j", '{"turn": 0, "role": "user", "text": "one"}'), ("k", '{"instruction": "do", "input": "", "output": null}'),
+        ("a", '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'),
+            ("b", '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}'),
+        ("c", '{"instruction": "do", "input": "this", "output": "done"}'), ("d", '{"instruction": "do", "output": "done"}'),
+            ("e", '{"prompt": "p", "completion": "c"}'), ("f", '{"response": "r", "prompt": "p"}'),
+        ("g", '{"unknown": 1}'), ("h", None), ("i", "not json"), ("j", '{"turn": 1, "role": "assistant", "text": "two"}'),
+            ("j", '{"turn": 0, "role": "user", "text": "one"}'), ("k", '{"instruction": "do", "input": "", "output": null}'),
     ]
-    got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(spark.createDataFrame(records, "id string, record string")).collect()}
+    got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(spark.createDataFrame(records,
+        "id string, record string")).collect()}
     qa = [("user", "q"), ("assistant", "a")]
     assert got["a"][1] == qa and got["b"][1] == qa
     assert got["c"][1] == [("user", "do"), ("user", "this"), ("assistant", "done")] and got["d"][1] == [("user", "do"), ("assistant", "done")]
@@ -568,16 +580,21 @@ def test_chat_layouts(spark):
 def test_chat_fingerprints_select(spark):
     """Fields that no mapping names change nothing; a combination of known fields that none declares has no turns."""
     records = [
-        ("a", '{"id": 5, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "name": "x"}]}'), ("b", '{"messages": [{"role": "user"}, {"content": "late"}]}'), ("c", '{"prompt": "p", "completion": "c", "response": "r"}'),
-        ("d", '{"messages": []}'), ("e", '{"messages": "none"}'), ("f", '{"turn": "x", "role": "user", "text": "odd"}'), ("f", '{"turn": 2, "role": "user", "text": "two"}'), ("g", "[1]"),
+        ("a", '{"id": 5, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "name": "x"}]}'),
+            ("b", '{"messages": [{"role": "user"}, {"content": "late"}]}'), ("c", '{"prompt": "p", "completion": "c", "response": "r"}'),
+        ("d", '{"messages": []}'), ("e", '{"messages": "none"}'), ("f", '{"turn": "x", "role": "user", "text": "odd"}'),
+            ("f", '{"turn": 2, "role": "user", "text": "two"}'), ("g", "[1]"),
     ]
-    got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(spark.createDataFrame(records, "id string, record string")).collect()}
+    got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(spark.createDataFrame(records,
+        "id string, record string")).collect()}
     assert got["a"] == ("messages", [("user", "q"), ("assistant", "a")]) and got["b"] == ("messages", [("user", ""), ("", "late")])
     assert all(got[k] == (None, []) for k in "cdeg") and got["f"] == ("turn rows", [("user", "two"), ("user", "odd")])
-    struct = spark.createDataFrame([(1, ([("human", "q"), ("gpt", None)], 3)), (2, None)], "id long, record struct<conversations: array<struct<`from`:string,value:string>>, odd: int>")
+    struct = spark.createDataFrame([(1, ([("human", "q"), ("gpt", None)], 3)), (2, None)],
+        "id long, record struct<conversations: array<struct<`from`:string,value:string>>, odd: int>")
     got = {r["id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.canonical_turns(struct).collect()}
     assert got == {1: ("shared dialogue", [("user", "q"), ("assistant", "")]), 2: (None, [])}
-    table = spark.createDataFrame([(1, 0, "user", "q", "s", 2), (1, 1, "assistant", "a", "s", 2)], "conv long, turn int, role string, text string, id string, `odd.name` int")
+    table = spark.createDataFrame([(1, 0, "user", "q", "s", 2), (1, 1, "assistant", "a", "s", 2)],
+        "conv long, turn int, role string, text string, id string, `odd.name` int")
     assert [(r["layout"], len(r["turns"])) for r in chat.row_turns(table, "conv").collect()] == [("turn rows", 2)]
     assert {(r["layout"], len(r["turns"])) for r in chat.row_turns(table.drop("role"), "conv").collect()} == {(None, 0)}
 

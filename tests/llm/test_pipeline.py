@@ -19,7 +19,9 @@ def sf(spark, tmp_path_factory):
         rows.append((i, say(80).upper().replace(" ", "!! ") if bad else say(80), "en", "s", 0))
         marks.append((i, int(not bad)))
     passage = say(70)
-    rows += [(300, rows[1][1], "en", "t", 0), (301, rows[1][1] + " end", "en", None, None), (302, say(40) + " " + passage + " " + say(40), "en", "s", 0), (303, say(40) + " " + passage + " " + say(40), "en", "s", 0), (304, None, None, None, None), (None, say(50), "en", "s", 1), (None, rows[2][1], "en", "s", 1)]
+    rows += [(300, rows[1][1], "en", "t", 0), (301, rows[1][1] + " end", "en", None, None),
+        (302, say(40) + " " + passage + " " + say(40), "en", "s", 0), (303, say(40) + " " + passage + " " + say(40), "en", "s", 0),
+            (304, None, None, None, None), (None, say(50), "en", "s", 1), (None, rows[2][1], "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
     return d
@@ -44,7 +46,8 @@ def test_stages(spark, sf):
 
 
 def test_repeated_ids(spark, sf):
-    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (None, "", "en", "s", 1), (None, "", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1),
+        (None, "", "en", "s", 1), (None, "", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.simhash_near_dedup(spark, docs, sf).collect()) == [(False, 1), (True, 0)]
 
 
@@ -61,7 +64,9 @@ def test_suffix_stage_keeps_other_columns_bit_for_bit(spark, sf):
 
     schema = "doc_id long, text string, text_is_null boolean, rest string, kept double, removed timestamp, `a.b` map<string,int>, d decimal(20,5), n_chars int, chunk array<struct<x:long>>"
     at = datetime(2024, 2, 3, 4, 5, 6, 123456)
-    rows = [(1, "x" * 60, True, "r", float("nan"), at, {"k": 1}, Decimal("1.00001"), 7, [(5,)]), (2, "x" * 60 + "tail", None, None, None, None, None, None, None, None), (3, None, False, "", 1e-300, at, {}, Decimal("-2.5"), 0, []), (None, "x" * 55, True, "z", 0.1, at, None, None, 1, None)]
+    rows = [(1, "x" * 60, True, "r", float("nan"), at, {"k": 1}, Decimal("1.00001"), 7, [(5,)]),
+        (2, "x" * 60 + "tail", None, None, None, None, None, None, None, None), (3, None, False, "", 1e-300, at, {}, Decimal("-2.5"), 0, []),
+            (None, "x" * 55, True, "z", 0.1, at, None, None, 1, None)]
     docs = spark.createDataFrame(rows, schema)
     out = corpus_pipeline.suffix_array_dedup(spark, docs, sf)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
