@@ -40,7 +40,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     again = told.where("stays and rows > 1")
     if again.head(1):
         clear, maybe = may_hold(kept, "_row_key", marked(again, "key"))
-        once = maybe.join(again.select("id", "key"), same, "left_semi").groupBy("doc_id", "_row_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*_hashable(docs))).alias("row"))
+        once = maybe.join(again.select("id", "key"), same, "left_semi").groupBy("doc_id",
+            "_row_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*_hashable(docs))).alias("row"))
         kept = clear.unionByName(maybe.join(again.select("id", "key"), same, "left_anti")).select(*columns).unionByName(once.select("row.*"))
     return kept.select(*columns)
 
