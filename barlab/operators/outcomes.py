@@ -157,37 +157,65 @@ def cost_invariance(summary: DataFrame, signal: str = "signal", tolerance: float
 
 
 def breakeven(differences: DataFrame) -> DataFrame:
-    """differences (floor, difference, in a grid): the cell where the mean changes sign, by linear interpolation, or why there is none."""
+    """differences (floor, difference, in a grid): the cell (low, high) where the mean changes sign and the floor in it by linear interpolation, or why there is none."""
     from pyspark.sql import Window
 
     means = differences.groupBy("floor").agg(F.avg("difference").alias("d"))
     # the grid has a few rows, whatever the data
     w = Window.orderBy("floor")
     cells = means.withColumns({"next_floor": F.lead("floor").over(w), "next_d": F.lead("d").over(w)})
-    flips = F.count_if((F.col("d") > 0) != (F.col("next_d") > 0))
-    at = F.max(F.when((F.col("d") > 0) != (F.col("next_d") > 0), F.col("floor") + (F.col("next_floor") - F.col("floor")) * F.col("d") / (F.col("d") - F.col("next_d"))))
-    g = cells.agg(flips.alias("flips"), at.alias("at"), F.min_by("d", "floor").alias("first"), F.max_by("d", "floor").alias("last"))
-    return g.select(F.when(F.col("flips") > 1, "not monotone").when(F.col("first") <= 0, "none: not positive at the lowest")
-        .when(F.col("last") > 0, "above the bracket").otherwise("found").alias("outcome"),
-            F.when((F.col("flips") == 1) & (F.col("first") > 0), F.col("at")).alias("floor"))
+    flips = (F.col("d") > 0) != (F.col("next_d") > 0)
+    at = F.col("floor") + (F.col("next_floor") - F.col("floor")) * F.col("d") / (F.col("d") - F.col("next_d"))
+    in_cell = lambda c: F.max(F.when(flips, c))
+    g = cells.agg(
+        F.count_if(flips).alias("flips"), in_cell(at).alias("at"), in_cell(F.col("floor")).alias("low"), in_cell(F.col("next_floor")).alias("high"),
+        F.min_by("d", "floor").alias("first"), F.max_by("d", "floor").alias("last"),
+    )
+    outcome = F.when(F.col("flips") > 1, "not monotone").when(F.col("first") <= 0, "none: not positive at the lowest")
+    outcome = outcome.when(F.col("last") > 0, "above the bracket").otherwise("found")
+    found = lambda c: F.when((F.col("flips") == 1) & (F.col("first") > 0), F.col(c))
+    return g.select(outcome.alias("outcome"), found("at").alias("floor"), found("low").alias("low"), found("high").alias("high"))
+
+
+OUTCOMES = ("h1", "h4", "h24")
+
 
+def decision_log(runs: DataFrame, features: DataFrame, run_id: str, method: str, snapshot_sha256: str | None = None) -> DataFrame:
+    """One nested record for each arm and decision; absent parts are null or empty and never left out.
 
-def decision_log(runs: DataFrame, features: DataFrame, run_id: str, method: str) -> DataFrame:
-    """One nested record for each arm and decision; absent parts are null. Ids are version-5 UUIDs of run, method, arm, symbol and bar."""
+    features (symbol, bar_seq, features) may have utc (the bar's time in seconds), p (the source's
+    probability) and h1, h4, h24 (moves of the close after the decision), which fill their own parts of
+    the record. Ids are version-5 UUIDs of run, method, arm, symbol and bar."""
     name = F.concat_ws("/", F.lit(run_id), F.lit(method), "arm", "symbol", F.col("bar_seq").cast("string"))
     # the URL namespace of RFC 4122
     digest = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
-    variant = F.substring(F.hex(F.shiftright(F.conv(F.substring(digest, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80), 4)), 1, 1)
-    low = F.lower(F.concat(variant, F.substring(digest, 18, 3)))
-    uid = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), low, F.substring(digest, 21, 12))
-    names = [c for c in features.columns if c not in ("symbol", "bar_seq")]
-    values = features.select("symbol", "bar_seq", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.struct(F.col(c).alias("value"), F.lit(1)
-        .alias("version")) for c in names])).alias("features"))
+    octet = F.conv(F.substring(digest, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80)
+    low = F.lower(F.concat(F.substring(F.hex(F.shiftright(octet, 4)), 1, 1), F.substring(digest, 18, 3)))
+    uid = F.concat_ws(
+        "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), low, F.substring(digest, 21, 12)
+    )
+    names = [c for c in features.columns if c not in ("symbol", "bar_seq", "utc", "p", *OUTCOMES)]
+    given = lambda c, kind: (F.col(c) if c in features.columns else F.lit(None)).cast(kind)
+    at = F.date_format(F.timestamp_seconds(given("utc", "long")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    value = lambda c: F.struct(F.col(c).alias("value"), F.lit(1).alias("version"), at.alias("computed_at"))
+    values = features.select(
+        "symbol", "bar_seq", at.alias("bar_timestamp_utc"), given("p", "double").alias("confidence_adjusted"),
+        F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(value, names))).alias("features"),
+        F.struct(*[given(h, "double").alias(h) for h in OUTCOMES]).alias("outcome"),
+    )
     traded = F.col("reason").isNotNull()
-    return runs.join(values, ["symbol", "bar_seq"], "left").select(
-        uid.alias("decision_id"), F.lit(run_id).alias("run_id"), "arm", "symbol", "bar_seq", "features", F.array().cast("array<string>")
-            .alias("agents"), F.lit(method).alias("decision_method"),
-        F.when(F.col("sign") > 0, "long").when(F.col("sign") < 0, "short").otherwise("flat").alias("final_decision"),
-            F.when(traded, F.struct(*COMPONENTS)).alias("costs_applied"),
-                F.when(traded, F.struct("reason", "exit_seq", "entry_mid", "exit_mid", "lots")).alias("execution"), F.col("r").alias("outcome_r"),
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = runs.join(values, ["symbol", "bar_seq"], "left")
+    return rows.select(
+        uid.alias("decision_id"), F.lit(run_id).alias("run_id"), "bar_timestamp_utc", F.lit(snapshot_sha256).cast("string").alias("snapshot_sha256"),
+        "arm", "symbol", "bar_seq", "features", none("string").alias("agents"), F.struct(none("string").alias("nodes"), none("string").alias("edges")).alias("evidence_graph"),
+        *[F.lit(None).cast(k).alias(c) for c, k in (("n_eff", "double"), ("pc1_variance_share", "double"))], "confidence_adjusted", F.lit(None).cast("string").alias("devils_advocate"),
+        F.when(F.col("sign") > 0, "long").when(F.col("sign") < 0, "short").otherwise("flat").alias("final_decision"), F.lit(method).alias("decision_method"),
+        F.when(traded, F.struct(*COMPONENTS)).alias("costs_applied"), F.when(traded, F.struct("reason", "exit_seq", "entry_mid", "exit_mid", "lots")).alias("execution"),
+        "outcome", F.col("r").alias("outcome_r"),
     )
+
+
+def write_decision_log(log: DataFrame, path: str) -> None:
+    """The records as JSON lines, nulls written out, by arm; an existing log stops the write."""
+    log.write.mode("errorifexists").option("ignoreNullFields", "false").partitionBy("arm").json(path)

@@ -8,7 +8,7 @@ from barlab.functions import clock, costs
 from barlab.operators import features as fe
 from barlab.operators import outcomes as ou
 from barlab.plans import sql as q
-from barlab.plans.bars import _rounded, ny
+from barlab.plans.bars import _rounded, ny, outcomes_ahead
 from barlab.sources.shared import written
 from barlab.sources.tables import hourly_bars
 
@@ -83,23 +83,38 @@ def crossover_arm(spark, d):
     return ou.crossover_arm(b, b.where("bar_seq % 24 = 0").select("symbol", "bar_seq")).select("symbol", "bar_seq", "sign")
 
 
+def _at_floors(spark, d, floors):
+    """Differences of the signal from the other arm, with the least spread at each of some floors; one job for all."""
+    models = {"base": costs.CostModel()} | {f"floor_{f:g}": costs.CostModel().at_floor(f, sweep=True) for f in floors}
+    return ou.paired_difference(_runs(spark, d, models)).where("variant <> 'base'")
+
+
 def breakeven_sweep(spark, d):
-    models = {"base": costs.CostModel()} | {f"floor_{f:g}": costs.CostModel().at_floor(f, sweep=True) for f in GRID}
-    diff = ou.paired_difference(_runs(spark, d, models)).where("variant <> 'base'")
+    diff = _at_floors(spark, d, GRID)
     return _rounded(diff.groupBy("variant").agg(F.avg("difference").alias("difference"), F.avg("signal_r").alias("signal_r")), 5)
 
 
 def breakeven(spark, d):
-    models = {"base": costs.CostModel()} | {f"floor_{f:g}": costs.CostModel().at_floor(f, sweep=True) for f in GRID}
-    diff = ou.paired_difference(_runs(spark, d, models)).where("variant <> 'base'")
-    return _rounded(ou.breakeven(diff.withColumn("floor", F.substring_index("variant", "_", -1).cast("double"))), 3)
+    """The floor at which the difference changes sign: one job over the grid finds the cell, a second one evaluates nine floors in it."""
+    told = lambda diff: ou.breakeven(diff.withColumn("floor", F.substring_index("variant", "_", -1).cast("double")))
+    cell = written(told(_at_floors(spark, d, GRID)), "breakeven")
+    found = cell.first()
+    if found["outcome"] == "found":
+        cell = told(_at_floors(spark, d, [found["low"] + (found["high"] - found["low"]) * k / 8 for k in range(9)]))
+    return _rounded(cell.select("outcome", "floor"), 3)
 
 
 def decision_log(spark, d):
-    b = fe.with_features(hourly_bars(spark, d), [fe.log_return(24), fe.range_position(24)])
-    log = ou.decision_log(_runs(spark, d).where("variant = 'base'"), b.select("symbol", "bar_seq", "log_return_24", "range_position_24"), "run", "closed form")
-    return log.select("decision_id", "arm", "symbol", "bar_seq", "final_decision", F.col("execution.reason").alias("reason"), F.round("outcome_r", 5)
-        .alias("outcome_r"), F.map_keys("features").alias("features").cast("string"))
+    """The records of the two arms' decisions, their nested parts as JSON."""
+    bars = hourly_bars(spark, d).withColumn("utc", clock.to_utc(F.col("time")))
+    b = fe.with_features(bars, [fe.log_return(24), fe.range_position(24)]).select("symbol", "bar_seq", "utc", "log_return_24", "range_position_24")
+    ahead = outcomes_ahead(spark, d)
+    log = ou.decision_log(_runs(spark, d).where("variant = 'base'"), b.join(ahead, ["symbol", "bar_seq"], "left"), "run", "closed form")
+    flat = [F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in ("evidence_graph", "outcome")]
+    return log.select(
+        "decision_id", "arm", "symbol", "bar_seq", "bar_timestamp_utc", "final_decision", F.col("execution.reason").alias("reason"), F.round("outcome_r", 5).alias("outcome_r"),
+        F.map_keys("features").cast("string").alias("features"), *flat,
+    )
 
 
 QUERIES = {f.__name__: f for f in (spread_multipliers, multiplier_coverage, barrier_outcomes, arm_summary, paired_difference, cost_invariance,

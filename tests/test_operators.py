@@ -362,3 +362,38 @@ def test_offset_scan_minutes_asks_for_every_minute(spark):
     from barlab.plans import bars
 
     assert sorted(r["shift"] for r in bars.offset_scan_minutes(spark, "/root/testdata/sf0.001").collect()) == [*range(-7200, 7201, 60)]
+
+
+def test_decision_log_records_are_whole(spark, tmp_path):
+    import json
+    import uuid
+
+    from barlab.operators import outcomes as ou
+
+    cost = ", ".join(f"{c} double" for c in ou.COMPONENTS)
+    schema = f"symbol string, bar_seq long, arm string, sign int, reason string, exit_seq long, entry_mid double, exit_mid double, lots double, r double, {cost}"
+    runs = spark.createDataFrame([("s", 7, "signal", 1, "stop", 9, 1.0, 2.0, 0.1, -1.0, *[0.5] * len(ou.COMPONENTS)), ("s", 8, "signal", 0, None, None, None, None, None, 0.0, *[None] * len(ou.COMPONENTS))], schema)
+    features = spark.createDataFrame([("s", 7, 86400, 0.25, 1.5, 0.1, None, 0.3), ("s", 8, 90000, None, None, None, None, None)], "symbol string, bar_seq long, utc long, p double, f double, h1 double, h4 double, h24 double")
+    log = ou.decision_log(runs, features, "r", "m", "abc")
+    ou.write_decision_log(log, str(tmp_path / "log"))
+    got = {json.loads(x)["bar_seq"]: json.loads(x) for f in tmp_path.glob("log/*/*.json") for x in f.read_text().splitlines()}
+    assert got[7]["decision_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "r/m/signal/s/7"))
+    assert got[7]["features"] == {"f": {"value": 1.5, "version": 1, "computed_at": "1970-01-02T00:00:00+00:00"}} and got[7]["outcome"] == {"h1": 0.1, "h4": None, "h24": 0.3}
+    assert (got[7]["final_decision"], got[7]["confidence_adjusted"], got[7]["execution"]["reason"], got[7]["evidence_graph"]) == ("long", 0.25, "stop", {"nodes": [], "edges": []})
+    assert (got[8]["final_decision"], got[8]["execution"], got[8]["costs_applied"], got[8]["devils_advocate"]) == ("flat", None, None, None)
+
+
+def test_breakeven_cell(spark):
+    from barlab.operators import outcomes as ou
+
+    line = lambda f: spark.createDataFrame([(float(x), f(x)) for x in range(0, 50, 10)], "floor double, difference double")
+    r = ou.breakeven(line(lambda x: 25.0 - x)).first()
+    assert (r["outcome"], r["floor"], r["low"], r["high"]) == ("found", 25.0, 20.0, 30.0)
+    assert ou.breakeven(line(lambda x: -1.0)).first()["outcome"].startswith("none")
+    assert ou.breakeven(line(lambda x: 1.0)).first()["outcome"] == "above the bracket"
+
+
+def test_series_too_short_for_folds_are_named(spark):
+    bars = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(100)], "symbol string, bar_seq long")
+    assert [(r["symbol"], r["refusal"]) for r in fo.refused_series(bars).collect()] == [("a", "SERIES_TOO_SHORT")]
+    assert {r["symbol"] for r in fo.fold_geometry(bars).collect()} == {"b"}
