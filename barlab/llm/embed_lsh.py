@@ -104,6 +104,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 64,
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 or more between all embeddings; see near_vectors for nulls, zero vectors, repeats and empty tables."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 

@@ -183,6 +183,7 @@ def quality(model: Model, text: Column | str) -> Column:
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from a model of the labels outside fold 0; see learn and quality for nulls, empty texts, conflicting labels and empty tables. Repeated rows are scored each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     scored = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), quality(model, "text").alias("score"))

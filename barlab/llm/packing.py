@@ -203,6 +203,7 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """Where each piece of all documents lies in the packed sequences; see pack for nulls, empty texts, repeats and empty tables."""
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
