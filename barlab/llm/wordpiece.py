@@ -106,6 +106,7 @@ def token_counts(docs: DataFrame, model: str, most: int = 300_000) -> DataFrame:
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Word-piece counts of all documents; see token_counts for nulls, empty texts, repeats and empty tables."""
     import public_tokenizers
 
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
