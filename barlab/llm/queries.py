@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlab.llm import chat, collocations, embed_lsh, gam, lm, packing, pieces, simhash, suffix, topk, wordpiece
+from barlab.llm import chat, collocations, embed_lsh, gam, licenses, lm, packing, pieces, prefix_trie, simhash, suffix, topk, wordpiece
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_token_counts": wordpiece.op10_token_counts,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_licenses": licenses.op12_licenses,
     "op13_collocations": collocations.op13_collocations,
 }
-SQL = {k: v for m in (chat, collocations, embed_lsh, gam, lm, packing, pieces, simhash, suffix, topk, wordpiece) for k, v in m.SQL.items()}
+SQL = {k: v for m in (chat, collocations, embed_lsh, gam, licenses, lm, packing, pieces, prefix_trie, simhash, suffix, topk, wordpiece) for k, v in m.SQL.items()}
