@@ -238,11 +238,38 @@ def check_openings(baseline: DataFrame, positions: DataFrame, tolerance: int = 1
         F.coalesce(F.abs(F.col("opened_at") - F.col("was")) > tolerance, F.lit(False)).alias("moved"))
 
 
+def check_readings(readings: DataFrame, tolerance: int = 1) -> DataFrame:
+    """Each account's readings (account, reading, read_at, positions array<struct<ticket, opened_at>>) against the openings first seen.
+
+    A reading timed before an earlier one is refused whole (READING_CLOCK) and shows nothing. Among the others, a ticket's unbroken run of readings has
+    its first opening as first_seen; one that moved by more than the tolerance is POSITION_AGE_MOVED. Positions that could not be
+    read (null) break no run; an empty list ends all. A reading that comes twice counts once."""
+    by = Window.partitionBy("account").orderBy("reading")
+    once = readings.where("account is not null and reading is not null and read_at is not null").groupBy("account", "reading").agg(F.min(F.struct("read_at", "positions")).alias("r"))
+    before = F.max("read_at").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    timed = once.select("account", "reading", "r.*").withColumn("back", F.coalesce(F.col("read_at") < before, F.lit(False)))
+    read = timed.where("not back and positions is not null").withColumn("n", F.row_number().over(by))
+    shown = read.select("account", "reading", "read_at", "n", F.explode("positions").alias("p")).select("account", "reading", "read_at", "n", "p.ticket", "p.opened_at")
+    own = Window.partitionBy("account", "ticket").orderBy("n")
+    runs = shown.withColumn("run", F.col("n") - F.dense_rank().over(own))
+    runs = runs.withColumn("first_seen", F.first("opened_at").over(Window.partitionBy("account", "ticket", "run").orderBy("n", "opened_at")))
+    runs = runs.withColumn("moved", F.abs(F.col("opened_at") - F.col("first_seen")) > tolerance)
+    columns = ["account", "reading", "read_at", "ticket", "opened_at"]
+    told = runs.select(*columns, "first_seen", "moved", F.when(F.col("moved"), "POSITION_AGE_MOVED").alias("refusal"))
+    refused = timed.where("back").select("account", "reading", "read_at", F.explode_outer("positions").alias("p")).select("account", "reading", "read_at", "p.ticket", "p.opened_at")
+    return told.unionByName(refused.withColumn("refusal", F.lit("READING_CLOCK")), allowMissingColumns=True)
+
+
+def fresh(age, stale: int):
+    """Whether a reading of this age, a Column or a number, is recent enough."""
+    return age <= stale
+
+
 def heartbeat(expected: DataFrame, readings: DataFrame, now: int, stale: int = 180) -> DataFrame:
     """Per expected account: age of its last reading, and whether all is clear; no reading is not."""
     last = readings.groupBy("account").agg(F.max("reading_at").alias("last"))
     age = F.lit(now) - F.col("last")
-    return expected.select("account").join(last, "account", "left").select("account", "last", age.alias("age"), F.coalesce(age <= stale, F.lit(False)).alias("clear"))
+    return expected.select("account").join(last, "account", "left").select("account", "last", age.alias("age"), F.coalesce(fresh(age, stale), F.lit(False)).alias("clear"))
 
 
 def clock_offsets(readings: DataFrame, residual: int = 300) -> DataFrame:

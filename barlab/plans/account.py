@@ -137,6 +137,20 @@ def openings(spark, d):
     return ac.check_openings(was, p)
 
 
+def _readings(spark, d):
+    """A reading of each account for every line number of its open orders: the orders that have such a line. Some come back in time, some openings move."""
+    o = _positions(spark, d).select("account", "ticket", "opened_at")
+    l = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("ticket"), F.col("l_linenumber").cast("long").alias("reading"), "l_partkey")
+    p = F.struct("ticket", (F.col("opened_at") + F.when(F.col("l_partkey") % 40 == 0, 3600).otherwise(0)).alias("opened_at"))
+    back = F.when((F.col("account") % 10 == 0) & (F.col("reading") == 4), 9000).otherwise(0)
+    return o.join(l, "ticket").groupBy("account", "reading").agg(F.collect_list(p).alias("positions")).withColumn("read_at", NOW + 3600 * F.col("reading") - back)
+
+
+def continuity(spark, d):
+    """Every position of every reading against the opening first seen."""
+    return ac.check_readings(_readings(spark, d))
+
+
 def heartbeat(spark, d):
     r = _deals(spark, d).where("account % 4 > 0").select("account", F.col("closed_at").alias("reading_at"))
     return ac.heartbeat(_accounts(spark, d), r, NOW + 432000 - 86400, 86400 * 2)
@@ -168,7 +182,7 @@ def charge_structure(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (position_sizes, position_sizes_all, position_carry, carry_projection, portfolio_carry, measured_points,
-    swap_divergence, annual_carry, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, heartbeat, clock_offsets,
+    swap_divergence, annual_carry, daily_loss, concurrency, margin_projection, risk_alerts, worst_severity, openings, continuity, heartbeat, clock_offsets,
         nightly_charges, charge_structure)}
 _lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
 _PV = "CASE WHEN point > 0 AND tick_size > 0 AND tick_value > 0 THEN tick_value * point / tick_size END"
@@ -259,6 +273,18 @@ SELECT symbol, direction, {_d('c', 6)} AS nightly_points, CASE WHEN price > 0 TH
     "openings": f"""WITH {ACCOUNT}, b AS (SELECT ticket, opened_at - CASE WHEN ticket % 7 = 0 THEN 60 ELSE 0 END AS was FROM positions WHERE ticket %
 5 > 0) SELECT p.ticket, p.opened_at, coalesce(b.was, p.opened_at) AS first_seen, coalesce(abs(p.opened_at - b.was) > 1, false) AS moved FROM positions
 p LEFT JOIN b USING (ticket)""",
+    "continuity": f"""WITH {ACCOUNT},
+rows AS (
+  SELECT p.account, l.l_linenumber::BIGINT AS reading, p.ticket, p.opened_at + CASE WHEN l.l_partkey % 40 = 0 THEN 3600 ELSE 0 END AS opened_at,
+    {NOW} + 3600 * l.l_linenumber - CASE WHEN p.account % 10 = 0 AND l.l_linenumber = 4 THEN 9000 ELSE 0 END AS read_at
+  FROM positions p JOIN lineitem l ON l.l_orderkey = p.ticket),
+timed AS (SELECT *, read_at < max(read_at) OVER (PARTITION BY account ORDER BY reading RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM rows),
+read AS (SELECT *, dense_rank() OVER (PARTITION BY account ORDER BY reading) AS n FROM timed WHERE back IS NOT TRUE),
+runs AS (SELECT *, n - row_number() OVER (PARTITION BY account, ticket ORDER BY n) AS run FROM read),
+seen AS (SELECT *, first(opened_at) OVER (PARTITION BY account, ticket, run ORDER BY n) AS first_seen FROM runs)
+SELECT account, reading, read_at, ticket, opened_at, first_seen, abs(opened_at - first_seen) > 1 AS moved,
+  CASE WHEN abs(opened_at - first_seen) > 1 THEN 'POSITION_AGE_MOVED' END AS refusal FROM seen
+UNION ALL SELECT account, reading, read_at, ticket, opened_at, NULL, NULL, 'READING_CLOCK' FROM timed WHERE back""",
     "heartbeat": f"""WITH {ACCOUNT}, l AS (SELECT account, max(closed_at) AS last FROM deals WHERE account % 4 > 0 GROUP BY account) SELECT a.account,
 l.last, {NOW + 432000 - 86400} - l.last AS age, coalesce({NOW + 432000 - 86400} - l.last <= 172800, false) AS clear FROM accounts a LEFT JOIN l USING
 (account)""",

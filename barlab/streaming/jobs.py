@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barlab.streaming.state import after_cursor
+
 TICK_SCHEMA = "time long, time_msc long, bid double, ask double, last double, volume long, flags int, volume_real double"
 RANK = {"CRITICAL": 0, "WARN": 1, "INFO": 2}
 
 
-def ingest_ticks(spark: SparkSession, folder: str, delay: str = "1 minute") -> DataFrame:
-    """A stream of CSV ticks without exact repeats, with the server's day to route by. Different ticks may share a millisecond."""
-    raw = spark.readStream.schema(TICK_SCHEMA).option("header", True).csv(folder)
-    return raw.withColumn("ts", F.timestamp_millis("time_msc")).withWatermark("ts",
-        delay).dropDuplicatesWithinWatermark([c.split()[0] for c in TICK_SCHEMA.split(", ")]).withColumn("server_day", F.to_date("ts"))
+def ingest_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of CSV ticks in folder/symbol=.../ (or in folder itself, for one symbol), each once, with the server's day to route by.
+
+    state.after_cursor says which ticks are new. time_msc counts from 1970 on the server's clock, and so does the day, whatever the session's zone."""
+    raw = spark.readStream.schema(f"{TICK_SCHEMA}, symbol string").option("header", True).csv(folder)
+    return after_cursor(raw).withColumn("server_day", F.date_from_unix_date(F.floor(F.col("time_msc") / 86_400_000).cast("int")))
 
 
 def write_ticks(ticks: DataFrame, path: str, checkpoint: str) -> Any:
@@ -76,29 +79,6 @@ def throttle(alerts: DataFrame, every: int = 3600) -> DataFrame:
     return alerts.select("account", "code", "key", "severity", "raised_at").groupBy("account", "code", "key").applyInPandas(run, ALERT)
 
 
-def openings_stream(readings: DataFrame, tolerance: int = 1, closed_after: int = 86_400) -> DataFrame:
-    """(ticket, read_at, opened_at, first_seen, moved) of a stream of readings: the first opening seen of a ticket counts while it is open.
-
-    A ticket that no reading has shown for closed_after seconds is closed and leaves the state; a
-    reading that comes over that much later than others is dropped."""
-    schema = "ticket long, read_at long, opened_at long, first_seen long, moved boolean"
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([*batches]).sort_values("read_at")
-        first, last = state.get if state.exists else (int(rows["opened_at"].iloc[0]), 0)
-        last = max(last, int(rows["read_at"].max()))
-        state.update((first, last))
-        state.setTimeoutTimestamp(max((last + closed_after) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"ticket": key[0], "read_at": rows["read_at"], "opened_at": rows["opened_at"], "first_seen": first,
-            "moved": (rows["opened_at"] - first).abs() > tolerance})
-
-    timed = readings.withColumn("_at", F.timestamp_seconds("read_at")).withWatermark("_at", f"{closed_after} seconds")
-    return timed.groupBy("ticket").applyInPandasWithState(run, schema, "first_seen long, last_seen long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def _segment(table: DataFrame, columns: list[str]) -> Column:
     """A digest of rows whatever their order: sums of the row hashes' parts."""
     line = F.sha2(F.to_json(F.struct(*[f"`{c}`" for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

@@ -302,17 +302,6 @@ def test_sinks_of_alerts_and_carry_log(spark, tmp_path):
     assert {r["ticket"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "carry/quarantine")).collect()} == {2: "timing not trusted", 3: "offset not measured"}
 
 
-def test_closed_tickets_leave_the_state(spark, tmp_path):
-    schema = "ticket long, read_at long, opened_at long"
-    start = lambda: jobs.openings_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "r")), closed_after=100).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    for rows in ([(1, 1000, 100), (2, 1000, 5)], [(2, 1090, 5)], [(2, 1400, 5)], [(1, 1500, 700), (2, 1500, 9)]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "r"))
-        start()
-    got = sorted((r["ticket"], r["read_at"], r["first_seen"], r["moved"]) for r in spark.read.parquet(str(tmp_path / "o")).collect())
-    # ticket 1 was closed and forgotten: its number is a new position; 2 was read in time
-    assert (1, 1500, 700, False) in got and (2, 1500, 5, True) in got
-
-
 def test_throttle_stream_equals_batch(spark, tmp_path):
     rows = [("a", "C", "k", s, t) for s, t in (("WARN", 0), ("WARN", 10), ("CRITICAL", 20), ("WARN", 30), ("WARN", 3600), ("CRITICAL", 3625))] + [("b", "C", "k", "INFO", 5)]
     df = spark.createDataFrame(rows, jobs.ALERT)
@@ -324,13 +313,6 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     assert sorted((r["account"], r["raised_at"]) for r in spark.read.parquet(str(tmp_path / "sent")).collect()) == batch
 
 
-def test_openings_stream(spark, tmp_path):
-    schema = "ticket long, read_at long, opened_at long"
-    spark.createDataFrame([(1, 0, 100), (1, 60, 160), (2, 0, 5)], schema).write.parquet(str(tmp_path / "r"))
-    jobs.openings_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "r"))).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["ticket"], r["read_at"], r["first_seen"], r["moved"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, 0, 100, False), (1, 60, 100, True), (2, 0, 5, False)]
-
-
 def test_coverage_and_spreads_hold_no_group_in_one_row(spark):
     rng = np.random.default_rng(4)
     rows = [("a", 1, float(x)) for x in np.round(rng.exponential(50, 3000), 1) * (rng.random(3000) > 0.2)] + [("b", 1, x) for x in (3.0, 1.0, 1.0, None, -2.0)] + [("c", 2, 0.0), (None, 2, 7.0)]
