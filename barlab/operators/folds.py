@@ -112,3 +112,63 @@ def era_shares(members: DataFrame, bars: DataFrame) -> DataFrame:
 def untested_eras(members: DataFrame, bars: DataFrame) -> DataFrame:
     tested = era_shares(members, bars).where("role = 'test'").select("symbol", "era")
     return bars.select("symbol", "era").distinct().join(tested, ["symbol", "era"], "left_anti")
+
+
+def split_cells(bars: DataFrame, horizons: dict[int, str], splits: tuple[float, ...], n_folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((symbol, split, first, size), (symbol, split, horizon, era, fold, train, test)): rows of each role by era, for all splits and horizons in one pass.
+
+    bars: (symbol, bar_seq, era) and a boolean column for each horizon, horizons[h], whether the row may be used at it. No row of
+    a fold is made: a bar is in at most one test window, whose number is a quotient, and it may train from the first fold on whose
+    window opens after its label ends. Bars are counted by these two numbers, which combines before the
+    shuffle, and the counts are summed over folds."""
+    spans = bars.groupBy("symbol").agg((F.max("bar_seq") + 1).alias("n")).withColumn("split", F.explode(F.array(*[F.lit(float(s)) for s in splits])))
+    spans = spans.withColumn("first", F.floor(F.col("n") * F.col("split")).cast("long")).withColumn("size", F.floor((F.col("n") - F.col("first")) / n_folds).cast("long")).where("size > 0")
+    used = F.filter(F.array(*[F.when(F.col(f"`{c}`"), F.lit(h).cast("long")) for h, c in horizons.items()]), lambda h: h.isNotNull())
+    rows = bars.select("symbol", "bar_seq", "era", F.explode(used).alias("horizon")).join(spans, "symbol").withColumn("at", F.col("bar_seq") - F.col("first"))
+    inside = (F.col("at") >= 0) & (F.col("at") < n_folds * F.col("size"))
+    rows = rows.select("symbol", "split", "horizon", "era", F.when(inside, F.expr("at div size")).alias("window"), F.coalesce(inside & (F.col("at") % F.col("size") % F.col("horizon") == 0), F.lit(False)).alias("spaced"),
+        F.when(F.col("at") + F.col("horizon") < 0, 0).otherwise(F.expr("(at + horizon) div size") + 1).alias("since"))
+    counts = rows.groupBy("symbol", "split", "horizon", "era", "window", "since").agg(F.count("*").alias("n"), F.count_if("spaced").alias("spaced"))
+    keys = ["symbol", "split", "horizon", "era", "fold"]
+    train = counts.where(F.col("since") < n_folds).withColumn("fold", F.explode(F.sequence("since", F.lit(n_folds - 1).cast("long")))).select(*keys, F.col("n").alias("train"), F.lit(0).cast("long").alias("test"))
+    test = counts.where("window is not null").select(*keys[:-1], F.col("window").alias("fold"), F.lit(0).cast("long").alias("train"), F.col("spaced").alias("test"))
+    cells = train.unionByName(test).groupBy(*keys).agg(F.sum("train").alias("train"), F.sum("test").alias("test"))
+    return spans.select("symbol", "split", "first", "size"), cells
+
+
+def geometry_folds(bars: DataFrame, horizons: dict[int, str], splits: tuple[float, ...], n_folds: int = 5) -> DataFrame:
+    """(symbol, split, horizon, fold, test_start, test_end, train, test, straddles): each fold of each split and horizon, also those without rows;
+    straddles: the eras, comma-joined, whose first bar lies strictly inside the test window."""
+    spans, cells = split_cells(bars, horizons, splits, n_folds)
+    grid = spans.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons]))).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_folds - 1).cast("long"))))
+    grid = grid.select("symbol", "split", "horizon", "fold", (F.col("first") + F.col("fold") * F.col("size")).alias("test_start"), (F.col("first") + (F.col("fold") + 1) * F.col("size")).alias("test_end"))
+    keys = ["symbol", "split", "horizon", "fold"]
+    rows = grid.join(cells.groupBy(*keys).agg(F.sum("train").alias("train"), F.sum("test").alias("test")), keys, "left").fillna(0, ["train", "test"])
+    # a row an era of a symbol
+    changes = bars.groupBy("symbol", "era").agg(F.min("bar_seq").alias("change")).where("change > 0").groupBy("symbol").agg(F.collect_list(F.struct("change", "era")).alias("changes"))
+    crossed = F.filter(F.coalesce("changes", F.array()), lambda c: (c["change"] > F.col("test_start")) & (c["change"] < F.col("test_end")))
+    return rows.join(changes, "symbol", "left").select(*keys, "test_start", "test_end", "train", "test", F.array_join(F.array_sort(F.transform(crossed, lambda c: c["era"].cast("string"))), ",").alias("straddles"))
+
+
+def geometry_eras(bars: DataFrame, horizons: dict[int, str], splits: tuple[float, ...], n_folds: int = 5) -> DataFrame:
+    """(symbol, split, horizon, fold, role, era, n, share): what eras each fold's train and test rows are of."""
+    _, cells = split_cells(bars, horizons, splits, n_folds)
+    keys = ["symbol", "split", "horizon", "fold", "role"]
+    rows = cells.unpivot(["symbol", "split", "horizon", "era", "fold"], ["train", "test"], "role", "n").where("n > 0")
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).select(*keys, "era", "n", "share")
+
+
+def geometry_report(bars: DataFrame, horizons: dict[int, str], splits: tuple[float, ...], parameters: tuple[int, ...], n_folds: int = 5, floor: int = 150) -> DataFrame:
+    """(symbol, split, horizon, n_params, pooled, fold_min, fold_max, floors, train_first, rows_per_param, eras_tested, straddling, untested): what each
+    split point costs. pooled: decisions over all folds, floors: as a multiple of the fewest that count as a result; train_first: training rows of
+    the first fold; straddling: folds whose window holds an era change; untested: the eras, comma-joined, that no window tests."""
+    keys = ["symbol", "split", "horizon"]
+    _, cells = split_cells(bars, horizons, splits, n_folds)
+    folds = geometry_folds(bars, horizons, splits, n_folds).groupBy(*keys).agg(F.sum("test").alias("pooled"), F.min("test").alias("fold_min"), F.max("test").alias("fold_max"),
+        F.max(F.when(F.col("fold") == 0, F.col("train"))).alias("train_first"), F.count_if(F.col("straddles") != "").alias("straddling"))
+    tested = cells.where("test > 0").groupBy(*keys).agg(F.collect_set("era").alias("tested"))
+    known = bars.groupBy("symbol").agg(F.collect_set("era").alias("eras"))
+    rows = folds.join(tested, keys, "left").join(known, "symbol").withColumn("n_params", F.explode(F.array(*[F.lit(p).cast("long") for p in parameters])))
+    never = F.array_except("eras", F.coalesce("tested", F.array().cast(bars.select(F.array("era")).schema[0].dataType)))
+    return rows.select(*keys, "n_params", "pooled", "fold_min", "fold_max", (F.col("pooled") / floor).alias("floors"), "train_first", F.expr("train_first div n_params").alias("rows_per_param"),
+        F.coalesce(F.size("tested"), F.lit(0)).cast("long").alias("eras_tested"), "straddling", F.array_join(F.array_sort(F.transform(never, lambda e: e.cast("string"))), ",").alias("untested"))

@@ -66,6 +66,13 @@ def window_validity(bars: DataFrame, horizon: int = 24, lookback: int = 24, hold
     return without_halo(halo.withColumns({"label_valid": whole(0, horizon), "feature_valid": whole(-(lookback - 1), 0), "trade_valid": whole(0, hold + 1)}))
 
 
+def labels_valid(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """bars with label_valid_h for each horizon h: bars i..i+h are there and valid."""
+    bad, w = F.when(F.col("valid"), 0).otherwise(1), series()
+    ahead = lambda h: (F.sum(bad).over(w.rowsBetween(0, h)) == 0) & (F.count("*").over(w.rowsBetween(0, h)) == h + 1)
+    return without_halo(with_halo(bars, back=0, ahead=max(horizons)).withColumns({f"label_valid_{h}": ahead(h) for h in horizons}))
+
+
 def break_ledger(bars: DataFrame, gaps: DataFrame, dense: int = 20) -> DataFrame:
     """Per symbol the days that should hold one missing bar against the one-bar gaps that are there, and what is left over.
 

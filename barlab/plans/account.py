@@ -274,17 +274,17 @@ SELECT symbol, direction, {_d('c', 6)} AS nightly_points, CASE WHEN price > 0 TH
 5 > 0) SELECT p.ticket, p.opened_at, coalesce(b.was, p.opened_at) AS first_seen, coalesce(abs(p.opened_at - b.was) > 1, false) AS moved FROM positions
 p LEFT JOIN b USING (ticket)""",
     "continuity": f"""WITH {ACCOUNT},
-rows AS (
+readings AS (
   SELECT p.account, l.l_linenumber::BIGINT AS reading, p.ticket, p.opened_at + CASE WHEN l.l_partkey % 40 = 0 THEN 3600 ELSE 0 END AS opened_at,
     {NOW} + 3600 * l.l_linenumber - CASE WHEN p.account % 10 = 0 AND l.l_linenumber = 4 THEN 9000 ELSE 0 END AS read_at
   FROM positions p JOIN lineitem l ON l.l_orderkey = p.ticket),
-timed AS (SELECT *, read_at < max(read_at) OVER (PARTITION BY account ORDER BY reading RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM rows),
-read AS (SELECT *, dense_rank() OVER (PARTITION BY account ORDER BY reading) AS n FROM timed WHERE back IS NOT TRUE),
-runs AS (SELECT *, n - row_number() OVER (PARTITION BY account, ticket ORDER BY n) AS run FROM read),
-seen AS (SELECT *, first(opened_at) OVER (PARTITION BY account, ticket, run ORDER BY n) AS first_seen FROM runs)
+clocked AS (SELECT *, read_at < max(read_at) OVER (PARTITION BY account ORDER BY reading RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM readings),
+accepted AS (SELECT *, dense_rank() OVER (PARTITION BY account ORDER BY reading) AS n FROM clocked WHERE back IS NOT TRUE),
+in_runs AS (SELECT *, n - dense_rank() OVER (PARTITION BY account, ticket ORDER BY n) AS run FROM accepted),
+firsts AS (SELECT *, first(opened_at) OVER (PARTITION BY account, ticket, run ORDER BY n, opened_at) AS first_seen FROM in_runs)
 SELECT account, reading, read_at, ticket, opened_at, first_seen, abs(opened_at - first_seen) > 1 AS moved,
-  CASE WHEN abs(opened_at - first_seen) > 1 THEN 'POSITION_AGE_MOVED' END AS refusal FROM seen
-UNION ALL SELECT account, reading, read_at, ticket, opened_at, NULL, NULL, 'READING_CLOCK' FROM timed WHERE back""",
+  CASE WHEN abs(opened_at - first_seen) > 1 THEN 'POSITION_AGE_MOVED' END AS refusal FROM firsts
+UNION ALL SELECT account, reading, read_at, ticket, opened_at, NULL, NULL, 'READING_CLOCK' FROM clocked WHERE back""",
     "heartbeat": f"""WITH {ACCOUNT}, l AS (SELECT account, max(closed_at) AS last FROM deals WHERE account % 4 > 0 GROUP BY account) SELECT a.account,
 l.last, {NOW + 432000 - 86400} - l.last AS age, coalesce({NOW + 432000 - 86400} - l.last <= 172800, false) AS clear FROM accounts a LEFT JOIN l USING
 (account)""",

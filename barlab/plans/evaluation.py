@@ -132,6 +132,30 @@ def untested_eras(spark, d):
     return fo.untested_eras(members, s.withColumn("era", F.floor(clock.day_number(F.col("time")) / 10)))
 
 
+HORIZONS, SPLITS, PARAMETERS = (4, 24, 120), (0.3, 0.4, 0.5, 0.6, 0.7), (4, 11, 56)
+
+
+def _geometry(spark, d):
+    """Bars with the weeks as eras and, for each horizon, whether label and features may be used."""
+    b = fe.with_features(ga.labels_valid(checked_bars(spark, d), HORIZONS), [fe.log_return(5), fe.range_position(24)])
+    ok = F.col("log_return_5").isNotNull() & F.col("range_position_24").isNotNull()
+    used = {f"used_{h}": F.col(f"label_valid_{h}") & ok for h in HORIZONS}
+    return b.withColumns(used).withColumn("era", F.expr("time div 604800")), {h: f"used_{h}" for h in HORIZONS}, SPLITS
+
+
+def fold_geometry_report(spark, d):
+    """What each split point costs, for all horizons and numbers of parameters."""
+    return _rounded(fo.geometry_report(*_geometry(spark, d), PARAMETERS))
+
+
+def fold_geometry_folds(spark, d):
+    return fo.geometry_folds(*_geometry(spark, d))
+
+
+def fold_geometry_eras(spark, d):
+    return _rounded(fo.geometry_eras(*_geometry(spark, d)))
+
+
 def train_and_test(spark, d):
     """The distinct rows of each fold's train and test together."""
     _, _, m = _members(spark, d)
@@ -140,7 +164,8 @@ def train_and_test(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (density, density_boundary, modal_anomalies, modal_hours, spread_profile, coverage, hours_present, session_runs,
-    absorbed_runs, largest_gaps, fold_counts, fold_leaks, brier_skill, hit_rates, target_means, standardised, eligibility, fold_eras, untested_eras, train_and_test)}
+    absorbed_runs, largest_gaps, fold_counts, fold_leaks, brier_skill, hit_rates, target_means, standardised, eligibility, fold_eras, untested_eras,
+    fold_geometry_report, fold_geometry_folds, fold_geometry_eras, train_and_test)}
 DAYS = f"""{q.BARS}, days AS (SELECT symbol, CAST(year({q.day('time')}) AS INTEGER) AS year, time // 86400 AS day, CAST((time // 86400 + 3) % 7 AS
 INTEGER) AS weekday, count(*) AS bars FROM bars GROUP BY ALL)"""
 _upper = lambda x, where="": f"list_sort(list({x}) {where})[CAST(count({x}) {where} // 2 AS INTEGER) + 1]"
@@ -157,6 +182,22 @@ geometry AS (SELECT symbol, CAST(floor(n * 0.5) AS BIGINT) AS first, (n - CAST(f
 folds AS (SELECT symbol, CAST(k AS INTEGER) AS fold, first + k * size AS test_start, first + (k + 1) * size AS test_end FROM geometry, range(5) t(k)),
 members AS (SELECT * FROM (SELECT s.symbol, f.fold, s.bar_seq, CASE WHEN s.bar_seq >= f.test_start THEN CASE WHEN (s.bar_seq - f.test_start) % 5 = 0 THEN 'test' END WHEN s.bar_seq + 5 >= f.test_start THEN 'purged' ELSE 'train' END AS role FROM series s JOIN folds f ON f.symbol = s.symbol AND s.bar_seq < f.test_end WHERE s.valid) WHERE role IS NOT NULL),
 forecasts AS (SELECT m.symbol, m.fold, m.bar_seq, s.p, s.label AS y FROM members m JOIN series s USING (symbol, bar_seq) WHERE role = 'test')"""
+# every membership row, by definition
+GEOMETRY = f"""{q.VALID},
+feat AS (SELECT *, lag(close, 5) {q.SERIES}) IS NOT NULL AND {q.trailing('count(*)', 24)} = 24 AND {q.trailing('max(high)', 24)} > {q.trailing('min(low)', 24)} AS ok,
+  {", ".join(f"{q.whole(0, h)} AS v{h}" for h in HORIZONS)} FROM checked),
+used AS ({" UNION ALL ".join(f"SELECT symbol, bar_seq, time // 604800 AS era, {h}::BIGINT AS horizon FROM feat WHERE ok AND v{h}" for h in HORIZONS)}),
+eras AS (SELECT symbol, time // 604800 AS era, min(bar_seq) AS change FROM feat GROUP BY ALL),
+spans AS (SELECT symbol, split, CAST(floor(n * split) AS BIGINT) AS first, (n - CAST(floor(n * split) AS BIGINT)) // 5 AS size
+  FROM (SELECT symbol, max(bar_seq) + 1 AS n FROM feat GROUP BY symbol), (SELECT unnest([{", ".join(map(str, SPLITS))}]::DOUBLE[]) AS split)),
+grid AS (SELECT symbol, split, horizon, fold, first + fold * size AS test_start, first + (fold + 1) * size AS test_end
+  FROM spans, (SELECT unnest([{", ".join(map(str, HORIZONS))}]::BIGINT[]) AS horizon), range(5) f(fold) WHERE size > 0),
+roles AS (SELECT g.*, u.bar_seq, u.era, CASE WHEN u.bar_seq >= test_start THEN 'test' ELSE 'train' END AS role FROM grid g JOIN used u USING (symbol, horizon)
+  WHERE u.bar_seq + g.horizon < test_start OR (u.bar_seq >= test_start AND u.bar_seq < test_end AND (u.bar_seq - test_start) % g.horizon = 0)),
+sums AS (SELECT symbol, split, horizon, fold, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS test FROM roles GROUP BY ALL),
+counted AS (SELECT g.*, coalesce(s.train, 0) AS train, coalesce(s.test, 0) AS test,
+  coalesce((SELECT string_agg(e.era::VARCHAR, ',' ORDER BY e.era::VARCHAR) FROM eras e WHERE e.symbol = g.symbol AND e.change > g.test_start AND e.change < g.test_end), '') AS straddles
+  FROM grid g LEFT JOIN sums s USING (symbol, split, horizon, fold))"""
 _ref = "avg(y) * (1 - avg(y))"
 SQL = {
     "density": f"""WITH {DAYS} SELECT symbol, year, count(*) AS days, CAST(sum(bars) AS BIGINT) AS bars, CAST(count(*) FILTER (bars >= 20) AS BIGINT)
@@ -213,6 +254,19 @@ symbol, 'all' AS step, CAST(a AS BIGINT) AS rows FROM g UNION ALL SELECT symbol,
 (symbol, bar_seq) WHERE role IN ('train', 'test') GROUP BY ALL""",
     "untested_eras": f"""WITH {MEMBERS} SELECT DISTINCT symbol, time // 864000 AS era FROM series EXCEPT SELECT m.symbol, s.time // 864000 FROM
 members m JOIN series s USING (symbol, bar_seq) WHERE role = 'test'""",
+    "fold_geometry_report": f"""WITH {GEOMETRY},
+tested AS (SELECT DISTINCT symbol, split, horizon, era FROM roles WHERE role = 'test'),
+never AS (SELECT g.symbol, g.split, g.horizon, string_agg(e.era::VARCHAR, ',' ORDER BY e.era::VARCHAR) AS untested
+  FROM (SELECT DISTINCT symbol, split, horizon FROM grid) g JOIN eras e USING (symbol) ANTI JOIN tested USING (symbol, split, horizon, era) GROUP BY ALL)
+SELECT c.symbol, c.split, c.horizon, p.n_params, sum(test)::BIGINT AS pooled, min(test) AS fold_min, max(test) AS fold_max, round(sum(test) / 150, 6) AS floors,
+  max(train) FILTER (fold = 0) AS train_first, max(train) FILTER (fold = 0) // p.n_params AS rows_per_param,
+  (SELECT count(*) FROM tested t WHERE t.symbol = c.symbol AND t.split = c.split AND t.horizon = c.horizon) AS eras_tested,
+  count(*) FILTER (straddles <> '') AS straddling, coalesce(any_value(n.untested), '') AS untested
+FROM counted c LEFT JOIN never n USING (symbol, split, horizon), (SELECT unnest([{", ".join(map(str, PARAMETERS))}]::BIGINT[]) AS n_params) p
+GROUP BY c.symbol, c.split, c.horizon, p.n_params""",
+    "fold_geometry_folds": f"WITH {GEOMETRY} SELECT * FROM counted",
+    "fold_geometry_eras": f"""WITH {GEOMETRY} SELECT symbol, split, horizon, fold, role, era, count(*) AS n,
+round(count(*) / sum(count(*)) OVER (PARTITION BY symbol, split, horizon, fold, role), 6) AS share FROM roles GROUP BY symbol, split, horizon, fold, role, era""",
     "train_and_test": f"""WITH {MEMBERS}, u AS (SELECT DISTINCT symbol, fold, bar_seq FROM members WHERE role IN ('train', 'test')) SELECT symbol,
 fold, count(*) AS rows, CAST(sum(bar_seq) AS BIGINT) AS total FROM u GROUP BY ALL""",
 }
