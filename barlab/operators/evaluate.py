@@ -139,6 +139,71 @@ def fit_predict(rows: DataFrame, columns: dict[str, list[str]], leak: str = "non
     return rows.select("symbol", "fold", "seed", "bar_seq", "role", "y", *names).groupBy("symbol", "fold").applyInPandas(run, FIT)
 
 
+def _block_sums(parameters: int, curved: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of each block of rows and its fold's weights, the gradient's parts, the intercept's last, and with curved those of the matrix of second derivatives."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for symbol, fold, x, y, w in zip(batch["symbol"], batch["fold"], batch["x"], batch["ys"], batch["w"], strict=True):
+                x = np.column_stack([np.asarray(x, np.float64).reshape(-1, parameters - 1), np.ones(len(y))])
+                p = sigmoid(x @ np.asarray(w, np.float64))
+                parts = x.T @ (p - np.asarray(y, np.float64))
+                if curved:
+                    parts = np.r_[parts, (x.T * (p * (1 - p)) @ x).ravel()]
+                out.append((symbol, fold, parts.tolist()))
+            yield pd.DataFrame(out, columns=["symbol", "fold", "parts"])
+
+    return run
+
+
+def fit_predict_blocks(rows: DataFrame, features: list[str], steps: int = 1000, rate: float = 0.5, l2: float = 1e-6, tolerance: float | None = None,
+    newton: bool = False, block_rows: int = 65_536, every: int = 20) -> DataFrame:
+    """Forecasts of the test rows of rows (symbol, fold, bar_seq, role, y, features), for folds too large for a worker: fit_predict's clean fit without its seeds and arms.
+
+    Training rows are scaled by their fold's mean and deviation and packed into blocks of block_rows; a step adds up the blocks' parts of the
+    gradient, so no task holds a fold and only a vector a block is shuffled. newton takes steps by the matrix of second derivatives, a
+    handful for a converged fit (give a tolerance); else there are steps jobs. Weights are a written table every so many steps.
+    A fold that has met the tolerance keeps its weights. Folds without training rows or two outcomes give nothing."""
+    n_params, keys = len(features) + 1, ["symbol", "fold"]
+    rows = written(rows.select(*keys, "bar_seq", "role", "y", *features), "fit-rows")
+    fit = rows.where("role = 'train'").groupBy(*keys).agg(F.count("*").alias("n"), F.min("y").alias("_low"), F.max("y").alias("_high"),
+        *[a for i, c in enumerate(features) for a in (F.avg(f"`{c}`").alias(f"_m{i}"), F.stddev_pop(f"`{c}`").alias(f"_s{i}"))]).where("_low <> _high")
+    scaled = rows.join(fit, keys).withColumn("x", F.array(*[(F.col(f"`{c}`") - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") == 0, 1.0).otherwise(F.col(f"_s{i}")) for i, c in enumerate(features)]))
+    train = scaled.where("role = 'train'").withColumn("block", F.expr(f"bar_seq div {block_rows}"))
+    blocks = written(train.groupBy(*keys, "block").agg(F.flatten(F.collect_list("x")).alias("x"), F.collect_list(F.col("y").cast("double")).alias("ys")).drop("block"), "fit-blocks")
+    weights = written(fit.select(*keys, "n", F.array_repeat(F.lit(0.0), n_params).alias("w"), F.lit(0).cast("long").alias("iterations"), F.lit(float("inf")).alias("norm")), "fit-weights")
+    n_parts = n_params * (n_params + 1) if newton else n_params
+    penalty = np.r_[np.full(n_params - 1, l2), 0.0]
+
+    def moved(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                w, parts = np.asarray(r["w"], np.float64), np.asarray(r["sums"], np.float64) / r["n"]
+                gradient = parts[:n_params] + penalty * w
+                norm = np.abs(gradient).max()
+                if tolerance is None or norm > tolerance:
+                    w = w - (np.linalg.solve(parts[n_params:].reshape(n_params, n_params) + np.diag(np.maximum(penalty, 1e-12)), gradient) if newton else rate * gradient)
+                out.append((r["symbol"], r["fold"], r["n"], w.tolist(), r["iterations"] + 1, float(norm)))
+            yield pd.DataFrame(out, columns=["symbol", "fold", "n", "w", "iterations", "norm"])
+
+    for step in range(1, steps + 1):
+        live = weights if tolerance is None else weights.where(F.col("norm") > tolerance)
+        parts = blocks.join(live.select(*keys, "w"), keys).mapInPandas(_block_sums(n_params, newton), "symbol string, fold int, parts array<double>")
+        one = parts.select(*keys, F.posexplode("parts").alias("at", "part")).groupBy(*keys, "at").agg(F.sum("part").alias("part"))
+        sums = one.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]).alias("sums"))
+        new = live.join(sums, keys).mapInPandas(moved, "symbol string, fold int, n long, w array<double>, iterations long, norm double")
+        weights = new if tolerance is None else new.unionByName(weights.where(F.col("norm") <= tolerance))
+        if newton or step % every == 0 or step == steps:
+            weights = written(weights, "fit-weights")
+            if tolerance is not None and not weights.where(F.col("norm") > tolerance).limit(1).count():
+                break
+    dot = F.aggregate(F.zip_with("x", F.slice("w", 1, n_params - 1), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + F.element_at("w", n_params)
+    met = F.lit(False) if tolerance is None else F.col("norm") <= tolerance
+    return scaled.where("role = 'test'").join(weights.drop("n"), keys).select(*keys, "bar_seq", (1 / (1 + F.exp(-dot))).alias("p"), F.col("y").cast("double").alias("y"), "iterations", "norm", met.alias("converged"))
+
+
 STUDY = "symbol string, fold int, arm string, leak string, seed int, parameters int, n long, sum_y double, sum_error double, norm double, converged boolean"
 
 
@@ -238,72 +303,90 @@ def response_probe(forecasts: DataFrame, columns: list[str]) -> DataFrame:
         (s(F.col("b") + F.col("w")[i]) - s(F.col("b"))).alias("response")) for i, c in enumerate(columns)])).alias("x")).select("symbol", "fold", "arm", "seed", "x.*")
 
 
-def _resampled(v: np.ndarray, resamples: int, block: int, rng: np.random.Generator) -> np.ndarray:
-    """Means of so many resamples of v: rows, or stationary blocks of that mean length, wrapped around."""
-    means, n = [], len(v)
-    for done in range(0, resamples, step := max(1, 2_000_000 // n)):
-        many = min(step, resamples - done)
-        at = rng.integers(0, n, (many, n))
-        if block > 1:
-            goes_on = rng.random((many, n)) >= 1 / block
-            goes_on[:, 0] = False
-            start = np.maximum.accumulate(np.where(goes_on, 0, np.arange(n)), axis=1)
-            at = (np.take_along_axis(at, start, 1) + np.arange(n) - start) % n
-        means.append(v[at].mean(1))
-    return np.concatenate(means)
-
-
-def _weighted(v: np.ndarray, resamples: int, block: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of weights, weighted sum) of some consecutive values under each resample: each place opens a Poisson number of
-    blocks, 1 / block in the mean, and each block that is open goes on with probability 1 - 1 / block."""
+#: Rows whose weighted values are added up in one piece; sums of these go up a binary tree over the units, whatever tasks hold them.
+UNIT = 4096
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 random-looking bits of each counter."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(seed: int, resamples: np.ndarray, places: np.ndarray, stream: int) -> np.ndarray:
+    """A number in [0, 1) for each (seed, resample, place), a row a resample."""
+    own = _mixed(_mixed(np.uint64(2 * seed + stream) + np.uint64(0x9E3779B97F4A7C15) * (resamples.astype(np.uint64) + np.uint64(1))))
+    return (_mixed(own[:, None] + np.uint64(0xD1342543DE82EF95) * (places.astype(np.uint64) + np.uint64(1))) >> np.uint64(11)) * 2.0**-53
+
+
+def drawn_rows(n: int, resamples: np.ndarray, block: float, seed: int) -> np.ndarray:
+    """The row at each of the n places of each resample: stationary blocks of that mean length, wrapped around; 1 draws rows.
+
+    Whether a place opens a block, and at which row, depends on (seed, resample, place) alone."""
+    places = np.arange(n)
+    start = np.floor(_uniform(seed, resamples, places, 0) * n).astype(np.int64)
     if block <= 1:
-        weights = (rng.poisson(1.0, (min(256, resamples - done), len(v))) for done in range(0, resamples, 256))
-        sums = [(w.sum(1), w @ v) for w in weights]
-        return np.concatenate([x for x, _ in sums]), np.concatenate([y for _, y in sums])
-    w = rng.poisson(1.0, resamples)
-    total, valued = w.astype(np.float64), w * v[0]
-    for x in v[1:]:
-        w = rng.binomial(w, 1 - 1 / block) + rng.poisson(1 / block, resamples)
-        total += w
-        valued += w * x
-    return total, valued
-
-
-def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int = 10_000, block: int = 1, seed: int = 1337, order: str = "bar_seq",
-    alpha: float = 0.05, most: int = 500_000) -> DataFrame:
+        return start
+    opens = _uniform(seed, resamples, places, 1) < 1 / block
+    opens[:, 0] = True
+    last = np.maximum.accumulate(np.where(opens, places, 0), axis=1)
+    return (np.take_along_axis(start, last, 1) + places - last) % n
+
+
+def _tree(parts: list[np.ndarray]) -> np.ndarray:
+    """The sum of parts, neighbours first. Zeros that fill it up to a power of two change no bit."""
+    while len(parts) > 1:
+        parts = [a + b for a, b in zip(parts[::2], [*parts[1::2], *[0.0] * (len(parts) % 2)], strict=True)]
+    return parts[0]
+
+
+def _piece_sums(v: np.ndarray, first: int, n: int, resamples: np.ndarray, block: float, seed: int) -> np.ndarray:
+    """For each resample the sum of rows first..first+len(v)-1 of the n, as often as it draws them. Resample -1 has each row once."""
+    out, step = np.empty(len(resamples)), max(1, 2_000_000 // n)
+    for a in range(0, len(resamples), step):
+        own = resamples[a : a + step]
+        at = drawn_rows(n, own, block, seed) - first
+        flat = (np.arange(len(own))[:, None] * len(v) + at)[(at >= 0) & (at < len(v))]
+        weights = np.bincount(flat, minlength=len(own) * len(v)).reshape(len(own), len(v))
+        weights[own < 0] = 1
+        out[a : a + step] = _tree([(weights[:, u : u + UNIT] * v[u : u + UNIT]).sum(1) for u in range(0, len(v), UNIT)])
+    return out
+
+
+def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int = 10_000, block: float = 1, seed: int = 1337, order: str = "bar_seq",
+    alpha: float = 0.05, piece_units: int = 256, parts: int = 8) -> DataFrame:
     """Per group: mean, its percentile interval from resamples, and the one-sided p-value, add-one smoothed.
 
-    block 1 resamples rows; more takes stationary blocks of that mean length, wrapped around. Groups of up
-    to most rows are resampled as they are, in parts, each a task with its own stream of random numbers.
-    Larger ones are cut into pieces of 4,096 rows; each piece gives its weighted sums under every resample,
-    with Poisson numbers of blocks, and the sums are added up, so no task holds such a group."""
-    parts = 8
+    block 1 resamples rows; more takes stationary blocks of that mean length, wrapped around. Random numbers are
+    hashes of (seed, resample, place), so one law holds for groups of any size: a group is cut into pieces of piece_units * 4,096
+    rows (a power of two), each of which finds by itself how often a resample draws each of its rows, and the pieces' sums are
+    added up in pairs. Neither piece_units nor parts, the tasks that the resamples are dealt to, changes a bit of the means. No task holds
+    more than a piece; the draws are worked out anew for each piece, which for n rows is n * n / piece numbers a resample.
+
+    Null values don't count; a group without any other has no row."""
     kinds = dict(values.dtypes)
-    named = ", ".join(f"{b} {kinds[b]}" for b in by)
-    there = written(values.where(F.col(column).isNotNull()).select(*by, F.col(order).alias("_at"), F.col(column).cast("double").alias("_v")), "bootstrap")
-    sizes = there.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_v").alias("mean"))
-    packed = there.join(sizes.where(F.col("_n") <= most), by).groupBy(*by,
-        "mean").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("v"))
-    dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *by, "part")
+    named = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+    rows = values.where(F.col(column).isNotNull()).select(*by, F.col(order).alias("_at"), F.col(column).cast("double").alias("_v"))
+    numbered = _numbered(written(rows, "bootstrap"), by, F.floor(F.col("_at") / 65_536), ["_at", "_v"], "_r").withColumn("_r", F.col("_r") - 1)
+    sizes = written(numbered.groupBy(*by).agg(F.count("*").alias("_n")), "bootstrap-sizes")
+    packed = numbered.groupBy(*by, F.expr(f"_r div {piece_units * UNIT}").alias("_piece")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("_values"))
+    dealt = packed.join(sizes, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *by, "_part")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                many = len(range(row["part"], resamples, parts))
-                if many:
-                    means = _resampled(np.array(row["v"], np.float64), many, block, np.random.default_rng([seed, row["part"]]))
-                    yield pd.DataFrame({b: [row[b]] * many for b in by} | {"mean": row["mean"], "m": means})
-
-    drawn = dealt.mapInPandas(run, f"{named}, mean double, m double")
-    large = there.join(sizes.where(F.col("_n") > most).select(*by), by)
-    pieces = _numbered(large, by, F.floor(F.col("_at") / 65_536), ["_at"], "_r").withColumn("_piece", F.floor((F.col("_r") - 1) / 4096))
-
-    def weigh(piece: pd.DataFrame) -> pd.DataFrame:
-        own = piece.sort_values("_r")
-        total, valued = _weighted(own["_v"].to_numpy(np.float64), resamples, block, np.random.default_rng([seed, int(own["_piece"].iloc[0])]))
-        return pd.DataFrame({b: [own[b].iloc[0]] * resamples for b in by} | {"b": np.arange(resamples), "w": total, "x": valued})
-
-    summed = pieces.groupBy(*by, "_piece").applyInPandas(weigh, f"{named}, b int, w double, x double").groupBy(*by, "b").agg((F.sum("x") / F.sum("w")).alias("m"))
-    drawn = drawn.unionByName(summed.join(sizes.select(*by, "mean"), by).select(*by, "mean", "m"))
+                own = np.arange(-1 + row["_part"], resamples, parts)
+                if len(own):
+                    x = _piece_sums(np.array(row["_values"], np.float64), row["_piece"] * piece_units * UNIT, row["_n"], own, block, seed)
+                    yield pd.DataFrame({b: [row[b]] * len(own) for b in by} | {"_n": row["_n"], "_b": own, "_piece": row["_piece"], "_x": x})
+
+    sums = dealt.mapInPandas(run, f"{named}, _n long, _b long, _piece long, _x double")
+    pieces = -(-(sizes.agg(F.max("_n")).first()[0] or 0) // (piece_units * UNIT))
+    while pieces > 1:
+        sums = sums.groupBy(*by, "_n", "_b", F.expr("_piece div 2").alias("_piece")).agg(F.sum("_x").alias("_x"))
+        pieces = -(-pieces // 2)
+    means = sums.select(*by, "_b", (F.col("_x") / F.col("_n")).alias("m"))
+    drawn = means.where("_b >= 0").join(means.where("_b < 0").select(*by, F.col("m").alias("mean")), by)
     return drawn.groupBy(*by).agg(F.first("mean").alias("mean"), F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2)
         .alias("high"), ((1 + F.count_if(F.col("m") - F.col("mean") >= F.col("mean"))) / (F.count("*") + 1)).alias("p_value"))

@@ -56,6 +56,12 @@ def converged_fits(spark, d):
         F.bool_or("hit_cap").alias("hit_cap"))
 
 
+def block_fits(spark, d):
+    """The converged fits by steps of second derivatives over blocks of rows: forecasts that hold no fold in a task."""
+    f = ev.fit_predict_blocks(_rows(spark, d), FEATURES, steps=100, tolerance=1e-9, newton=True)
+    return f.select("symbol", "fold", "bar_seq", F.round("p", 6).alias("p"), "y", "iterations", "converged")
+
+
 def permutation_null(spark, d):
     """30 permutations of the labels, clean."""
     return ev.null_study(ev.pooled_skill(ev.null_fits(_permuted_rows(spark, d), {"all": FEATURES}), ["symbol", "seed"]), ["symbol"])
@@ -111,6 +117,6 @@ def block_interval(spark, d):
     return _intervals(fo.improvement(_forecasts(spark, d), ["symbol"]), ["symbol"])
 
 
-QUERIES = {f.__name__: f for f in (walk_forward_fit, leaky_fits, converged_fits, permutation_null, ablation, capacity_ladder, response_probe,
+QUERIES = {f.__name__: f for f in (walk_forward_fit, leaky_fits, converged_fits, block_fits, permutation_null, ablation, capacity_ladder, response_probe,
     gain_interval, block_interval)}
 SQL: dict[str, str] = {}

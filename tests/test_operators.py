@@ -184,14 +184,56 @@ def test_bootstrap(spark):
         assert r["low"] < r["mean"] < r["high"] and r["p_value"] == pytest.approx(1 / 401)
 
 
-def test_bootstrap_of_large_groups_in_pieces_has_the_same_spread(spark):
+@pytest.mark.parametrize("block", [1, 10])
+def test_bootstrap_has_one_law_however_it_is_cut(spark, block):
+    """Pieces and parts change no bit of the means; a hot group of many units beside small ones."""
     rng = np.random.default_rng(2)
-    v = np.cumsum(rng.standard_normal(9000) * 0.1) * 0.02 + rng.standard_normal(9000) + 0.02
-    rows = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)] + [("t", 0, 1.0), ("t", 1, 2.0)], "symbol string, bar_seq long, v double")
-    for block in (1, 10):
-        a, b = (ev.bootstrap_mean(rows, ["symbol"], "v", 1500, block, most=most).where("symbol = 's'").first() for most in (500_000, 100))
-        assert a["mean"] == pytest.approx(b["mean"]) and (a["high"] - a["low"]) == pytest.approx(b["high"] - b["low"], rel=0.15)
-    assert ev.bootstrap_mean(rows, ["symbol"], "v", 100, most=100).count() == 2
+    v = rng.standard_normal(9 * ev.UNIT + 17) + 0.02
+    rows = [("s", i, float(x)) for i, x in enumerate(v)] + [("t", i, float(x)) for i, x in enumerate(v[:30])] + [("u", 0, 1.5), ("n", 0, None)]
+    table = spark.createDataFrame(rows, "symbol string, bar_seq long, v double").repartition(7)
+    got = [sorted(map(tuple, ev.bootstrap_mean(table, ["symbol"], "v", 60, block, piece_units=u, parts=p).collect())) for u, p in ((256, 8), (1, 3), (4, 1))]
+    assert got[0] == got[1] == got[2] and [r[0] for r in got[0]] == ["s", "t", "u"]
+    # by definition, on one machine
+    for symbol, own in (("s", v), ("t", v[:30])):
+        means = own[ev.drawn_rows(len(own), np.arange(60), block, 1337)].mean(1)
+        _, mean, low, high, p = next(r for r in got[0] if r[0] == symbol)
+        assert (mean, low, high) == pytest.approx((own.mean(), np.percentile(means, 2.5), np.percentile(means, 97.5)))
+        assert p == (1 + (means - own.mean() >= own.mean()).sum()) / 61
+
+
+def test_drawn_rows_are_stationary_blocks():
+    n, block = 500, 10
+    at = ev.drawn_rows(n, np.arange(400), block, 7)
+    steps = (np.diff(at, axis=1) % n != 1).mean()
+    assert at.min() == 0 and at.max() == n - 1 and steps == pytest.approx(1 / block, rel=0.05)
+    assert np.bincount(at.ravel(), minlength=n).std() < 3 * np.sqrt(400 * block) and len(np.unique(at[:, 0])) > 250
+    assert (at[:50] == ev.drawn_rows(n, np.arange(50), block, 7)).all() and (at[0] != ev.drawn_rows(n, np.arange(1), block, 8)[0]).any()
+    ones = ev.drawn_rows(n, np.arange(400), 1, 7)
+    means = ones.mean(1)
+    assert means.std() == pytest.approx(n / np.sqrt(12) / np.sqrt(n), rel=0.15) and at.mean(1).std() > 3 * means.std()
+
+
+@pytest.mark.parametrize("block_rows", [7, 64, 10_000])
+def test_fits_by_blocks_are_the_grouped_fits(spark, block_rows):
+    rng = np.random.default_rng(21)
+    rows = []
+    for symbol, fold, n in (("s", 0, 150), ("s", 1, 90), ("t", 0, 40)):
+        for i in range(n):
+            a, b = rng.standard_normal(2)
+            rows.append((symbol, fold, 0, i, "test" if i % 5 == 0 else "train", float(rng.random() < ev.sigmoid(np.array(a - b / 2))), float(a), float(b), 3.0))
+    rows += [("one", 0, 0, i, "train" if i else "test", 1.0, float(i), 0.0, 1.0) for i in range(9)] + [("none", 0, 0, 1, "test", 1.0, 1.0, 0.0, 1.0)]
+    table = spark.createDataFrame(rows, "symbol string, fold int, seed int, bar_seq long, role string, y double, a double, b double, same double")
+    names = ["a", "b", "same"]
+    by = lambda df: {(r["symbol"], r["fold"], r["bar_seq"]): r for r in df.collect()}
+    want = by(ev.fit_predict(table, {"all": names}, model=lambda: ev.Logistic(6)))
+    got = by(ev.fit_predict_blocks(table, names, steps=6, block_rows=block_rows, every=4))
+    assert got.keys() == want.keys() and len(got) == 56
+    for k in got:
+        assert got[k]["p"] == pytest.approx(want[k]["p"], abs=1e-9) and got[k]["y"] == want[k]["y"] and got[k]["norm"] == pytest.approx(want[k]["norm"])
+    if block_rows == 64:
+        want = by(ev.fit_predict(table, {"all": names}, model=lambda: ev.Logistic(200_000, tolerance=1e-10)))
+        got = by(ev.fit_predict_blocks(table, names, steps=50, tolerance=1e-10, newton=True, block_rows=block_rows))
+        assert all(got[k]["converged"] and got[k]["iterations"] < 15 and got[k]["p"] == pytest.approx(want[k]["p"], abs=1e-6) for k in want)
 
 
 def test_sizing(spark):
