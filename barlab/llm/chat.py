@@ -86,6 +86,30 @@ def _known(paths: Column, mappings: tuple[Mapping, ...]) -> Column:
     return F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted({p for m in mappings for p in m.paths})]))
 
 
+def _rivals(m: Mapping, mappings: tuple[Mapping, ...]) -> list[Mapping]:
+    """The mappings besides which m doesn't decide: those with a path that m lacks, unless m is of one turn a row."""
+    return [] if m.row else [o for o in mappings if not {*o.paths} <= {*m.paths}]
+
+
+def _deciding(known: Column, mappings: tuple[Mapping, ...]) -> Column:
+    """Of the known paths those that are hashed: those of the one mapping that is there in full, other fields that only look like a layout's left out; all, where none or several are."""
+    listed = lambda m: F.array(*[F.lit(p) for p in m.paths])
+    there = lambda m: F.size(F.array_except(listed(m), known)) == 0
+    out = known
+    for m in sorted(mappings, key=lambda m: m.row is not None):
+        alone = there(m)
+        for o in _rivals(m, mappings):
+            alone = alone & ~there(o)
+        out = F.when(alone, F.array_intersect(known, listed(m))).otherwise(out)
+    return out
+
+
+def decides(paths: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
+    """The mapping of a record with these paths, as _deciding has it."""
+    there = [m for m in mappings if {*m.paths} <= paths]
+    return next((m for m in sorted(there, key=lambda m: m.row is None) if not [o for o in _rivals(m, mappings) if o in there]), None)
+
+
 def _canonical(role: Column) -> Column:
     role = F.coalesce(role, F.lit(""))
     other = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
@@ -136,7 +160,7 @@ def canonical_turns(records: DataFrame, id_col: str = "id", record_col: str = "r
             turns = F.from_json(get(at), f"array<struct<`{role}`:string,`{text}`:string>>")
             return F.transform(turns, lambda t: _turn(_canonical(t[role]), t[text]))
 
-    told = raw.withColumn("print", F.when(F.col("record").isNotNull(), fingerprint(_known(paths, mappings))))
+    told = raw.withColumn("print", F.when(F.col("record").isNotNull(), fingerprint(_deciding(_known(paths, mappings), mappings))))
     name, turns, order = F.lit(None).cast("string"), F.array().cast(TURNS), F.lit(None).cast("long")
     for m in able:
         chosen, (own, turn) = F.col("print") == declared(m), _mapped(m, get, listed)
@@ -152,9 +176,15 @@ def canonical_turns(records: DataFrame, id_col: str = "id", record_col: str = "r
 
 
 def row_turns(rows: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """canonical_turns of a table that is itself a layout: all columns but the id are the record, so the fingerprint is that of the table's schema."""
+    """canonical_turns of a table that is itself a layout: all columns but the id are the record, so the fingerprint is that of the table's schema.
+
+    One row an id: turns of several records of one id, each with turns of its own, follow each other in the order of the turns."""
     record = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != id_col])
-    return canonical_turns(rows.select(F.col(f"`{id_col}`").alias("id"), record.alias("record")), mappings=mappings)
+    out = canonical_turns(rows.select(F.col(f"`{id_col}`").alias("id"), record.alias("record")), mappings=mappings)
+    chosen = decides({*field_paths(StructType([f for f in rows.schema.fields if f.name != id_col]))}, mappings)
+    if chosen is not None and chosen.row:
+        return out
+    return out.groupBy("id").agg(F.max("layout").alias("layout"), F.flatten(F.sort_array(F.collect_list("turns"))).alias("turns"))
 
 
 def escape(text: Column, line: bool = False) -> Column:
@@ -201,7 +231,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, by canonical_turns over the whole table's columns; see there for nulls, ties, repeats and empty tables.
 
-    A table whose schema no mapping declares has conversations without turns."""
+    Whatever other columns there are, the turns are in turn, role and text; if the table lacks one of these, it is null."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user")
         .otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))

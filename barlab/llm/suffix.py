@@ -188,7 +188,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
     chunk, are then dealt out by anchor and sorted there (deep_shallow), and each chunk learns which
     strings a smaller document has. A string in a third of all documents thus counts once a chunk.
 
-    Null text is empty. A null doc_id comes after all others. Rows with one doc_id do not remove from
+    Null text is empty. A null doc_id stands beside the largest possible one, after all others. Rows with one doc_id do not remove from
     each other. Texts shorter than length lose nothing. Empty input gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
@@ -203,7 +203,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         return part, np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, np.int64)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, rests, n = [], [], [], 0
+        texts, ids, rests, nulls, n = [], [], [], [], 0
         # written once and shuffled twice, so worth the effort of a higher level
         squeeze = zstandard.ZstdCompressor(level=5)
 
@@ -212,8 +212,8 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
             number = uuid.uuid4().int >> 65
             rest = pa.concat_arrays(rests)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("rest", rest.type)])) as out:
-                out.write_batch(pa.record_batch([rest], names=["rest"]))
+            with pa.ipc.new_stream(sink, pa.schema([("rest", rest.type), ("none", pa.bool_())])) as out:
+                out.write_batch(pa.record_batch([rest, pa.concat_arrays(nulls)], names=["rest", "none"]))
             rows = [{"chunk": number, "slice": -1, "texts": squeeze.compress(own.buffer), "lengths": planes(np.diff(own.ends, prepend=0)),
                 "ids": planes(own.ids), "rest": squeeze.compress(sink.getvalue())}]
             ids_at = own.ids[own.doc]
@@ -236,10 +236,11 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
                 if n >= chunk_bytes or k + 1 == len(raw):
                     ids.append(own[begin : k + 1])
                     rests.append(batch.column("rest").slice(begin, k + 1 - begin))
+                    nulls.append(batch.column("doc_id").slice(begin, k + 1 - begin).is_null())
                     begin = k + 1
                 if n >= chunk_bytes:
                     yield flush()
-                    texts, ids, rests, n = [], [], [], 0
+                    texts, ids, rests, nulls, n = [], [], [], [], 0
         if texts:
             yield flush()
 
@@ -312,7 +313,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
         own, chunk, yes = opened(group)
         told = group[group["masks"].notna()].sort_values("slice")
         gone = chunk.covered(yes, np.concatenate([unplanes(x, np.int64) for x in told["masks"]]) if len(told) else np.zeros(0, np.int64))
-        rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(own["rest"])).read_next_batch().column("rest")
+        carried = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(own["rest"])).read_next_batch()
         raw = np.frombuffer(chunk.buffer, np.uint8)
         spans, kept, begin = [], [], 0
         for end in chunk.ends.tolist():
@@ -329,7 +330,8 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
             spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(starts, stops, strict=True)])
             kept.append(text[~out].tobytes())
             begin = end
-        columns = [pa.array(chunk.ids, mask=chunk.ids == LAST), pa.array(np.diff(chunk.ends, prepend=0)), pa.array(spans, SPANS), pa.array(kept, pa.binary()), rest]
+        none = carried.column("none").to_numpy(zero_copy_only=False)
+        columns = [pa.array(chunk.ids, mask=none), pa.array(np.diff(chunk.ends, prepend=0)), pa.array(spans, SPANS), pa.array(kept, pa.binary()), carried.column("rest")]
         return pa.record_batch(columns, names=["doc_id", "n_bytes", "removed", "kept", "rest"])
 
     return by_sorted_group(with_flags.unionByName(masks, allowMissingColumns=True), ["chunk"], cut, out_schema, grouped, arrow=True)

@@ -599,6 +599,33 @@ def test_chat_fingerprints_select(spark):
     assert {(r["layout"], len(r["turns"])) for r in chat.row_turns(table.drop("role"), "conv").collect()} == {(None, 0)}
 
 
+def test_chat_with_clashing_columns_keeps_every_text(spark, tmp_path):
+    """Columns called like fields of other layouts change no conversation, and each has one row."""
+    talk = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "r"), (None, 0, "user", "lost")]
+    plain, odd, none = (str(tmp_path / n) for n in ("plain", "odd", "none"))
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{plain}/conversations.parquet")
+    extra = [(*r, "s", "i", "p", "c", "r", "u", "o", [("human", "x")], [("user", "y")]) for r in talk]
+    spark.createDataFrame(extra, "conv_id long, turn long, role string, text string, system string, input string, prompt string, completion string, response string, "
+        "instruction string, output string, conversations array<struct<`from`: string, value: string>>, messages array<struct<role: string, content: string>>").write.parquet(f"{odd}/conversations.parquet")
+    rows = lambda d: sorted(map(str, chat.op4_chat_format(spark, d).collect()))
+    assert rows(odd) == rows(plain) and len(rows(odd)) == 4 and sum("n_turns=2" in r for r in rows(odd)) == 2
+    spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "conv_id long, message string").write.parquet(f"{none}/conversations.parquet")
+    assert sorted((r["conv_id"], r["n_turns"]) for r in chat.op4_chat_format(spark, none).collect()) == [(-1, 2), (1, 2), (2, 1)]
+    bare = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "conv_id long, message string")
+    assert sorted((r["id"], r["layout"], len(r["turns"])) for r in chat.row_turns(bare, "conv_id").collect()) == [(1, None, 0), (2, None, 0)]
+    records = [("a", '{"system": "s", "messages": [{"role": "user", "content": "q"}]}'), ("b", '{"input": "i", "turn": 0, "role": "user", "text": "t"}'),
+        ("c", '{"prompt": "p", "response": "r", "input": "i"}'), ("d", '{"prompt": "p", "completion": "c", "messages": [{"role": "user", "content": "q"}]}')]
+    got = {r["id"]: (r["layout"], [t["text"] for t in r["turns"]]) for r in chat.canonical_turns(spark.createDataFrame(records, "id string, record string")).collect()}
+    assert got == {"a": ("messages", ["q"]), "b": ("turn rows", ["t"]), "c": ("prompt and response", ["p", "r"]), "d": (None, [])}
+
+
+def test_suffix_dedup_of_the_largest_id(spark):
+    text = "x" * 30 + "".join(map(chr, range(97, 122))) * 3
+    rows = spark.createDataFrame([(5, text, None), (2**63 - 1, text, None), (None, text, None)], "doc_id long, text string, rest string")
+    got = sorted(((r["doc_id"], len(r["removed"])) for r in suffix.repeated_strings(rows).collect()), key=str)
+    assert got == [(2**63 - 1, 1), (5, 0), (None, 1)]
+
+
 def test_chat_of_an_empty_table_is_the_extra_conversation(spark, none, sf):
     assert [r["conv_id"] for r in chat.op4_chat_format(spark, none).collect()] == [-1]
 
