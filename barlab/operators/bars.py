@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -50,3 +50,12 @@ def series() -> Window:
 
 def without_halo(bars: DataFrame) -> DataFrame:
     return bars.where("not halo").drop("chunk", "halo")
+
+
+def numbered(rows: DataFrame, by: list[str], span: Column, order: list[Column | str], out: str) -> DataFrame:
+    """rows with a running number within by, in the order of (span, order): numbered within spans, which are offset by a running sum of their counts."""
+    rows = rows.withColumn("_span", span)
+    counts = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_span")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_span").orderBy(*order))
+    return rows.withColumn("_own", own).join(before, [*by, "_span"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_span", "_own", "_before")

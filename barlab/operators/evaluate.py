@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from barlab.operators.bars import numbered
 from barlab.sources.shared import written
 
 LEAKS = ("none", "label_column", "scale_on_all", "train_and_test", "target_means")
@@ -242,23 +242,14 @@ def null_fits(rows: DataFrame, columns: dict[str, list[str]], leaks: tuple[str,
     return asked.select("symbol", "fold", "part", "bar_seq", "role", "ys", *names).groupBy("symbol", "fold", "part").applyInPandas(run, STUDY)
 
 
-def _numbered(rows: DataFrame, by: list[str], span: Column, order: list[Column | str], out: str) -> DataFrame:
-    """rows with a running number within by, in the order of (span, order): numbered within spans, which are offset by a running sum of their counts."""
-    rows = rows.withColumn("_span", span)
-    counts = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_span")) - F.col("_n")).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*by, "_span").orderBy(*order))
-    return rows.withColumn("_own", own).join(before, [*by, "_span"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_span", "_own", "_before")
-
-
 def permuted(rows: DataFrame, seeds: int, spans: int = 64) -> DataFrame:
     """rows (symbol, bar_seq, y) with seed 0 to seeds - 1, y permuted over the whole symbol by each: the label of rank r by bar goes to the row of rank r by a hash of (seed, bar).
 
     Ranks are taken within spans of bars and of hashes, so that a long symbol is many tasks."""
-    labels = _numbered(rows, ["symbol"], F.floor(F.col("bar_seq") / 8192), ["bar_seq"], "r")
+    labels = numbered(rows, ["symbol"], F.floor(F.col("bar_seq") / 8192), ["bar_seq"], "r")
     every = rows.drop("y").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     mixed = F.xxhash64("seed", "bar_seq")
-    places = _numbered(every.withColumn("_hash", mixed), ["symbol", "seed"], F.floor(F.col("_hash") / (2.0**64 / spans)), ["_hash", "bar_seq"], "r").drop("_hash")
+    places = numbered(every.withColumn("_hash", mixed), ["symbol", "seed"], F.floor(F.col("_hash") / (2.0**64 / spans)), ["_hash", "bar_seq"], "r").drop("_hash")
     return places.join(labels.select("symbol", "r", "y"), ["symbol", "r"]).drop("r")
 
 
@@ -368,9 +359,9 @@ def bootstrap_mean(values: DataFrame, by: list[str], column: str, resamples: int
     kinds = dict(values.dtypes)
     named = ", ".join(f"`{b}` {kinds[b]}" for b in by)
     rows = values.where(F.col(column).isNotNull()).select(*by, F.col(order).alias("_at"), F.col(column).cast("double").alias("_v"))
-    numbered = _numbered(written(rows, "bootstrap"), by, F.floor(F.col("_at") / 65_536), ["_at", "_v"], "_r").withColumn("_r", F.col("_r") - 1)
-    sizes = written(numbered.groupBy(*by).agg(F.count("*").alias("_n")), "bootstrap-sizes")
-    packed = numbered.groupBy(*by, F.expr(f"_r div {piece_units * UNIT}").alias("_piece")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("_values"))
+    ranked = numbered(written(rows, "bootstrap"), by, F.floor(F.col("_at") / 65_536), ["_at", "_v"], "_r").withColumn("_r", F.col("_r") - 1)
+    sizes = written(ranked.groupBy(*by).agg(F.count("*").alias("_n")), "bootstrap-sizes")
+    packed = ranked.groupBy(*by, F.expr(f"_r div {piece_units * UNIT}").alias("_piece")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("_values"))
     dealt = packed.join(sizes, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *by, "_part")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from barlab.operators.bars import numbered
+
 
 def fold_geometry(bars: DataFrame, n_folds: int = 5, first_share: float = 0.5) -> DataFrame:
     """(symbol, fold, test_start, test_end): the first test window opens at first_share of the series, the rest is cut evenly."""
@@ -77,10 +79,21 @@ def hit_rates(forecasts: DataFrame, by: list[str]) -> DataFrame:
         .alias("long_share"), F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"))
 
 
-def target_means(rows: DataFrame, feature: str, label: str, bucket: int = 4) -> DataFrame:
-    """rows with leak: the mean label of each bucket of so many rows in the order of (feature, bar_seq), by symbol. A deliberate leak."""
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy(feature, "bar_seq")) - 1
-    keyed = rows.withColumn("bucket", F.floor(n / bucket))
+def target_means(rows: DataFrame, feature: str, label: str, bucket: int = 4, ranges: int = 256, tie_rows: int = 65_536) -> DataFrame:
+    """rows with leak: the mean label of each bucket of so many rows in the order of (feature, bar_seq), by symbol. A deliberate leak.
+
+    A symbol's rows are numbered within ranges of the feature, between splitters from a quantile sketch, and offset by the ranges' counts, so
+    a single symbol is many tasks. Rows that share a splitter's value are a range of their own, cut further by bar_seq. Null features come first. The
+    splitters only deal out the work: the numbers don't depend on them."""
+    cuts = rows.groupBy("symbol").agg(F.percentile_approx(F.col(feature).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("_cuts"))
+    dealt = rows.join(cuts, "symbol").withColumn("_v", F.col(feature).cast("double"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    tied = F.coalesce(F.array_contains("_cuts", F.col("_v")), F.lit(False))
+    range_of = F.when(F.col("_v").isNull(), -1).otherwise(2 * below + F.when(tied, 1).otherwise(0)).cast("long")
+    within = F.when(tied | F.col("_v").isNull(), F.floor(F.col("bar_seq") / tie_rows)).otherwise(0).cast("long")
+    dealt = dealt.withColumn("_range", range_of * F.lit(2**40) + within).drop("_cuts")
+    keyed = numbered(dealt, ["symbol"], F.col("_range"), [F.col("_v").asc_nulls_first(), "bar_seq"], "_r")
+    keyed = keyed.withColumn("bucket", F.floor((F.col("_r") - 1) / bucket)).drop("_r", "_v", "_range")
     return keyed.withColumn("leak", F.avg(label).over(Window.partitionBy("symbol", "bucket"))).drop("bucket")
 
 

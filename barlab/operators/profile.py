@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +35,60 @@ def compare_readings(hours: DataFrame, minutes: DataFrame) -> DataFrame:
     )
 
 
+def _windows(step: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of each hour's and the next hour's minutes, prices of the hour long windows that open at each step of the first: the end of the one and the beginning of the other."""
+    m = 3600 // step
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = len(batch)
+            row = np.repeat(np.arange(n), batch["bars"].map(len))
+            bars = np.array([tuple(x.values()) for own in batch["bars"] for x in own], np.float64).reshape(-1, 5)
+            order = np.lexsort((bars[:, 0], row))
+            row, bars = row[order], bars[order]
+            at = row * 2 * m + (bars[:, 0] // step).astype(np.int64)
+            # open, high, low and close of each step of both hours; the first open and the last close stay
+            o, h, l, c = np.full((4, n * 2 * m), np.nan)  # noqa: E741
+            o[at[::-1]], c[at] = bars[::-1, 1], bars[:, 4]
+            np.fmax.at(h, at, bars[:, 2])
+            np.fmin.at(l, at, bars[:, 3])
+            o, h, l, c = (x.reshape(n, 2, m) for x in (o, h, l, c))  # noqa: E741
+            ends = lambda f, x: f.accumulate(x[:, 0, ::-1], axis=1)[:, ::-1]
+            begins = lambda f, x: np.column_stack([np.full(n, np.nan), f.accumulate(x[:, 1], axis=1)[:, :-1]])
+            there, steps = ~np.isnan(o), np.arange(m)
+            # the first step from each on in this hour, the first of the next one; the last of this hour, the last before each in the next
+            on = np.minimum.accumulate(np.where(there[:, 0], steps, m)[:, ::-1], axis=1)[:, ::-1]
+            upto = np.column_stack([np.full(n, -1), np.maximum.accumulate(np.where(there[:, 1], steps, -1), axis=1)[:, :-1]])
+            first, last = np.where(there[:, 1].any(1), there[:, 1].argmax(1), m), np.where(there[:, 0].any(1), m - 1 - there[:, 0, ::-1].argmax(1), -1)
+            pick = lambda x, i: np.take_along_axis(np.column_stack([x, np.full(n, np.nan)]), np.where((i < 0) | (i >= m), m, i), 1)
+            here, after = on < m, upto >= 0
+            opens = np.where(here, pick(o[:, 0], on), np.where(after, pick(o[:, 1], np.repeat(first[:, None], m, 1)), np.nan))
+            closes = np.where(after, pick(c[:, 1], upto), np.where(here, pick(c[:, 0], np.repeat(last[:, None], m, 1)), np.nan))
+            highs, lows = (f(ends(f, x), begins(f, x)) for f, x in ((np.fmax, h), (np.fmin, l)))
+            yield pd.DataFrame({"symbol": batch["symbol"], "hour": batch["hour"]} | {f"m_{f}": list(x) for f, x in zip(FIELDS, (opens, highs, lows, closes), strict=True)})
+
+    return run
+
+
 def scan_offsets(hours: DataFrame, minutes: DataFrame, step: int = 60, span: int = 7200) -> DataFrame:
-    """(shift, matches, tested): hours equal to minutes of [t + shift, t + shift + 3600), for each shift."""
-    shifted = minutes.withColumn("shift", F.explode(F.sequence(F.lit(-span).cast("long"), F.lit(span).cast("long"), F.lit(step).cast("long"))))
-    key = (F.floor((F.col("time") - F.col("shift")) / 3600) * 3600).cast("long")
-    rolled = shifted.groupBy("symbol", "shift", key.alias("hour")).agg(F.min_by("open", "time").alias("m_open"), F.max("high").alias("m_high"),
-        F.min("low").alias("m_low"), F.max_by("close", "time").alias("m_close")).withColumnRenamed("hour", "time")
-    whole = None
-    for c in FIELDS:
-        whole = (F.col(c) == F.col(f"m_{c}")) if whole is None else whole & (F.col(c) == F.col(f"m_{c}"))
-    return rolled.join(hours.select("symbol", "time", *FIELDS), ["symbol", "time"], "left").groupBy("shift").agg(F.count_if(whole).alias("matches"),
-        F.count("open").alias("tested"))
+    """(shift, matches, tested): hours equal to minutes of [t + shift, t + shift + 3600), for each shift by step (which divides 3600) up to span.
+
+    Every such window is the end of one clock hour and the beginning of the next, so a minute goes to two hours, whatever the
+    number of shifts; in an hour, running extrema from both sides give all windows at once. tested: windows with any minute."""
+    late = F.explode(F.array(F.lit(0).cast("long"), F.lit(3600).cast("long"))).alias("late")
+    keyed = minutes.select("symbol", "time", *FIELDS, late).withColumn("hour", (F.floor((F.col("time") - F.col("late")) / 3600) * 3600).cast("long"))
+    numbers = [F.col(c).cast("double").alias(c) for c in FIELDS]
+    packed = keyed.groupBy("symbol", "hour").agg(F.collect_list(F.struct((F.col("time") - F.col("hour")).cast("double").alias("at"), *numbers)).alias("bars"))
+    windows = packed.mapInPandas(_windows(step), "symbol string, hour long, " + ", ".join(f"m_{c} array<double>" for c in FIELDS))
+    whole = F.explode(F.array(*[F.lit(k).cast("long") for k in range(-(-span // 3600) * -3600, span + 1, 3600)])).alias("hours_on")
+    asked = hours.select("symbol", "time", *FIELDS, whole).withColumn("hour", F.col("time") + F.col("hours_on"))
+    there = lambda r: F.col("m_open")[r].isNotNull() & ~F.isnan(F.col("m_open")[r])
+    same = lambda r: reduce(and_, [F.col(c) == F.col(f"m_{c}")[r] for c in FIELDS])
+    sums = [F.struct(F.lit(r * step).alias("on"), F.count_if(there(r) & same(r)).alias("matches"), F.count_if(there(r)).alias("tested")) for r in range(3600 // step)]
+    scan = asked.join(windows, ["symbol", "hour"]).groupBy("hours_on").agg(F.array(*sums).alias("s")).select("hours_on", F.inline("s"))
+    scan = scan.select((F.col("hours_on") + F.col("on")).alias("shift"), "matches", "tested")
+    every = hours.sparkSession.range(-(span // step), span // step + 1).select((F.col("id") * step).alias("shift"))
+    return every.join(scan, "shift", "left").select("shift", F.coalesce("matches", F.lit(0).cast("long")).alias("matches"), F.coalesce("tested", F.lit(0).cast("long")).alias("tested"))
 
 
 def upper_median(values: Column) -> Column:

@@ -54,21 +54,17 @@ def _deals(spark, d):
 
 
 def position_sizes(spark, d):
-    """Positions that have an account and terms, as the SQL has it; position_sizes_all keeps the others too."""
-    return _sizes(spark, d, "inner")
-
-
-def position_sizes_all(spark, d):
     """Every open position: one without account or terms has a refusal."""
-    return _sizes(spark, d, "left")
-
-
-def _sizes(spark, d, how):
-    rows = _positions(spark, d).join(_accounts(spark, d).select("account", "equity"), "account", how).join(_terms(spark), "symbol", how)
+    rows = _positions(spark, d).join(_accounts(spark, d).select("account", "equity"), "account", "left").join(_terms(spark), "symbol", "left")
     rows = rows.withColumn("atr_points", (F.col("ticket") % 50) * 10.0).withColumn("price", F.col("price_open"))
     return _rounded(ac.size_positions(rows).select("ticket", "lots", "adverse_points", "stop_long", "stop_short", "refusal"))
 
 
+def position_sizes_all(spark, d):
+    """position_sizes under the name that it had when position_sizes kept fewer."""
+    return position_sizes(spark, d)
+
+
 def _carries(spark, d):
     return ac.position_carry(_with_equity(spark, d), _terms(spark), NOW, OFFSET)
 
@@ -307,7 +303,7 @@ WHEN NOT (nights >= 5 AND range >= 0.03 / unit * mean_price AND reversals >= 2)
 'PRICE_DEPENDENT' WHEN cv_rate > 3 * cv_charge THEN 'FIXED_RATE' ELSE 'UNDETERMINED' END AS verdict FROM g""",
 }
 # its own SQL, with left joins and their two codes
-SQL["position_sizes_all"] = (
+SQL["position_sizes"] = SQL["position_sizes_all"] = (
     SQL["position_sizes"].replace("JOIN accounts a USING (account) JOIN terms t USING (symbol)", "LEFT JOIN accounts a USING (account) LEFT JOIN terms t USING (symbol)")
     .replace("WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step",
         "WHEN point IS NULL THEN 'SYMBOL_TERMS_MISSING' WHEN pv IS NULL THEN 'NO_POINT_VALUE' WHEN volume_step")

@@ -153,18 +153,16 @@ def minute_readings(spark, d):
 
 
 def offset_scan(spark, d):
+    """All 241 shifts by whole minutes."""
     t = ticks(spark, d)
     from barlab.operators.profile import scan_offsets
 
-    return scan_offsets(tick_bars(t, 3600), tick_bars(t, 60), 600, 7200)
+    return scan_offsets(tick_bars(t, 3600), tick_bars(t, 60))
 
 
 def offset_scan_minutes(spark, d):
-    """All 241 shifts by whole minutes; offset_scan has every tenth, as its SQL."""
-    t = ticks(spark, d)
-    from barlab.operators.profile import scan_offsets
-
-    return scan_offsets(tick_bars(t, 3600), tick_bars(t, 60))
+    """offset_scan under the name that it had when offset_scan tried fewer shifts."""
+    return offset_scan(spark, d)
 
 
 QUERIES = {f.__name__: f for f in (bars_h1, gaps, gap_census, break_ledger, bar_validity, window_validity, returns, range_features, atr,
@@ -257,8 +255,8 @@ rolled AS (SELECT symbol, reading, hour AS time, first(open ORDER BY time) AS o,
 j AS (SELECT r.*, b.open = r.o AS mo, b.high = r.h AS mh, b.low = r.l AS ml, b.close = r.c AS mc, x.reading AS want FROM hours b CROSS JOIN (VALUES ('left'), ('right')) x(reading) LEFT JOIN rolled r ON r.symbol = b.symbol AND r.time = b.time AND r.reading = x.reading)
 SELECT want AS reading, count(*) AS tested, CAST(count(*) FILTER (o IS NULL) AS BIGINT) AS empty, CAST(count(*) FILTER (mo AND mh AND ml AND mc) AS BIGINT) AS matches, CAST(count(*) FILTER (mo) AS BIGINT) AS open_matches, CAST(count(*) FILTER (mh) AS BIGINT) AS high_matches, CAST(count(*) FILTER (ml) AS BIGINT) AS low_matches, CAST(count(*) FILTER (mc) AS BIGINT) AS close_matches FROM j GROUP BY want""",
     "offset_scan": f"""WITH {q.TICKS}, {q.tick_bars(3600, out='hours')}, {q.tick_bars(60, out='minutes')},
-shifts AS (SELECT CAST(k AS BIGINT) AS shift FROM range(-7200, 7201, 600) t(k)),
+shifts AS (SELECT CAST(k AS BIGINT) AS shift FROM range(-7200, 7201, 60) t(k)),
 rolled AS (SELECT symbol, shift, ((time - shift) // 3600) * 3600 AS time, first(open ORDER BY time) AS o, max(high) AS h, min(low) AS l, last(close ORDER BY time) AS c FROM (SELECT s.shift, m.* FROM minutes m, shifts s) GROUP BY 1, 2, 3)
 SELECT s.shift, CAST(count(*) FILTER (b.open = r.o AND b.high = r.h AND b.low = r.l AND b.close = r.c) AS BIGINT) AS matches, count(b.time) AS tested FROM shifts s LEFT JOIN rolled r ON r.shift = s.shift LEFT JOIN hours b ON b.symbol = r.symbol AND b.time = r.time GROUP BY s.shift""",
 }
-SQL["offset_scan_minutes"] = SQL["offset_scan"].replace("range(-7200, 7201, 600)", "range(-7200, 7201, 60)")
+SQL["offset_scan_minutes"] = SQL["offset_scan"]

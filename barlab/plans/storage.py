@@ -63,9 +63,9 @@ def sent_alerts(spark, d):
 
 QUERIES = {f.__name__: f for f in (table_digest, snapshot_summary, invariants, duplicate_keys, streamed_bars, sent_alerts)}
 SQL = {
-    "table_digest": """WITH l AS (SELECT event_type, event_id, event_id // 1000 AS chunk, sha256(CAST(to_json({event_id: event_id, user_id: user_id, event_type: event_type, props: props}) AS VARCHAR)) AS h FROM events),
-c AS (SELECT event_type, chunk, count(*) AS n, sha256(string_agg(h, '' ORDER BY event_id)) AS x FROM l GROUP BY ALL)
-SELECT event_type, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(x, '' ORDER BY chunk)) AS digest FROM c GROUP BY event_type""",
+    "table_digest": """WITH l0 AS (SELECT event_type, event_id AS pos, 1 AS n, sha256(CAST(to_json({event_id: event_id, user_id: user_id, event_type: event_type, props: props}) AS VARCHAR)) AS d FROM events),
+""" + ",\n".join(f"l{k} AS (SELECT event_type, pos // 1000 AS pos, sum(n) AS n, sha256(string_agg(d, '' ORDER BY l{k - 1}.pos)) AS d FROM l{k - 1} GROUP BY event_type, l{k - 1}.pos // 1000)" for k in range(1, 7)) + """
+SELECT event_type, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY pos)) AS digest FROM l6 GROUP BY event_type""",
     "snapshot_summary": f"""WITH {q.VALID}, w AS (SELECT *, {q.whole(0, 24)} AS lv FROM checked) SELECT symbol, count(*) AS rows, CAST(count(*) FILTER
 ({q.day('time')} >= DATE '2015-09-11') AS BIGINT) AS in_window, CAST(count(*) FILTER (valid) AS BIGINT) AS valid, CAST(count(*) FILTER (lv) AS BIGINT)
 AS label_valid, min(time) AS first_bar, max(time) AS last_bar, max(time) // 86400 - 1 AS window_end FROM w GROUP BY symbol""",

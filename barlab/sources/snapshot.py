@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 INVARIANTS = ("weekly_close", "release_hour", "volume_peak", "daily_break")
 
 
-def table_digest(rows: DataFrame, by: str, seq: str, columns: list[str], chunk: int = 1000) -> DataFrame:
-    """(by, rows, digest): a hash of the values alone, whatever the files look like. Rows are hashed one by one, each run of chunk numbers into one digest, and those into the group's."""
+def table_digest(rows: DataFrame, by: str, seq: str, columns: list[str], fan: int = 1000, levels: int = 6) -> DataFrame:
+    """(by, rows, digest): a hash of the values alone, whatever the files look like.
+
+    A tree of digests: rows are hashed one by one, each run of fan numbers of seq into one digest, each run of fan of those into one,
+    and so on for levels levels; fan ** levels covers any long but for ten runs at the top. No row holds more than fan digests, however large a group is."""
     # a row's JSON tells nulls from empty strings and columns from one another
     line = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    chunks = rows.groupBy(by, F.floor(F.col(seq) / chunk).alias("chunk")).agg(F.count("*").alias("n"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq, line.alias("h")))), lambda x: x["h"]), ""), 256).alias("d"))
-    return chunks.groupBy(by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "d"))),
-        lambda x: x["d"]), ""), 256).alias("digest"))
+    node = rows.select(by, F.col(seq).cast("long").alias("at"), F.lit(1).cast("long").alias("n"), line.alias("d"))
+    inner = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "")
+    for _ in range(levels):
+        node = node.groupBy(by, F.floor(F.col("at") / fan).alias("up")).agg(F.sum("n").alias("n"), F.sha2(inner, 256).alias("d")).withColumnRenamed("up", "at")
+    return node.groupBy(by).agg(F.sum("n").alias("rows"), F.sha2(inner, 256).alias("digest"))
 
 
 def summary(bars: DataFrame) -> DataFrame:
