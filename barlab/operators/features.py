@@ -28,6 +28,10 @@ def _positive(c: str) -> Column:
     return F.when(F.col(c) > 0, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must be positive")))
 
 
+def _not_negative(c: str) -> Column:
+    return F.when(F.col(c) < 0, F.raise_error(F.lit(f"{c} must not be negative"))).otherwise(F.col(c))
+
+
 def _filled(value: Column, w: WindowSpec, n: int, over: Column) -> Column:
     """value where its frame has n rows with a value."""
     return F.when(F.count(over).over(w.rowsBetween(-(n - 1), 0)) == n, value)
@@ -73,7 +77,7 @@ def drawdown_from_max(n: int) -> FeatureSpec:
 
 def volume_weighted_return(n: int) -> FeatureSpec:
     def expr(w: WindowSpec) -> Column:
-        total = F.sum("tick_volume").over(w.rowsBetween(-(n - 1), 0))
+        total = F.sum(_not_negative("tick_volume")).over(w.rowsBetween(-(n - 1), 0))
         return F.when(total > 0, log_return(n).expr(w) / total)
 
     return FeatureSpec(f"volume_weighted_return_{n}", n + 1, expr)

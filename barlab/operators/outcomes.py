@@ -120,29 +120,52 @@ def crossover_arm(bars: DataFrame, decisions: DataFrame, fast: int = 8, slow: in
     return decisions.join(means.select("symbol", "bar_seq", "sign"), ["symbol", "bar_seq"]).withColumn("arm", F.lit("crossover"))
 
 
-def run_arms(arms: DataFrame, outcomes: DataFrame, variant_names: list[str]) -> DataFrame:
+def refused_decisions(decisions: DataFrame, bars: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """(symbol, bar_seq, refusal) of decisions (symbol, bar_seq, atr) that can't be run: NO_RANGE without a positive range, WINDOW_PAST_SERIES where
+    the bars end before the last possible exit, BARS_MISSING where there are too few within the window. Neither direction nor costs change that."""
+    last = bars.groupBy("symbol").agg(F.max("bar_seq").alias("_last"))
+    ahead = decisions.where("atr > 0").select("symbol", "bar_seq", F.explode(F.sequence(F.lit(1), F.lit(risk.hold + 1))).alias("_k")).withColumn("_at", F.col("bar_seq") + F.col("_k"))
+    found = ahead.join(bars.select("symbol", F.col("bar_seq").alias("_at")), ["symbol", "_at"]).groupBy("symbol", "bar_seq").agg(F.count("*").alias("_found"))
+    rows = decisions.select("symbol", "bar_seq", "atr").join(last, "symbol", "left").join(found, ["symbol", "bar_seq"], "left")
+    past = F.coalesce(F.col("bar_seq") + risk.hold + 1 > F.col("_last"), F.lit(True))
+    code = F.when(~F.coalesce(F.col("atr") > 0, F.lit(False)), "NO_RANGE").when(past, "WINDOW_PAST_SERIES").when(F.coalesce("_found", F.lit(0)) != risk.hold + 1, "BARS_MISSING")
+    return rows.select("symbol", "bar_seq", code.alias("refusal")).where("refusal is not null")
+
+
+def run_arms(arms: DataFrame, outcomes: DataFrame, variant_names: list[str], refusals: DataFrame | None = None) -> DataFrame:
     """arms (symbol, bar_seq, arm, sign) with each decision's outcome in each variant; a flat one has r 0 and no trade.
 
-    Outcomes are worked out once for each direction, so any number of arms costs one join. A decision
-    without an outcome stays, with a null r."""
+    Outcomes are worked out once for each direction, so any number of arms costs one join. A refused
+    decision (refused_decisions) stays in every arm, flat or not, with its code and a null r. One that has neither outcome nor code is
+    NO_OUTCOME."""
     asked = arms.select("symbol", "bar_seq", "arm", "sign").withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variant_names])))
-    return asked.join(outcomes, ["symbol", "bar_seq", "sign", "variant"], "left").withColumn("r", F.when(F.col("sign") == 0, 0.0).otherwise(F.col("r")))
+    runs = asked.join(outcomes, ["symbol", "bar_seq", "sign", "variant"], "left")
+    runs = runs.withColumn("refusal", F.lit(None).cast("string")) if refusals is None else runs.join(refusals.select("symbol", "bar_seq", "refusal"), ["symbol", "bar_seq"], "left")
+    r = F.when(F.col("refusal").isNull(), F.when(F.col("sign") == 0, 0.0).otherwise(F.col("r")))
+    return runs.withColumn("r", r).withColumn("refusal", F.when(F.col("r").isNull(), F.coalesce("refusal", F.lit("NO_OUTCOME"))))
 
 
 def arm_summary(runs: DataFrame, money: float = 100.0) -> DataFrame:
-    """Per arm and variant: decisions, mean r over all of them, exits and directions by kind, each cost in r."""
-    n = F.count("*")
+    """Per arm and variant: decisions offered and refused; mean r and each cost in r over those that were run, flat ones included; exits and directions by kind, of those that were run."""
+    n = F.count("r")
     cost = [(F.sum(F.coalesce(F.col(c) * F.col("lots") * POINT_VALUE_PER_LOT / money, F.lit(0.0))) / n).alias(f"{c}_r") for c in COMPONENTS]
-    return runs.groupBy("arm", "variant").agg(n.alias("decisions"), F.avg("r").alias("mean_r"),
-        *[F.count_if(F.col("reason") == x).alias(x) for x in ("stop", "target", "time")], F.count_if(F.col("sign") > 0).alias("longs"),
-            F.count_if(F.col("sign") < 0).alias("shorts"), F.count_if(F.col("sign") == 0).alias("flats"), *cost)
+    run = F.col("refusal").isNull()
+    return runs.groupBy("arm", "variant").agg(F.count("*").alias("decisions"), F.count("refusal").alias("refused"), F.avg("r").alias("mean_r"),
+        *[F.count_if(run & (F.col("reason") == x)).alias(x) for x in ("stop", "target", "time")], F.count_if(run & (F.col("sign") > 0)).alias("longs"),
+            F.count_if(run & (F.col("sign") < 0)).alias("shorts"), F.count_if(run & (F.col("sign") == 0)).alias("flats"), *cost)
 
 
 def paired_difference(runs: DataFrame, signal: str = "signal") -> DataFrame:
-    """Per decision and variant: the signal's r less the mean of the other arms'."""
+    """Per decision and variant: the signal's r less the mean of the other arms'; null where the decision was refused.
+
+    Arms must have the same decisions, each once: a decision that an arm lacks, or has twice, or that is run in one arm and refused in another, is an error."""
     is_signal = F.col("arm") == signal
-    return runs.groupBy("symbol", "bar_seq", "variant").agg(F.max(F.when(is_signal, F.col("r"))).alias("signal_r"),
-        F.avg(F.when(~is_signal, F.col("r"))).alias("control_r"), F.count("*").alias("arms")).withColumn("difference", F.col("signal_r") - F.col("control_r"))
+    arms = runs.select("arm").distinct().count()
+    g = runs.groupBy("symbol", "bar_seq", "variant").agg(F.max(F.when(is_signal, F.col("r"))).alias("signal_r"), F.avg(F.when(~is_signal, F.col("r"))).alias("control_r"),
+        F.count("*").alias("arms"), F.count_distinct("arm").alias("_own"), F.count("r").alias("_run"))
+    equal = (F.col("arms") == arms) & (F.col("_own") == arms) & F.col("_run").isin(0, arms)
+    unequal = F.raise_error(F.concat(F.lit(f"ARMS_UNEQUAL: of {arms} arms "), F.col("_own").cast("string"), F.lit(" have the decision, "), F.col("_run").cast("string"), F.lit(" ran it, at "), "symbol", F.lit(" "), F.col("bar_seq").cast("string")))
+    return g.withColumn("difference", F.when(equal, F.col("signal_r") - F.col("control_r")).otherwise(unequal)).drop("_own", "_run")
 
 
 def cost_invariance(summary: DataFrame, signal: str = "signal", tolerance: float = 0.1) -> DataFrame:

@@ -31,7 +31,8 @@ def _decisions(b):
 def _outcomes(spark, d, models):
     b = written(_bars(spark, d), "arm-bars")
     asked = written(_decisions(b), "decisions")
-    return asked, ou.barrier_outcomes(asked.drop("p"), ou.point_bars(b), costs.variants(spark, models))
+    points = ou.point_bars(b)
+    return asked, ou.barrier_outcomes(asked.drop("p"), points, costs.variants(spark, models)), ou.refused_decisions(asked, points)
 
 
 def spread_multipliers(spark, d):
@@ -50,12 +51,9 @@ def barrier_outcomes(spark, d):
 
 
 def _runs(spark, d, models=BASE):
-    asked, out = _outcomes(spark, d, models)
-    out = written(out, "outcomes")
-    done = out.where("variant = 'base' and sign = 1").select("symbol", "bar_seq")
-    asked = asked.join(done, ["symbol", "bar_seq"], "left_semi")
+    asked, out, refused = _outcomes(spark, d, models)
     arms = ou.signal_arm(asked).unionByName(ou.long_arm(asked))
-    return ou.run_arms(arms, out, [*models])
+    return ou.run_arms(arms, written(out, "outcomes"), [*models], refused)
 
 
 def arm_summary(spark, d):
@@ -72,10 +70,14 @@ def cost_invariance(spark, d):
 
 def random_arm_summary(spark, d):
     """Thirty random arms over the same decisions, in one job."""
-    asked, out = _outcomes(spark, d, {"base": costs.CostModel()})
-    out = written(out, "outcomes")
-    asked = asked.join(out.where("sign = 1").select("symbol", "bar_seq"), ["symbol", "bar_seq"], "left_semi")
-    return ou.arm_summary(ou.run_arms(ou.random_arms(asked), out, ["base"]))
+    asked, out, refused = _outcomes(spark, d, {"base": costs.CostModel()})
+    return ou.arm_summary(ou.run_arms(ou.random_arms(asked), written(out, "outcomes"), ["base"], refused))
+
+
+def refused_decisions(spark, d):
+    """The decisions that can't be run and why, over all bars as decisions."""
+    b = written(_bars(spark, d), "arm-bars")
+    return ou.refused_decisions(b.select("symbol", "bar_seq", (F.col("atr") * 100.0).alias("atr")), ou.point_bars(b))
 
 
 def crossover_arm(spark, d):
@@ -118,7 +120,7 @@ def decision_log(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (spread_multipliers, multiplier_coverage, barrier_outcomes, arm_summary, paired_difference, cost_invariance,
-    random_arm_summary, crossover_arm, breakeven_sweep, breakeven, decision_log)}
+    random_arm_summary, refused_decisions, crossover_arm, breakeven_sweep, breakeven, decision_log)}
 _MODELS = {k: costs.asdict(v) for k, v in BASE.items()}
 
 
@@ -148,15 +150,15 @@ costed AS (SELECT *, price + sign * half AS exit_mid, entry_half + half AS sprea
   CASE WHEN utc <= entry_utc THEN 0 ELSE {NIGHT('utc')} - {NIGHT('entry_utc')} END AS nights, CASE WHEN reason = 'stop' THEN sign * (stop - price) ELSE 0 END AS gap_through FROM filled),
 swapped AS (SELECT *, CASE WHEN sign > 0 THEN sl ELSE ss END * nights * lots AS swap, sign * (exit_mid - entry) AS gross FROM costed),
 outcomes AS (SELECT *, gross - spread - slippage - latency - commission - swap AS net, (gross - spread - slippage - latency - commission - swap) * lots / 100.0 AS r FROM swapped),
-asked AS (SELECT d.* FROM decisions d JOIN (SELECT DISTINCT symbol, bar_seq FROM complete) USING (symbol, bar_seq)),
-arms AS (SELECT symbol, bar_seq, 'signal' AS arm, CASE WHEN p > 0.5 THEN 1 WHEN p < 0.5 THEN -1 ELSE 0 END AS sign FROM asked UNION ALL SELECT symbol, bar_seq, 'always_long', 1 FROM asked),
-runs AS (SELECT a.symbol, a.bar_seq, a.arm, a.sign, v.variant, o.reason, o.lots, o.spread, o.slippage, o.latency, o.commission, o.swap, CASE WHEN a.sign = 0 THEN 0 ELSE o.r END AS r FROM arms a CROSS JOIN variants v LEFT JOIN outcomes o ON o.symbol = a.symbol AND o.bar_seq = a.bar_seq AND o.sign = a.sign AND o.variant = v.variant),
+asked AS (SELECT d.*, c.symbol IS NULL AS refused FROM decisions d LEFT JOIN (SELECT DISTINCT symbol, bar_seq FROM complete) c ON c.symbol = d.symbol AND c.bar_seq = d.bar_seq),
+arms AS (SELECT symbol, bar_seq, refused, 'signal' AS arm, CASE WHEN p > 0.5 THEN 1 WHEN p < 0.5 THEN -1 ELSE 0 END AS sign FROM asked UNION ALL SELECT symbol, bar_seq, refused, 'always_long', 1 FROM asked),
+runs AS (SELECT a.symbol, a.bar_seq, a.arm, a.sign, a.refused, v.variant, o.reason, o.lots, o.spread, o.slippage, o.latency, o.commission, o.swap, CASE WHEN a.refused THEN NULL WHEN a.sign = 0 THEN 0 ELSE o.r END AS r FROM arms a CROSS JOIN variants v LEFT JOIN outcomes o ON o.symbol = a.symbol AND o.bar_seq = a.bar_seq AND o.sign = a.sign AND o.variant = v.variant),
 paired AS (SELECT symbol, bar_seq, variant, max(r) FILTER (arm = 'signal') AS signal_r, avg(r) FILTER (arm <> 'signal') AS control_r, count(*) AS arms FROM runs GROUP BY ALL),
-summary AS (SELECT arm, variant, count(*) AS decisions, avg(r) AS mean_r, count(*) FILTER (reason = 'stop') AS stop, count(*) FILTER (reason = 'target') AS target, count(*) FILTER (reason = 'time') AS time, count(*) FILTER (sign > 0) AS longs, count(*) FILTER (sign < 0) AS shorts, count(*) FILTER (sign = 0) AS flats, {', '.join(f'sum(coalesce({c} * lots / 100.0, 0)) / count(*) AS {c}_r' for c in ou.COMPONENTS)} FROM runs GROUP BY arm, variant)"""
+summary AS (SELECT arm, variant, count(*) AS decisions, count(*) FILTER (refused) AS refused, avg(r) AS mean_r, count(*) FILTER (reason = 'stop') AS stop, count(*) FILTER (reason = 'target') AS target, count(*) FILTER (reason = 'time') AS time, count(*) FILTER (sign > 0 AND NOT refused) AS longs, count(*) FILTER (sign < 0 AND NOT refused) AS shorts, count(*) FILTER (sign = 0 AND NOT refused) AS flats, {', '.join(f'sum(coalesce({c} * lots / 100.0, 0)) / count(*) FILTER (NOT refused) AS {c}_r' for c in ou.COMPONENTS)} FROM runs GROUP BY arm, variant)"""
 
 
 _two, _grid = _sql(BASE), _sql({"base": costs.CostModel()} | {f"floor_{f:g}": costs.CostModel().at_floor(f, sweep=True) for f in GRID})
-_all = ["decisions", "stop", "target", "time", "longs", "shorts", "flats"]
+_all = ["decisions", "refused", "stop", "target", "time", "longs", "shorts", "flats"]
 _total = " + ".join(f"{c}_r" for c in ou.COMPONENTS)
 SQL = {
     "spread_multipliers": f"WITH RECURSIVE {_two} SELECT symbol, bar_seq, CAST(multiplier AS DOUBLE) AS multiplier FROM multiplied",
@@ -175,6 +177,8 @@ AS cost_gap, avg(mean_r) FILTER (arm = 'signal') - avg(mean_r) FILTER (arm <> 's
 avg(commission_r) FILTER (arm <> 'signal') AS cg FROM summary GROUP BY variant) SELECT variant, round(CAST(cost_gap AS DOUBLE), 5) AS cost_gap,
 round(CAST(effect AS DOUBLE), 5) AS effect, round(CAST(abs(cost_gap) / abs(effect) AS DOUBLE), 5) AS share, CASE WHEN abs(cg) > 1e-12 THEN 'void' WHEN
 abs(cost_gap) / abs(effect) <= 0.1 THEN 'invariant' ELSE 'void' END AS verdict FROM g""",
+    "refused_decisions": f"""WITH RECURSIVE {_two} SELECT m.symbol, m.bar_seq, CASE WHEN m.atr > 0 THEN 'WINDOW_PAST_SERIES' ELSE 'NO_RANGE' END AS refusal
+FROM multiplied m JOIN (SELECT symbol, max(bar_seq) AS final FROM multiplied GROUP BY symbol) l USING (symbol) WHERE m.atr IS NULL OR m.atr <= 0 OR m.bar_seq + 25 > l.final""",
     "crossover_arm": f"""WITH {q.BARS}, m AS (SELECT symbol, bar_seq, CASE WHEN {q.trailing('avg(close)', 8)} > {q.trailing('avg(close)', 32)} THEN 1
 ELSE -1 END AS sign FROM bars) SELECT * FROM m WHERE bar_seq % 24 = 0""",
     "breakeven_sweep": f"""WITH RECURSIVE {_grid} SELECT variant, round(CAST(avg(signal_r - control_r) AS DOUBLE), 5) AS difference,
