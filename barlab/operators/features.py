@@ -117,19 +117,14 @@ def rolling_median(bars: DataFrame, column: str, n: int, out: str, size: int = 4
     return halo.groupBy("symbol", "chunk").applyInPandas(run, schema).drop("chunk", "halo")
 
 
-def wilder_atr(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame:
-    """bars with atr: mean of the first period true ranges at row period, then (atr * (period - 1) + range) / period.
+def _true_range() -> Column:
+    before = F.lag("close").over(series())
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
-    The recursion is affine, so it runs as a block scan: each chunk from zero, the chunks' ends one row
-    each in order, and last the carried value times its power, as a Column."""
+
+def _recursion(period: int, by: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """local: the recursion over a chunk's ranges in order, from zero."""
     keep = (period - 1) / period
-    w = series()
-    before = F.lag("close").over(w)
-    ranged = without_halo(with_halo(bars, back=1, size=size)
-        .withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))))
-    seeds = ranged.where(F.col("bar_seq").between(1, period)).groupBy("symbol").agg(F.avg("tr").alias("seed"), F.count("tr")
-        .alias("n")).where(F.col("n") == period).drop("n")
-    later = ranged.where(F.col("bar_seq") > period).withColumn("at", F.col("bar_seq") - period - 1).withColumn("chunk", F.floor(F.col("at") / size))
 
     def local(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values("at")
@@ -137,9 +132,20 @@ def wilder_atr(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame
         for x in chunk["tr"].to_numpy():
             y = keep * y + x / period
             out.append(y)
-        return chunk.assign(local=out)[["symbol", "bar_seq", "at", "chunk", "local"]]
+        return chunk.assign(local=out)[[*by, "bar_seq", "at", "chunk", "local"]]
+
+    return local
 
-    parts = later.select("symbol", "bar_seq", "at", "chunk", "tr").groupBy("symbol", "chunk").applyInPandas(local,
+
+def _wilder(bars: DataFrame, period: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(bars with tr, the chunks' local values, the value carried into each chunk, the seeds)."""
+    keep = (period - 1) / period
+    ranged = without_halo(with_halo(bars, back=1, size=size).withColumn("tr", _true_range()))
+    opening = ranged.where(F.col("bar_seq").between(1, period)).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bar_seq", "tr"))).alias("t"))
+    # added up in the order of the bars, so that the same bars give the same bits
+    seeds = opening.where(F.size(F.filter("t", lambda x: x["tr"].isNotNull())) == period).select("symbol", (F.aggregate("t", F.lit(0.0), lambda s, x: s + x["tr"]) / period).alias("seed"))
+    later = ranged.where(F.col("bar_seq") > period).withColumn("at", F.col("bar_seq") - period - 1).withColumn("chunk", F.floor(F.col("at") / size))
+    parts = later.select("symbol", "bar_seq", "at", "chunk", "tr").groupBy("symbol", "chunk").applyInPandas(_recursion(period, ["symbol"]),
         "symbol string, bar_seq long, at long, chunk long, local double")
     ends = parts.groupBy("symbol", "chunk").agg(F.max_by("local", "at").alias("tail"), F.count("*").alias("n")).join(seeds, "symbol")
 
@@ -151,9 +157,20 @@ def wilder_atr(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame
             carry = tail + keep**n * carry
         return rows.assign(carry=out)[["symbol", "chunk", "carry"]]
 
-    carries = ends.groupBy("symbol").applyInPandas(carried, "symbol string, chunk long, carry double")
-    done = parts.join(carries, ["symbol", "chunk"]).select("symbol", "bar_seq",
-        (F.col("local") + F.pow(F.lit(keep), F.col("at") % size + 1) * F.col("carry")).alias("atr"))
+    return ranged, parts, ends.groupBy("symbol").applyInPandas(carried, "symbol string, chunk long, carry double"), seeds
+
+
+def _with_carry(period: int, size: int) -> Column:
+    return F.col("local") + F.pow(F.lit((period - 1) / period), F.col("at") % size + 1) * F.col("carry")
+
+
+def wilder_atr(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame:
+    """bars with atr: mean of the first period true ranges at row period, then (atr * (period - 1) + range) / period.
+
+    The recursion is affine, so it runs as a block scan: each chunk from zero, the chunks' ends one row
+    each in order, and last the carried value times its power, as a Column."""
+    ranged, parts, carries, seeds = _wilder(bars, period, size)
+    done = parts.join(carries, ["symbol", "chunk"]).select("symbol", "bar_seq", _with_carry(period, size).alias("atr"))
     first = seeds.select("symbol", F.lit(period).cast("long").alias("bar_seq"), F.col("seed").alias("atr"))
     return ranged.join(done.unionByName(first), ["symbol", "bar_seq"], "left").drop("tr")
 
@@ -205,19 +222,46 @@ def polynomial_expand(df: DataFrame, columns: list[str], degree: int, diagonal_o
     return df.withColumns(out)
 
 
+def _cuts(bars: DataFrame, cuts: int) -> DataFrame:
+    """(symbol, cut): so many evenly spaced rows of each symbol, all of a shorter one."""
+    size = bars.groupBy("symbol").agg(F.max("bar_seq").alias("last"))
+    return size.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))).alias("k"), "last").select("symbol",
+        F.floor(F.col("k") * F.col("last") / cuts).cast("long").alias("cut")).distinct()
+
+
+def _same_bits(a: str, b: str) -> Column:
+    """Whether two doubles are the same to the bit, null and NaN like themselves: each double has a text of its own, and so has -0.0."""
+    return F.col(a).cast("string").eqNullSafe(F.col(b).cast("string"))
+
+
 def causality_audit(bars: DataFrame, specs: list[FeatureSpec], cuts: int = 200) -> DataFrame:
     """(symbol, cut, feature, same): each feature at a cut, computed from the history up to the cut plus its lag
-    alone, against its value on the whole series. At least so many cuts a symbol, evenly spaced."""
+    alone, against its value on the whole series, to the bit. At least so many cuts a symbol, evenly spaced."""
     full = with_features(bars, specs)
     deep, lag = max(s.lookback + s.lag for s in specs) + 1, max(s.lag for s in specs)
-    size = bars.groupBy("symbol").agg(F.max("bar_seq").alias("last"))
-    chosen = size.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))).alias("k"), "last").select("symbol",
-        F.floor(F.col("k") * F.col("last") / cuts).cast("long").alias("cut")).distinct()
-    needed = chosen.select("symbol", "cut", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("cut") - deep), F.col("cut") + lag)).alias("bar_seq"))
+    needed = _cuts(bars, cuts).select("symbol", "cut", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("cut") - deep), F.col("cut") + lag)).alias("bar_seq"))
     history = bars.join(needed, ["symbol", "bar_seq"]).withColumn("chunk", F.col("cut")).withColumn("step", F.ln(F.col("close") / F.lag("close").over(series())))
     again = history.withColumns({f"{s.name}_cut": s.expr(series()) for s in specs}).where("bar_seq = cut").select("symbol", "bar_seq", *[f"{s.name}_cut" for s in specs])
     both = again.join(full, ["symbol", "bar_seq"])
-    same = lambda s: F.col(s.name).eqNullSafe(F.col(f"{s.name}_cut")) | (F.abs(F.col(s.name) - F.col(f"{s.name}_cut")) <= 1e-12 * F.greatest(F.lit(1.0), F.abs(s.name)))
     return both.select("symbol", F.col("bar_seq").alias("cut"),
-        F.explode(F.array(*[F.struct(F.lit(s.name).alias("feature"), F.coalesce(same(s), F.lit(False)).alias("same")) for s in specs]))
+        F.explode(F.array(*[F.struct(F.lit(s.name).alias("feature"), _same_bits(s.name, f"{s.name}_cut").alias("same")) for s in specs]))
             .alias("x")).select("symbol", "cut", "x.*")
+
+
+def recursion_audit(bars: DataFrame, period: int = 14, size: int = 4096, cuts: int = 200) -> DataFrame:
+    """causality_audit of wilder_atr: (symbol, cut, feature, same).
+
+    The history of a cut ends there. It is replayed from the value carried into the cut's chunk, which only earlier
+    chunks make, through the ranges of the chunk's bars up to the cut, in one fixed order; up to the first period bars it is the seed or null."""
+    full = wilder_atr(bars, period, size).select("symbol", "bar_seq", "atr")
+    _, _, carries, seeds = _wilder(bars, period, size)
+    at = F.col("cut") - period - 1
+    asked = _cuts(bars, cuts).withColumn("first", F.floor(at / size) * size + period + 1)
+    needed = asked.where(at >= 0).select("symbol", "cut", "first", F.explode(F.sequence(F.col("first") - 1, F.col("cut"))).alias("bar_seq"))
+    history = bars.join(needed, ["symbol", "bar_seq"]).withColumn("chunk", F.col("cut")).withColumn("tr", _true_range()).where("bar_seq >= first")
+    rows = history.select("symbol", "cut", "bar_seq", (F.col("bar_seq") - period - 1).alias("at"), "tr").withColumn("chunk", F.floor(F.col("at") / size))
+    local = rows.groupBy("symbol", "cut").applyInPandas(_recursion(period, ["symbol", "cut"]), "symbol string, cut long, bar_seq long, at long, chunk long, local double").where("bar_seq = cut")
+    replayed = local.join(carries, ["symbol", "chunk"]).select("symbol", "cut", _with_carry(period, size).alias("again"))
+    opening = asked.where(at < 0).join(seeds, "symbol", "left").select("symbol", "cut", F.when(F.col("cut") == period, F.col("seed")).alias("again"))
+    both = asked.select("symbol", "cut").join(replayed.unionByName(opening), ["symbol", "cut"], "left").join(full.withColumnRenamed("bar_seq", "cut"), ["symbol", "cut"])
+    return both.select("symbol", "cut", F.lit(f"wilder_atr_{period}").alias("feature"), _same_bits("atr", "again").alias("same"))

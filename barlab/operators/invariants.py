@@ -71,11 +71,11 @@ def daily_break(gaps: DataFrame, symbols: DataFrame, hour: int = 17) -> DataFram
         .when(F.col("off") > 0, "fail").otherwise("pass").alias("outcome"))
 
 
-def all_outcomes(bars: DataFrame, gaps: DataFrame, near: DataFrame, near_wide: DataFrame, fridays: DataFrame) -> DataFrame:
-    """(symbol, name, outcome) of the four invariants for every symbol."""
+def all_outcomes(bars: DataFrame, gaps: DataFrame, near: DataFrame, near_wide: DataFrame, fridays: DataFrame, least: int = 60) -> DataFrame:
+    """(symbol, name, outcome) of the four invariants for every symbol. least: first Fridays without which releases and volumes tell nothing."""
     symbols = bars.select("symbol").distinct()
     weekly = symbols.join(weekly_close(boundaries(gaps, near_wide)), "symbol", "left").select("symbol", F.lit("weekly_close").alias("name"),
         F.coalesce("outcome", F.lit("insufficient")).alias("outcome"))
-    release = symbols.join(release_hour(bars, fridays, near), "symbol", "left").select("symbol", F.lit("release_hour").alias("name"),
+    release = symbols.join(release_hour(bars, fridays, near, least), "symbol", "left").select("symbol", F.lit("release_hour").alias("name"),
         F.coalesce("outcome", F.lit("insufficient")).alias("outcome"))
-    return weekly.unionByName(release).unionByName(volume_peak(bars)).unionByName(daily_break(gaps, symbols))
+    return weekly.unionByName(release).unionByName(volume_peak(bars, least)).unionByName(daily_break(gaps, symbols))

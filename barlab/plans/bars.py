@@ -97,8 +97,11 @@ def polynomial(spark, d):
 
 
 def causality(spark, d):
-    specs = [fe.log_return(24), fe.realized_vol(24), fe.range_position(24), fe.drawdown_from_max(48), fe.volume_weighted_return(24)]
-    return fe.causality_audit(hourly_bars(spark, d), specs).groupBy("feature").agg(F.count("*").alias("cuts"), F.count_if(~F.col("same")).alias("violations"))
+    """Values at 200 cuts of each symbol that the history up to the cut does not give to the bit; the recursive range over chunks of 128 bars."""
+    specs = [fe.log_return(24), fe.reversal(3), fe.realized_vol(24), fe.vol_scaled_return(5, 24), fe.range_position(24), fe.drawdown_from_max(48), fe.volume_weighted_return(24)]
+    b = hourly_bars(spark, d)
+    told = fe.causality_audit(b, specs).unionByName(fe.recursion_audit(b, size=128))
+    return told.groupBy("feature").agg(F.count("*").alias("cuts"), F.count_if(~F.col("same")).alias("violations"))
 
 
 def bar_clock(spark, d):
@@ -225,7 +228,7 @@ count(later) > 0 THEN count(*) FILTER (later > close) / count(later) END, 6) AS
 round(a*b*b, 6) AS \"a*b*b\", round(b*b*b, 6) AS \"b*b*b\" FROM x""",
     "causality": f"""WITH {q.BARS}, lasts AS (SELECT symbol, max(bar_seq) AS n FROM bars GROUP BY symbol),
 cuts AS (SELECT DISTINCT symbol, k * n // 200 AS cut FROM lasts, range(200) t(k)) SELECT f AS feature, count(*) AS cuts, CAST(0 AS BIGINT) AS
-violations FROM cuts, (VALUES ('log_return_24'), ('realized_vol_24'), ('range_position_24'), ('drawdown_from_max_48'), ('volume_weighted_return_24'))
+violations FROM cuts, (VALUES ('log_return_24'), ('reversal_3'), ('realized_vol_24'), ('vol_scaled_return_5_24'), ('range_position_24'), ('drawdown_from_max_48'), ('volume_weighted_return_24'), ('wilder_atr_14'))
 v(f) GROUP BY f""",
     "bar_clock": f"""WITH {q.BARS}, {q.DAILY}, b AS (SELECT symbol, time FROM bars UNION ALL SELECT symbol, time FROM daily),
 u AS (SELECT *, {_utc} AS utc FROM b),

@@ -84,6 +84,18 @@ def test_causality_audit_catches_a_leak(spark):
     assert r["log_return_2"] == 0 and r["leaky"] > 0
 
 
+def test_recursion_audit_is_bitwise_over_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    close = np.cumsum(rng.standard_normal(700)) * 0.37 + 100
+    rows = [("s", i, float(c), float(c + rng.random()), float(c - rng.random())) for i, c in enumerate(close)] + [("t", i, 1.0, 2.0, 0.5) for i in range(9)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_seq long, close double, high double, low double").repartition(5)
+    told = fe.recursion_audit(bars, size=64, cuts=300).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("bad")).collect()
+    assert {r["symbol"]: (r["n"], r["bad"]) for r in told} == {"s": (300, 0), "t": (8, 0)}
+    # the bar after is in the range: told at every cut that has a value
+    monkeypatch.setattr(fe, "_true_range", lambda: F.greatest(F.col("high") - F.col("low"), F.coalesce(F.lead("high").over(fe.series()), F.lit(0.0))))
+    assert fe.recursion_audit(bars.where("symbol = 's'"), size=64, cuts=20).where("not same").count() > 15
+
+
 def test_rollovers(spark):
     at = lambda s: F.unix_timestamp(F.lit(s).cast("timestamp"))
     cases = [("2021-06-07 20:00:00", "2021-06-07 22:00:00", 1), ("2021-06-07 20:00:00", "2021-06-07 20:30:00", 0), ("2021-06-07 20:00:00", "2021-06-09 22:00:00", 3), ("2021-06-09 22:00:00", "2021-06-07 20:00:00", 0)]
