@@ -98,7 +98,7 @@ ASKED = "chunk long, is_mixing boolean, level int, slice long, hashes binary, co
 TOLD = "chunk long, is_mixing boolean, level int, slice long, counting binary, counts binary, n long, n_counting long, v long, v_counting long"
 
 
-def score_documents(docs: DataFrame, chunk_tokens: int = 1_500_000, slice_bytes: int = 8_000_000, rounds: int = 15) -> DataFrame:
+def score_documents(docs: DataFrame, chunk_tokens: int = 1_000_000, slice_bytes: int = 8_000_000, rounds: int = 15) -> DataFrame:
     """log10 probability of each text under P(w|v) = l2 c(v w)/c(v) + l1 c(w)/N + l0/(V+1).
 
     docs: (doc_id long, text string, role int): HELD_OUT texts are only scored, COUNTING texts give
