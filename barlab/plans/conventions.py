@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barlab.functions import calendar, clock
 from barlab.operators import profile as pr
 from barlab.plans import sql as q
+from barlab.plans.bars import SQL as _BARS
 from barlab.plans.bars import _rounded
 from barlab.sources.tables import daily_bars, hourly_bars, tick_bars, ticks
 
@@ -67,6 +68,12 @@ _anchor = f"""anchors AS (SELECT symbol, day, CAST(year(day) AS INTEGER) AS year
 || CASE WHEN {q.eu('day')} THEN 'eu-summer' ELSE 'eu-winter' END AS bucket, CAST((22 + {q.offset('day')} - CASE WHEN {q.us('day')} THEN 1 ELSE 0 END +
 24) % 24 AS INTEGER) AS hour FROM days)"""
 SQL = {
+    "reading_verdict": f"""WITH readings AS ({_BARS['minute_readings']}), {q.TICKS}, {q.tick_bars(60, out='minutes')},
+spread AS (SELECT symbol, 'left' AS reading, time - time % 3600 AS hour, * EXCLUDE (symbol) FROM minutes UNION ALL SELECT symbol, 'right', ((time - 60) // 3600 + 1) * 3600, * EXCLUDE (symbol) FROM minutes),
+rolled AS (SELECT symbol, reading, hour, first(open ORDER BY time) AS o, max(high) AS h, min(low) AS l, last(close ORDER BY time) AS c FROM spread GROUP BY symbol, reading, hour),
+d AS (SELECT count(*) AS decisive FROM rolled a JOIN rolled b ON a.symbol = b.symbol AND a.hour = b.hour AND a.reading = 'left' AND b.reading = 'right' WHERE a.o <> b.o OR a.h <> b.h OR a.l <> b.l OR a.c <> b.c),
+w AS (SELECT count(*) AS exact, any_value(reading) AS reading FROM readings WHERE matches = tested - empty AND tested > empty)
+SELECT decisive, exact, CASE WHEN decisive >= 200 AND exact = 1 THEN reading ELSE 'undecided' END AS verdict FROM d, w""",
     "stride_sample": f"""WITH {q.BARS}, s AS (SELECT symbol, greatest(1, CAST(ceil(count(*) / 40.0) AS BIGINT)) AS k FROM bars GROUP BY symbol) SELECT
 symbol, bar_seq, time FROM bars JOIN s USING (symbol) WHERE bar_seq % k = 0""",
     "first_mismatches": f"""WITH {q.TICKS}, {q.tick_bars(3600, out='hours')}, {q.tick_bars(60, out='minutes')}, m AS (SELECT symbol, time - time %

@@ -29,19 +29,29 @@ def summary(bars: DataFrame) -> DataFrame:
         .alias("first_bar"), F.max("time").alias("last_bar"), (F.floor(F.max("time") / 86400) - 1).cast("long").alias("window_end"))
 
 
-def write_snapshot(bars: DataFrame, outcomes: DataFrame, path: str, calendar_hash: str) -> None:
-    """Writes bars and their manifest after the checks (symbol, name, outcome) are known; a failed one, or an existing snapshot, stops the write."""
+def gap_counts(gaps: DataFrame) -> DataFrame:
+    """(symbol, gap_census map<cause, n>): a symbol's gaps by cause."""
+    counts = gaps.groupBy("symbol", "cause").agg(F.count("*").alias("n"))
+    return counts.groupBy("symbol").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("cause", "n")))).alias("gap_census"))
+
+
+def write_snapshot(bars: DataFrame, outcomes: DataFrame, path: str, calendar_hash: str, gaps: DataFrame | None = None, horizon: int = 24) -> None:
+    """Writes bars and their manifest after the checks (symbol, name, outcome) are known; a failed one, or an existing snapshot, stops the write.
+
+    The manifest has a row a symbol: its summary, the digests' calendar, the checks' outcomes, the horizon of the labels and, with gaps, their census."""
     failed = [r["name"] for r in outcomes.where("outcome = 'fail'").select("name").distinct().collect()]
     if failed:
         raise ValueError(f"not written, failed: {', '.join(sorted(failed))}")
     year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("time") / 86400).cast("int")))
     bars.withColumn("year", year).write.mode("errorifexists").partitionBy("symbol", "year").parquet(f"{path}/bars")
     checks = F.lit(",".join(f"{r['name']}={r['outcome']}" for r in outcomes.groupBy("name").agg(F.max("outcome").alias("outcome")).orderBy("name").collect()))
-    summary(bars).withColumns({"calendar_hash": F.lit(calendar_hash), "checks": checks}).write.mode("errorifexists").parquet(f"{path}/manifest")
+    census = bars.select("symbol").distinct().withColumn("gap_census", F.create_map().cast("map<string, bigint>")) if gaps is None else gap_counts(gaps)
+    told = summary(bars).join(census, "symbol", "left").withColumn("gap_census", F.coalesce("gap_census", F.create_map().cast("map<string, bigint>")))
+    told.withColumns({"calendar_hash": F.lit(calendar_hash), "checks": checks, "label_horizon_bars": F.lit(horizon)}).write.mode("errorifexists").parquet(f"{path}/manifest")
 
 
 def load_window(spark: SparkSession, path: str, calendar_hash: str, valid_only: bool = True) -> DataFrame:
-    """In-window (and valid) bars of a snapshot built under the calendar, with every invariant recorded; the filters reach the scan."""
+    """In-window (and valid) bars of a snapshot built under the calendar, with every invariant recorded; the filters reach the scan. A snapshot without such bars is an error, not an empty result."""
     manifest = spark.read.parquet(f"{path}/manifest")
     seen = manifest.select("calendar_hash", "checks").distinct().collect()
     if [r["calendar_hash"] for r in seen] != [calendar_hash]:
@@ -51,7 +61,10 @@ def load_window(spark: SparkSession, path: str, calendar_hash: str, valid_only:
     if missing:
         raise ValueError(f"not recorded: {', '.join(missing)}")
     bars = spark.read.parquet(f"{path}/bars").where("in_window")
-    return bars.where("valid") if valid_only else bars
+    bars = bars.where("valid") if valid_only else bars
+    if bars.isEmpty():
+        raise ValueError("no bars in the window" + " that are valid" * valid_only)
+    return bars
 
 
 def load_full(spark: SparkSession, path: str) -> DataFrame:
