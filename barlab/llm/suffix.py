@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from barlab.llm.shared import by_sorted_group, empty, keep, ship
 
 #: Bytes of an anchor: every string that is looked for holds the anchor of least hash in it.
 ANCHOR = 16
+#: Places of an anchor in its string that one part of a hot anchor's runs takes.
+WIDTH = 5
 #: Bytes that the shallow sort looks at: eight at once, then five at a time beside the group's number.
 SHALLOW = 13
 LAST = np.iinfo(np.int64).max
@@ -101,15 +104,22 @@ def deep_shallow(buffer: bytes, suffixes: np.ndarray, length: int, shallow: int
     return order, group
 
 
-def anchors(buffer: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first start, last start, anchor's hash) of each run of strings that have one anchor.
+def spread(h: np.ndarray) -> np.ndarray:
+    """48 bits of each hash, mixed again: anchors are the least hashes near them."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(16)
+
+
+def anchors(buffer: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first start, last start, the anchor's place, its hash) of each run of strings that have one anchor.
 
     ends: where documents end in the buffer. Every string of length bytes within a document belongs
     to one run; its anchor is the leftmost of least hash, so equal strings have it at one place."""
     n, span = len(buffer), length - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     word = words_at(buffer)
     with np.errstate(over="ignore"):
         h = word[: n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
@@ -126,16 +136,11 @@ def anchors(buffer: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     doc = np.repeat(np.arange(len(ends)), ends - starts)[: len(at)]
     start = np.flatnonzero(np.arange(len(at)) + length <= ends[doc])
     if not len(start):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     doc, at = doc[start], at[start]
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[first[1:], len(start)] - 1
-    own = h[at[first]]
-    with np.errstate(over="ignore"):
-        # anchors are the least hashes near them; mixed again they are spread evenly
-        own = (own ^ (own >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return doc[first], start[first], start[last], own >> np.uint64(16)
+    return doc[first], start[first], start[last], at[first].astype(np.int64), spread(h[at[first]])
 
 
 class Chunk:
@@ -144,39 +149,58 @@ class Chunk:
     def __init__(self, texts: list[bytes], ids: np.ndarray, length: int):
         self.buffer, self.ids = b"".join(texts), ids
         self.ends = np.cumsum([len(t) for t in texts])
-        self.doc, self.low, self.high, self.hash = anchors(self.buffer, self.ends, length)
+        self.doc, self.low, self.high, self.place, self.hash = anchors(self.buffer, self.ends, length)
         self.unique, self.at = np.unique(self.hash, return_inverse=True)
         self.length = length
 
-    def contexts(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Of runs whose anchor is shared: (runs, context of each, the contexts, their least id, their hash), contexts by hash."""
-        runs = np.flatnonzero(shared[self.at])
-        runs = runs[np.argsort(self.hash[runs], kind="stable")]
-        number: dict[bytes, int] = {}
-        own = np.array([number.setdefault(self.buffer[a:b], len(number)) for a,
-            b in zip(self.low[runs].tolist(), (self.high[runs] + self.length).tolist(), strict=True)], np.int64)
+    def parts(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(run, first start, last start, hash) of the runs at hot anchors, cut by the anchor's place in the string, five places a part.
+
+        The strings of a part have length - 4 bytes in common places, all but the four at either end that not all of them hold; these are hashed, so that a
+        phrase in every document is as many groups as there are texts around it."""
+        runs = np.flatnonzero(hot[self.at])
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none, none.astype(np.uint64))]
+        for k in range((self.length - ANCHOR) // WIDTH + 1):
+            low, high = np.maximum(self.low[runs], self.place[runs] - WIDTH * k - WIDTH + 1), np.minimum(self.high[runs], self.place[runs] - WIDTH * k)
+            there = low <= high
+            begin = (self.place[runs] - WIDTH * k)[there]
+            same = [xxhash.xxh64_intdigest(self.buffer[a : a + self.length - WIDTH + 1], seed=k) for a in begin.tolist()]
+            found.append((runs[there], low[there], high[there], spread(np.array(same, np.uint64))))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def contexts(self, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Of runs whose anchor is shared, those at hot ones in parts: (run, first start, last start, context of each, the contexts, their least id, their hash), contexts by hash."""
+        plain = np.flatnonzero((shared & ~hot)[self.at])
+        runs, low, high, hashed = (np.concatenate(x) for x in zip((plain, self.low[plain], self.high[plain], self.hash[plain]), self.parts(hot), strict=True))
+        order = np.argsort(hashed, kind="stable")
+        runs, low, high, hashed = runs[order], low[order], high[order], hashed[order]
+        number: dict = {}
+        texts: Iterable = (self.buffer[a:b] for a, b in zip(low.tolist(), (high + self.length).tolist(), strict=True))
+        # equal bytes at two places of a hot anchor are two contexts
+        own = np.array([number.setdefault(x, len(number)) for x in (zip(texts, hashed.tolist(), strict=True) if hot.any() else texts)], np.int64)
         least, hashes = np.full(len(number), LAST), np.zeros(len(number), np.uint64)
         np.minimum.at(least, own, self.ids[self.doc[runs]])
-        hashes[own] = self.hash[runs]
-        return runs, own, list(number), least, hashes
+        hashes[own] = hashed
+        return runs, low, high, own, [x for x, _ in number] if hot.any() else list(number), least, hashes
 
-    def covered(self, shared: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    def covered(self, shared: np.ndarray, hot: np.ndarray, masks: np.ndarray) -> np.ndarray:
         """Whether each byte is in a string that starts in a smaller document too."""
-        runs, own, _, least, _ = self.contexts(shared)
+        runs, low, high, own, _, least, _ = self.contexts(shared, hot)
         change = np.zeros(len(self.buffer) + self.length + 1, np.int64)
         whole = self.ids[self.doc[runs]] > least[own]
-        np.add.at(change, self.low[runs[whole]], 1)
-        np.add.at(change, self.high[runs[whole]] + self.length, -1)
+        np.add.at(change, low[whole], 1)
+        np.add.at(change, high[whole] + self.length, -1)
         part = np.flatnonzero(~whole & (masks[own] != 0))
         for bit in range(self.length - ANCHOR + 1):
             use = part[(masks[own[part]] >> bit) & 1 == 1]
-            np.add.at(change, self.low[runs[use]] + bit, 1)
-            np.add.at(change, self.low[runs[use]] + bit + self.length, -1)
+            np.add.at(change, low[use] + bit, 1)
+            np.add.at(change, low[use] + bit + self.length, -1)
         return np.cumsum(change)[: len(self.buffer)] > 0
 
 
 def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 2_000_000, slice_bytes: int = 6_000_000,
-    sorted_bytes: int = 4_000_000) -> DataFrame:
+    sorted_bytes: int = 4_000_000, hot_runs: int = 200_000) -> DataFrame:
     """Per row of docs (doc_id long, text string, rest of any type): doc_id, n_bytes, the removed spans, the kept bytes, and rest as it was.
 
     Removed is each byte covered by a string of length bytes (25 to 78) that also starts in a document
@@ -186,7 +210,8 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
     Tasks write chunks of documents and ask which anchors (see anchors) other documents have too; the
     answers come from ranges of the hash. Runs of strings at shared anchors, each distinct one once a
     chunk, are then dealt out by anchor and sorted there (deep_shallow), and each chunk learns which
-    strings a smaller document has. A string in a third of all documents thus counts once a chunk.
+    strings a smaller document has. A string in a third of all documents thus counts once a chunk. An anchor with about
+    hot_runs runs or more in all chunks is dealt out by the bytes around it, too (Chunk.parts), so no task sorts all that holds one phrase.
 
     Null text is empty. A null doc_id stands beside the largest possible one, after all others. Rows with one doc_id do not remove from
     each other. Texts shorter than length lose nothing. Empty input gives an empty result."""
@@ -221,9 +246,11 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
             np.minimum.at(low, own.at, ids_at)
             np.maximum.at(high, own.at, ids_at)
             part, cuts = slices(own.unique)
+            power = np.frexp(np.bincount(own.at, minlength=len(own.unique)).astype(np.float64))[1] - 1
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                # how many runs, as a power of two, and whether in several documents
                 rows.append({"chunk": number, "slice": int(part[a]), "hashes": planes(np.diff(own.unique[a:b], prepend=np.uint64(0))),
-                    "several": np.packbits(low[a:b] < high[a:b]).tobytes()})
+                    "several": squeeze.compress((2 * power[a:b] + (low[a:b] < high[a:b])).astype(np.uint8).tobytes())})
             return pa.RecordBatch.from_pylist(rows, schema=CHUNKS)
 
         for batch in batches:
@@ -253,29 +280,34 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
 
     def shared(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in group["hashes"]]
-        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(h)) for s, h in zip(group["several"], hashes, strict=True)])
+        loose = zstandard.ZstdDecompressor()
+        several = np.concatenate([np.frombuffer(loose.decompress(s), np.uint8) for s in group["several"]])
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        yes = (np.bincount(at) + np.bincount(at, weights=several) > 1)[at]
+        yes = (np.bincount(at) + np.bincount(at, weights=several & 1) > 1)[at]
+        hot = yes & (np.bincount(at, weights=np.left_shift(np.int64(1), (several >> 1).astype(np.int64))) > hot_runs)[at]
         cuts = np.cumsum([0, *map(len, hashes)])
-        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(),
-            "told": [np.packbits(yes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        bits = lambda x: [np.packbits(x[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(), "told": bits(yes), "hot": bits(hot) if hot.any() else None})
 
     flags = keep(by_sorted_group(table.where("slice >= 0").select("chunk", "slice", "hashes", "several"), ["slice"], shared,
-        "chunk long, slice long, told binary", max(12, 2**bits // 2)), "suffix-shared")
+        "chunk long, slice long, told binary, hot binary", max(12, 2**bits // 2)), "suffix-shared")
 
-    def opened(group: pd.DataFrame) -> tuple[pd.Series, Chunk, np.ndarray]:
+    def opened(group: pd.DataFrame) -> tuple[pd.Series, Chunk, np.ndarray, np.ndarray]:
         own = group[group["texts"].notna()].iloc[0]
         ends = np.cumsum(unplanes(own["lengths"], np.int64))
         whole = zstandard.ZstdDecompressor().decompress(own["texts"])
         chunk = Chunk([whole[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], unplanes(own["ids"], np.int64), length)
         told = group[group["told"].notna()].sort_values("slice")
         _, cuts = slices(chunk.unique)
-        yes = [np.unpackbits(np.frombuffer(t, np.uint8), count=b - a) for t, a, b in zip(told["told"], cuts[:-1], cuts[1:], strict=True)]
-        return own, chunk, np.concatenate(yes).astype(bool) if yes else np.zeros(0, bool)
+        flags = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+        for t, h, a, b in zip(told["told"], told["hot"], cuts[:-1], cuts[1:], strict=True):
+            flags[0].append(np.unpackbits(np.frombuffer(t, np.uint8), count=b - a))
+            flags[1].append(np.zeros(b - a, np.uint8) if h is None else np.unpackbits(np.frombuffer(h, np.uint8), count=b - a))
+        return own, chunk, *(np.concatenate(x).astype(bool) for x in flags)
 
     def candidates(group: pd.DataFrame) -> pd.DataFrame:
-        own, chunk, yes = opened(group)
-        _, _, contexts, least, hashes = chunk.contexts(yes)
+        own, chunk, yes, hot = opened(group)
+        *_, contexts, least, hashes = chunk.contexts(yes, hot)
         part, cuts = slices(hashes, fine)
         squeeze, rows = zstandard.ZstdCompressor(level=3), []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -310,9 +342,9 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
     masks = keep(by_sorted_group(asked, ["slice"], sorted_slice, "chunk long, slice long, masks binary", max(12, 2**fine // 4)), "suffix-masks")
 
     def cut(group: pd.DataFrame) -> pa.RecordBatch:
-        own, chunk, yes = opened(group)
+        own, chunk, yes, hot = opened(group)
         told = group[group["masks"].notna()].sort_values("slice")
-        gone = chunk.covered(yes, np.concatenate([unplanes(x, np.int64) for x in told["masks"]]) if len(told) else np.zeros(0, np.int64))
+        gone = chunk.covered(yes, hot, np.concatenate([unplanes(x, np.int64) for x in told["masks"]]) if len(told) else np.zeros(0, np.int64))
         carried = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(own["rest"])).read_next_batch()
         raw = np.frombuffer(chunk.buffer, np.uint8)
         spans, kept, begin = [], [], 0

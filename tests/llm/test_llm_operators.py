@@ -619,6 +619,43 @@ def test_chat_with_clashing_columns_keeps_every_text(spark, tmp_path):
     assert got == {"a": ("messages", ["q"]), "b": ("turn rows", ["t"]), "c": ("prompt and response", ["p", "r"]), "d": (None, [])}
 
 
+@pytest.mark.parametrize("hot_runs", [0, 6, 10**9])
+def test_suffix_dedup_however_hot_anchors_are_dealt(spark, hot_runs):
+    """A phrase in every document, with other texts around it, and copies; every string by definition."""
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase, longer = say(40), say(90)
+    rows = [(i, say(rng.randint(0, 90)) + (phrase if i % 4 else longer) + say(rng.randint(0, 60)), None) for i in range(60)]
+    rows += [(60 + i, rows[i][1][rng.randint(0, 20) :] + say(10), None) for i in range(20)] + [(90, "ab" * 80, None), (91, "ab" * 70, None), (92, None, None)]
+    first = {}
+    for i, text, _ in rows:
+        for a in range(len(text or "") - 49):
+            first.setdefault(text[a : a + 50], i)
+    want = {}
+    for i, text, _ in rows:
+        gone = {b for a in range(len(text or "") - 49) if first[text[a : a + 50]] < i for b in range(a, a + 50)}
+        want[i] = "".join(c for b, c in enumerate(text or "") if b not in gone)
+    out = suffix.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string, rest string").repartition(9), hot_runs=hot_runs, chunk_bytes=900, slice_bytes=2000, sorted_bytes=3000)
+    assert {r["doc_id"]: bytes(r["kept"]).decode() for r in out.collect()} == want
+    assert sum(len(t or "") for _, t, _ in rows) - sum(map(len, want.values())) > 2000
+
+
+def test_parts_of_a_hot_anchor_are_many_groups():
+    """The phrase's strings with other texts around them do not meet in one group."""
+    rng = random.Random(3)
+    say = lambda n: bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+    phrase = say(20)
+    chunk = suffix.Chunk([say(60) + phrase + say(60) for _ in range(400)], np.arange(400), 50)
+    often = np.bincount(chunk.at)
+    hot = often == often.max()
+    assert often.max() > 100
+    runs, low, high, hashed = chunk.parts(hot)
+    assert np.bincount(np.unique(hashed, return_inverse=True)[1]).max() <= 2 and len(runs) > often.max()
+    # every string of the runs is in one part
+    starts = sorted((r, s) for r, a, b in zip(runs, low, high) for s in range(a, b + 1))
+    assert starts == sorted((r, s) for r in np.flatnonzero(hot[chunk.at]) for s in range(chunk.low[r], chunk.high[r] + 1))
+
+
 def test_suffix_dedup_of_the_largest_id(spark):
     text = "x" * 30 + "".join(map(chr, range(97, 122))) * 3
     rows = spark.createDataFrame([(5, text, None), (2**63 - 1, text, None), (None, text, None)], "doc_id long, text string, rest string")
