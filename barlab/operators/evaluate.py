@@ -286,6 +286,14 @@ def null_study(skills: DataFrame, by: list[str], mean_limit: float = 0.01, max_l
     return g.join(interval, by).withColumn("holds", F.when(F.col("seeds") >= 2, holds)).withColumn("trips", F.col("mean") > max_limit)
 
 
+def reproduced(forecasts: DataFrame, scaled: DataFrame, columns: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(symbol, fold, arm, seed, rows, agrees): whether the fit's coefficients give its forecasts again from the scaled test rows (symbol, fold, bar_seq, columns), each to the tolerance."""
+    dot = sum((F.col("weights")[i] * F.col(f"`{c}`") for i, c in enumerate(columns)), F.col("intercept"))
+    j = forecasts.join(scaled.select("symbol", "fold", "bar_seq", *columns), ["symbol", "fold", "bar_seq"], "left")
+    same = F.coalesce(F.abs(1 / (1 + F.exp(-dot)) - F.col("p")) <= tolerance, F.lit(False))
+    return j.groupBy("symbol", "fold", "arm", "seed").agg(F.count("*").alias("rows"), F.bool_and(same).alias("agrees"))
+
+
 def response_probe(forecasts: DataFrame, columns: list[str]) -> DataFrame:
     """Per fold the change in probability for a step of one deviation of each feature from the mean, from the fit's coefficients."""
     one = forecasts.groupBy("symbol", "fold", "arm", "seed").agg(F.first("weights").alias("w"), F.first("intercept").alias("b"))

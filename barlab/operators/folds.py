@@ -30,19 +30,20 @@ def embargoed(at: Column, test_end: Column, horizon: int) -> Column:
     return (at >= test_end) & (at < test_end + horizon)
 
 
-def walk_forward(bars: DataFrame, folds: DataFrame, horizon: int, spacing: int | None = None, embargo: bool = True) -> DataFrame:
+def walk_forward(bars: DataFrame, folds: DataFrame, horizon: int, spacing: int | None = None, embargo: bool = True, both_sides: bool = False) -> DataFrame:
     """(symbol, fold, bar_seq, role) with role train, test, purged or embargoed, of bars (symbol, bar_seq, valid).
 
     Test rows are spaced from the window's start first and filtered by valid second; training rows are
-    the valid ones before it whose label ends before it opens. Windows expand, so only rows
-    before the window may train and none of them is embargoed; the count shows that."""
+    the valid ones before it whose label ends before it opens. Windows expand, so only rows before the window may
+    train. With both_sides rows after it train, too, but for those that the labels of the window reach, which are embargoed."""
     spacing = spacing or horizon
-    joined = bars.where("valid").join(folds, "symbol").where("bar_seq < test_end")
-    at, start = F.col("bar_seq"), F.col("test_start")
-    role = F.when(at >= start, F.when((at - start) % spacing == 0, "test")).when(at + horizon >= start, "purged")
+    joined = bars.where("valid").join(folds, "symbol")
+    joined = joined if both_sides else joined.where("bar_seq < test_end")
+    at, start, end = F.col("bar_seq"), F.col("test_start"), F.col("test_end")
+    role = F.when((at >= start) & (at < end), F.when((at - start) % spacing == 0, "test").otherwise("between")).when((at < start) & (at + horizon >= start), "purged")
     if embargo:
-        role = role.when(embargoed(at, F.col("test_end"), horizon), "embargoed")
-    return joined.select("symbol", "fold", "bar_seq", role.otherwise("train").alias("role")).where("role is not null")
+        role = role.when(embargoed(at, end, horizon), "embargoed")
+    return joined.select("symbol", "fold", "bar_seq", role.otherwise("train").alias("role")).where("role <> 'between'")
 
 
 def fold_counts(members: DataFrame) -> DataFrame:

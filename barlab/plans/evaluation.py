@@ -87,6 +87,17 @@ def fold_counts(spark, d):
     return fo.fold_counts(_members(spark, d)[2])
 
 
+def fold_counts_both_sides(spark, d):
+    """The same where rows after a test window train, too."""
+    s = _series(spark, d)
+    return fo.fold_counts(fo.walk_forward(s, fo.fold_geometry(s), 5, both_sides=True))
+
+
+def refused_series(spark, d):
+    """Hourly series that are too short for 340 folds."""
+    return fo.refused_series(hourly_bars(spark, d), 340)
+
+
 def fold_leaks(spark, d):
     _, folds, members = _members(spark, d)
     return fo.leaks(members, folds, 5)
@@ -164,7 +175,7 @@ def train_and_test(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (density, density_boundary, modal_anomalies, modal_hours, spread_profile, coverage, hours_present, session_runs,
-    absorbed_runs, largest_gaps, fold_counts, fold_leaks, brier_skill, hit_rates, target_means, standardised, eligibility, fold_eras, untested_eras,
+    absorbed_runs, largest_gaps, fold_counts, fold_counts_both_sides, refused_series, fold_leaks, brier_skill, hit_rates, target_means, standardised, eligibility, fold_eras, untested_eras,
     fold_geometry_report, fold_geometry_folds, fold_geometry_eras, train_and_test)}
 DAYS = f"""{q.BARS}, days AS (SELECT symbol, CAST(year({q.day('time')}) AS INTEGER) AS year, time // 86400 AS day, CAST((time // 86400 + 3) % 7 AS
 INTEGER) AS weekday, count(*) AS bars FROM bars GROUP BY ALL)"""
@@ -231,6 +242,10 @@ max(day) AS last, count(*) AS days FROM r GROUP BY symbol, run, state""",
 (after - before) // 86400 - 1 AS missing FROM g WHERE after - before > 86400 ORDER BY missing DESC, symbol, before LIMIT 15""",
     "fold_counts": f"WITH {MEMBERS} SELECT symbol, fold, " + ", ".join(f"CAST(count(*) FILTER (role = '{r}') AS BIGINT) AS {r}" for r in ("train",
         "test", "purged", "embargoed")) + " FROM members GROUP BY symbol, fold",
+    "fold_counts_both_sides": f"""WITH {MEMBERS}, sides AS (SELECT s.symbol, f.fold, CASE WHEN s.bar_seq BETWEEN f.test_start AND f.test_end - 1 THEN CASE WHEN (s.bar_seq - f.test_start) % 5 = 0 THEN 'test' END
+  WHEN s.bar_seq < f.test_start AND s.bar_seq + 5 >= f.test_start THEN 'purged' WHEN s.bar_seq >= f.test_end AND s.bar_seq < f.test_end + 5 THEN 'embargoed' ELSE 'train' END AS role FROM series s JOIN folds f USING (symbol) WHERE s.valid)
+SELECT symbol, fold, """ + ", ".join(f"CAST(count(*) FILTER (role = '{r}') AS BIGINT) AS {r}" for r in ("train", "test", "purged", "embargoed")) + " FROM sides WHERE role IS NOT NULL GROUP BY symbol, fold",
+    "refused_series": f"""WITH {q.BARS}, n AS (SELECT symbol, max(bar_seq) + 1 AS bars FROM bars GROUP BY symbol) SELECT symbol, bars, 'SERIES_TOO_SHORT' AS refusal FROM n WHERE (bars - CAST(floor(bars * 0.5) AS BIGINT)) // 340 <= 0""",
     "fold_leaks": f"""WITH {MEMBERS} SELECT f.symbol, f.fold, CAST((SELECT count(*) FROM members a JOIN members b USING (symbol, fold, bar_seq) WHERE
 a.role = 'train' AND b.role = 'test' AND a.symbol = f.symbol AND a.fold = f.fold) AS BIGINT) AS overlap, coalesce((SELECT max(bar_seq) + 5 FROM
 members m WHERE m.symbol = f.symbol AND m.fold = f.fold AND role = 'train') >= f.test_start, false) AS reaches FROM folds f""",

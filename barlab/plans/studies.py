@@ -104,7 +104,11 @@ def capacity_ladder(spark, d):
 
 
 def response_probe(spark, d):
-    return ev.response_probe(ev.fit_predict(_rows(spark, d).withColumn("seed", F.lit(0)), {"all": FEATURES}), FEATURES)
+    """The probe of each fold's fit, and whether its coefficients give the fold's forecasts again."""
+    rows = written(_rows(spark, d), "fold-rows")
+    fits = written(ev.fit_predict(rows.withColumn("seed", F.lit(0)), {"all": FEATURES}), "fits")
+    again = ev.reproduced(fits, fo.standardise(rows, FEATURES).where("role = 'test'"), FEATURES)
+    return ev.response_probe(fits, FEATURES).join(again, ["symbol", "fold", "arm", "seed"])
 
 
 def gain_interval(spark, d):

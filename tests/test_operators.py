@@ -183,6 +183,23 @@ def test_null_fits_sum_up_the_forecasts(spark):
     assert {r["leak"]: r["trips"] for r in study}["label_column"] and all(r["seeds"] == 2 for r in study)
 
 
+def test_embargo_on_both_sides_and_reproduced_fits(spark):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([("s", i, True, float(rng.random() < 0.5), float(x), float(y)) for i, (x, y) in enumerate(rng.standard_normal((100, 2)))], "symbol string, bar_seq long, valid boolean, y double, a double, b double")
+    folds = fo.fold_geometry(table, 5, 0.5)
+    members = fo.walk_forward(table, folds, 4, both_sides=True)
+    counts = {r["fold"]: tuple(r)[2:] for r in fo.fold_counts(members).orderBy("fold").collect()}
+    # train, test, purged, embargoed: windows of ten rows from 50 on
+    assert counts == {k: (46 + 10 * k + max(0, 36 - 10 * k), 3, 4, 4 if k < 4 else 0) for k in range(5)}
+    assert fo.fold_counts(fo.walk_forward(table, folds, 4, embargo=False, both_sides=True)).agg(F.sum("embargoed").alias("n")).first()["n"] == 0
+    rows = members.where("role in ('train', 'test')").join(table.drop("valid"), ["symbol", "bar_seq"]).withColumn("seed", F.lit(0))
+    fits = ev.fit_predict(rows, {"all": ["a", "b"]}, model=lambda: ev.Logistic(50))
+    scaled = fo.standardise(rows, ["a", "b"]).where("role = 'test'")
+    assert all(r["agrees"] and r["rows"] == 3 for r in ev.reproduced(fits, scaled, ["a", "b"]).collect())
+    off = scaled.withColumn("a", F.when((F.col("fold") == 2) & (F.col("bar_seq") % 10 == 0), F.col("a") + 0.1).otherwise(F.col("a")))
+    assert {r["fold"]: r["agrees"] for r in ev.reproduced(fits, off, ["a", "b"]).collect()} == {k: k != 2 for k in range(5)}
+
+
 def test_permutation_keeps_the_labels(spark):
     rows = spark.createDataFrame([("s", i, float(i % 5 == 0)) for i in range(100)], "symbol string, bar_seq long, y double")
     out = ev.permuted(rows, 3)
