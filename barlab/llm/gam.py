@@ -156,7 +156,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """Fit on at most max_rows labelled documents (the bounded sample: those of least hashed id) outside fold 0.
 
     labels: (doc_id long, quality int); null labels and ids teach nothing, several labels of one
-    document count as their majority, 1 at a tie. Without labelled rows every score is 0.5."""
+    document count as their majority, 1 at a tie. Of several texts of one id one teaches, whatever
+    the order of the rows, and no more than one a labelled id reaches the driver. Without labelled rows every score is 0.5."""
     ship(docs.sparkSession)
     marks = labels.where("doc_id is not null and quality is not null").where(fold("doc_id") != 0).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -165,9 +166,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": [features(t) for t in batch["text"]]})
 
-    # the sample has at most max_rows rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run,
-        "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"]).drop_duplicates("doc_id")
+    # the sample has at most max_rows rows of two numbers; of an id's texts the one with the least features teaches
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, "doc_id long, y int, x array<double>")
+    rows = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     return fit(np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(np.float64)) if len(rows) else Model()
 
 

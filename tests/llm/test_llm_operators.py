@@ -239,6 +239,20 @@ def test_embedding_dedup_equals_brute_force(spark, sf):
         assert (r["n_links"], r["component_id"], r["kept"]) == (len(links.get(r["vec_id"], [])), min(seen), min(seen) == r["vec_id"])
 
 
+def test_quality_learns_the_same_from_repeated_ids_in_any_order(spark):
+    rng = random.Random(5)
+    text = lambda good: " ".join(rng.choice(("The river, however, rises.", "It rains in May.") if good else ("BUY NOW!!! $$$", "click click 111")) for _ in range(rng.randrange(3, 30)))
+    rows = [(i, text(i % 2)) for i in range(200)]
+    rows += [(i, text(i % 3)) for i in range(0, 200, 4)] + [(7, text(1)) for _ in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    probe = spark.createDataFrame([(t,) for _, t in rows[:40]], "text string")
+    got = []
+    for order in (rows, rows[::-1]):
+        model = gam.learn(spark.createDataFrame(order, "doc_id long, text string").repartition(3), labels)
+        got.append(sorted((r["text"], r["s"]) for r in probe.select("text", gam.quality(model, "text").alias("s")).collect()))
+    assert got[0] == got[1] and len({s for _, s in got[0]}) > 2
+
+
 def test_embedding_buckets_and_grids_count_the_same_pairs(spark):
     """Whole buckets and grids of them, vectors as doubles: the same counts and components, and no link below the threshold."""
     rng = np.random.default_rng(8)
