@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -70,13 +73,36 @@ def throttle_stream(alerts: DataFrame, every: int = 3600) -> DataFrame:
 
 
 def throttle(alerts: DataFrame, every: int = 3600) -> DataFrame:
-    """throttle_stream over a whole table of alerts."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _in_order(rows)
-        return rows[_throttled([*zip(rows["raised_at"].tolist(), rows["severity"], strict=True)], None, None, every)[0]]
-
-    return alerts.select("account", "code", "key", "severity", "raised_at").groupBy("account", "code", "key").applyInPandas(run, ALERT)
+    """throttle_stream over a whole table of alerts, for many small groups as for few large ones: no group is held in one piece.
+
+    An alert that comes a whole interval or more after the one before it, sent or not, goes out whatever was sent earlier. Such alerts, marked by Spark, cut
+    the sorted rows into runs that don't depend on each other; only runs of several rows are gone through one by one."""
+    by = ["account", "code", "key"]
+    rank = F.nullif(F.array_position(F.array(*[F.lit(s) for s in RANK]), F.col("severity")), F.lit(0))
+    order = [F.asc_nulls_last("raised_at"), F.asc_nulls_last("_rank")]
+    w = Window.partitionBy(*by).orderBy(*order)
+    late = F.coalesce(F.try_subtract("raised_at", F.lag("raised_at").over(w)) >= every, F.lit(False))
+    told = alerts.select(*by, "severity", "raised_at", rank.alias("_rank")).withColumn("_first", (F.row_number().over(w) == 1) | late)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = batch.column("_first").to_numpy(zero_copy_only=False).astype(bool)
+            starts = np.flatnonzero(np.r_[True, first[1:]])
+            ends = np.r_[starts[1:], len(first)]
+            go = first.copy()
+            # without a time: due by no interval
+            at = [math.nan if x is None else x for x in batch.column("raised_at").to_pylist()]
+            rows = [*zip(at, batch.column("severity").to_pylist(), strict=True)]
+            # the first run may go on from the last batch, the last one into the next
+            for k in np.unique(np.r_[0, np.flatnonzero(ends - starts > 1), len(starts) - 1]).tolist():
+                a, b = int(starts[k]), int(ends[k])
+                go[a:b], *state = _throttled(rows[a:b], *((None, None) if first[a] else state), every)
+            yield batch.filter(pa.array(go)).select([*by, "severity", "raised_at"])
+
+    return told.sortWithinPartitions(*by, *order).mapInArrow(run, ALERT)
 
 
 def _segment(table: DataFrame, columns: list[str]) -> Column:

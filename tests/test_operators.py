@@ -363,6 +363,29 @@ def test_throttle_prefers_the_severe_of_one_second(spark):
     assert sorted((r["account"], r["severity"]) for r in jobs.throttle(df).collect()) == [("a", "CRITICAL"), ("b", "WARN")]
 
 
+def test_throttle_by_definition_over_batches(spark):
+    """Null keys, times and repeated rows, groups longer than an Arrow batch, against the rule row by row; no call for each group."""
+    rng = np.random.default_rng(9)
+    rows = [(a, "C", k, s, int(t)) for a, k, n, span in (("a", "k", 300, 9000), ("a", None, 40, 400_000), (None, "k", 60, 30_000), ("b", "k", 1, 5))
+        for t, s in zip(rng.integers(-span, span, n), rng.choice(["INFO", "WARN", "CRITICAL"], n, p=[0.7, 0.25, 0.05]).tolist(), strict=True)]
+    rows += rows[:50] + [("c", "C", str(i), "WARN", 3600 * t) for i in range(200) for t in range(3)] + [("d", "C", "k", "WARN", None), ("d", "C", "k", "WARN", 7)]
+    rows += [("e", "C", "k", "WARN", -(2**63)), ("e", "C", "k", "WARN", 2**63 - 1)]
+    want, last = [], {}
+    for r in sorted(rows, key=lambda r: (r[4] is None, r[4] or 0, jobs.RANK[r[3]])):
+        was = last.get(r[:3])
+        if was is None or r[4] is not None and r[4] - was[4] >= 3600 or jobs.RANK[r[3]] < jobs.RANK[was[3]]:
+            last[r[:3]] = r
+            want.append(r)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sent = jobs.throttle(spark.createDataFrame(rows, jobs.ALERT).repartition(5))
+        got = [tuple(r) for r in sent.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(want, key=str) and 600 < len(want) < len(rows)
+    assert "FlatMapGroupsInPandas" not in sent._jdf.queryExecution().toString()
+
+
 def test_sinks_of_alerts_and_carry_log(spark, tmp_path):
     alerts = spark.createDataFrame([("a", "C", "k", s, 5) for s in ("INFO", "CRITICAL")], jobs.ALERT)
     for _ in range(2):
