@@ -22,6 +22,9 @@ from barlab.llm.shared import by_sorted_group, empty, keep, ship
 ANCHOR = 16
 #: Places of an anchor in its string that one part of a hot anchor's runs takes.
 WIDTH = 5
+#: Starts of strings whose anchors are found at once, and the bits that hold a place among them and the strings' rest.
+BLOCK = 2**16
+PLACES = np.uint64(2 * BLOCK - 1)
 #: Bytes that the shallow sort looks at: eight at once, then five at a time beside the group's number.
 SHALLOW = 13
 LAST = np.iinfo(np.int64).max
@@ -32,11 +35,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 def words_at(buffer: bytes) -> np.ndarray:
     """The eight bytes from each place on, as a number whose order is theirs; zeros follow the end."""
-    raw = np.frombuffer(buffer + bytes(8), np.uint8)
-    out = np.zeros(len(buffer), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | raw[i : i + len(buffer)]
-    return out
+    return np.ndarray((len(buffer),), ">u8", buffer + bytes(8), strides=(1,)).astype(np.uint64)
 
 
 def equal_before(x: np.ndarray) -> np.ndarray:
@@ -92,7 +91,8 @@ def deep_shallow(buffer: bytes, suffixes: np.ndarray, length: int, shallow: int
         agree = np.full(len(own), length)
         for depth in [length - 8, *range(shallow + (length - shallow) // 8 * 8 - 8, shallow - 1, -8)] if length >= 8 + shallow else []:
             x = word[own + depth] ^ word[leader + depth]
-            agree = np.where(x != 0, depth + equal_before(x), agree)
+            differ = np.flatnonzero(x)
+            agree[differ] = depth + equal_before(x[differ])
         if length < 8 + shallow:
             for depth in range(length - 1, shallow - 1, -1):
                 agree = np.where(raw[own + depth] != raw[leader + depth], depth, agree)
@@ -115,32 +115,41 @@ def anchors(buffer: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     """(document, first start, last start, the anchor's place, its hash) of each run of strings that have one anchor.
 
     ends: where documents end in the buffer. Every string of length bytes within a document belongs
-    to one run; its anchor is the leftmost of least hash, so equal strings have it at one place."""
+    to one run; its anchor is the leftmost of least hash (the bits above PLACES), so equal strings have it at one place."""
     n, span = len(buffer), length - ANCHOR + 1
-    none = np.zeros(0, np.int64)
-    if n < length:
+    none, many = np.zeros(0, np.int64), n - length + 1
+    if many < 1:
         return none, none, none, none, none.astype(np.uint64)
-    word = words_at(buffer)
-    with np.errstate(over="ignore"):
-        h = word[: n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= (word[8 : n - ANCHOR + 9] ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    low, at, have = h, np.arange(len(h), dtype=np.int32), 1
-    while have < span:
-        step = min(have, span - have)
-        left = low[:-step] <= low[step:]
-        low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
-        have += step
+    at, hashed = np.empty(many, np.int64), np.empty(n - ANCHOR + 1, np.uint64)
+    # in blocks that stay in the processor's cache
+    for a in range(0, many, BLOCK):
+        b = min(many, a + BLOCK)
+        word = words_at(buffer[a : b + length - 1])
+        size = b - a + span - 1
+        with np.errstate(over="ignore"):
+            h = word[:size] * np.uint64(0x9E3779B97F4A7C15)
+            h ^= (word[8 : size + 8] ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        hashed[a : a + size] = h
+        # the place in the low bits: one minimum finds the least of the other bits, and the leftmost of equals
+        low, have = (h & ~PLACES) | np.arange(size, dtype=np.uint64), 1
+        while have < span:
+            step = min(have, span - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        at[a:b] = (low & PLACES).astype(np.int64) + a
     starts = np.r_[0, ends[:-1]]
-    doc = np.repeat(np.arange(len(ends)), ends - starts)[: len(at)]
-    start = np.flatnonzero(np.arange(len(at)) + length <= ends[doc])
-    if not len(start):
-        return none, none, none, none, none.astype(np.uint64)
-    doc, at = doc[start], at[start]
-    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
-    last = np.r_[first[1:], len(start)] - 1
-    return doc[first], start[first], start[last], at[first].astype(np.int64), spread(h[at[first]])
+    # the last length - 1 bytes of a document start no string of its own
+    short = ends[:, None] - np.arange(1, length)
+    valid = np.ones(many, bool)
+    short = short[short >= starts[:, None]]
+    valid[short[short < many]] = False
+    head = np.r_[True, at[1:] != at[:-1]]
+    head[starts[starts < many]] = True
+    first = np.flatnonzero(head & valid)
+    last = np.flatnonzero(valid & np.r_[head[1:] | ~valid[1:], True])
+    return np.searchsorted(ends, first, side="right"), first, last, at[first], spread(hashed[at[first]])
 
 
 class Chunk:
@@ -199,6 +208,31 @@ class Chunk:
         return np.cumsum(change)[: len(self.buffer)] > 0
 
 
+def smaller_masks(contexts: Iterable[bytes], told: np.ndarray, length: int) -> np.ndarray:
+    """For each context, with the least id that its chunk told: bit n is set if its n-th string of length bytes is in some context of a smaller id.
+
+    Equal contexts, as several chunks have them, are sorted once, for the least of their ids."""
+    number: dict = {}
+    same = np.array([number.setdefault(x, len(number)) for x in contexts], np.int64)
+    buffer, size, least = b"".join(number), np.array([*map(len, number)], np.int64), np.full(len(number), LAST)
+    np.minimum.at(least, same, told)
+    count = size - length + 1
+    of = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    place = np.cumsum(size) - size
+    order, equal = deep_shallow(buffer, place[of] + nth, length)
+    back = np.empty(len(buffer), np.int64)
+    back[place[of] + nth] = np.arange(len(of))
+    row = back[order]
+    heads = np.flatnonzero(np.r_[True, equal[1:] != equal[:-1]])
+    best = np.repeat(np.minimum.reduceat(least[of[row]], heads), np.diff(np.r_[heads, len(row)]))
+    masks = np.zeros(len(size), np.int64)
+    smaller = row[best < least[of[row]]]
+    np.bitwise_or.at(masks, of[smaller], np.int64(1) << nth[smaller])
+    # where a smaller id has the whole context it has all its strings
+    return np.where(told > least[same], (np.int64(1) << count[same]) - 1, masks[same])
+
+
 def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool = False, chunk_bytes: int = 2_000_000, slice_bytes: int = 6_000_000,
     sorted_bytes: int = 4_000_000, hot_runs: int = 200_000) -> DataFrame:
     """Per row of docs (doc_id long, text string, rest of any type): doc_id, n_bytes, the removed spans, the kept bytes, and rest as it was.
@@ -317,22 +351,15 @@ def repeated_strings(docs: DataFrame, length: int = 50, whole_characters: bool =
 
     def sorted_slice(group: pd.DataFrame) -> pd.DataFrame:
         loose = zstandard.ZstdDecompressor()
-        buffer = b"".join(loose.decompress(x) for x in group["contexts"])
         sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in group["lengths"]]
-        size, least = np.concatenate(sizes), np.concatenate([unplanes(x, np.int64) for x in group["least"]])
-        count = size - length + 1
-        of = np.repeat(np.arange(len(size)), count)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        place = np.cumsum(size) - size
-        order, equal = deep_shallow(buffer, place[of] + nth, length)
-        back = np.empty(len(buffer), np.int64)
-        back[place[of] + nth] = np.arange(len(of))
-        row = back[order]
-        heads = np.flatnonzero(np.r_[True, equal[1:] != equal[:-1]])
-        best = np.repeat(np.minimum.reduceat(least[of[row]], heads), np.diff(np.r_[heads, len(row)]))
-        masks = np.zeros(len(size), np.int64)
-        smaller = row[best < least[of[row]]]
-        np.bitwise_or.at(masks, of[smaller], np.int64(1) << nth[smaller])
+        told = np.concatenate([unplanes(x, np.int64) for x in group["least"]])
+
+        def texts() -> Iterator[bytes]:
+            for whole, own in zip(group["contexts"], sizes, strict=True):
+                text, ends = loose.decompress(whole), np.cumsum(own)
+                yield from (text[a:b] for a, b in zip((ends - own).tolist(), ends.tolist(), strict=True))
+
+        masks = smaller_masks(texts(), told, length)
         cuts = np.cumsum([0, *map(len, sizes)])
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "slice": group["slice"].to_numpy(),
             "masks": [planes(masks[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})

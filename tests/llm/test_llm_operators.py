@@ -686,6 +686,41 @@ def test_parts_of_a_hot_anchor_are_many_groups():
     assert starts == sorted((r, s) for r in np.flatnonzero(hot[chunk.at]) for s in range(chunk.low[r], chunk.high[r] + 1))
 
 
+def test_contexts_of_several_chunks_are_sorted_once(monkeypatch):
+    rng = random.Random(11)
+    say = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    one, two = say(84), say(70)
+    contexts = [one, two, one, one[9:70], say(30) + one[:54], one, two]
+    told = np.array([7, 3, 5, 6, 4, 9, 3])
+    seen = []
+    sort = suffix.deep_shallow
+    monkeypatch.setattr(suffix, "deep_shallow", lambda buffer, suffixes, length: seen.append(len(suffixes)) or sort(buffer, suffixes, length))
+    got = suffix.smaller_masks(iter(contexts), told, 50)
+    least = {}
+    for x, i in zip(contexts, told.tolist()):
+        for a in range(len(x) - 49):
+            least[x[a : a + 50]] = min(i, least.get(x[a : a + 50], i))
+    assert got.tolist() == [sum((least[x[a : a + 50]] < i) << a for a in range(len(x) - 49)) for x, i in zip(contexts, told.tolist())]
+    assert seen == [sum(len(x) - 49 for x in set(contexts))]
+
+
+@pytest.mark.parametrize("block", [64, 1000, 2**16])
+def test_anchors_whatever_the_blocks(monkeypatch, block):
+    """Every string is in one run, and equal strings have one anchor at one place, also across the blocks' edges."""
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    rng = random.Random(block)
+    texts = [bytes(rng.choice(b"ab\xff" if i % 3 else b"a") for _ in range(rng.choice([0, 1, 49, 50, 51, 90, 700]))) for i in range(30)]
+    texts += [t[5:] for t in texts] + [b""]
+    buffer, ends = b"".join(texts), np.cumsum([*map(len, texts)])
+    runs = [*zip(*(x.tolist() for x in suffix.anchors(buffer, ends, 50)), strict=True)]
+    starts = [(d, s) for d, low, high, *_ in runs for s in range(low, high + 1)]
+    assert starts == [(d, s) for d, end in enumerate(ends.tolist()) for s in range(end - len(texts[d]), end - 49)]
+    seen = {}
+    for _, low, high, place, h in runs:
+        for s in range(low, high + 1):
+            assert 0 <= place - s <= 34 and seen.setdefault(buffer[s : s + 50], (place - s, h)) == (place - s, h)
+
+
 def test_suffix_dedup_of_the_largest_id(spark):
     text = "x" * 30 + "".join(map(chr, range(97, 122))) * 3
     rows = spark.createDataFrame([(5, text, None), (2**63 - 1, text, None), (None, text, None)], "doc_id long, text string, rest string")
